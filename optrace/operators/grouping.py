@@ -84,30 +84,37 @@ def ordered_groups(
     return rows.unionByName(parts)
 
 
-def smallest(df: DataFrame, n: int, key: Column, tie: str, digits: int = 20) -> DataFrame:
-    """The n rows with the smallest (key, tie), exactly, for any n.
+def boundary_of(df: DataFrame, n: int, key: Column, tie: str, digits: int = 20) -> tuple | None:
+    """(key, tie) of the n-th smallest row by those two, exactly, for any n; None if there are
+    fewer rows, and an impossible (-1, None) for n = 0.
 
-    key is a 60-bit number. The n-th value is found from counts per leading bits, refined
-    three times, so the driver sees counts only (2**digits at most) and no row is moved."""
-    keyed = df.withColumn("_key", key)
-    low, width, wanted = 0, 60, n
+    key is a 60-bit number. It is found from counts per leading bits, refined in rounds, so
+    the driver sees counts only (2**digits at most) and no row is moved."""
     if n <= 0:
-        return df.limit(0)
+        return -1, None
+    keyed = df.select(key.alias("_key"), tie)
+    low, width, wanted = 0, 60, n
     while width > 0:
-        width = max(0, width - digits)
-        bucket = F.shiftright(F.col("_key"), width)
-        span = keyed.filter((F.col("_key") >= low) & (F.col("_key") < low + (1 << min(60, width + digits))))
-        counts = span.groupBy(bucket.alias("b")).count().orderBy("b").toLocalIterator()
-        before, found = 0, None
-        for row in counts:
-            if before + row["count"] >= wanted:
+        span = 1 << width
+        width -= digits
+        inside = keyed.filter((F.col("_key") >= low) & (F.col("_key") < low + span))
+        counts = inside.groupBy(F.shiftright("_key", width).alias("b")).count().orderBy("b")
+        found = None
+        for row in counts.toLocalIterator():
+            if row["count"] >= wanted:
                 found = row["b"]
                 break
-            before += row["count"]
+            wanted -= row["count"]
         if found is None:
-            return df
-        low, wanted = found << width, wanted - before
-    # Rows sharing one full hash: ordered by their tie column.
-    last = keyed.filter(F.col("_key") == low).select(tie).orderBy(tie).limit(wanted).tail(1)[0][0]
-    below = (F.col("_key") < low) | ((F.col("_key") == low) & (F.col(tie) <= F.lit(last)))
-    return keyed.filter(below).drop("_key")
+            return None
+        low = found << width
+    # Rows that share one full hash are told apart by their tie column.
+    last = keyed.filter(F.col("_key") == low).orderBy(tie).limit(wanted).tail(1)[0]
+    return low, last[tie]
+
+
+def below_boundary(key: Column, tie: str, boundary: tuple | None) -> Column:
+    """Is the row among those boundary_of counted?"""
+    if boundary is None:
+        return F.lit(True)
+    return (key < boundary[0]) | ((key == boundary[0]) & (F.col(tie) <= F.lit(boundary[1])))

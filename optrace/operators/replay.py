@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from types import SimpleNamespace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optrace.functions import paths, text
@@ -28,8 +28,8 @@ TREE_OPS = ["mkdir", "rmdir", "rename", "link", "symlink"]
 
 STATE = "is_dir boolean, mode int, owner string, `group` string, mtime double, size bigint, content string"
 STATE_COLUMNS = ["is_dir", "mode", "owner", "group", "mtime", "size", "content"]
-FOLD_COLUMNS = f"""session string, seq bigint, kind string, step int, path string, reason string,
-    errno string, deleted boolean, {STATE}"""
+FOLD_COLUMNS = f"""session string, seq bigint, operation string, kind string, step int, path string,
+    reason string, errno string, deleted boolean, {STATE}, before struct<{STATE.replace(" ", ":").replace(",:", ", ")}>"""
 
 
 def prepared_ops(ops: DataFrame) -> DataFrame:
@@ -162,61 +162,74 @@ def fold_input(initial: DataFrame, ops: DataFrame) -> DataFrame:
     )
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store, last = transition.DictStore(), -1
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if row["seq"] < last:
-                raise RuntimeError("operations of one group arrived out of order")
-            last = row["seq"]
-            if row["operation"] is None:
-                store.put(row["path"], [row[c] for c in STATE_COLUMNS])
-                continue
-            common = {"session": row["session"], "seq": row["seq"]}
-            outcome = {**common, "kind": "outcome", "step": 0, "path": row["path"]}
-            try:
-                changes = transition.apply(
-                    store, SimpleNamespace(**row), row["parent_fixed"], row["new_parent_fixed"]
-                )
-            except transition.Rejected as rejected:
-                reason = str(rejected)
-                out.append({**outcome, "reason": reason, "errno": transition.errno_of(row["operation"], reason)})
-                continue
-            out.append(outcome)
-            for step, (path, entry) in enumerate(changes):
-                change = {**common, "kind": "change", "step": step, "path": path, "deleted": entry is None}
-                if entry is not None:
-                    change.update(zip(STATE_COLUMNS, entry))
-                out.append(change)
-        yield pa.RecordBatch.from_pylist(out, schema=FOLD_ARROW)
-
-
-FOLD_ARROW = pa.schema([
-    ("session", pa.string()), ("seq", pa.int64()), ("kind", pa.string()), ("step", pa.int32()),
-    ("path", pa.string()), ("reason", pa.string()), ("errno", pa.string()), ("deleted", pa.bool_()),
+_ARROW_STATE = [
     ("is_dir", pa.bool_()), ("mode", pa.int32()), ("owner", pa.string()), ("group", pa.string()),
     ("mtime", pa.float64()), ("size", pa.int64()), ("content", pa.string()),
+]
+_ARROW_FOLD = pa.schema([
+    ("session", pa.string()), ("seq", pa.int64()), ("operation", pa.string()), ("kind", pa.string()),
+    ("step", pa.int32()), ("path", pa.string()), ("reason", pa.string()), ("errno", pa.string()),
+    ("deleted", pa.bool_()), *_ARROW_STATE, ("before", pa.struct(_ARROW_STATE)),
 ])
 
 
-def fold(initial: DataFrame, ops: DataFrame) -> DataFrame:
+def _fold_group(with_before: bool):
+    """Runs the rows of one group in order, batch by batch; only the group's own state stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, last = transition.DictStore(), -1
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["seq"] < last:
+                    raise RuntimeError("operations of one group arrived out of order")
+                last = row["seq"]
+                if row["operation"] is None:
+                    store.put(row["path"], [row[c] for c in STATE_COLUMNS])
+                    continue
+                common = {c: row[c] for c in ("session", "seq", "operation")}
+                outcome = {**common, "kind": "outcome", "step": 0, "path": row["path"]}
+                try:
+                    touched = transition.apply(
+                        store, SimpleNamespace(**row), row["parent_fixed"], row["new_parent_fixed"]
+                    )
+                except transition.Rejected as rejected:
+                    reason = str(rejected)
+                    errno = transition.errno_of(row["operation"], reason)
+                    out.append({**outcome, "reason": reason, "errno": errno})
+                    continue
+                out.append(outcome)
+                for step, (path, old, new) in enumerate(touched):
+                    change = {**common, "kind": "change", "step": step, "path": path, "deleted": new is None}
+                    if new is not None:
+                        change.update(zip(STATE_COLUMNS, new))
+                    if with_before and old is not None:
+                        change["before"] = dict(zip(STATE_COLUMNS, old))
+                    out.append(change)
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW_FOLD)
+
+    return run
+
+
+def fold(initial: DataFrame, ops: DataFrame, with_before: bool = False) -> DataFrame:
     """One row per operation (kind 'outcome') and per entry it touched (kind 'change')."""
     rows = fold_input(initial, ops)
     ordered = rows.repartition("session", "component").sortWithinPartitions("session", "component", "seq")
-    return ordered.groupBy("session", "component").applyInArrow(_fold, schema=FOLD_COLUMNS)
+    return ordered.groupBy("session", "component").applyInArrow(_fold_group(with_before), schema=FOLD_COLUMNS)
 
 
 def outcomes(folded: DataFrame) -> DataFrame:
-    """(session, seq, path, ok, reason, errno): failed operations left the state unchanged."""
+    """(session, seq, operation, path, ok, reason, errno): failed operations left the state unchanged."""
     return folded.filter("kind = 'outcome'").select(
-        "session", "seq", "path", F.col("reason").isNull().alias("ok"), "reason", "errno"
+        "session", "seq", "operation", "path", F.col("reason").isNull().alias("ok"), "reason", "errno"
     )
 
 
 def changes(folded: DataFrame) -> DataFrame:
     """(session, seq, step, path, deleted, attributes): the state after every step, as a log."""
-    return folded.filter("kind = 'change'").drop("kind", "reason", "errno")
+    return folded.filter("kind = 'change'").select(
+        "session", "seq", "step", "path", "deleted", *STATE_COLUMNS
+    )
 
 
 def _as_entries(df: DataFrame) -> DataFrame:
@@ -270,21 +283,15 @@ def state_around(initial: DataFrame, change_log: DataFrame, steps: DataFrame) ->
     )
 
 
-def transitions(initial: DataFrame, ops: DataFrame, folded: DataFrame | None = None) -> DataFrame:
+def transitions(initial: DataFrame, ops: DataFrame) -> DataFrame:
     """Per operation and touched path the entry before and after it, as structs:
     (session, seq, operation, path, before, after). Untouched paths are equal on both sides
     and are not repeated."""
-    log = changes(folded if folded is not None else fold(initial, ops))
-    state = F.struct(*STATE_COLUMNS)
-    # One version per operation and path: the last step wins.
-    versions = _versions(initial, log).groupBy("session", "path", "seq").agg(
-        F.max_by(F.when(~F.col("deleted"), state), "step").alias("after")
-    )
-    window = Window.partitionBy("session", "path").orderBy("seq")
-    named = versions.withColumn("before", F.lag("after").over(window)).filter("seq >= 0")
-    kinds = ops.select("session", "seq", F.lower("operation").alias("operation"))
-    return named.join(kinds, ["session", "seq"]).select(
-        "session", "seq", "operation", "path", "before", "after"
+    log = fold(initial, ops, with_before=True).filter("kind = 'change'")
+    after = F.when(~F.col("deleted"), F.struct(*STATE_COLUMNS))
+    # An operation may touch a path twice (a rename onto an existing file).
+    return log.groupBy("session", "seq", "operation", "path").agg(
+        F.min_by("before", "step").alias("before"), F.max_by(after, "step").alias("after")
     )
 
 

@@ -71,7 +71,8 @@ def resized(entry, length):
 
 
 def apply(store, op, parent_fixed, new_parent_fixed):
-    """Run one operation; returns [(path, entry or None)] in order, or raises Rejected.
+    """Run one operation; returns [(path, entry before, entry after)] in order, with None for
+    no entry, or raises Rejected.
 
     parent_fixed says that the parent is a directory no operation of this session touches,
     so it need not be looked up."""
@@ -80,12 +81,12 @@ def apply(store, op, parent_fixed, new_parent_fixed):
     changes = []
 
     def put(at, value):
+        changes.append((at, store.get(at), value))
         store.put(at, value)
-        changes.append((at, value))
 
     def drop(at):
+        changes.append((at, store.get(at), None))
         store.drop(at)
-        changes.append((at, None))
 
     def need_parent(at, fixed):
         above = None if fixed else store.get(parent_of(at))
