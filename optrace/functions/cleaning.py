@@ -1,22 +1,23 @@
 """Prediction cleaning and the two scores, per row and without Python on the workers.
+The steps are Column functions; the two compositions take and return DataFrames.
 
 NULL predictions stay NULL throughout; an expected text decides the route."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optrace import constants as K
-from optrace.functions.text import fold_blanks, lines, strip, strip_right
+from optrace.functions.text import LINE_BREAK, fold_blanks, lines, strip, strip_right
 
 ARRAY_PATTERN = r"\[[\s\S]*?\]"
 
 
 def strip_think(c: Column) -> Column:
-    """Reasoning blocks removed, closed or not, and lines that start one; then stripped."""
+    """Reasoning blocks removed, closed or not, and lines that start one; then stripped.
+    Line ends become line feeds."""
     text = F.regexp_replace(c, r"(?i)<think>[\s\S]*?(</think>|\z)", "")
-    kept = F.filter(lines(text), lambda line: ~F.lower(strip(line)).startswith("<think"))
-    # Without a leftover tag only the line ends change.
-    return strip(F.array_join(kept, "\n"))
+    text = F.regexp_replace(text, LINE_BREAK, "\n")
+    return strip(F.regexp_replace(text, r"(?i)(?:\A|(?<=\n))[\s\x1c-\x1f\x85\p{Z}&&[^\n]]*<think[^\n]*(?:\n|\z)", ""))
 
 
 def strip_chatter(c: Column) -> Column:
@@ -92,14 +93,28 @@ def clamp(pred: Column, exp: Column) -> Column:
     )
 
 
-def clean_prediction(pred: Column, exp: Column) -> Column:
-    """Reasoning and chatter removed, then the route of the expected shape."""
-    bare = strip_chatter(strip_think(pred))
+def with_clean_prediction(df: DataFrame, pred: str = "predicted", exp: str = "expected", out: str = "predicted") -> DataFrame:
+    """Reasoning and chatter removed, then the route of the expected shape. Each step is a
+    column of its own: inlined into one expression the plan would repeat them many times."""
+    bare, wanted, state = F.col("_bare"), F.col("_wanted"), F.col("_state")
+    routed = (
+        F.when(state, strip_stop(extract_state(bare)))
+        .when(wanted.startswith("["), repair_listing(bare, wanted))
+        .otherwise(bare)
+    )
+    target = F.when(state, strip_stop(F.col(exp))).otherwise(F.col(exp))
+    clamped = (
+        F.when(wanted == "", "")
+        .when(F.col("_routed").isNull() | F.col(exp).isNull(), F.col("_routed"))
+        .when(F.col("_p").contains(F.col("_e")), F.col("_e"))
+        .otherwise(F.col("_p"))
+    )
     return (
-        F.when(strip(exp) == "", "")
-        .when(is_state(exp), clamp(strip_stop(extract_state(bare)), strip_stop(exp)))
-        .when(strip(exp).startswith("["), clamp(repair_listing(bare, exp), exp))
-        .otherwise(clamp(bare, exp))
+        df.withColumn("_bare", strip_think(F.col(pred)))
+        .withColumns({"_bare": strip_chatter(bare), "_wanted": strip(F.col(exp)), "_state": is_state(F.col(exp))})
+        .withColumns({"_routed": routed, "_target": target})
+        .withColumns({"_p": strip(F.col("_routed")), "_e": strip(F.col("_target"))})
+        .withColumn(out, clamped).drop("_bare", "_wanted", "_state", "_routed", "_target", "_p", "_e")
     )
 
 
@@ -113,21 +128,27 @@ def exact_match(pred: Column, exp: Column) -> Column:
     return F.coalesce(strip(pred) == strip(exp), F.lit(False))
 
 
-def similarity(pred: Column, exp: Column) -> Column:
+def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity") -> DataFrame:
     """1.0 for texts equal up to whitespace (or both empty), 0.0 if one is empty, else the
     Jaccard index of their lower-case character sets."""
-    p, e = fold_blanks(pred), fold_blanks(exp)
-    p_chars = F.array_distinct(F.split(F.lower(p), ""))
-    e_chars = F.array_distinct(F.split(F.lower(e), ""))
-    # An all-blank text has no characters, though split('') yields one empty string.
-    p_size = F.when(p == "", 0).otherwise(F.size(p_chars))
-    e_size = F.when(e == "", 0).otherwise(F.size(e_chars))
-    common = F.when((p == "") | (e == ""), 0).otherwise(F.size(F.array_intersect(p_chars, e_chars)))
-    p_empty = F.coalesce(pred == "", F.lit(True))
-    e_empty = F.coalesce(exp == "", F.lit(True))
+    p, e = F.col("_p"), F.col("_e")
+
+    def characters(c: Column) -> Column:
+        # An all-blank text has no characters, though split('') yields one empty string.
+        return F.when(p == e, None).when(c == "", F.array().cast("array<string>")).otherwise(
+            F.array_distinct(F.split(F.lower(c), ""))
+        )
+
+    common = F.size(F.array_intersect("_p_chars", "_e_chars"))
+    p_empty = F.coalesce(F.col(pred) == "", F.lit(True))
+    e_empty = F.coalesce(F.col(exp) == "", F.lit(True))
+    value = (
+        F.when(p_empty & e_empty, 1.0).when(p_empty | e_empty, 0.0).when(p == e, 1.0)
+        .otherwise(F.col("_common") / (F.size("_p_chars") + F.size("_e_chars") - F.col("_common")))
+    )
     return (
-        F.when(p_empty & e_empty, 1.0)
-        .when(p_empty | e_empty, 0.0)
-        .when(p == e, 1.0)
-        .otherwise(common / (p_size + e_size - common))
+        df.withColumns({"_p": fold_blanks(F.col(pred)), "_e": fold_blanks(F.col(exp))})
+        .withColumns({"_p_chars": characters(p), "_e_chars": characters(e)})
+        .withColumn("_common", common)
+        .withColumn(out, value).drop("_p", "_e", "_p_chars", "_e_chars", "_common")
     )

@@ -27,8 +27,7 @@ def fold_blanks(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Split at every line boundary; a final boundary opens no further line."""
-    parts = F.split(c, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(c, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, -1)
 
 
 def sanitize_text(c: Column) -> Column:

@@ -44,7 +44,7 @@ def prepared_ops(ops: DataFrame) -> DataFrame:
     needs_new = op.isin("rename", *LINKING_OPS)
     return ops.filter(op.isin(CHANGING_OPS) & (~needs_new | new_path.isNotNull())).select(
         "session", "seq", op.alias("operation"), path.alias("path"), new_path.alias("new_path"),
-        (F.unix_micros("ts") / F.lit(1e6)).alias("mtime"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("mtime"),
         text.octal_to_mode(param["mode"]).alias("mode"),
         param["offset"].cast("bigint").alias("offset"),
         param["length"].cast("bigint").alias("length"),

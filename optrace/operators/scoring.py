@@ -18,17 +18,17 @@ def score(
     predictions carries expected itself, or is joined to expected on example_id. A row whose
     error column is set counts as wrong, with similarity 0 and the error as its text."""
     rows = predictions if expected is None else expected.join(predictions, "example_id")
-    cleaned = cleaning.clean_prediction(F.col("predicted"), F.col("expected"))
     failed = F.col(error).isNotNull() if error else F.lit(False)
+    scored = cleaning.with_clean_prediction(rows)
     if error:
-        cleaned = F.when(failed, F.concat(F.lit("Error: "), F.col(error))).otherwise(cleaned)
-    target = cleaning.expected_for_scoring(F.col("expected"), strip_token)
-    scored = (
-        rows.withColumn("predicted", cleaned)
-        .withColumn("similarity", F.when(failed, 0.0).otherwise(cleaning.similarity(F.col("predicted"), target)))
-        .withColumn("exact", ~failed & cleaning.exact_match(F.col("predicted"), target))
-    )
-    return scored.withColumn("correct", F.col("similarity") > threshold)
+        message = F.concat(F.lit("Error: "), F.col(error))
+        scored = scored.withColumn("predicted", F.when(failed, message).otherwise(F.col("predicted")))
+    scored = scored.withColumn("_target", cleaning.expected_for_scoring(F.col("expected"), strip_token))
+    scored = cleaning.with_similarity(scored, "predicted", "_target")
+    return scored.withColumns({
+        "similarity": F.when(failed, 0.0).otherwise(F.col("similarity")),
+        "exact": ~failed & cleaning.exact_match(F.col("predicted"), F.col("_target")),
+    }).withColumn("correct", F.col("similarity") > threshold).drop("_target")
 
 
 def _share(flag: str) -> Column:

@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 
 from optrace import constants as K
 from optrace.functions import paths
-from optrace.functions.names import gen_content, gen_dirname, gen_filename
+from optrace.functions.names import with_content, with_dirname, with_filename
 from optrace.functions.sampling import choose, integer, uniform, weighted
 from optrace.operators.snapshot import candidates, coverage
 from optrace.schema import ENTRY_COLUMNS
 
-ENTRY_ARRAY = (
-    "array<struct<path:string,name:string,is_dir:boolean,mode:int,owner:string,"
-    "`group`:string,mtime:double,size:bigint,content:string>>"
-)
-
 
 def _params(**values) -> Column:
     if not values:
@@ -63,68 +58,62 @@ def scenario_mix(ids: DataFrame, id_column: str, seed: str, targeted_share: floa
     return ids.withColumn("mode", F.when(sparse, "sparse").when(targeted, "targeted").otherwise("random"))
 
 
-class _Operands:
-    """Columns a row's operations draw on."""
-
-    def __init__(self, key: Column, seed: str, picks: bool):
-        self.key, self.seed = key, seed
-        self.file = gen_filename(seed, F.concat_ws("|", F.lit("file"), key))
-        self.dir = gen_dirname(seed, F.concat_ws("|", F.lit("dir"), key))
-        self.has = (lambda kind: F.col(kind).isNotNull()) if picks else (lambda kind: F.lit(False))
-
-    def draw(self, tag: str) -> tuple[Column, Column, Column]:
-        return F.lit(self.seed), F.lit(tag), self.key
-
-    def another_dir(self, i: int) -> Column:
-        return gen_dirname(self.seed, F.concat_ws("|", F.lit(f"dir{i}"), self.key))
-
-    def nested(self, low: int, high: int) -> Column:
-        """Chain of low..high generated directory names."""
-        names = F.array(*[self.another_dir(i) for i in range(high)])
-        count = integer(low, high, *self.draw("depth")).cast("int") if low != high else F.lit(low)
-        return F.array_join(F.slice(names, F.lit(1), count), "/")
-
-
-def _random_rows(kind: Column, o: _Operands) -> Column:
-    """Operations of one shell-level kind; fall-backs where the state offers no operand."""
-    any_path, any_is_file = F.col("any"), F.col("any_is_file")
-    has_any = o.has("any")
-    on_file = has_any & any_is_file
-    on_dir = has_any & ~any_is_file
-    content = gen_content(o.file)
-    nested = uniform(*o.draw("nested")) < 0.3
-    below = uniform(*o.draw("below")) < 0.3
-    new_name = F.when(any_is_file, o.file).otherwise(o.dir)
-    link = F.concat(F.lit("link_to_"), o.file)
-    mkdir = _mkdir_chain(o.dir)
-    create = _rows(_op("create", o.file, mode="0o100644"))
+def _with_operands(df: DataFrame, seed: str, key: str) -> DataFrame:
+    """Adds what any operation of a row may draw on: a file name, directory names, a chain of
+    them, and numbers."""
+    k, s = F.col(key), F.lit(seed)
+    df = with_filename(df, "_file", s, F.lit("file"), k)
+    for i in range(5):
+        df = with_dirname(df, f"_dir{i}", s, F.lit(f"dir{i}"), k)
+    return df.withColumns({
+        "_nested": uniform(s, F.lit("nested"), k) < 0.3,
+        "_depth": integer(2, 5, s, F.lit("depth"), k).cast("int"),
+        "_below": uniform(s, F.lit("below"), k) < 0.3,
+        "_length": integer(0, 100, s, F.lit("length"), k),
+        "_chmod": F.concat(F.lit("0o100"), choose(K.CHMOD_MODES, s, F.lit("mode"), k)),
+    })
+
+
+def _chain(count: Column) -> Column:
+    return F.array_join(F.slice(F.array(*[F.col(f"_dir{i}") for i in range(5)]), F.lit(1), count), "/")
+
+
+def _on_file() -> Column:
+    return F.col("any").isNotNull() & F.col("any_is_file")
+
+
+def _random_rows(kind: Column) -> Column:
+    """Operations of one shell-level kind; fall-backs where the state offers no operand.
+    Writes go to _content_path with the content made for it."""
+    any_path, file, folder = F.col("any"), F.col("_file"), F.col("_dir0")
+    has_any, on_file = any_path.isNotNull(), _on_file()
+    on_dir = has_any & ~F.col("any_is_file")
+    mkdir, create = _mkdir_chain(folder), _rows(_op("create", file, mode="0o100644"))
     owner = {"uid": "1000", "gid": "1000"}
-    length = integer(0, 100, *o.draw("length"))
-    mode = F.concat(F.lit("0o100"), choose(K.CHMOD_MODES, *o.draw("mode")))
+    new_path = F.concat(F.lit("/"), F.when(F.col("any_is_file"), file).otherwise(folder))
+    link = F.concat(F.lit("/link_to_"), file)
     return (
-        F.when(kind == "mkdir", F.when(nested, _mkdir_chain(o.nested(2, 5))).otherwise(mkdir))
+        F.when(kind == "mkdir", F.when(F.col("_nested"), _mkdir_chain(_chain(F.col("_depth")))).otherwise(mkdir))
         .when(kind == "touch", F.when(
-            on_dir & below, _rows(_op("create", paths.join(any_path, o.file), mode="0o100644"))
+            on_dir & F.col("_below"), _rows(_op("create", paths.join(any_path, file), mode="0o100644"))
         ).otherwise(create))
         .when(kind == "rm", F.when(on_file, _rows(_op("unlink", any_path))).otherwise(
-            F.concat(create, _rows(_op("unlink", o.file)))))
+            F.concat(create, _rows(_op("unlink", file)))))
         .when(kind == "rmdir", F.when(on_dir & F.col("any_is_empty"), _rows(_op("rmdir", any_path))).otherwise(
-            F.concat(_rows(_op("mkdir", o.dir, mode="0o755")), _rows(_op("rmdir", o.dir)))))
-        .when(kind == "chmod", F.when(has_any, _rows(_op("chmod", any_path, mode=mode))).otherwise(
-            F.concat(create, _rows(_op("chmod", o.file, mode="0o100644")))))
+            _rows(_op("mkdir", folder, mode="0o755"), _op("rmdir", folder))))
+        .when(kind == "chmod", F.when(has_any, _rows(_op("chmod", any_path, mode=F.col("_chmod")))).otherwise(
+            F.concat(create, _rows(_op("chmod", file, mode="0o100644")))))
         .when(kind == "chown", F.when(has_any, _rows(_op("chown", any_path, **owner))).otherwise(
-            F.concat(create, _rows(_op("chown", o.file, **owner)))))
-        .when(kind == "truncate", F.when(on_file, _rows(_op("truncate", any_path, length=length))).otherwise(mkdir))
-        .when(kind == "rename", F.when(
-            has_any, _rows(_op("rename", any_path, new_path=F.concat(F.lit("/"), new_name)))).otherwise(create))
-        .when(kind == "symlink", F.when(
-            has_any, _rows(_op("symlink", any_path, target=F.concat(F.lit("/"), link)))).otherwise(mkdir))
+            F.concat(create, _rows(_op("chown", file, **owner)))))
+        .when(kind == "truncate", F.when(on_file, _rows(_op("truncate", any_path, length=F.col("_length")))).otherwise(mkdir))
+        .when(kind == "rename", F.when(has_any, _rows(_op("rename", any_path, new_path=new_path))).otherwise(create))
+        # The referent of a link is read from the link's directory, here the root.
+        .when(kind == "symlink", F.when(has_any, _rows(_op("symlink", any_path, target=link))).otherwise(mkdir))
         .when(kind == "ls", _rows(_op("readdir", F.coalesce(F.col("parent_dir"), F.lit("")))))
         .when(kind == "stat", _rows(_op("getattr", F.coalesce(any_path, F.lit("")))))
-        .when(kind == "write", F.when(
-            on_file, F.array(*_write(any_path, gen_content(any_path)))).otherwise(F.array(*_write(o.file, content))))
+        .when(kind == "write", F.array(*_write(F.col("_content_path"), F.col("_content"))))
         # No readable file: no operation at all.
-        .when((kind == "read") & o.has("file"), _rows(_op("read", F.col("file"))))
+        .when((kind == "read") & F.col("file").isNotNull(), _rows(_op("read", F.col("file"))))
     )
 
 
@@ -162,105 +151,113 @@ def _emit(df: DataFrame, session: Column, first_seq: Column, rows: str = "_rows"
 
 def random_ops(entries: DataFrame, seed: str) -> DataFrame:
     """One random operation per snapshot."""
-    state = sample_ops(_with_picks(entries, seed), "snapshot_id", seed)
-    o = _Operands(F.col("snapshot_id"), seed, picks=True)
-    return _emit(state.withColumn("_rows", _random_rows(F.col("shell_op"), o)), F.col("snapshot_id"), F.lit(0))
+    state = _with_operands(sample_ops(_with_picks(entries, seed), "snapshot_id", seed), seed, "snapshot_id")
+    state = state.withColumn("_content_path", F.when(_on_file(), F.col("any")).otherwise(F.col("_file")))
+    state = with_content(state, "_content_path", "_content")
+    return _emit(state.withColumn("_rows", _random_rows(F.col("shell_op"))), F.col("snapshot_id"), F.lit(0))
 
 
 def targeted_ops(entries: DataFrame, seed: str) -> DataFrame:
     """One operation per snapshot from the edge-case scenarios; a scenario without a
     candidate falls back to a random operation."""
-    state = sample_ops(_with_picks(entries, seed), "snapshot_id", seed)
-    o = _Operands(F.col("snapshot_id"), seed, picks=True)
-    scenario = choose(K.TARGETED_SCENARIOS, *o.draw("scenario"))
-    file, file16, size = F.col("file"), F.col("file16"), F.col("file16_size")
-    new_size = F.pmod(integer(0, 2**40, *o.draw("new size")), F.greatest(size, F.lit(2)))
-    overwrite = gen_content(F.concat(file, F.lit(":overwrite")))
-    log = F.lit(K.LOG_TEXT)
+    key, s = F.col("snapshot_id"), F.lit(seed)
+    state = _with_operands(sample_ops(_with_picks(entries, seed), "snapshot_id", seed), seed, "snapshot_id")
+    scenario, file, file16 = F.col("_scenario"), F.col("file"), F.col("file16")
+    state = state.withColumn("_scenario", choose(K.TARGETED_SCENARIOS, s, F.lit("scenario"), key))
+    overwrite = (scenario == "overwrite_existing") & file.isNotNull()
+    made = scenario.isin("write_then_read", "write_text_log")
+    state = (
+        state.withColumn("_content_path", F.when(made, F.col("_file")).when(_on_file(), F.col("any")).otherwise(F.col("_file")))
+        .withColumn("_seed_path", F.when(overwrite, F.concat(file, F.lit(":overwrite"))).otherwise(F.col("_content_path")))
+        .withColumn("_new_size", F.pmod(integer(0, 2**40, s, F.lit("new size"), key), F.greatest("file16_size", F.lit(2))))
+    )
+    state = with_content(state, "_seed_path", "_content")
+    content, new_file = F.col("_content"), F.col("_file")
+    link = F.concat(F.lit("/"), file, F.lit("_link"))
+    # The referent is named from the root, so it is absolute in a log.
     rows = (
-        F.when(scenario == "nested_mkdir", _mkdir_chain(o.nested(3, 3)))
-        .when((scenario == "truncate_existing") & o.has("file16"), _rows(_op("truncate", file16, length=new_size)))
-        .when((scenario == "overwrite_existing") & o.has("file"), F.array(*_write(file, overwrite)))
-        .when((scenario == "unlink_existing") & o.has("file"), _rows(_op("unlink", file)))
-        .when((scenario == "rmdir_empty") & o.has("empty_dir"), _rows(_op("rmdir", F.col("empty_dir"))))
-        .when((scenario == "symlink_existing") & o.has("file"), _rows(
-            _op("symlink", file, target=F.concat(F.lit("/"), file, F.lit("_link")))))
-        .when(scenario == "write_text_log", F.array(*_write(o.file, log)))
-        .when(scenario == "write_then_read", F.array(*_write(o.file, gen_content(o.file)), _op("read", o.file)))
-        .otherwise(_random_rows(F.col("shell_op"), o))
+        F.when(scenario == "nested_mkdir", _mkdir_chain(_chain(F.lit(3))))
+        .when((scenario == "truncate_existing") & file16.isNotNull(), _rows(_op("truncate", file16, length=F.col("_new_size"))))
+        .when(overwrite, F.array(*_write(file, content)))
+        .when((scenario == "unlink_existing") & file.isNotNull(), _rows(_op("unlink", file)))
+        .when((scenario == "rmdir_empty") & F.col("empty_dir").isNotNull(), _rows(_op("rmdir", F.col("empty_dir"))))
+        .when((scenario == "symlink_existing") & file.isNotNull(), _rows(_op("symlink", file, target=link)))
+        .when(scenario == "write_text_log", F.array(*_write(new_file, F.lit(K.LOG_TEXT))))
+        .when(scenario == "write_then_read", F.array(*_write(new_file, content), _op("read", new_file)))
+        .otherwise(_random_rows(F.col("shell_op")))
     )
-    return _emit(state.withColumn("_rows", rows), F.col("snapshot_id"), F.lit(0))
+    return _emit(state.withColumn("_rows", rows), key, F.lit(0))
 
 
 def sparse_ops(ids: DataFrame, id_column: str, seed: str) -> DataFrame:
     """One operation per id that works on an empty tree."""
-    o = _Operands(F.col(id_column), seed, picks=False)
-    kind = choose(K.SPARSE_OPS, *o.draw("sparse kind"))
-    create = _op("create", o.file, mode="0o100644")
+    key, s = F.col(id_column), F.lit(seed)
+    named = with_dirname(with_filename(ids.select(id_column), "_file", s, F.lit("file"), key), "_dir", s, F.lit("dir"), key)
+    named = with_content(named, "_file", "_content").withColumns({
+        "_choice": choose(K.SPARSE_OPS, s, F.lit("sparse"), key), "_size": integer(0, 64, s, F.lit("size"), key),
+    })
+    kind, file = F.col("_choice"), F.col("_file")
+    create = _op("create", file, mode="0o100644")
     rows = (
-        F.when(kind == "mkdir", _mkdir_chain(o.dir))
+        F.when(kind == "mkdir", _mkdir_chain(F.col("_dir")))
         .when(kind == "create", _rows(create))
-        .when(kind == "write", F.array(*_write(o.file, gen_content(o.file))))
-        .when(kind == "truncate", _rows(create, _op("truncate", o.file, length=integer(0, 64, *o.draw("size")))))
+        .when(kind == "write", F.array(*_write(file, F.col("_content"))))
+        .when(kind == "truncate", _rows(create, _op("truncate", file, length=F.col("_size"))))
         .otherwise(_rows(_op("readdir", F.lit(""))))
     )
-    return _emit(ids.withColumn("_rows", rows), F.col(id_column), F.lit(0))
+    return _emit(named.withColumn("_rows", rows), key, F.lit(0))
 
 
 def setup_ops(ids: DataFrame, id_column: str, seed: str) -> DataFrame:
     """History before the example: none to three operations in their fall-back form (a
     session starts empty), then with even odds one more file."""
-    o_seed = F.lit(seed)
-    key = F.col(id_column).cast("string")
-    count = weighted(K.SETUP_COUNT_WEIGHTS, o_seed, F.lit("setup count"), key)
-    steps = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    step_rows = ids.select(id_column, F.explode(steps).alias("_step")).withColumn(
-        "_key", F.concat_ws("#", key, F.col("_step"))
+    s, key = F.lit(seed), F.col(id_column).cast("string")
+    count = weighted(K.SETUP_COUNT_WEIGHTS, s, F.lit("setup count"), key)
+    ids = ids.select(id_column)
+    step_rows = (
+        ids.withColumn("_count", count).filter("_count > 0")
+        .select(id_column, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("_step"))
+        .withColumn("_key", F.concat_ws("#", key, F.col("_step")))
     )
-    step_rows = _without_picks(sample_ops(step_rows, "_key", seed))
-    o = _Operands(F.col("_key"), seed, picks=False)
+    step_rows = _with_operands(_without_picks(sample_ops(step_rows, "_key", seed)), seed, "_key")
+    step_rows = with_content(step_rows.withColumn("_content_path", F.col("_file")), "_content_path", "_content")
     history = _emit(
-        step_rows.withColumn("_rows", _random_rows(F.col("shell_op"), o)), F.col(id_column), F.col("_step") * 10
+        step_rows.withColumn("_rows", _random_rows(F.col("shell_op"))), F.col(id_column), F.col("_step") * 10
     )
-    extra = ids.filter(uniform(o_seed, F.lit("extra file"), key) < K.EXTRA_FILE_SHARE)
-    name = gen_filename(seed, F.concat_ws("|", F.lit("extra"), key))
-    file = _emit(extra.withColumn("_rows", F.array(*_write(name, gen_content(name)))), F.col(id_column), F.lit(100))
+    extra = ids.filter(uniform(s, F.lit("extra file"), key) < K.EXTRA_FILE_SHARE)
+    extra = with_content(with_filename(extra, "_file", s, F.lit("extra"), key), "_file", "_content")
+    file = _emit(extra.withColumn("_rows", F.array(*_write(F.col("_file"), F.col("_content")))), F.col(id_column), F.lit(100))
     return history.unionByName(file)
 
 
 def ensure_coverage(entries: DataFrame, seed: str, min_files: int = 1, min_children: int = 2) -> DataFrame:
     """Entries plus what a snapshot lacks: min_files regular files, an empty directory, a
-    directory with children."""
+    directory with children. Added names start with 'cover_', which no generated name does."""
+    key, s, n = F.col("snapshot_id"), F.lit(seed), F.col("n")
     lacking = coverage(entries, min_files).filter("NOT covered")
-    key = F.col("snapshot_id")
-
-    def name(make, tag: str, i: int = 0) -> Column:
-        return F.concat(F.lit("cover_"), make(seed, F.concat_ws("|", F.lit(f"{tag}{i}"), key)))
-
-    def entry(path: Column, is_dir: bool, content: Column | None = None) -> Column:
-        content = F.lit(None).cast("string") if content is None else content
-        size = F.coalesce(F.octet_length(content), F.lit(0)).cast("bigint")
-        return F.struct(
-            path.alias("path"), paths.name(path).alias("name"), F.lit(is_dir).alias("is_dir"),
-            F.lit(0o755 if is_dir else 0o644).alias("mode"), F.lit("root").alias("owner"),
-            F.lit("root").alias("group"), F.lit(0.0).alias("mtime"), size.alias("size"), content.alias("content"),
-        )
-
-    def file(path: Column) -> Column:
-        return entry(path, False, gen_content(path))
-
-    empty_dir = name(gen_dirname, "empty")
-    full_dir = F.concat(name(gen_dirname, "full"), F.lit("_d"))
-    children = [file(F.concat(full_dir, F.lit("/"), name(gen_filename, "child", i))) for i in range(max(1, min_children))]
-    # Distinct numbers keep the needed files apart whatever names are drawn.
-    missing = F.transform(
-        F.sequence(F.lit(1).cast("bigint"), F.lit(min_files) - F.col("n_files")),
-        lambda i: file(F.concat(F.lit("cover_"), i.cast("string"), F.lit("_"), gen_filename(seed, F.concat_ws("|", F.lit("file"), key, i)))),
+    lacking = with_dirname(lacking, "_empty", s, F.lit("empty"), key)
+    lacking = with_dirname(lacking, "_full", s, F.lit("full"), key)
+    folder = F.concat(F.lit("cover_full_"), F.col("_full"))
+    dirs = lacking.select(
+        "snapshot_id",
+        F.explode(F.filter(F.array(
+            F.when(~F.col("has_empty_dir"), F.concat(F.lit("cover_empty_"), F.col("_empty"))),
+            F.when(~F.col("has_populated_dir"), folder),
+        ), lambda p: p.isNotNull())).alias("path"),
+    ).select("snapshot_id", "path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("content"))
+
+    top = lacking.filter(F.col("n_files") < min_files).select(
+        "snapshot_id", F.lit("").alias("folder"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(min_files) - F.col("n_files"))).alias("n")
+    )
+    children = lacking.filter(~F.col("has_populated_dir")).select(
+        "snapshot_id", folder.alias("folder"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, min_children)).cast("bigint"))).alias("n")
     )
-    none = F.array().cast(ENTRY_ARRAY)
-    added = F.concat(
-        F.when(F.col("n_files") < min_files, missing).otherwise(none),
-        F.when(~F.col("has_empty_dir"), F.array(entry(empty_dir, True))).otherwise(none),
-        F.when(~F.col("has_populated_dir"), F.array(entry(full_dir, True), *children)).otherwise(none),
+    files = with_filename(top.unionByName(children), "_file", s, key, F.col("folder"), n)
+    files = files.withColumn("path", paths.join(F.col("folder"), F.concat(F.lit("cover_"), n.cast("string"), F.lit("_"), F.col("_file"))))
+    files = with_content(files, "path", "content").select("snapshot_id", "path", F.lit(False).alias("is_dir"), "content")
+    added = dirs.unionByName(files).select(
+        "snapshot_id", "path", paths.name(F.col("path")).alias("name"), "is_dir",
+        F.when(F.col("is_dir"), 0o755).otherwise(0o644).alias("mode"), F.lit("root").alias("owner"), F.lit("root").alias("group"),
+        F.lit(0.0).alias("mtime"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size"), "content",
     )
-    return entries.select(ENTRY_COLUMNS).unionByName(lacking.select("snapshot_id", F.inline(added)).select(ENTRY_COLUMNS))
+    return entries.select(ENTRY_COLUMNS).unionByName(added)
