@@ -32,7 +32,8 @@ def context_tokens(docs: DataFrame, n: int = 2, text: str = "text", keep: list[s
     )
     return (
         docs.select(*keep, tokens_of(F.col(text)).alias("_tokens")).withColumn("_padded", padded)
-        .select(*keep, F.inline(pairs))
+        # The outer form spares building every array twice, to test its size.
+        .select(*keep, F.inline_outer(pairs)).filter("token IS NOT NULL")
     )
 
 

@@ -35,15 +35,17 @@ FOLD_COLUMNS = f"""session string, seq bigint, operation string, kind string, st
 def prepared_ops(ops: DataFrame) -> DataFrame:
     """State-changing operations with snapshot paths and typed parameters. Links name their
     source in path and the new entry in new_path."""
-    param = F.col("parameters")
-    op = F.lower(F.col("operation"))
-    new_path = F.when(op == "rename", param["new_path"]).when(op.isin(LINKING_OPS), param["target"])
-    new_path = F.when(new_path.isNotNull(), paths.normalize(new_path))
-    above = F.coalesce(paths.parent(new_path), F.lit(""))
-    path = F.when(op == "symlink", paths.resolve(above, F.col("path"))).otherwise(paths.normalize(F.col("path")))
+    param, op, new_path = F.col("parameters"), F.col("operation"), F.col("new_path")
+    target = F.when(op == "rename", param["new_path"]).when(op.isin(LINKING_OPS), param["target"])
+    changing = (
+        ops.withColumn("operation", F.lower("operation")).filter(op.isin(CHANGING_OPS))
+        .withColumn("new_path", F.regexp_replace(target, "^/+|/+$", ""))
+        .withColumn("_above", F.when(op == "symlink", F.coalesce(paths.parent(new_path), F.lit(""))))
+    )
+    path = F.when(op == "symlink", paths.resolve(F.col("_above"), F.col("path"))).otherwise(paths.normalize(F.col("path")))
     needs_new = op.isin("rename", *LINKING_OPS)
-    return ops.filter(op.isin(CHANGING_OPS) & (~needs_new | new_path.isNotNull())).select(
-        "session", "seq", op.alias("operation"), path.alias("path"), new_path.alias("new_path"),
+    return changing.filter(~needs_new | new_path.isNotNull()).select(
+        "session", "seq", "operation", path.alias("path"), "new_path",
         (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("mtime"),
         text.octal_to_mode(param["mode"]).alias("mode"),
         param["offset"].cast("bigint").alias("offset"),

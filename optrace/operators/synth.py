@@ -142,8 +142,12 @@ def _with_picks(entries: DataFrame, seed: str) -> DataFrame:
 
 def _emit(df: DataFrame, session: Column, first_seq: Column, rows: str = "_rows") -> DataFrame:
     """Operation arrays as trace rows; NULL arrays give none."""
-    out = df.select(session.cast("string").alias("session"), first_seq.alias("_first"), F.posexplode(rows).alias("_pos", "_op"))
-    return out.select(
+    # The outer form: the plain one makes the planner test the array's size, and so build
+    # every array twice.
+    out = df.select(
+        session.cast("string").alias("session"), first_seq.alias("_first"), F.posexplode_outer(rows).alias("_pos", "_op")
+    )
+    return out.filter("_pos IS NOT NULL").select(
         "session", (F.col("_first") + F.col("_pos")).cast("bigint").alias("seq"), "_op.operation",
         F.concat(F.lit("/"), F.col("_op.path")).alias("path"), "_op.parameters",
     )
