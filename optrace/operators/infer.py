@@ -25,6 +25,8 @@ def predict(
     prediction ends at the stop token. Set arrow.maxRecordsPerBatch for memory."""
     asked = F.col(prompt) if contract is None else prompts.with_contract(F.col(prompt), contract)
     ready = df.withColumn("_asked", asked)
+    kept_names = df.columns
+    names = [*kept_names, "predicted", "error"]
     schema = T.StructType(df.schema.fields).add("predicted", "string").add("error", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,9 +34,9 @@ def predict(
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
                 texts, error = call(part.column("_asked").to_pylist())
-                kept = [part.column(name) for name in df.columns]
+                kept = [part.column(name) for name in kept_names]
                 outcome = [pa.array(texts, pa.string()), pa.array([error] * part.num_rows, pa.string())]
-                yield pa.RecordBatch.from_arrays(kept + outcome, names=schema.names)
+                yield pa.RecordBatch.from_arrays(kept + outcome, names=names)
 
     def call(texts: list[str]):
         error = None

@@ -128,7 +128,7 @@ BYTES = "ceil(coalesce(round({c}.bits, 9), 0) / 8)::BIGINT"
 
 PRED = """pred AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS example_id, 'q' || quality AS operation_type, text AS expected, doc_id,
   CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN left(text, length(text) // 2) WHEN 3 THEN text
-    ELSE upper(left(text, length(text) // 2)) || ' #' END AS bare FROM documents JOIN labels USING (doc_id))"""
+    ELSE translate(left(text, length(text) // 2), 'aeinrst', 'AEINRST') || ' #' END AS bare FROM documents JOIN labels USING (doc_id))"""
 
 
 def _clamped(bare: str, expected: str) -> str:
@@ -139,7 +139,7 @@ def _clamped(bare: str, expected: str) -> str:
 STATES = """st AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS example_id, lang AS operation_type, doc_id, translate(text, '<>&', '   ') AS body FROM documents),
 st2 AS (SELECT *, '<filesystem><file path="d' || doc_id || '"><body>' || body || '</body></file></filesystem>' AS state FROM st),
 states AS (SELECT example_id, operation_type, state || chr(10) || '<END_FS>' AS expected, state AS target,
-  CASE doc_id % 4 WHEN 0 THEN state WHEN 1 THEN state WHEN 2 THEN left(state, length(state) - 20) ELSE 'no state, ' || upper(body) END AS bare FROM st2)"""
+  CASE doc_id % 4 WHEN 0 THEN state WHEN 1 THEN state WHEN 2 THEN left(state, length(state) - 20) ELSE 'no state, ' || translate(body, 'aeinrst', 'AEINRST') END AS bare FROM st2)"""
 LISTINGS = """ls AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS example_id, lang AS operation_type, doc_id, '"a' || doc_id || '"' AS a, '"b ' || source || '"' AS b, '"c' || lang || '"' AS c FROM documents),
 listings AS (SELECT example_id, operation_type, '[' || a || ',' || b || ',' || c || ']' AS expected,
   CASE doc_id % 4 WHEN 3 THEN 'nothing' WHEN 2 THEN '[' || a || ', ' || a || ', ' || b || ', ' || c || ']' ELSE '[' || a || ',' || b || ',' || c || ']' END AS predicted FROM ls)"""
@@ -178,7 +178,7 @@ ORACLES = {
         UNION ALL SELECT path || '/none', NULL FROM ({DOC_DIRS})""",
     "answered_queries": f"""WITH {GEO_ASKED}, l AS ({NAMES_OF} FROM geo WHERE parent IS NOT NULL GROUP BY parent),
         r AS (SELECT path, ['getattr', 'readdir', 'read', 'statfs'][length(path) % 4 + 1] AS operation FROM asked)
-        SELECT r.path, operation, CASE operation WHEN 'readdir' THEN coalesce(listing, '[".",".."]') WHEN 'statfs' THEN 'out ' || r.path
+        SELECT r.path, operation, CASE operation WHEN 'readdir' THEN coalesce(listing::VARCHAR, '[".",".."]') WHEN 'statfs' THEN 'out ' || r.path
           WHEN 'getattr' THEN CASE WHEN name IS NULL THEN 'ERROR: No such file or directory' ELSE {GETATTR} END
           ELSE CASE WHEN name IS NULL THEN 'ERROR: No such file or directory' WHEN is_dir THEN 'ERROR: Is a directory' ELSE 'ERROR: Cannot read file ' || r.path END END AS answer
         FROM r LEFT JOIN geo ON r.path = geo.path LEFT JOIN l ON r.path = l.parent""",
@@ -289,7 +289,7 @@ ORACLES = {
         count(*) OVER () AS failure_count FROM scored WHERE operation_type IN ('q0', 'q1') AND NOT similarity > 0.7 ORDER BY example_id LIMIT 3""",
     "first_examples": f"WITH {PRED} SELECT example_id, expected FROM pred ORDER BY example_id LIMIT 20",
     "ngram_model": f"WITH {TOKENS}, {_cost('')} SELECT context, token, n, round(p, 6) AS p FROM m",
-    "floored_model": f"""WITH {TOKENS}, u AS (SELECT lang, token, greatest(count(*) / sum(count(*)) OVER (PARTITION BY lang), 0.0005) AS p FROM tok GROUP BY ALL)
+    "floored_model": f"""WITH {TOKENS}, t AS (SELECT lang, token, count(*) AS n FROM tok GROUP BY lang, token), u AS (SELECT lang, token, greatest(n / sum(n) OVER (PARTITION BY lang), 0.0005) AS p FROM t)
         SELECT lang, token, round(p / sum(p) OVER (PARTITION BY lang), 9) AS p FROM u""",
     "compress_ratio": f"""WITH {TOKENS}, {_cost('')} SELECT doc_id, num_tokens, round(bits, 4) AS bits, round(16 * num_tokens / bits, 6) AS ratio FROM c""",
     "compare_models": f"""WITH {TOKENS}, {_cost('')}, {_cost('lang')}, b AS (SELECT doc_id, text, {BYTES.format(c='c')} AS base_bytes, {BYTES.format(c='clang')} AS tuned_bytes FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN clang USING (doc_id))
@@ -302,7 +302,7 @@ ORACLES = {
     "synthetic_names": f"""WITH h AS (SELECT event_id, sha256('7|' || event_id) AS d FROM events) SELECT event_id,
         {_word(K.FILE_PREFIXES, 'd', 2)} || CASE WHEN {_draw('d', 0)} / 16777216.0::DOUBLE < 0.3 THEN '_' || {_word(K.FILE_MIDDLES, 'd', 1)} ELSE '' END || ({_draw('d', 3)} % 999 + 1) || '.' || {_word(K.FILE_SUFFIXES, 'd', 4)} AS file,
         {_word(K.DIR_NAMES, 'd', 4)} || CASE WHEN {_draw('d', 0)} / 16777216.0::DOUBLE < 0.2 THEN '_' || {_word(K.DIR_SUFFIXES, 'd', 1)} ELSE '' END || CASE WHEN {_draw('d', 2)} / 16777216.0::DOUBLE < 0.5 THEN ({_draw('d', 3)} % 99 + 1)::VARCHAR ELSE '' END AS dir FROM h""",
-    "predict_echo": f"""WITH {CHAT}, t AS (SELECT example_id, string_split(prompt, chr(10))[-1] AS last FROM cp) SELECT example_id, {_strip('upper(last)')} AS predicted, NULL::VARCHAR AS error FROM t""",
+    "predict_echo": f"""WITH {CHAT}, t AS (SELECT example_id, string_split(prompt, chr(10))[-1] AS last FROM cp) SELECT example_id, {_strip("'echo ' || last")} AS predicted, NULL::VARCHAR AS error FROM t""",
 }
 
 

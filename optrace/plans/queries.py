@@ -397,7 +397,7 @@ def permission_texts(spark, sf):
     mode = (F.col("o_orderkey") % 4096).cast("int")
     octal = text.mode_to_octal(mode)
     return orders.select(
-        "o_orderkey", octal.alias("octal"), text.octal_to_mode(F.concat(F.lit("0o100"), F.lpad(octal, 3, "0"))).alias("back"),
+        "o_orderkey", octal.alias("octal"), text.octal_to_mode(F.concat(F.lit("0o10"), F.lpad(octal, 4, "0"))).alias("back"),
         text.canonical_mtime(mode % 2 == 0).alias("stamp"),
     )
 
@@ -627,8 +627,8 @@ def covered_entries(spark, sf):
 # User functions and streams ----------------------------------------------------------------
 
 def _echo(texts: list[str]) -> list[str]:
-    """Stands in for a model: the last line of the prompt, upper case, with a tail."""
-    return [t.rsplit("\n", 1)[-1].upper() + "<END_FS> tail" for t in texts]
+    """Stands in for a model: the last line of the prompt, with a tail after the stop token."""
+    return ["echo " + t.rsplit("\n", 1)[-1] + "<END_FS> tail" for t in texts]
 
 
 @query

@@ -173,7 +173,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("<think>why\nnot</think>\n  "), text, F.lit(" \n")))
         .when(F.col("doc_id") % 5 == 2, half)
         .when(F.col("doc_id") % 5 == 3, F.concat(text, F.lit("\nExplanation: done")))
-        .otherwise(F.concat(F.upper(half), F.lit(" #\n<think>open")))
+        .otherwise(F.concat(F.translate(half, "aeinrst", "AEINRST"), F.lit(" #\n<think>open")))
     )
     return documents.join(labels, "doc_id").select(
         "doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("example_id"),
@@ -193,7 +193,7 @@ def state_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Here it is: "), state, F.lit(" done")))
         .when(F.col("doc_id") % 4 == 1, F.concat(state, F.lit("\n<END_FS>\n")))
         .when(F.col("doc_id") % 4 == 2, F.left(state, F.char_length(state) - 20))
-        .otherwise(F.concat(F.lit("no state, "), F.upper(body)))
+        .otherwise(F.concat(F.lit("no state, "), F.translate(body, "aeinrst", "AEINRST")))
     )
     return documents.select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("example_id"), F.col("lang").alias("operation_type"),
