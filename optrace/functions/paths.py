@@ -14,11 +14,8 @@ def name(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """Parent path; NULL for the root."""
-    cut = F.char_length(path) - F.char_length(F.substring_index(path, "/", -1)) - 1
-    return F.when(path == "", F.lit(None).cast("string")).otherwise(
-        F.when(cut > 0, F.left(path, cut)).otherwise("")
-    )
+    """Parent path; NULL for the root. (Few mentions of path keep nested plans small.)"""
+    return F.when(path != "", F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1))
 
 
 def segments(path: Column) -> Column:
@@ -47,7 +44,7 @@ def prefix(path: Column, n: Column) -> Column:
 def ancestors(path: Column) -> Column:
     """Every proper prefix below the root, then the path itself: a, a/b, a/b/c."""
     return F.when(path == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), depth(path)), lambda i: prefix(path, i))
+        F.transform(F.split(path, "/", -1), lambda _, i: prefix(path, i + 1))
     )
 
 
