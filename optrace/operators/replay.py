@@ -175,49 +175,54 @@ _ARROW_FOLD = pa.schema([
 ])
 
 
-def _fold_group(with_before: bool):
-    """Runs the rows of one group in order, batch by batch; only the group's own state stays."""
+def _fold_partition(with_before: bool):
+    """Runs a partition sorted by group and log order as one stream. A new group starts a new
+    state, so no more than one group's own state is held, and no group costs a call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, last = transition.DictStore(), -1
+        group, store, last = None, None, -1
         for batch in batches:
             out = []
             for row in batch.to_pylist():
+                if (row["session"], row["component"]) != group:
+                    group, store, last = (row["session"], row["component"]), transition.DictStore(), -1
                 if row["seq"] < last:
                     raise RuntimeError("operations of one group arrived out of order")
                 last = row["seq"]
                 if row["operation"] is None:
                     store.put(row["path"], [row[c] for c in STATE_COLUMNS])
-                    continue
-                common = {c: row[c] for c in ("session", "seq", "operation")}
-                outcome = {**common, "kind": "outcome", "step": 0, "path": row["path"]}
-                try:
-                    touched = transition.apply(
-                        store, SimpleNamespace(**row), row["parent_fixed"], row["new_parent_fixed"]
-                    )
-                except transition.Rejected as rejected:
-                    reason = str(rejected)
-                    errno = transition.errno_of(row["operation"], reason)
-                    out.append({**outcome, "reason": reason, "errno": errno})
-                    continue
-                out.append(outcome)
-                for step, (path, old, new) in enumerate(touched):
-                    change = {**common, "kind": "change", "step": step, "path": path, "deleted": new is None}
-                    if new is not None:
-                        change.update(zip(STATE_COLUMNS, new))
-                    if with_before and old is not None:
-                        change["before"] = dict(zip(STATE_COLUMNS, old))
-                    out.append(change)
+                else:
+                    out.extend(_step(store, row, with_before))
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW_FOLD)
 
     return run
 
 
+def _step(store: transition.DictStore, row: dict, with_before: bool) -> list[dict]:
+    """Output rows of one operation."""
+    common = {c: row[c] for c in ("session", "seq", "operation")}
+    outcome = {**common, "kind": "outcome", "step": 0, "path": row["path"]}
+    try:
+        touched = transition.apply(store, SimpleNamespace(**row), row["parent_fixed"], row["new_parent_fixed"])
+    except transition.Rejected as rejected:
+        reason = str(rejected)
+        return [{**outcome, "reason": reason, "errno": transition.errno_of(row["operation"], reason)}]
+    out = [outcome]
+    for step, (path, old, new) in enumerate(touched):
+        change = {**common, "kind": "change", "step": step, "path": path, "deleted": new is None}
+        if new is not None:
+            change.update(zip(STATE_COLUMNS, new))
+        if with_before and old is not None:
+            change["before"] = dict(zip(STATE_COLUMNS, old))
+        out.append(change)
+    return out
+
+
 def fold(initial: DataFrame, ops: DataFrame, with_before: bool = False) -> DataFrame:
     """One row per operation (kind 'outcome') and per entry it touched (kind 'change')."""
     rows = fold_input(initial, ops)
     ordered = rows.repartition("session", "component").sortWithinPartitions("session", "component", "seq")
-    return ordered.groupBy("session", "component").applyInArrow(_fold_group(with_before), schema=FOLD_COLUMNS)
+    return ordered.mapInArrow(_fold_partition(with_before), schema=FOLD_COLUMNS)
 
 
 def outcomes(folded: DataFrame) -> DataFrame:
