@@ -222,6 +222,7 @@ ORACLES = {
     "principal_ops": f"""WITH {EVENTS}, o AS (SELECT *, operation <> 'unlink' AS main, CASE WHEN operation = 'unlink' THEN 'getattr' ELSE operation END AS op FROM ev)
         SELECT session, seq, op AS operation, '/' || path AS path FROM o QUALIFY row_number() OVER (PARTITION BY session ORDER BY main DESC, ts DESC, seq DESC) = 1""",
     "op_distribution": f"WITH {EVENTS} SELECT operation, count(*) AS n, 'useful' AS class FROM ev GROUP BY 1",
+    "live_counts": f"WITH {EVENTS} SELECT operation, count(*) AS n FROM ev GROUP BY 1",
     "op_share_bounds": f"""WITH {EVENTS}, c AS (SELECT operation, count(*) AS n FROM ev GROUP BY 1 UNION ALL SELECT 'mkdir', 0)
         SELECT operation, n, round(n / (SELECT count(*) FROM ev), 6) AS share, n / (SELECT count(*) FROM ev) > 0.015 AND n / (SELECT count(*) FROM ev) < 0.6 AS within FROM c""",
     "missing_operations": f"WITH {EVENTS} SELECT x AS operation FROM (SELECT unnest(['mkdir', 'write', 'read', 'rename']) AS x) WHERE x NOT IN (SELECT operation FROM ev)",

@@ -9,7 +9,9 @@ from optrace.functions import cleaning, names, paths, prompts, sampling, text
 from optrace.operators import compress, dataset, render, replay, scoring, snapshot, synth, trace
 from optrace.operators.infer import predict
 from optrace.plans import views
+from optrace.session import scratch_folder
 from optrace.sources import files
+from optrace.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -634,3 +636,16 @@ def _echo(texts: list[str]) -> list[str]:
 @query
 def predict_echo(spark, sf):
     return predict(views.chat_pairs(spark, sf), _echo).select("example_id", "predicted", "error")
+
+
+@query
+def live_counts(spark, sf):
+    """The running distribution after the stream has read everything there is."""
+    counts = live.live_distribution(live.useful_stream(views.event_stream(spark, sf)))
+    name = f"live_counts_{abs(hash(sf))}"
+    running = (
+        counts.writeStream.outputMode("complete").format("memory").queryName(name)
+        .option("checkpointLocation", scratch_folder(spark, "live-counts")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return spark.table(name)

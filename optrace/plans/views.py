@@ -82,7 +82,16 @@ def geo_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as an operation log: a session per user, file d<k div 10>/f<k>."""
-    events = table(spark, sf_dir, "events")
+    return events_as_ops(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operations as a stream over the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    return events_as_ops(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))
+
+
+def events_as_ops(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     op = F.create_map(*[F.lit(x) for pair in EVENT_OPERATIONS.items() for x in pair])[F.col("event_type")]
     length = F.col("value").cast("bigint").cast("string")

@@ -1,6 +1,9 @@
 """Session settings the operators rely on, and lineage cutting."""
 
+import shutil
 import tempfile
+from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +20,33 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        stem = Path(tempfile.mkdtemp(prefix="optrace-")) / package.name
+        context.addPyFile(shutil.make_archive(str(stem), "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it."""
+    """Apply the runtime settings to an existing session, ship the package, return the session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that every worker can reach: below spark.checkpoint.dir where that is set."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="optrace-")
+    return f"{configured.rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def local_session(app: str = "optrace", cpus: str = "8", partitions: str = "8") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     spark = (

@@ -193,7 +193,9 @@ def read_snapshots_xml(
     )
     entries = good_files.unionByName(dirs).join(rooted, "snapshot_id", "left_semi")
     rejects = (
-        elements.filter("_broken IS NOT NULL").select("snapshot_id", F.lit("Broken file element").alias("reason"))
+        elements.filter("_broken IS NOT NULL").select(
+            "snapshot_id", F.concat_ws(" ", F.lit("Broken file element"), F.col("_path")).alias("reason")
+        )
         .unionByName(
             tags.select("snapshot_id").distinct().join(rooted, "snapshot_id", "left_anti")
             .select("snapshot_id", F.lit("Expected <filesystem> root element").alias("reason"))

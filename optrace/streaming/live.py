@@ -36,6 +36,11 @@ def stream_trace(spark: SparkSession, directory: str, useful_only: bool = True,
     return filter_ops(ops) if useful_only else ops
 
 
+def useful_stream(ops: DataFrame) -> DataFrame:
+    """The useful operations of any stream of operations."""
+    return filter_ops(ops)
+
+
 class _MapStore:
     """Entries in keyed state; only the paths an operation touches are read or written."""
 
@@ -43,15 +48,16 @@ class _MapStore:
         self.state = state
 
     def get(self, path):
-        if path == "" and not self.state.contains_key(("",)):
-            return [True, transition.DEFAULT_DIR_MODE, "root", "root", 0.0, 0, None]
-        return list(self.state.get_value((path,))) if self.state.contains_key((path,)) else None
+        if self.state.containsKey((path,)):
+            return list(self.state.getValue((path,)))
+        # Every session starts with an empty root.
+        return [True, transition.DEFAULT_DIR_MODE, "root", "root", 0.0, 0, None] if path == "" else None
 
     def put(self, path, entry):
-        self.state.update_value((path,), tuple(entry))
+        self.state.updateValue((path,), tuple(entry))
 
     def drop(self, path):
-        self.state.remove_key((path,))
+        self.state.removeKey((path,))
 
     def below(self, path):
         found = (key[0] for key in self.state.keys())
