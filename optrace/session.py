@@ -55,6 +55,7 @@ def local_session(app: str = "optrace", cpus: str = "8", partitions: str = "8")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
