@@ -5,19 +5,23 @@ from pyspark.sql import functions as F
 
 from optrace import constants as K
 
-# Every character Python's str.strip() and str.split() treat as blank; Java's \s is narrower.
-BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+# Every character Python's str.strip() and str.split() treat as blank; Java's \\s is narrower.
+BLANK_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK = f"[{BLANK_CHARS}]"
 # Every line boundary Python's str.splitlines() knows.
 LINE_BREAK = r"\R|[\x1c-\x1e]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def strip_right(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{BLANK}+\z", "")
+    return F.rtrim(c, F.lit(BLANK_CHARS))
 
 
 def fold_blanks(c: Column) -> Column:
