@@ -15,9 +15,10 @@ ARRAY_PATTERN = r"\[[\s\S]*?\]"
 def strip_think(c: Column) -> Column:
     """Reasoning blocks removed, closed or not, and lines that start one; then stripped.
     Line ends become line feeds."""
+    plain = ~c.rlike(r"(?i)<think|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
     text = F.regexp_replace(c, r"(?i)<think>[\s\S]*?(</think>|\z)", "")
     text = F.regexp_replace(text, LINE_BREAK, "\n")
-    return strip(F.regexp_replace(text, r"(?i)(?:\A|(?<=\n))[\s\x1c-\x1f\x85\p{Z}&&[^\n]]*<think[^\n]*(?:\n|\z)", ""))
+    return F.when(plain, strip(c)).otherwise(strip(F.regexp_replace(text, r"(?i)(?:\A|(?<=\n))[\s\x1c-\x1f\x85\p{Z}&&[^\n]]*<think[^\n]*(?:\n|\z)", "")))
 
 
 def strip_chatter(c: Column) -> Column:
@@ -139,6 +140,10 @@ def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity")
             F.array_distinct(F.split(F.lower(c), ""))
         )
 
+    def folded(c: str) -> Column:
+        # Equal texts need no folding to be found equal.
+        return F.when(F.col(pred) == F.col(exp), "=").otherwise(fold_blanks(F.col(c)))
+
     common = F.size(F.array_intersect("_p_chars", "_e_chars"))
     p_empty = F.coalesce(F.col(pred) == "", F.lit(True))
     e_empty = F.coalesce(F.col(exp) == "", F.lit(True))
@@ -147,7 +152,7 @@ def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity")
         .otherwise(F.col("_common") / (F.size("_p_chars") + F.size("_e_chars") - F.col("_common")))
     )
     return (
-        df.withColumns({"_p": fold_blanks(F.col(pred)), "_e": fold_blanks(F.col(exp))})
+        df.withColumns({"_p": folded(pred), "_e": folded(exp)})
         .withColumns({"_p_chars": characters(p), "_e_chars": characters(e)})
         .withColumn("_common", common)
         .withColumn(out, value).drop("_p", "_e", "_p_chars", "_e_chars", "_common")
