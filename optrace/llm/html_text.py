@@ -103,8 +103,7 @@ class _Page:
         if tag in CLOSES:
             self._close_to(*CLOSES[tag])
         node = len(self.tags)
-        inside = {self.tags[x] for x in self.stack}
-        drop = tag in DROPPED or (tag == "header" and not inside & {"article", "main"})
+        drop = tag in DROPPED or (tag == "header" and not any(self.tags[x] in ("article", "main") for x in self.stack))
         drop = drop or (bool(attributes) and tag not in ("html", "body", "article", "main") and _marked(attributes))
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
@@ -150,8 +149,10 @@ class _Page:
             if self.tags[self.stack[i]] == tag:
                 while len(self.stack) > i:
                     self._close()
-                break
-        if tag in BLOCK:
+                if tag in BLOCK:
+                    self._break()
+                return
+        if tag == "p":
             self._break()
 
 

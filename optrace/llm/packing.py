@@ -85,9 +85,7 @@ def cut_points(ids: np.ndarray, closes: np.ndarray) -> tuple[list[int], list[int
 def best_cuts(ends: list[int], costs: list[int], limit: int = LIMIT) -> list[int]:
     """Indexes into ends of the cheapest cuts from position 0 to the last end (always a cut).
     Neighbouring ends are at most limit apart."""
-    powers = [p for p in POWERS if p <= limit]
-    full = powers[-1] == limit
-    shorter = powers[:-1] if full else powers
+    powers = [(p, SHORT if p < limit else 0) for p in POWERS if p <= limit]
     position = [0, *ends]
     total, before = [0.0] * len(position), [0] * len(position)
     at = {0: 0}
@@ -99,10 +97,10 @@ def best_cuts(ends: list[int], costs: list[int], limit: int = LIMIT) -> list[int
         i = queue[0]
         gap = limit - end + position[i]
         best, source = total[i] + gap + (SHORT if gap else 0), i
-        for p in shorter:
+        for p, more in powers:
             i = at.get(end - p)
-            if i is not None and total[i] + SHORT < best:
-                best, source = total[i] + SHORT, i
+            if i is not None and total[i] + more < best:
+                best, source = total[i] + more, i
         best += costs[j - 1]
         total[j], before[j] = best, source
         at[end] = j

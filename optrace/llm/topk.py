@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = K, block: int = BLOCK, shar
     vectors has vec_id and vector (array of long); other columns are left out, and rows without
     either take no part. Rows repeated whole count once; of rows that share a vec_id each is
     a candidate, and each query row is answered. Shorter vectors count as padded with zeros.
-    Scores outside of long are given as its limits."""
+    Scores outside of long count as its limits."""
     clean = vectors.withColumn("asks", asks).filter("vec_id IS NOT NULL AND vector IS NOT NULL")
     clean = clean.select("vec_id", "vector", "asks").dropDuplicates(["vec_id", "vector"]).withColumn("likes", _signature(F.col("vector")))
     parts = max(1, -(-clean.count() // shard))
