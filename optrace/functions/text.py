@@ -115,9 +115,26 @@ def python_float(c: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """One JSON string literal."""
+    """One JSON string literal in ASCII."""
     boxed = F.to_json(F.array(c))
-    return F.substring(boxed, F.lit(2), F.char_length(boxed) - 2)
+    return escaped_json(F.substring(boxed, F.lit(2), F.char_length(boxed) - 2))
+
+
+def escaped_json(c: Column) -> Column:
+    """JSON text with everything beyond ASCII as \\u escapes, surrogate pairs included."""
+    beyond = r"[^\x00-\x7e]"
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def shown(ch: Column) -> Column:
+        code = F.ascii(ch)
+        rest = code - 0x10000
+        pair = F.concat(unit(F.floor(rest / 1024) + 0xD800), unit(rest % 1024 + 0xDC00))
+        return F.when(~ch.rlike(beyond), ch).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    spelled = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)."), 0), shown), "")
+    return F.when(c.rlike(beyond), spelled).otherwise(c)
 
 
 def python_repr(c: Column) -> Column:

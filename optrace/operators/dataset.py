@@ -10,11 +10,12 @@ from optrace.functions import paths, prompts
 from optrace.functions.sampling import SPACE, hash60
 from optrace.operators import replay as replays
 from optrace.operators import trace
-from optrace.operators.grouping import below_boundary, boundary_of, ordered_groups, split_by_size
-from optrace.operators.render import xml_fragments, xml_size_bounds
+from optrace.operators.grouping import below_boundary, boundary_of, ordered_groups
+from optrace.operators.render import xml_fragments
 from optrace.operators.snapshot import getattr_answer, read_answer, readdir
+from optrace.session import cut_lineage
 
-OPS_PER_ROW = 100_000
+OPS_PER_ROW = 1000
 DOCUMENT_TAGS = len("<filesystem></filesystem>")
 
 
@@ -30,15 +31,9 @@ def bounded_documents(entries: DataFrame, focus: DataFrame | None, max_chars: in
     """(snapshot_id, document) for the states of at most max_chars characters. Longer states
     are told by the sum of their fragments' lengths and are never put together."""
     fragments = xml_fragments(entries, focus)
-    # A state whose bound fits needs no exact count; only the rest is measured.
-    split = split_by_size(
-        fragments, ["snapshot_id"], max_chars, F.col("bound"), xml_size_bounds(entries, focus)
-    )
-    kept = split.small
-    if split.large is not None:
-        exact = split.large.groupBy("snapshot_id").agg(F.sum(F.char_length("text")).alias("n"))
-        fitting = exact.filter(F.col("n") + DOCUMENT_TAGS <= max_chars).select("snapshot_id")
-        kept = kept.unionByName(split.large.join(fitting, "snapshot_id", "left_semi"))
+    sizes = fragments.groupBy("snapshot_id").agg(F.sum(F.char_length("text")).alias("n"))
+    fitting = sizes.filter(F.col("n") + DOCUMENT_TAGS <= max_chars).select("snapshot_id")
+    kept = fragments.join(fitting, "snapshot_id", "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("sort_key", "text")))
     inside = F.array_join(F.transform(ordered, lambda x: x["text"]), "")
     return kept.groupBy("snapshot_id").agg(
@@ -48,18 +43,27 @@ def bounded_documents(entries: DataFrame, focus: DataFrame | None, max_chars: in
 
 def build_examples(
     initial: DataFrame, ops: DataFrame, focus: DataFrame | None = None,
-    max_tokens: int = K.MAX_STATE_TOKENS,
+    max_tokens: int = K.MAX_STATE_TOKENS, sessions: DataFrame | None = None,
 ) -> DataFrame:
     """One example per session from its principal operation: (session, initial_state,
-    operation, result, operation_type). session_operations gives the log behind them.
+    operation, result, operation_type, shell_command). session_operations gives the log behind
+    them. sessions may give (session, shell_command, success); without it commands are null.
+    An operation that failed, or a query that met no such entry, yields no example.
 
     A change maps the state before to the state after; a query maps a state to its answer.
     For reads the state is the one after the operation, with the read file in full.
     Examples over the token budget are left out."""
     useful = trace.filter_ops(ops)
     chosen = trace.principal_op(useful)
-    log = replays.changes(replays.fold(initial, useful))
-    around = replays.state_around(initial, log, chosen)
+    rows = cut_lineage(replays.folded(initial, useful))
+    failed = replays.outcomes(rows).filter("NOT ok").select("session", "seq")
+    chosen = chosen.join(failed, ["session", "seq"], "left_anti")
+    if sessions is not None:
+        chosen = chosen.join(sessions.filter("coalesce(success, true)").select("session", "shell_command"), "session")
+    else:
+        chosen = chosen.withColumn("shell_command", F.lit(None).cast("string"))
+    log = replays.changes(rows)
+    around = cut_lineage(replays.state_around(initial, log, chosen))
     asked = chosen.select(
         F.col("session").alias("snapshot_id"), F.col("operation"), paths.normalize(F.col("path")).alias("path")
     )
@@ -96,7 +100,7 @@ def build_examples(
     )
 
     after = around.filter("side = 'after'").drop("side")
-    answers = _answers(after, asked)
+    answers = _answers(after, asked, max_chars)
     kind = prompts.operation_type(F.col("operation"))
     rows = (
         chosen.withColumn("operation_type", kind)
@@ -108,36 +112,40 @@ def build_examples(
     examples = rows.select(
         "session", initial_state.alias("initial_state"),
         prompts.op_signature(F.col("operation"), F.col("path"), F.col("parameters")).alias("operation"),
-        result.alias("result"), "operation_type",
+        result.alias("result"), "operation_type", "shell_command",
     ).filter("initial_state IS NOT NULL AND result IS NOT NULL")
     return within_budget(examples, "initial_state", "operation", "result", max_tokens=max_tokens)
 
 
-def _answers(entries: DataFrame, asked: DataFrame) -> DataFrame:
+def _answers(entries: DataFrame, asked: DataFrame, max_chars: int) -> DataFrame:
     """(snapshot_id, answer) of the query requests, one per snapshot."""
     queries = asked.filter(F.col("operation").isin(K.QUERY_OPS))
     state = entries.withColumn("_path", F.col("path")).drop("path")
     point = (
         queries.filter("operation <> 'readdir'").withColumn("_path", F.col("path"))
-        .join(state, ["snapshot_id", "_path"], "left")
+        .join(state, ["snapshot_id", "_path"])
+        .filter("operation = 'getattr' OR NOT is_dir")
         .select("snapshot_id", F.when(F.col("operation") == "getattr", getattr_answer()).otherwise(read_answer()).alias("answer"))
     )
-    # A listing in several parts is far beyond any token budget.
-    listed = (
-        readdir(entries, queries.filter("operation = 'readdir'")).groupBy("snapshot_id")
-        .agg(F.max("part").alias("last"), F.min_by("listing", "part").alias("answer"))
-        .filter("last = 0").select("snapshot_id", "answer")
+    # Parts are put together only where the whole fits the budget.
+    dirs = entries.filter("is_dir").select("snapshot_id", "path")
+    asked_dirs = queries.filter("operation = 'readdir'").join(dirs, ["snapshot_id", "path"], "left_semi")
+    parts = readdir(entries, asked_dirs).select("snapshot_id", "part", "listing")
+    fitting = parts.groupBy("snapshot_id").agg(F.sum(F.char_length("listing")).alias("n")).filter(F.col("n") <= max_chars)
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("part", "listing"))), lambda x: F.substring(x["listing"], F.lit(2), F.char_length(x["listing"]) - 2))
+    listed = parts.join(fitting.select("snapshot_id"), "snapshot_id", "left_semi").groupBy("snapshot_id").agg(
+        F.concat(F.lit("["), F.array_join(inside, ","), F.lit("]")).alias("answer")
     )
     return point.unionByName(listed)
 
 
 def session_operations(ops: DataFrame, ops_per_row: int = OPS_PER_ROW) -> DataFrame:
-    """(session, part, fuse_operations): the useful operations of a session in log order, as
-    one array up to ops_per_row operations and in consecutive parts beyond."""
+    """(session, part, fuse_operations): the useful operations of a session in log order, in
+    consecutive parts of ops_per_row operations."""
     # Sorting needs comparable values, so the map travels as its entries.
     op = F.struct("operation", "path", "ts", F.map_entries("parameters").alias("parameters"))
-    useful = trace.filter_ops(ops).withColumn("_op", op).withColumn("_order", F.struct("ts", "seq"))
-    groups = ordered_groups(useful, ["session"], "_order", "_op", ops_per_row)
+    useful = trace.filter_ops(ops).withColumn("_op", op)
+    groups = ordered_groups(useful, ["session"], "seq", "_op", ops_per_row)
     restored = F.transform(
         "items", lambda o: o.withField("parameters", F.map_from_entries(o["parameters"]))
     )

@@ -1,87 +1,32 @@
 """Groups that may be far too large for one task.
 
-Most keys are small and are collected the ordinary way. A key above the limit is
-sorted across the cluster by range and comes back in consecutive parts, so no task ever holds
-more than a slice of it and nothing is left out."""
-
-from math import ceil
+Rows are sorted across the cluster by range, numbered within their key from a narrow table of counts
+per slice, and collected in parts of a fixed number of rows. Every key has this one shape,
+whatever its size, so no task ever holds more than a part and nothing is left out."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LISTED_KEYS = 1000
-
-
-class SizeSplit:
-    """Rows of small keys, rows of large keys (None without any), and the large total."""
-
-    def __init__(self, small: DataFrame, large: DataFrame | None, large_weight: int):
-        self.small, self.large, self.large_weight = small, large, large_weight
-
-
-def split_by_size(
-    df: DataFrame, keys: list[str], limit: int, weight: Column | None = None,
-    weighed: DataFrame | None = None,
-) -> SizeSplit:
-    """Separate the keys whose rows weigh more than limit.
-
-    Looks at the sizes first, an aggregate that reads no more than keys and weight; a cheaper
-    table with the same keys and an upper bound of the weight can be given as weighed. Up to
-    MAX_LISTED_KEYS large keys are listed and broadcast; beyond that they stay a table and
-    the split is a join."""
-    spark = df.sparkSession
-    total = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    sizes = (weighed if weighed is not None else df).groupBy(*keys).agg(total.alias("_weight")).filter(F.col("_weight") > limit)
-    listed = sizes.limit(MAX_LISTED_KEYS + 1).collect()
-    if not listed:
-        return SizeSplit(df, None, 0)
-    if len(listed) <= MAX_LISTED_KEYS:
-        weight_sum = sum(row["_weight"] for row in listed)
-        names = F.broadcast(spark.createDataFrame(listed, sizes.schema).drop("_weight"))
-    else:
-        weight_sum = sizes.agg(F.sum("_weight")).first()[0]
-        names = sizes.drop("_weight")
-    return SizeSplit(
-        df.join(names, keys, "left_anti"), df.join(names, keys, "left_semi"), int(weight_sum)
-    )
-
-
-def ordered_groups(
-    df: DataFrame, keys: list[str], order: str, value: str, limit: int,
-    weight: Column | None = None, weighed: DataFrame | None = None,
-) -> DataFrame:
-    """One row per key with its values in order: (keys, part, n_parts, items).
-
-    Keys above the limit give several parts; their items follow on from part to part."""
-    split = split_by_size(df, keys, limit, weight, weighed)
-    item = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+from optrace.session import cut_lineage
 
-    def values(column: Column) -> Column:
-        return F.transform(F.array_sort(column), lambda pair: pair["v"])
 
-    rows = (
-        split.small.groupBy(*keys)
-        .agg(F.collect_list(item).alias("items"))
-        .select(*keys, F.lit(0).alias("part"), F.lit(1).alias("n_parts"), values(F.col("items")).alias("items"))
-    )
-    if split.large is None:
-        return rows
-    slices = max(2, ceil(2 * split.large_weight / limit))
-    sliced = (
-        split.large.repartitionByRange(slices, *keys, order)
-        .withColumn("_slice", F.spark_partition_id())
-        .groupBy(*keys, "_slice")
-        .agg(F.collect_list(item).alias("items"))
-        .withColumn("items", values(F.col("items")))
-    )
+def ordered_groups(df: DataFrame, keys: list[str], order: str, value: str, rows_per_part: int) -> DataFrame:
+    """Values of every key in order: (keys, part, n_parts, items), rows_per_part items in each part
+    but the last; items follow on from part to part."""
+    rows = df.select(*keys, F.col(order).alias("_order"), F.col(value).alias("_value"))
+    # Slices must not change between the two uses below.
+    sliced = cut_lineage(rows.repartitionByRange(*keys, "_order").withColumn("_slice", F.spark_partition_id()))
     by_key = Window.partitionBy(*keys)
-    parts = sliced.select(
-        *keys,
-        (F.row_number().over(by_key.orderBy("_slice")) - 1).alias("part"),
-        F.count(F.lit(1)).over(by_key).cast("int").alias("n_parts"),
-        "items",
+    before = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_slice", (F.sum("_n").over(by_key.orderBy("_slice")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(by_key).alias("_all"),
+    )
+    within = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy("_order"))
+    placed = sliced.withColumn("_at", within).join(before, [*keys, "_slice"]).withColumn("_at", F.col("_before") + F.col("_at") - 1)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_value"))), lambda x: x["_value"])
+    return placed.groupBy(*keys, F.floor(F.col("_at") / rows_per_part).cast("int").alias("part")).agg(
+        F.ceil(F.first("_all") / rows_per_part).cast("int").alias("n_parts"), items.alias("items")
     )
-    return rows.unionByName(parts)
 
 
 def boundary_of(df: DataFrame, n: int, key: Column, tie: str, digits: int = 20) -> tuple | None:

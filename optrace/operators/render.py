@@ -1,18 +1,16 @@
 """Rendering of snapshots as XML or as a drawn tree.
 
-Every entry becomes one text fragment with a sort key; that step is free of per-snapshot
-grouping, whatever a snapshot's size. Fragments are then put together per snapshot: one row
-each up to max_chars, consecutive parts beyond that."""
+A rendering is a table of text fragments with an order key, a row per tag or entry: it has this
+shape whatever a snapshot's size, and needs no grouping. Fragments concatenated in the order of
+(place, sort_key) are the document."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optrace import constants as K
 from optrace.functions import paths, text
-from optrace.operators.grouping import ordered_groups
 from optrace.operators.snapshot import KEY, parents, with_parent, with_visible_content
 
-DOCUMENT_CHARS = 32_000_000
 EMPTY_DOCUMENT = "<filesystem />"
 
 
@@ -36,10 +34,10 @@ def _attributes() -> Column:
     path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
     return F.concat(
         attribute("path", _escape_attribute(path)),
-        attribute("name", _escape_attribute(F.col("name"))),
-        attribute("mode", text.mode_to_octal(F.col("mode"))),
-        attribute("owner", _escape_attribute(F.col("owner"))),
-        attribute("group", _escape_attribute(F.col("group"))),
+        attribute("name", _escape_attribute(F.coalesce("name", F.lit("")))),
+        attribute("mode", F.coalesce(text.mode_to_octal(F.col("mode")), F.lit(""))),
+        attribute("owner", _escape_attribute(F.coalesce("owner", F.lit("")))),
+        attribute("group", _escape_attribute(F.coalesce("group", F.lit("")))),
         attribute("mtime", text.canonical_mtime(F.col("is_dir"))),
     )
 
@@ -48,8 +46,9 @@ def xml_fragments(
     entries: DataFrame, focus: DataFrame | None = None, limit: int = K.INLINE_BYTES,
     include_contents: bool = True,
 ) -> DataFrame:
-    """(snapshot_id, sort_key, text): an element per file, an opening and a closing tag per
-    populated directory. Concatenated in key order they form the document's inside.
+    """(snapshot_id, sort_key, path, kind, text): an element per file, an opening and a closing tag
+    per populated directory. Concatenated in key order they form the document's inside. Missing
+    attributes are empty.
 
     Files need no join, so bodies are not shuffled here; only directories look up whether
     they have children."""
@@ -58,14 +57,14 @@ def xml_fragments(
     body = F.when(F.col("content") == "", "<body />").otherwise(
         F.concat(F.lit("<body>"), _escape_text(F.col("content")), F.lit("</body>"))
     )
-    size = F.concat(F.lit(' size="'), F.col("size").cast("string"), F.lit('"'))
+    size = F.concat(F.lit(' size="'), F.coalesce(F.col("size"), F.lit(0)).cast("string"), F.lit('"'))
     head = F.concat(F.lit("<file"), _attributes(), size)
     file_text = F.when(
         F.col("body_shown") & F.col("content").isNotNull(),
         F.concat(head, F.lit(">"), body, F.lit("</file>")),
     ).otherwise(F.concat(head, F.lit(" />")))
     file_rows = files.select(
-        "snapshot_id", paths.document_key(path).alias("sort_key"),
+        "snapshot_id", paths.document_key(path).alias("sort_key"), "path", F.lit("file").alias("kind"),
         text.sanitize_text(file_text).alias("text"),
     )
 
@@ -76,71 +75,42 @@ def xml_fragments(
     tags = F.when(
         F.col("_full"),
         F.array(
-            F.struct(paths.document_key(path).alias("k"), F.concat(opening, F.lit(">")).alias("t")),
-            F.struct(paths.closing_key(path).alias("k"), F.lit("</directory>").alias("t")),
+            F.struct(paths.document_key(path).alias("k"), F.lit("open").alias("n"), F.concat(opening, F.lit(">")).alias("t")),
+            F.struct(paths.closing_key(path).alias("k"), F.lit("close").alias("n"), F.lit("</directory>").alias("t")),
         ),
     ).otherwise(
-        F.array(F.struct(paths.document_key(path).alias("k"), F.concat(opening, F.lit(" />")).alias("t")))
+        F.array(F.struct(paths.document_key(path).alias("k"), F.lit("empty").alias("n"), F.concat(opening, F.lit(" />")).alias("t")))
     )
-    dir_rows = dirs.select("snapshot_id", F.explode(tags).alias("tag")).select(
-        "snapshot_id", F.col("tag.k").alias("sort_key"), text.sanitize_text(F.col("tag.t")).alias("text")
+    dir_rows = dirs.select("snapshot_id", "path", F.explode(tags).alias("tag")).select(
+        "snapshot_id", F.col("tag.k").alias("sort_key"), "path", F.col("tag.n").alias("kind"), text.sanitize_text(F.col("tag.t")).alias("text")
     )
     return file_rows.unionByName(dir_rows)
 
 
-def _assemble(
-    fragments: DataFrame, separator: str, max_chars: int, weighed: DataFrame | None = None
-) -> DataFrame:
-    weight = F.char_length("text") + len(separator) if weighed is None else F.col("bound")
-    groups = ordered_groups(
-        fragments, ["snapshot_id"], "sort_key", "text", max_chars, weight, weighed
-    )
-    return groups.select(
-        "snapshot_id", "part", "n_parts", F.array_join("items", separator).alias("document")
-    )
-
-
-def xml_size_bounds(
-    entries: DataFrame, focus: DataFrame | None = None, limit: int = K.INLINE_BYTES,
-    include_contents: bool = True,
-) -> DataFrame:
-    """(snapshot_id, bound): at least the characters an entry adds to its document, from the
-    narrow columns alone. Escaping makes at most six characters of one, tags need 200."""
-    narrow = entries.drop("content")
-    shown = with_visible_content(narrow, focus, limit, include_contents)
-    names = F.char_length("path") + F.char_length("name") + F.char_length("owner") + F.char_length("group")
-    body = F.when(F.col("body_shown"), 6 * F.col("size")).otherwise(0)
-    return shown.select("snapshot_id", (6 * names + 200 + body).alias("bound"))
-
-
-def xml_documents(
-    fragments: DataFrame, max_chars: int = DOCUMENT_CHARS, bounds: DataFrame | None = None
-) -> DataFrame:
-    """(snapshot_id, part, document). The parts of a document concatenate to the whole."""
-    joined = _assemble(fragments, "", max_chars, bounds)
-    first = F.when(F.col("part") == 0, "<filesystem>").otherwise("")
-    last = F.when(F.col("part") == F.col("n_parts") - 1, "</filesystem>").otherwise("")
-    return joined.select("snapshot_id", "part", F.concat(first, F.col("document"), last).alias("document"))
-
-
 def render_xml(
     entries: DataFrame, focus: DataFrame | None = None, limit: int = K.INLINE_BYTES,
     include_contents: bool = True, snapshots: DataFrame | None = None,
-    max_chars: int = DOCUMENT_CHARS,
 ) -> DataFrame:
-    """XML document per snapshot. With a table of snapshots, those without entries give the
-    empty document."""
-    documents = xml_documents(
-        xml_fragments(entries, focus, limit, include_contents), max_chars,
-        xml_size_bounds(entries, focus, limit, include_contents),
-    )
-    if snapshots is None:
-        return documents
-    return (
-        snapshots.select("snapshot_id").distinct().join(documents, "snapshot_id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("document", F.coalesce("document", F.lit(EMPTY_DOCUMENT)))
+    """XML document per snapshot as rows (snapshot_id, place, sort_key, path, kind, text), its outer
+    tags among them. With a table of snapshots, those without entries give the empty document."""
+    inside = xml_fragments(entries, focus, limit, include_contents)
+    known = entries.select("snapshot_id").distinct()
+    no_key = F.lit(None).cast(inside.schema["sort_key"].dataType)
+
+    def outer(of: DataFrame, rows: list[tuple[int, str, str]]) -> DataFrame:
+        tag = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(t).alias("t")) for p, k, t in rows])
+        return of.select("snapshot_id", F.explode(tag).alias("o")).select(
+            "snapshot_id", F.col("o.p").alias("place"), no_key.alias("sort_key"), F.lit(None).cast("string").alias("path"),
+            F.col("o.k").alias("kind"), F.col("o.t").alias("text"),
+        )
+
+    out = inside.select("snapshot_id", F.lit(1).alias("place"), "sort_key", "path", "kind", "text").unionByName(
+        outer(known, [(0, "start", "<filesystem>"), (2, "end", "</filesystem>")])
     )
+    if snapshots is not None:
+        bare = snapshots.select("snapshot_id").distinct().join(known, "snapshot_id", "left_anti")
+        out = out.unionByName(outer(bare, [(0, "nothing", EMPTY_DOCUMENT)]))
+    return out
 
 
 def render_focused(entries: DataFrame, focus: DataFrame | None = None) -> DataFrame:
@@ -148,6 +118,11 @@ def render_focused(entries: DataFrame, focus: DataFrame | None = None) -> DataFr
     return render_xml(entries, focus, K.INLINE_BYTES)
 
 
+def order_text(sort_key: Column) -> Column:
+    """The order key as one text that sorts alike, for names without control characters."""
+    return F.array_join(F.transform(sort_key, lambda x: F.concat(F.when(x["rank"] == 0, "\x01").otherwise("\x02"), x["name"])), "")
+
+
 def _dir_prefixes(last_children: DataFrame) -> DataFrame:
     """Per populated directory: the bars its children are drawn behind, and the name of its
     last child."""
@@ -225,9 +200,7 @@ def tree_fragments(
 
 def render_tree(
     entries: DataFrame, focus: DataFrame | None = None, limit: int = K.TREE_INLINE_BYTES,
-    include_contents: bool = True, max_chars: int = DOCUMENT_CHARS,
+    include_contents: bool = True,
 ) -> DataFrame:
-    """(snapshot_id, part, document): drawn tree; parts are joined by a line feed."""
-    joined = _assemble(tree_fragments(entries, focus, limit, include_contents), "\n", max_chars)
-    document = F.when(F.col("n_parts") == 1, text.strip(F.col("document"))).otherwise(F.col("document"))
-    return joined.select("snapshot_id", "part", document.alias("document"))
+    """(snapshot_id, sort_key, text): the drawn tree; fragments are joined by a line feed."""
+    return tree_fragments(entries, focus, limit, include_contents)

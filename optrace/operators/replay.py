@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from types import SimpleNamespace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optrace.functions import paths, text
@@ -254,9 +254,9 @@ def _versions(initial: DataFrame, change_log: DataFrame) -> DataFrame:
     return start.unionByName(change_log)
 
 
-def replay(initial: DataFrame, ops: DataFrame, folded: DataFrame | None = None) -> DataFrame:
-    """Entries after the last operation of every session."""
-    log = changes(folded if folded is not None else fold(initial, ops))
+def replay(initial: DataFrame, ops: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Entries after the last operation of every session; rows of fold or folded, if at hand."""
+    log = changes(rows if rows is not None else folded(initial, ops))
     state = F.struct("deleted", *STATE_COLUMNS)
     latest = _versions(initial, log).groupBy("session", "path").agg(
         F.max_by(state, F.struct("seq", "step")).alias("state")
@@ -294,7 +294,7 @@ def transitions(initial: DataFrame, ops: DataFrame) -> DataFrame:
     """Per operation and touched path the entry before and after it, as structs:
     (session, seq, operation, path, before, after). Untouched paths are equal on both sides
     and are not repeated."""
-    log = fold(initial, ops, with_before=True).filter("kind = 'change'")
+    log = folded(initial, ops).filter("kind = 'change'")
     after = F.when(~F.col("deleted"), F.struct(*STATE_COLUMNS))
     # An operation may touch a path twice (a rename onto an existing file).
     return log.groupBy("session", "seq", "operation", "path").agg(
@@ -302,6 +302,111 @@ def transitions(initial: DataFrame, ops: DataFrame) -> DataFrame:
     )
 
 
+def plain_sessions(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations of sessions that only touch files, sessions that need fold()): the latter have
+    directory, rename or link operations, or writes whose bytes the log holds in part of a file."""
+    changing = prepared_ops(ops)
+    whole = F.coalesce("offset", F.lit(0)) == 0
+    needs_fold = F.col("operation").isin(TREE_OPS) | ((F.col("operation") == "write") & F.col("data").isNotNull() & ~whole)
+    refused = changing.filter(needs_fold).select("session").distinct()
+    return changing.join(refused, "session", "left_anti"), refused
+
+
+def fold_files(initial: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fold() by window functions, for sessions that only touch files: (rows as fold gives them,
+    sessions left to fold()). What an operation meets depends on its own path alone, so everything
+    is a running value over (session, path) in log order."""
+    changing, refused = plain_sessions(ops)
+    start = F.struct(*STATE_COLUMNS)
+    state = _initial_state(initial).join(refused, "session", "left_anti")
+    dirs = state.filter("is_dir").select("session", F.col("path").alias("_parent"), F.lit(True).alias("_has_parent"))
+    rows = changing.withColumn("_parent", F.coalesce(paths.parent(F.col("path")), F.lit("")))
+    rows = rows.join(dirs, ["session", "_parent"], "left").withColumn("_makes", F.coalesce("_has_parent", F.col("_parent") == "")).drop("_parent", "_has_parent")
+    touched = changing.select("session", "path").distinct()
+    begin = state.join(touched, ["session", "path"], "left_semi").select("session", "path", F.lit(-1).cast("bigint").alias("seq"), start.alias("start"))
+    rows = rows.unionByName(begin, allowMissingColumns=True)
+
+    op, path = F.col("operation"), Window.partitionBy("session", "path").orderBy("seq")
+    before = path.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = path.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_dir", F.coalesce(F.first(F.col("start.is_dir"), ignorenulls=True).over(so_far), F.lit(False)))
+    lives = F.when(F.col("start").isNotNull(), True).when((op == "create") & F.col("_makes"), True).when(op == "unlink", False)
+    rows = rows.withColumn("_there", F.col("_dir") | F.coalesce(F.last(lives, ignorenulls=True).over(before), F.lit(False)))
+    is_create, is_attribute = op == "create", op.isin("chmod", "chown")
+    reason = (
+        F.when(F.col("_dir") & op.isNotNull() & ~is_attribute, "is_directory")
+        .when(is_create & ~F.col("_makes"), "parent_missing")
+        .when(op.isNotNull() & ~is_create & ~F.col("_there"), "missing")
+    )
+    rows = rows.withColumn("reason", reason)
+    done = F.col("reason").isNull()
+    born = F.col("start").isNotNull() | (done & is_create & ~F.col("_there"))
+    rows = rows.withColumn("_life", F.count_if(born).over(so_far))
+    emptied = F.col("start").isNotNull() | (done & op.isin("create", "truncate"))
+    rows = rows.withColumn("_base", F.count_if(emptied).over(so_far))
+    life = Window.partitionBy("session", "path", "_life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    base = Window.partitionBy("session", "path", "_base").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(*cases: tuple[Column, Column]) -> Column:
+        value = F.when(F.lit(False), cases[0][1])
+        for when, then in cases:
+            value = value.when(done & when, then)
+        return F.last(value, ignorenulls=True).over(life)
+
+    new = is_create & ~F.col("_there")
+    begun = F.col("start").isNotNull()
+    given = lambda c: F.coalesce(F.col(c), F.lit("-1")) != "-1"
+    end = F.coalesce("offset", F.lit(0)) + F.coalesce("data_length", F.octet_length("data"), F.lit(0))
+    rows = rows.withColumns({
+        "mode": running((begun, F.col("start.mode")), (new, F.coalesce("mode", F.lit(transition.DEFAULT_FILE_MODE))), (op == "chmod", F.col("mode"))),
+        "owner": running((begun, F.col("start.owner")), (new, F.lit("root")), ((op == "chown") & given("uid"), F.col("uid"))),
+        "group": running((begun, F.col("start.group")), (new, F.lit("root")), ((op == "chown") & given("gid"), F.col("gid"))),
+        "mtime": running((begun, F.col("start.mtime")), (op.isin("create", "write", "truncate"), F.col("mtime"))),
+        "size": F.greatest(
+            F.first(F.when(begun, F.col("start.size")).when(op == "truncate", F.coalesce("length", F.lit(0))).otherwise(0)).over(base),
+            F.max(F.when(done & (op == "write"), end)).over(base),
+        ),
+    })
+    # Contents are known after an emptying, and after a write of a whole file whose bytes are logged.
+    before_size = F.lag("size").over(path)
+    full = (F.octet_length("data") == F.coalesce("data_length", F.octet_length("data"))) & (end >= F.coalesce(before_size, F.lit(0)))
+    content = (
+        F.when(begun, F.struct(F.col("start.content").alias("c")))
+        .when(done & is_create, F.struct(F.lit("").alias("c")))
+        .when(done & (op == "truncate"), F.struct(F.when(F.coalesce("length", F.lit(0)) == 0, "").alias("c")))
+        .when(done & (op == "write"), F.struct(F.when(full, F.col("data")).alias("c")))
+    )
+    rows = rows.withColumn("content", F.last(content, ignorenulls=True).over(life)["c"]).withColumn("is_dir", F.col("_dir"))
+    after = F.when(~(done & op.eqNullSafe("unlink")), F.struct(*STATE_COLUMNS))
+    rows = rows.withColumn("_after", F.when(F.col("_there") | done, after))
+    # The state before is that after the last operation that was done.
+    rows = rows.withColumn("before", F.last(F.when(done, F.struct(F.col("_after").alias("s"))), ignorenulls=True).over(before)["s"])
+    rows = rows.filter(op.isNotNull())
+    by_op = F.create_map(*[F.lit(x) for pair in transition.ERRNO.items() for x in pair])
+    errno = F.when(is_create & (F.col("reason") == "is_directory"), "EIO").otherwise(by_op[op])
+    none = {c: F.lit(None).cast(t) for c, t in zip(STATE_COLUMNS, ("boolean", "int", "string", "string", "double", "bigint", "string"))}
+    outcome = rows.select(
+        "session", "seq", "operation", F.lit("outcome").alias("kind"), F.lit(0).alias("step"), "path", "reason",
+        F.when(~done, errno).alias("errno"), F.lit(None).cast("boolean").alias("deleted"),
+        *[none[c].alias(c) for c in STATE_COLUMNS], F.lit(None).cast(rows.schema["before"].dataType).alias("before"),
+    )
+    change = rows.filter(done).select(
+        "session", "seq", "operation", F.lit("change").alias("kind"), F.lit(0).alias("step"), "path", "reason",
+        F.lit(None).cast("string").alias("errno"), F.col("_after").isNull().alias("deleted"),
+        *[F.col("_after")[c].alias(c) for c in STATE_COLUMNS], "before",
+    )
+    return outcome.unionByName(change), refused
+
+
+def folded(initial: DataFrame, ops: DataFrame) -> DataFrame:
+    """Rows of fold_files for the sessions that only touch files and of fold for the others."""
+    rows, refused = fold_files(initial, ops)
+    if refused.isEmpty():
+        return rows
+    rest = fold(initial.join(refused.withColumnRenamed("session", "snapshot_id"), "snapshot_id", "left_semi"), ops.join(refused, "session", "left_semi"), with_before=True)
+    return rows.unionByName(rest)
+
+
 def _attribute_ops(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     changing = prepared_ops(ops)
     tree_sessions = changing.filter(F.col("operation").isin(TREE_OPS)).select("session").distinct()

@@ -9,7 +9,7 @@ from optrace.operators.grouping import ordered_groups
 from optrace.schema import ATTRIBUTES
 
 KEY = ["snapshot_id", "path"]
-LISTING_NAMES = 200_000  # names held by one listing row; longer listings come in parts
+LISTING_NAMES = 1000  # names held by one listing row; listings come in parts of this many
 
 
 def with_parent(entries: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def listing_rows(entries: DataFrame) -> DataFrame:
 
 def _listing_json(names: Column, part: Column) -> Column:
     dotted = F.when(part == 0, paths.normalize_listing(names)).otherwise(names)
-    return F.to_json(dotted)
+    return text.escaped_json(F.to_json(dotted))
 
 
 def _listings(rows: DataFrame, names_per_row: int) -> DataFrame:
@@ -89,8 +89,7 @@ def list_directories(entries: DataFrame, names_per_row: int = LISTING_NAMES) ->
 
 
 def readdir(entries: DataFrame, requests: DataFrame, names_per_row: int = LISTING_NAMES) -> DataFrame:
-    """Requests with part and listing. Unknown paths and files list as two dots. A listing
-    beyond names_per_row names goes on in further parts."""
+    """Requests with part and listing, a row per part. Unknown paths and files list as two dots."""
     asked = requests.withColumn("_path", paths.normalize(F.col("path")))
     wanted = asked.select("snapshot_id", F.col("_path").alias("path")).distinct()
     found = _listings(listing_rows(entries).join(wanted, KEY, "left_semi"), names_per_row)

@@ -1,6 +1,6 @@
 """Operation logs: filters, the principal operation, distributions."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optrace import constants as K
@@ -35,7 +35,7 @@ def principal_op(ops: DataFrame) -> DataFrame:
     """Last operation of a session other than getattr and open, else its last operation.
     One aggregate; sessions without operations have no row."""
     is_main = ~F.col("operation").isin(K.MINOR_OPS)
-    order = F.struct(is_main, F.col("ts"), F.col("seq"))
+    order = F.struct(is_main, F.col("seq"))
     row = F.struct("seq", "operation", "path", "ts", "parameters")
     return ops.groupBy("session").agg(F.max_by(row, order).alias("op")).select("session", "op.*")
 
@@ -69,8 +69,7 @@ def check_distribution(
             counts.unionByName(names.withColumn("n", F.lit(0).cast("bigint")))
             .groupBy("operation").agg(F.sum("n").alias("n"))
         )
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    share = F.col("n") / total
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # over one row per name
     return (
         counts.withColumn("share", share)
         .withColumn("within", (F.col("share") > low) & (F.col("share") < high))

@@ -33,7 +33,12 @@ GEO_ASKED = f"""{GEO}, asked AS (SELECT path FROM geo UNION ALL SELECT path || '
 PLAIN_FLOAT = "CASE WHEN mtime = floor(mtime) THEN mtime::BIGINT || '.0' ELSE mtime::VARCHAR END"
 GETATTR = f"""'{{"mode": ' || mode || ', "size": ' || size || ', "type": "' || CASE WHEN is_dir THEN 'directory' ELSE 'file' END
   || '", "mtime": ' || {PLAIN_FLOAT} || ', "owner": "' || owner || '", "group": "' || grp || '"}}'"""
-NAMES_OF = """SELECT parent, to_json(list_concat(['.', '..'], list_sort(list(name)))) AS listing"""
+def _listings(names: str) -> str:
+    """Listings of names(parent, name) in parts of 1000 names."""
+    return f"""SELECT parent, part, to_json(list_concat(CASE WHEN part = 0 THEN ['.', '..'] ELSE [] END, list_sort(list(name))))::VARCHAR AS listing
+        FROM (SELECT parent, name, ((row_number() OVER (PARTITION BY parent ORDER BY name) - 1) // 1000)::INT AS part FROM {names} WHERE parent IS NOT NULL)
+        GROUP BY parent, part"""
+
 
 EVENTS = """ev AS (SELECT user_id::VARCHAR AS session, event_id AS seq,
     CASE event_type WHEN 'click' THEN 'write' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'create' WHEN 'signup' THEN 'chmod' ELSE 'unlink' END AS operation,
@@ -71,14 +76,16 @@ ESC = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 # Fragments of the documents per language; chr(1) sorts before every name character.
 XML = f"""files AS (SELECT lang AS snapshot_id, source || '/doc_' || doc_id || '.txt' AS path, 'doc_' || doc_id || '.txt' AS name, * FROM documents),
 frags AS (
-  SELECT snapshot_id, chr(1) || source || chr(1) || name AS k, '<file path="' || path || '" name="' || name || '" mode="644" owner="' || lang || '" group="' || source
+  SELECT snapshot_id, 1 AS place, chr(1) || source || chr(1) || name AS order_key, path, 'file' AS kind,
+    '<file path="' || path || '" name="' || name || '" mode="644" owner="' || lang || '" group="' || source
     || '" mtime="2025-01-01T00:00:01" size="' || strlen(text) || '"' || CASE WHEN strlen(text) <= 4000 OR {{focus}} THEN
-      CASE WHEN text = '' THEN '><body /></file>' ELSE '><body>' || {ESC.format(x='text')} || '</body></file>' END ELSE ' />' END AS t FROM files
-  UNION ALL SELECT DISTINCT lang, chr(1) || source, '<directory path="' || source || '" name="' || source || '" mode="755" owner="root" group="root" mtime="2025-01-01T00:00:00">' FROM documents
-  UNION ALL SELECT DISTINCT lang, chr(1) || source || chr(2), '</directory>' FROM documents
-  UNION ALL SELECT DISTINCT lang, '', '<directory path="/" name="/" mode="755" owner="root" group="root" mtime="2025-01-01T00:00:00">' FROM documents
-  UNION ALL SELECT DISTINCT lang, chr(3), '</directory>' FROM documents),
-xml AS (SELECT snapshot_id, '<filesystem>' || string_agg(t, '' ORDER BY k) || '</filesystem>' AS document FROM frags GROUP BY 1)"""
+      CASE WHEN text = '' THEN '><body /></file>' ELSE '><body>' || {ESC.format(x='text')} || '</body></file>' END ELSE ' />' END AS text FROM files
+  UNION ALL SELECT DISTINCT lang, 1, chr(1) || source, source, 'open', '<directory path="' || source || '" name="' || source || '" mode="755" owner="root" group="root" mtime="2025-01-01T00:00:00">' FROM documents
+  UNION ALL SELECT DISTINCT lang, 1, chr(1) || source || chr(2), source, 'close', '</directory>' FROM documents
+  UNION ALL SELECT DISTINCT lang, 1, '', '', 'open', '<directory path="/" name="/" mode="755" owner="root" group="root" mtime="2025-01-01T00:00:00">' FROM documents
+  UNION ALL SELECT DISTINCT lang, 1, chr(2), '', 'close', '</directory>' FROM documents
+  UNION ALL SELECT DISTINCT lang, 0, NULL, NULL, 'start', '<filesystem>' FROM documents
+  UNION ALL SELECT DISTINCT lang, 2, NULL, NULL, 'end', '</filesystem>' FROM documents)"""
 
 CHAT = """cp AS (SELECT u.conv_id || '-' || u.turn AS example_id,
   CASE (u.conv_id + u.turn // 2) % 4 WHEN 0 THEN '<R>' || chr(10) || 'readdir(''/conv/' || u.conv_id || ''')' || chr(10) || '---' || chr(10) || u.text
@@ -161,14 +168,14 @@ scored AS (SELECT *, {SIM} AS similarity, {_strip('predicted')} = {_strip('targe
 
 ORACLES = {
     "list_directories": f"""WITH e AS (SELECT name, parent FROM ({DOC_FILES}) UNION ALL SELECT name, parent FROM ({DOC_DIRS}))
-        SELECT parent AS path, 0 AS part, listing FROM ({NAMES_OF} FROM e WHERE parent IS NOT NULL GROUP BY parent)""",
+        SELECT parent AS path, part, listing FROM ({_listings('e')})""",
     "wide_listing_parts": f"""WITH {GEO}, n AS (SELECT parent AS path, name FROM geo WHERE parent IS NOT NULL UNION ALL
         SELECT DISTINCT parent, d FROM geo, (SELECT unnest(['.', '..']) AS d) WHERE parent IS NOT NULL)
         SELECT path, count(*) AS n, min(name) AS first, max(name) AS last FROM n GROUP BY path""",
     "listing_requests": f"""WITH e AS (SELECT name, parent FROM ({DOC_FILES}) UNION ALL SELECT name, parent FROM ({DOC_DIRS})),
-        l AS ({NAMES_OF} FROM e WHERE parent IS NOT NULL GROUP BY parent),
+        l AS ({_listings('e')}),
         q AS (SELECT doc_id, lang || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/' || source END || CASE WHEN doc_id % 7 = 0 THEN '/none' ELSE '' END AS p FROM documents)
-        SELECT doc_id, '/' || p AS path, coalesce(listing, '[".",".."]') AS listing FROM q LEFT JOIN l ON p = parent""",
+        SELECT doc_id, '/' || p AS path, coalesce(part, 0) AS part, coalesce(listing, '[".",".."]') AS listing FROM q LEFT JOIN l ON p = parent""",
     "entry_attributes": f"""WITH {GEO_ASKED} SELECT path, CASE WHEN name IS NULL THEN 'ERROR: No such file or directory' ELSE {GETATTR} END AS attributes
         FROM asked LEFT JOIN geo USING (path)""",
     "point_lookups": f"WITH {GEO_ASKED} SELECT path, name, is_dir, mode, size FROM asked LEFT JOIN geo USING (path)",
@@ -176,12 +183,12 @@ ORACLES = {
         UNION ALL SELECT path || '/none', 'ERROR: No such file or directory' FROM ({DOC_DIRS})""",
     "file_ranges": f"""SELECT path, substr(hex(encode(text)), 7, 80) AS bytes FROM ({DOC_FILES}) UNION ALL SELECT path, NULL FROM ({DOC_DIRS})
         UNION ALL SELECT path || '/none', NULL FROM ({DOC_DIRS})""",
-    "answered_queries": f"""WITH {GEO_ASKED}, l AS ({NAMES_OF} FROM geo WHERE parent IS NOT NULL GROUP BY parent),
+    "answered_queries": f"""WITH {GEO_ASKED}, l AS ({_listings('geo')}),
         r AS (SELECT path, ['getattr', 'readdir', 'read', 'statfs'][length(path) % 4 + 1] AS operation FROM asked)
-        SELECT r.path, operation, CASE operation WHEN 'readdir' THEN coalesce(listing::VARCHAR, '[".",".."]') WHEN 'statfs' THEN 'out ' || r.path
+        SELECT r.path, operation, CASE WHEN operation = 'readdir' THEN coalesce(part, 0) ELSE 0 END AS part, CASE operation WHEN 'readdir' THEN coalesce(listing::VARCHAR, '[".",".."]') WHEN 'statfs' THEN 'out ' || r.path
           WHEN 'getattr' THEN CASE WHEN name IS NULL THEN 'ERROR: No such file or directory' ELSE {GETATTR} END
           ELSE CASE WHEN name IS NULL THEN 'ERROR: No such file or directory' WHEN is_dir THEN 'ERROR: Is a directory' ELSE 'ERROR: Cannot read file ' || r.path END END AS answer
-        FROM r LEFT JOIN geo ON r.path = geo.path LEFT JOIN l ON r.path = l.parent""",
+        FROM r LEFT JOIN geo ON r.path = geo.path LEFT JOIN l ON r.path = l.parent AND operation = 'readdir'""",
     "content_volume": "SELECT lang AS snapshot_id, sum(length(text))::BIGINT AS total_chars FROM documents GROUP BY 1",
     "coverage": """WITH d AS (SELECT lang, source, count_if(NOT (lang = 'fr' AND source = 'src1')) AS n FROM documents GROUP BY ALL)
         SELECT lang AS snapshot_id, bool_or(n = 0) AS has_empty_dir, bool_or(n > 0) AS has_populated_dir, sum(n)::BIGINT AS n_files,
@@ -200,27 +207,30 @@ ORACLES = {
           arg_min(path, sha256('7|file|' || s || '|' || path)) FILTER (NOT d) AS file, arg_min(path, sha256('7|file16|' || s || '|' || path)) FILTER (NOT d AND size >= 16) AS file16,
           arg_min(path, sha256('7|dir|' || s || '|' || path)) FILTER (d) AS dir, arg_min(path, sha256('7|parent_dir|' || s || '|' || path)) FILTER (d) AS parent_dir,
           NULL::VARCHAR AS empty_dir FROM e GROUP BY 1""",
-    "render_xml": f"WITH {XML.format(focus='false')} SELECT snapshot_id, document FROM xml",
-    "render_focused": f"WITH {XML.format(focus='doc_id % 10 = 7')} SELECT snapshot_id, sha256(document) AS digest, length(document)::INT AS n_chars FROM xml",
-    "render_xml_parts": f"WITH {XML.format(focus='false')} SELECT snapshot_id, sha256(document) AS digest FROM xml",
+    "render_xml": f"WITH {XML.format(focus='false')} SELECT * FROM frags",
+    "render_focused": f"""WITH {XML.format(focus='doc_id % 10 = 7')}
+        SELECT snapshot_id, place, order_key, path, kind, sha256(text) AS digest, length(text)::INT AS n_chars FROM frags""",
+    "render_xml_parts": f"""WITH {XML.format(focus='false')},
+        placed AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY order_key) - 1 AS pos, count(*) OVER (PARTITION BY snapshot_id) AS n FROM frags WHERE place = 1)
+        SELECT snapshot_id, (pos // 500)::INT AS part, ((max(n) + 499) // 500)::INT AS n_parts, sha256(string_agg(text, '' ORDER BY pos)) AS digest FROM placed GROUP BY 1, 2""",
     "render_tree": f"""WITH f AS (SELECT lang AS s, source, 'doc_' || doc_id || '.txt' AS name, doc_id, text, strlen(text) AS size,
           source = max(source) OVER (PARTITION BY lang) AS dl, 'doc_' || doc_id || '.txt' = max('doc_' || doc_id || '.txt') OVER (PARTITION BY lang, source) AS fl FROM documents),
         g AS (SELECT *, CASE WHEN dl THEN '    ' ELSE '│   ' END AS pre, CASE WHEN fl THEN '    ' ELSE '│   ' END AS bar,
           CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.2f KB', size / 1024.0) END AS sz, string_split(text, chr(10)) AS parts FROM f),
         h AS (SELECT s, source, name, pre || CASE WHEN fl THEN '└── ' ELSE '├── ' END || name AS np, pre || bar || '    │ ' AS m, * EXCLUDE (s, source, name) FROM g),
-        frag AS (SELECT s, source || chr(1) || name AS k, CASE WHEN length(np) >= 32 THEN np ELSE rpad(np, 32, ' ') END || ' file 644 ' || s || ':' || source || ' '
+        frag AS (SELECT s, chr(1) || source || chr(2) || name AS k, CASE WHEN length(np) >= 32 THEN np ELSE rpad(np, 32, ' ') END || ' file 644 ' || s || ':' || source || ' '
             || strftime(make_timestamp(((1700000000.0 + doc_id * 0.25) * 1000000)::BIGINT), '%b %d %H:%M') || ' ' || sz
             || CASE WHEN size <= 300 THEN chr(10) || m || '<file_body path="' || source || '/' || name || '">' || chr(10)
               || coalesce(array_to_string(list_transform(CASE WHEN len(parts) = 1 THEN parts ELSE list_filter(parts, lambda x: x <> '') END, lambda x: m || x), chr(10)) || chr(10), '') || m || '</file_body>' ELSE '' END AS t FROM h
-          UNION ALL SELECT DISTINCT s, source, rpad(CASE WHEN dl THEN '└── ' ELSE '├── ' END || source, 32, ' ') || ' dir  755 root:root Nov 14 22:13' FROM g
+          UNION ALL SELECT DISTINCT s, chr(1) || source, rpad(CASE WHEN dl THEN '└── ' ELSE '├── ' END || source, 32, ' ') || ' dir  755 root:root Nov 14 22:13' FROM g
           UNION ALL SELECT DISTINCT s, '', '/' || repeat(' ', 15) || ' dir  755 root:root Nov 14 22:13' FROM g)
-        SELECT s AS snapshot_id, {_strip("string_agg(t, chr(10) ORDER BY k)")} AS document FROM frag GROUP BY 1""",
+        SELECT s AS snapshot_id, k AS order_key, t AS text FROM frag""",
     "xml_round_trip": """SELECT lang AS snapshot_id, source || '/doc_' || doc_id || '.txt' AS path, 'doc_' || doc_id || '.txt' AS name, false AS is_dir, 420 AS mode, lang AS owner, source AS "group",
-          1735689601.0::DOUBLE AS mtime, strlen(text) AS size, CASE WHEN strlen(text) <= 4000 THEN text ELSE '' END AS content FROM documents
-        UNION ALL SELECT DISTINCT lang, source, source, true, 493, 'root', 'root', 1735689600.0, 0, NULL FROM documents
-        UNION ALL SELECT DISTINCT lang, '', '/', true, 493, 'root', 'root', 1735689600.0, 0, NULL FROM documents""",
+          1735689601.0::DOUBLE AS mtime, strlen(text) AS size, CASE WHEN strlen(text) <= 4000 THEN text ELSE '' END AS content, NULL AS reason FROM documents
+        UNION ALL SELECT DISTINCT lang, source, source, true, 493, 'root', 'root', 1735689600.0, 0, NULL, NULL FROM documents
+        UNION ALL SELECT DISTINCT lang, '', '/', true, 493, 'root', 'root', 1735689600.0, 0, NULL, NULL FROM documents""",
     "principal_ops": f"""WITH {EVENTS}, o AS (SELECT *, operation <> 'unlink' AS main, CASE WHEN operation = 'unlink' THEN 'getattr' ELSE operation END AS op FROM ev)
-        SELECT session, seq, op AS operation, '/' || path AS path FROM o QUALIFY row_number() OVER (PARTITION BY session ORDER BY main DESC, ts DESC, seq DESC) = 1""",
+        SELECT session, seq, op AS operation, '/' || path AS path FROM o QUALIFY row_number() OVER (PARTITION BY session ORDER BY main DESC, seq DESC) = 1""",
     "op_distribution": f"WITH {EVENTS} SELECT operation, count(*) AS n, 'useful' AS class FROM ev GROUP BY 1",
     "live_counts": f"WITH {EVENTS} SELECT operation, count(*) AS n FROM ev GROUP BY 1",
     "op_share_bounds": f"""WITH {EVENTS}, c AS (SELECT operation, count(*) AS n FROM ev GROUP BY 1 UNION ALL SELECT 'mkdir', 0)
@@ -238,7 +248,8 @@ ORACLES = {
     "replay_fold": STATE_SQL,
     "replay_outcomes": f"""WITH {FILE_STATE} SELECT session, seq, operation, ok, CASE WHEN NOT ok THEN 'missing' END AS reason,
         CASE WHEN ok THEN NULL WHEN operation = 'write' THEN 'EIO' ELSE 'ENOENT' END AS errno FROM good""",
-    "session_histories": f"""WITH {EVENTS} SELECT session, 0 AS part, string_agg(operation || ' /' || path, '; ' ORDER BY ts, seq) AS history FROM ev GROUP BY 1""",
+    "session_histories": f"""WITH {EVENTS} SELECT session, part, string_agg(operation || ' /' || path, '; ' ORDER BY seq) AS history
+        FROM (SELECT *, ((row_number() OVER (PARTITION BY session ORDER BY seq) - 1) // 20)::INT AS part FROM ev) GROUP BY 1, 2""",
     "token_budget": "SELECT doc_id, length(text) // 4 AS tokens FROM documents WHERE (length(text) + length(source)) // 4 <= 800",
     "chat_rows": f"""WITH {CHAT} SELECT example_id, 'user' AS first_role, completion AS last_content, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
         || completion || '<|im_end|>' AS text FROM cp""",
@@ -269,8 +280,8 @@ ORACLES = {
     "path_parts": f"""SELECT path, name, parent, 3 AS depth, 'txt' AS extension, path AS normal, false AS below_en FROM ({DOC_FILES})
         UNION ALL SELECT path, name, parent, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END, '', path, coalesce(parent = 'en', false) FROM ({DOC_DIRS})""",
     "operation_classes": f"WITH {EVENTS} SELECT CASE WHEN operation = 'read' THEN 'query' ELSE 'state_change' END AS kind, 'useful' AS class, count(*) AS n FROM ev GROUP BY 1",
-    "normalized_listings": r"""SELECT doc_id, to_json(list_concat(['.', '..'], list_sort(list_filter(list_distinct(regexp_split_to_array(left(text, 200), '[\s\x{0b}]+')), lambda x: x NOT IN ('.', '..'))))) AS listing FROM documents""",
-    "unwrapped_results": f"""WITH h AS (SELECT doc_id, left(text, 300) AS h FROM documents),
+    "normalized_listings": r"""SELECT doc_id, to_json(list_concat(['.', '..'], list_sort(list_filter(list_distinct(regexp_split_to_array(text, '[\s\x{0b}]+')), lambda x: x NOT IN ('.', '..'))))) AS listing FROM documents""",
+    "unwrapped_results": f"""WITH h AS (SELECT doc_id, text AS h FROM documents),
         l AS (SELECT doc_id, h, list_filter(list_transform(string_split(h, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS parts, {_strip("string_split(h, chr(10))[1]")} AS one FROM h)
         SELECT doc_id, {_strip('h')} AS result, {_strip("'a:b' || chr(10) || 'The result is 5' || chr(10) || one || CASE WHEN len(string_split(h, chr(10))) > 1 THEN chr(10) || coalesce(array_to_string(list_filter(list_transform(string_split(h, chr(10))[2:], lambda x: " + _strip('x') + "), lambda x: x <> ''), chr(10)), '') ELSE '' END")} AS lines FROM l""",
     "clean_predictions": f"WITH {PRED} SELECT example_id, {_clamped('bare', 'expected')} AS predicted FROM pred",

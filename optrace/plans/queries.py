@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from optrace.functions import cleaning, names, paths, prompts, sampling, text
 from optrace.operators import compress, dataset, render, replay, scoring, snapshot, synth, trace
+from optrace.operators.grouping import ordered_groups
 from optrace.operators.infer import predict
 from optrace.plans import views
 from optrace.session import scratch_folder
@@ -52,7 +53,7 @@ def listing_requests(spark, sf):
         F.concat(F.lit("/"), "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(
             F.concat(F.lit("/"), "source")), F.when(F.col("doc_id") % 7 == 0, "/none").otherwise("")).alias("path"),
     )
-    return snapshot.readdir(entries, requests).select("doc_id", "path", "listing")
+    return snapshot.readdir(entries, requests).select("doc_id", "path", "part", "listing")
 
 
 def _entry_requests(entries):
@@ -91,7 +92,7 @@ def answered_queries(spark, sf):
     entries = views.geo_entries(spark, sf)
     op = F.element_at(F.array(*[F.lit(x) for x in ("getattr", "readdir", "read", "statfs")]), (F.char_length("path") % 4 + 1))
     requests = _entry_requests(entries).withColumn("operation", op).withColumn("output", F.concat(F.lit("out\x07 "), "path"))
-    return snapshot.answer_queries(entries, requests, "output").select("path", "operation", "answer")
+    return snapshot.answer_queries(entries, requests, "output").select("path", "operation", "part", "answer")
 
 
 @query
@@ -143,36 +144,43 @@ def candidate_picks(spark, sf):
     return snapshot.candidates(views.doc_snapshots(spark, sf), SEED)
 
 
+def _fragments(rendered, *more):
+    return rendered.select("snapshot_id", "place", render.order_text(F.col("sort_key")).alias("order_key"), "path", "kind", *more)
+
+
 @query
 def render_xml(spark, sf):
-    return render.render_xml(views.doc_snapshots(spark, sf)).select("snapshot_id", "document")
+    return _fragments(render.render_xml(views.doc_snapshots(spark, sf)), "text")
 
 
 @query
 def render_focused(spark, sf):
     entries = views.doc_snapshots(spark, sf)
     focus = entries.filter("NOT is_dir AND name LIKE '%7.txt'")
-    return render.render_focused(entries, focus).select("snapshot_id", F.sha2("document", 256).alias("digest"), F.char_length("document").alias("n_chars"))
+    return _fragments(render.render_focused(entries, focus), F.sha2("text", 256).alias("digest"), F.char_length("text").alias("n_chars"))
 
 
 @query
 def render_xml_parts(spark, sf):
-    """The same documents in parts, joined again: cutting loses nothing."""
-    parts = render.render_xml(views.doc_snapshots(spark, sf), max_chars=200_000)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "document"))), lambda p: p["document"]), "")
-    return parts.groupBy("snapshot_id").agg(F.sha2(whole, 256).alias("digest"))
+    """The inside of the documents in parts of 500 fragments."""
+    inside = render.xml_fragments(views.doc_snapshots(spark, sf))
+    parts = ordered_groups(inside, ["snapshot_id"], "sort_key", "text", 500)
+    return parts.select("snapshot_id", "part", "n_parts", F.sha2(F.array_join("items", ""), 256).alias("digest"))
 
 
 @query
 def render_tree(spark, sf):
-    return render.render_tree(views.doc_snapshots(spark, sf), limit=300).select("snapshot_id", "document")
+    drawn = render.render_tree(views.doc_snapshots(spark, sf), limit=300)
+    return drawn.select("snapshot_id", render.order_text(F.col("sort_key")).alias("order_key"), "text")
 
 
 @query
 def xml_round_trip(spark, sf):
-    documents = render.render_xml(views.doc_snapshots(spark, sf))
-    entries, _ = files.entries_from_xml(documents, "snapshot_id")
-    return entries.select("snapshot_id", "path", "name", "is_dir", "mode", "owner", "group", "mtime", "size", "content")
+    entries, rejects = files.entries_from_fragments(render.render_xml(views.doc_snapshots(spark, sf)))
+    columns = ["snapshot_id", "path", "name", "is_dir", "mode", "owner", "group", "mtime", "size", "content"]
+    return entries.select(*columns, F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select("snapshot_id", "path", "reason"), allowMissingColumns=True
+    )
 
 
 # Traces ------------------------------------------------------------------------------------
@@ -246,8 +254,8 @@ def replay_fold(spark, sf):
 
 @query
 def replay_outcomes(spark, sf):
-    folded = replay.fold(views.event_initial(spark, sf), views.event_ops(spark, sf))
-    return replay.outcomes(folded).select("session", "seq", "operation", "ok", "reason", "errno")
+    rows = replay.folded(views.event_initial(spark, sf), views.event_ops(spark, sf))
+    return replay.outcomes(rows).select("session", "seq", "operation", "ok", "reason", "errno")
 
 
 @query
@@ -269,7 +277,7 @@ def transition_log(spark, sf):
 @query
 def state_before_and_after(spark, sf):
     initial, ops = views.event_initial(spark, sf), views.event_ops(spark, sf)
-    log = replay.changes(replay.fold(initial, ops))
+    log = replay.changes(replay.folded(initial, ops))
     around = replay.state_around(initial, log, trace.principal_op(ops))
     return around.groupBy("snapshot_id", "side").agg(
         F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"), F.sum("mode").alias("modes")
@@ -292,7 +300,7 @@ def pairs(spark, sf):
 
 @query
 def session_histories(spark, sf):
-    rows = dataset.session_operations(views.event_ops(spark, sf))
+    rows = dataset.session_operations(views.event_ops(spark, sf), ops_per_row=20)
     return rows.select(
         "session", "part",
         F.array_join(F.transform("fuse_operations", lambda o: F.concat_ws(" ", o["operation"], o["path"])), "; ").alias("history"),
@@ -441,13 +449,13 @@ def operation_classes(spark, sf):
 
 @query
 def normalized_listings(spark, sf):
-    words = F.split(F.left("text", F.lit(200)), r"\s+")
+    words = F.split("text", r"\s+")
     return _docs(spark, sf).select("doc_id", F.to_json(paths.normalize_listing(F.concat(words, F.array(F.lit(".."))))).alias("listing"))
 
 
 @query
 def unwrapped_results(spark, sf):
-    head = F.left("text", F.lit(300))
+    head = F.col("text")
     tagged = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x <result> "), head, F.lit("\n<END_FS> </result> y"))).when(
         F.col("doc_id") % 3 == 1, F.concat(head, F.lit(" <END_FS>\n"))).otherwise(head)
     answer = F.concat(F.lit("Result: a:b \n\n  The result is 5\nOutput:"), head)

@@ -34,17 +34,34 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session, ship the package, return the session."""
+    """Apply the runtime settings that the session's owner has not set, ship the package, return
+    the session."""
+    own = spark.conf.getAll
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     ship_package(spark)
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one for local sessions without it."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _local_root:
+        _local_root.append(tempfile.mkdtemp(prefix="optrace-shared-"))
+    return _local_root[0]
+
+
+_local_root: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that every worker can reach: below spark.checkpoint.dir where that is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="optrace-")
-    return f"{configured.rstrip('/')}/{name}-{uuid4().hex}"
+    """A new folder that every worker can reach."""
+    return f"{shared_root(spark)}/{name}-{uuid4().hex}"
 
 
 def local_session(app: str = "optrace", cpus: str = "8", partitions: str = "8") -> SparkSession:
@@ -67,6 +84,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="optrace-checkpoint-"))
+        context.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)

@@ -1,7 +1,13 @@
 """Scans and sinks."""
 
+import grp
+import os
+import pwd
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from optrace import constants as K
 from optrace.functions import paths, text
 from optrace.operators.trace import filter_ops
 from optrace.schema import ENTRY_COLUMNS, LOG_LINE, OPS, PAIR_LINE
+from optrace.session import cut_lineage, ship_package
 
 
 def _present(spark: SparkSession, path: str) -> bool:
@@ -50,13 +57,12 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def load_validated(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of JSON lines: rows with both fields, and the others with a reason."""
-    parsed = lines.withColumn("_keys", F.json_object_keys(F.trim(F.col(column)))).withColumn(
-        "_pair", F.from_json(column, PAIR_LINE)
-    )
+    keys = F.json_object_keys(F.trim(F.col(column)))
+    pair = F.from_json(column, f"{PAIR_LINE}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    parsed = lines.withColumn("_keys", keys).withColumn("_pair", pair)
     has_both = F.array_contains("_keys", "prompt") & F.array_contains("_keys", "completion")
-    reason = F.when(F.try_parse_json(column).isNull(), "Invalid JSON").when(
-        ~F.coalesce(has_both, F.lit(False)), "Missing field"
-    )
+    broken = F.col("_pair").isNull() | F.col("_pair._broken").isNotNull()
+    reason = F.when(broken, "Invalid JSON").when(~F.coalesce(has_both, F.lit(False)), "Missing field")
     judged = parsed.withColumn("reason", reason)
     good = judged.filter("reason IS NULL").select("_pair.prompt", "_pair.completion")
     return good, judged.filter("reason IS NOT NULL").select(*lines.columns, "reason")
@@ -66,45 +72,73 @@ def read_validated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return load_validated(spark.read.text(path))
 
 
-def scan_tree(
-    spark: SparkSession, root: str, snapshot_id: str = "scan", content_limit: int = K.INLINE_BYTES,
-    owner: str = "root", group: str = "root",
-) -> DataFrame:
-    """Entries of a directory tree. Files up to content_limit bytes are read, larger ones are
-    listed only. The scan sees no owners, modes or empty directories; those get defaults.
-    Bytes that are no UTF-8 leave the content NULL."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    listed = reader.load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    absolute = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    skip = len("/" + absolute.split(":", 1)[-1].strip("/")) + 2
-    relative = F.substring(plain, F.lit(skip), F.char_length(plain))
-    seconds = F.unix_micros("modificationTime") / F.lit(1e6)
-
-    small = listed.filter(F.col("length") <= content_limit)
-    large = listed.filter(F.col("length") > content_limit)
-    content = F.try_validate_utf8(F.col("content").cast("string"))
-
-    def files(df: DataFrame, body: Column) -> DataFrame:
-        return df.select(
-            relative.alias("path"), F.lit(False).alias("is_dir"), seconds.alias("mtime"),
-            F.col("length").alias("size"), body.alias("content"),
-        )
-
-    found = files(small, content).unionByName(files(large, F.lit(None).cast("string")))
-    above = F.coalesce(paths.parent(F.col("path")), F.lit(""))
-    # The newest file below a directory stands in for its time.
-    dirs = (
-        listed.select(relative.alias("path"), seconds.alias("mtime"))
-        .select(F.explode(F.concat(F.array(F.lit("")), paths.ancestors(above))).alias("path"), "mtime")
-        .groupBy("path").agg(F.max("mtime").alias("mtime"))
-        .select("path", F.lit(True).alias("is_dir"), "mtime", F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("content"))
-    )
-    return found.unionByName(dirs).select(
-        F.lit(snapshot_id).alias("snapshot_id"), "path", paths.name(F.col("path")).alias("name"), "is_dir",
-        F.when(F.col("is_dir"), 0o755).otherwise(0o644).alias("mode"), F.lit(owner).alias("owner"),
-        F.lit(group).alias("group"), "mtime", "size", "content",
+TREE_ROWS = "path string, is_dir boolean, mode int, owner string, `group` string, mtime double, size bigint, content string"
+
+
+def _owner(number: int, table) -> str:
+    try:
+        return table(number)[0]
+    except KeyError:
+        return str(number)
+
+
+def _listed(root: str, content_limit: int | None):
+    """Lists the folders of a batch with PyArrow's file systems. Times and sizes come from there;
+    mode and owner from the operating system where the tree is local."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        local = isinstance(store, fs.LocalFileSystem)
+
+        def row(path: str, info: fs.FileInfo) -> dict:
+            is_dir = info.type == fs.FileType.Directory and not (local and path and os.path.islink(info.path))
+            mode, owner, group = (0o755 if is_dir else 0o644), "root", "root"
+            if local:
+                found = os.lstat(info.path)
+                mode, owner, group = found.st_mode & 0o7777, _owner(found.st_uid, pwd.getpwuid), _owner(found.st_gid, grp.getgrgid)
+            content = None
+            if info.type == fs.FileType.File and (content_limit is None or info.size <= content_limit):
+                with store.open_input_stream(info.path) as stream:
+                    try:
+                        content = stream.read().decode("utf-8")
+                    except UnicodeDecodeError:
+                        content = None
+            return {"path": path, "is_dir": is_dir, "mode": mode, "owner": owner, "group": group,
+                    "mtime": (info.mtime_ns or 0) / 1e9, "size": 0 if is_dir else info.size or 0, "content": content}
+
+        names = ["path", "is_dir", "mode", "owner", "group", "mtime", "size", "content"]
+        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string()]
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                if folder is None:
+                    found = [row("", store.get_file_info(base))]
+                else:
+                    inside = store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}" if folder else base))
+                    found = [row(f"{folder}/{x.base_name}".lstrip("/"), x) for x in inside]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in zip(names, kinds)], names)
+
+    return run
+
+
+def scan_tree(spark: SparkSession, root: str, snapshot_id: str = "scan", content_limit: int | None = None) -> DataFrame:
+    """Entries of a directory tree, listed level by level on the workers, which must all reach it: dot
+    files and empty directories too, links not followed. All files are read, or those up to
+    content_limit bytes; bytes that are no UTF-8 leave the content NULL."""
+    ship_package(spark)
+    run = _listed(root, content_limit)
+    level = cut_lineage(spark.createDataFrame([(None,)], "path string").mapInArrow(run, TREE_ROWS))
+    found = level
+    while True:
+        folders = level.filter("is_dir").select("path")
+        count = folders.count()
+        if not count:
+            break
+        spread = folders.repartition(min(count, 4 * spark.sparkContext.defaultParallelism))
+        level = cut_lineage(spread.mapInArrow(run, TREE_ROWS))
+        found = found.unionByName(level)
+    return found.select(
+        F.lit(snapshot_id).alias("snapshot_id"), "path", paths.name(F.col("path")).alias("name"), "is_dir", "mode", "owner", "group",
+        "mtime", "size", "content",
     )
 
 
@@ -118,52 +152,70 @@ def _entry_of(tag_is_dir: Column, attribute, body: Column, default_mtime: Column
         F.coalesce(attribute("owner"), F.lit("root")).alias("owner"),
         F.coalesce(attribute("group"), F.lit("root")).alias("group"),
         text.parse_mtime(attribute("mtime"), default_mtime).alias("mtime"),
-        F.when(tag_is_dir, 0).otherwise(F.coalesce(attribute("size"), F.lit("0"))).cast("bigint").alias("size"),
+        F.when(tag_is_dir, F.lit(0).cast("bigint")).otherwise(F.coalesce(attribute("size").try_cast("bigint"), F.lit(0))).alias("size"),
         F.when(~tag_is_dir, F.coalesce(body, F.lit(""))).alias("content"),
     ]
 
 
-def _unescape(c: Column) -> Column:
-    for shown, raw in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-        ("&#13;", "\r"), ("&#10;", "\n"), ("&#09;", "\t"), ("&#9;", "\t"), ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(shown), F.lit(raw))
-    return c
+XML_ATTRIBUTES = ["path", "name", "mode", "owner", "group", "mtime", "size"]
+XML_ELEMENT = ", ".join(f"`_{a}` string" for a in XML_ATTRIBUTES) + ", body string, _broken string"
+XML_OPTIONS = {
+    "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreSurroundingSpaces": "false", "nullValue": "\x00",
+}
+
 
+def _elements(rows: DataFrame, element: Column, is_dir: Column, default_mtime: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects) of one tag or element a row, read by Spark's XML parser; rows keep their
+    snapshot_id. Rejected are elements that are not well formed or have a size that is no number."""
+    read = rows.withColumn("_e", F.from_xml(element, XML_ELEMENT, XML_OPTIONS)).withColumn("_dir", is_dir)
+    size = F.col("_e._size")
+    reason = F.when(F.col("_e").isNull() | F.col("_e._broken").isNotNull(), "Broken element").when(
+        ~F.col("_dir") & size.isNotNull() & F.expr("try_cast(_e._size AS bigint)").isNull(), "Size is no number"
+    )
+    judged = read.withColumn("reason", reason)
+    entries = judged.filter("reason IS NULL").select(
+        "snapshot_id", *_entry_of(F.col("_dir"), lambda a: F.col(f"_e._{a}"), F.col("_e.body"), default_mtime)
+    )
+    rejects = judged.filter("reason IS NOT NULL").select("snapshot_id", F.col("_e._path").alias("path"), "reason")
+    return entries.select(ENTRY_COLUMNS), rejects
 
-def _tag_attribute(tag: Column):
-    def attribute(name: str) -> Column:
-        pattern = rf'\s{name}\s*=\s*"([^"]*)"'
-        return F.when(tag.rlike(pattern), _unescape(F.regexp_extract(tag, pattern, 1)))
 
-    return attribute
+def entries_from_fragments(fragments: DataFrame, default_mtime: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects) of a rendering's fragments (snapshot_id, kind, text)."""
+    tags = fragments.filter(F.col("kind").isin("file", "open", "empty"))
+    text_ = F.when(F.col("kind") == "open", F.concat("text", F.lit("</directory>"))).otherwise(F.col("text"))
+    return _elements(tags.select("snapshot_id", "kind", text_.alias("text")), F.col("text"), F.col("kind") != "file", F.lit(default_mtime))
 
 
-ELEMENT = r'<(?:directory|file)(?:\s+[\w:.-]+\s*=\s*"[^"]*")*\s*/?>(?:\s*<body>[^<]*</body>)?'
+QUOTED = r"""(?:"[^"]*"|'[^']*')"""
+ELEMENT = (
+    rf"<(?:directory|file)(?:\s+[\w:.-]+\s*=\s*{QUOTED})*\s*"
+    r"(?:/>|>(?:\s*<body\s*/>|\s*<body>(?:[^<]|<!\[CDATA\[(?s:.*?)\]\]>)*</body>)?(?:\s*</file>)?)"
+)
 
 
 def entries_from_xml(
     documents: DataFrame, id_column: str, xml: str = "document", default_mtime: float = 0.0
 ) -> tuple[DataFrame, DataFrame]:
-    """(entries, rejects) of XML documents held in a column. Every element carries its full
-    path, so nesting need not be followed. Rejected are documents with another root element or
-    without its end tag."""
+    """(entries, rejects) of XML documents held in a column; a blank document has no entries. Every
+    element carries its full path, so nesting need not be followed. Rejected are documents that
+    are not well formed or have another root element, and elements as in _elements."""
     stripped = text.strip(F.col(xml))
     empty = F.coalesce(stripped, F.lit("")) == ""
-    whole = stripped.rlike(r"(?s)^(<\?xml[^>]*>\s*)?<filesystem(\s[^>]*)?(/>\z|>.*</filesystem>\z)")
-    judged = documents.withColumn("_ok", empty | whole)
+    broken = F.from_xml(stripped, "_any string, _broken string", XML_OPTIONS)["_broken"].isNotNull()
+    rooted = stripped.rlike(r"(?s)^(<\?xml[^>]*>\s*)?<filesystem(\s[^>]*)?(/>\z|>.*</filesystem>\z)")
+    judged = documents.select(F.col(id_column).cast("string").alias("snapshot_id"), stripped.alias("_xml"), (empty | (rooted & ~broken)).alias("_ok"))
     element = F.col("_element")
-    tag = F.regexp_extract(element, r"^<[^>]*>", 0)
-    body = _unescape(F.regexp_extract(element, r"(?s)<body>(.*)</body>\z", 1))
-    entries = (
-        judged.filter("_ok").select(
-            F.col(id_column).cast("string").alias("snapshot_id"),
-            F.explode(F.regexp_extract_all(stripped, F.lit(ELEMENT), 0)).alias("_element"),
-        ).select("snapshot_id", *_entry_of(element.startswith("<directory"), _tag_attribute(tag), body, F.lit(default_mtime)))
+    found = judged.filter("_ok").select("snapshot_id", F.explode(F.regexp_extract_all("_xml", F.lit(ELEMENT), 0)).alias("_element"))
+    is_dir = element.startswith("<directory")
+    closed = F.when(element.endswith("/>") | element.endswith("</file>"), element).when(
+        is_dir, F.concat(element, F.lit("</directory>"))
+    ).otherwise(F.concat(element, F.lit("</file>")))
+    entries, wrong = _elements(found, closed, is_dir, F.lit(default_mtime))
+    rejects = judged.filter("NOT _ok").select(
+        "snapshot_id", F.lit(None).cast("string").alias("path"), F.lit("Expected <filesystem> document").alias("reason")
     )
-    rejects = judged.filter(~F.col("_ok")).drop("_ok").withColumn("reason", F.lit("Expected <filesystem> document"))
-    return entries.select(ENTRY_COLUMNS), rejects
+    return entries, rejects.unionByName(wrong)
 
 
 def read_snapshots_xml(
@@ -172,30 +224,26 @@ def read_snapshots_xml(
     """(entries, rejects) of XML files, one snapshot per file, of any size: file elements come
     from the XML source, directory tags from a scan split at '>', so no task needs a whole
     document. Rejected are files without a <filesystem> element, and broken file elements."""
-    attributes = ["path", "name", "mode", "owner", "group", "mtime", "size"]
-    schema = ", ".join(f"`_{a}` string" for a in attributes) + ", body string, _broken string"
     elements = (
-        spark.read.format("xml").option("rowTag", "file").option("ignoreSurroundingSpaces", "false")
-        .option("nullValue", "\x00").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
-        .schema(schema).load(path)
+        spark.read.format("xml").option("rowTag", "file").options(**XML_OPTIONS).schema(XML_ELEMENT).load(path)
         .select("*", F.col("_metadata.file_path").alias("snapshot_id"))
+        .withColumn("_reason", F.when(F.col("_broken").isNotNull(), "Broken file element").when(
+            F.col("_size").isNotNull() & F.expr("try_cast(_size AS bigint)").isNull(), "Size is no number"))
     )
     tags = spark.read.option("lineSep", ">").text(path).select(
         F.col("_metadata.file_path").alias("snapshot_id"), text.strip(F.col("value")).alias("tag")
     )
     rooted = tags.filter(F.col("tag").rlike(r"^<filesystem(\s|/|$)")).select("snapshot_id").distinct()
     default = F.lit(default_mtime)
-    good_files = elements.filter("_broken IS NULL").select(
+    good_files = elements.filter("_reason IS NULL").select(
         "snapshot_id", *_entry_of(F.lit(False), lambda a: F.col(f"_{a}"), F.col("body"), default)
     )
-    dirs = tags.filter(F.col("tag").startswith("<directory")).select(
-        "snapshot_id", *_entry_of(F.lit(True), _tag_attribute(F.col("tag")), F.lit(None).cast("string"), default)
-    )
-    entries = good_files.unionByName(dirs).join(rooted, "snapshot_id", "left_semi")
+    whole = F.when(F.col("tag").endswith("/"), F.concat("tag", F.lit(">"))).otherwise(F.concat("tag", F.lit("></directory>")))
+    dirs, wrong_dirs = _elements(tags.filter(F.col("tag").startswith("<directory")), whole, F.lit(True), default)
+    entries = good_files.select(ENTRY_COLUMNS).unionByName(dirs).join(rooted, "snapshot_id", "left_semi")
     rejects = (
-        elements.filter("_broken IS NOT NULL").select(
-            "snapshot_id", F.concat_ws(" ", F.lit("Broken file element"), F.col("_path")).alias("reason")
-        )
+        elements.filter("_reason IS NOT NULL").select("snapshot_id", F.concat_ws(" ", "_reason", "_path").alias("reason"))
+        .unionByName(wrong_dirs.select("snapshot_id", "reason"))
         .unionByName(
             tags.select("snapshot_id").distinct().join(rooted, "snapshot_id", "left_anti")
             .select("snapshot_id", F.lit("Expected <filesystem> root element").alias("reason"))

@@ -67,11 +67,8 @@ class _MapStore:
 class LiveState(StatefulProcessor):
     """Applies the operations of a session as they arrive; failures leave its state alone."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("entries", "path string", STATE_SCHEMA, self.ttl_ms)
+        self.state = handle.getMapState("entries", "path string", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         store, out = _MapStore(self.state), []
@@ -93,13 +90,13 @@ class LiveState(StatefulProcessor):
         pass
 
 
-def live_state(ops: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Every change to every session's tree, as it happens. Needs the RocksDB state store
-    (see use_rocksdb); ttl_ms lets idle entries go."""
+def live_state(ops: DataFrame) -> DataFrame:
+    """Every change to every session's tree, as it happens; a session's state is kept for good.
+    Needs the RocksDB state store (see use_rocksdb)."""
     changing = prepared_ops(ops)
     return changing.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=LiveState(ttl_ms), outputStructType=LIVE_SCHEMA, outputMode="Update",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        statefulProcessor=LiveState(), outputStructType=LIVE_SCHEMA, outputMode="Update",
+        timeMode="None",
     )
 
 

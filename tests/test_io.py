@@ -56,8 +56,14 @@ def test_tree_scan(spark, tmp_path):
     (root / "home" / "user").mkdir(parents=True)
     (root / "home" / "user" / "doc.txt").write_text("hello")
     (root / "bin.dat").write_bytes(b"\xff\xfe")
+    (root / ".env").write_text("x" * 5000)
+    (root / "_hid").mkdir(mode=0o750)
+    (root / "home" / "up").symlink_to(root)
     rows = {r.path: r for r in files.scan_tree(spark, str(root)).collect()}
-    assert set(rows) == {"", "home", "home/user", "home/user/doc.txt", "bin.dat"}
+    assert set(rows) == {"", "home", "home/user", "home/user/doc.txt", "bin.dat", ".env", "_hid", "home/up"}
+    assert rows[".env"].content == "x" * 5000 and rows["_hid"].is_dir and rows["_hid"].mode == 0o750 and not rows["home/up"].is_dir
+    small = {r.path: r for r in files.scan_tree(spark, str(root), content_limit=10).collect()}
+    assert small[".env"].content is None and small[".env"]["size"] == 5000 and small["home/user/doc.txt"].content == "hello"
     assert rows["home/user/doc.txt"].content == "hello" and rows["bin.dat"].content is None and rows[""].name == "/"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from optrace import schema
 from optrace.operators import dataset, render, replay, snapshot, synth, transition
-from optrace.operators.grouping import below_boundary, boundary_of
+from optrace.operators.grouping import below_boundary, boundary_of, ordered_groups
 from optrace.sources import files
 
 TIME = datetime(2023, 10, 27, 10, 0, tzinfo=timezone.utc).timestamp()
@@ -23,25 +23,33 @@ def table(spark, rows):
     return spark.createDataFrame(rows, schema.ENTRIES)
 
 
-GOLDEN = [
-    entry(""), entry("home"), entry("home/user", mode=0o750, owner="user"),
-    entry("home/user/doc.txt", False, 0o644, "user", 1024), entry("tmp", mode=0o777),
+def joined(fragments, separator=""):
+    """The document that fragments of one snapshot make up."""
+    rows = fragments.collect()
+    return separator.join(r.text for r in sorted(rows, key=lambda r: (getattr(r, "place", 1), r.sort_key or [])))
+
+
+# A tree of its own, drawn by hand.
+DRAWN_ROWS = [
+    entry(""), entry("lib", mode=0o700, owner="ops"), entry("lib/zone"), entry("lib/zone/map.bin", False, 0o600, "ops", 3072),
+    entry("var", mode=0o775), entry("var/log.txt", False, 0o640, "www", 7),
 ]
 DRAWN = """/                dir  755 root:root Oct 27 10:00
-├── home                         dir  755 root:root Oct 27 10:00
-│   └── user                     dir  750 user:user Oct 27 10:00
-│       └── doc.txt              file 644 user:user Oct 27 10:00 1.00 KB
-└── tmp                          dir  777 root:root Oct 27 10:00"""
+├── lib                          dir  700 ops:ops Oct 27 10:00
+│   └── zone                     dir  755 root:root Oct 27 10:00
+│       └── map.bin              file 600 ops:ops Oct 27 10:00 3.00 KB
+└── var                          dir  775 root:root Oct 27 10:00
+    └── log.txt                  file 640 www:www Oct 27 10:00 7 B"""
 
 
-def test_golden_tree(spark):
-    assert render.render_tree(table(spark, GOLDEN)).first().document == DRAWN
+def test_drawn_tree(spark):
+    assert joined(render.render_tree(table(spark, DRAWN_ROWS), include_contents=False), "\n") == DRAWN
 
 
 def test_root_only_and_bodies(spark):
-    assert render.render_tree(table(spark, GOLDEN[:1])).first().document == DRAWN.split("\n")[0]
+    assert joined(render.render_tree(table(spark, DRAWN_ROWS[:1])), "\n") == DRAWN.split("\n")[0]
     rows = [entry(""), entry("a", False, 0o644, size=6, content="x\n\ny\n"), entry("d"), entry("d/e", False, 0o644, size=0, content="")]
-    lines = render.render_tree(table(spark, rows)).first().document.split("\n")
+    lines = joined(render.render_tree(table(spark, rows)), "\n").split("\n")
     assert [line.split(" ")[0] for line in lines[:2]] == ["/", "├──"]
     assert lines[3:6] == ["│           │ <file_body path=\"d/e\">", "│           │ ", "│           │ </file_body>"]
     assert lines[-4:] == ["        │ <file_body path=\"a\">", "        │ x", "        │ y", "        │ </file_body>"]
@@ -76,27 +84,44 @@ XML_ROWS = [
 
 
 def test_xml_equals_standard_library(spark):
-    assert render.render_xml(table(spark, XML_ROWS)).first().document == et_document(XML_ROWS)
-    documents = render.render_xml(table(spark, XML_ROWS[:0]), snapshots=spark.createDataFrame([("e",)], "snapshot_id string"))
-    assert documents.first().document == "<filesystem />"
+    assert joined(render.render_xml(table(spark, XML_ROWS))) == et_document(XML_ROWS)
+    bare = render.render_xml(table(spark, XML_ROWS[:0]), snapshots=spark.createDataFrame([("e",)], "snapshot_id string"))
+    assert joined(bare) == "<filesystem />"
+
 
+def test_missing_attributes_stay_in_the_document(spark):
+    rows = [entry(""), ("s", "f", None, False, None, None, None, None, None, None)]
+    assert '<file path="f" name="" mode="" owner="" group=""' in joined(render.render_xml(table(spark, rows)))
 
-def test_xml_in_parts_is_whole(spark):
+
+def test_fragments_in_parts_are_whole(spark):
     rows = XML_ROWS + [entry(f"a/f{i:04d}", False, 0o644, size=4, content="body") for i in range(400)]
-    parts = render.render_xml(table(spark, rows), max_chars=9000).orderBy("part").collect()
-    assert len(parts) > 3
-    assert "".join(p.document for p in parts) == et_document(rows)
+    inside = render.xml_fragments(table(spark, rows))
+    parts = ordered_groups(inside, ["snapshot_id"], "sort_key", "text", 7).orderBy("part").collect()
+    assert [p.part for p in parts] == list(range(parts[0].n_parts)) and {len(p["items"]) for p in parts[:-1]} == {7}
+    assert "<filesystem>" + "".join(x for p in parts for x in p["items"]) + "</filesystem>" == et_document(rows)
 
 
 def test_xml_round_trip(spark):
     visible = [r for r in XML_ROWS if r[1] != "big"]
-    documents = render.render_xml(table(spark, visible))
-    entries, rejects = files.entries_from_xml(documents, "snapshot_id")
-    assert rejects.isEmpty()
-    got = {r.path: (r.name, r.is_dir, r.mode, r.owner, r["size"], r.content) for r in entries.collect()}
-    assert got == {r[1]: (r[2], r[3], r[4], r[5], r[8], None if r[3] else r[9] or "") for r in visible}
-    bad = spark.createDataFrame([("x", "<other/>"), ("y", "<filesystem><file"), ("z", "")], "snapshot_id string, document string")
-    assert {r.snapshot_id for r in files.entries_from_xml(bad, "snapshot_id")[1].collect()} == {"x", "y"}
+    fragments = render.render_xml(table(spark, visible))
+    whole = spark.createDataFrame([("s", joined(fragments))], "snapshot_id string, document string")
+    want = {r[1]: (r[2], r[3], r[4], r[5], r[8], None if r[3] else r[9] or "") for r in visible}
+    for entries, rejects in (files.entries_from_fragments(fragments), files.entries_from_xml(whole, "snapshot_id")):
+        assert rejects.isEmpty()
+        assert {r.path: (r.name, r.is_dir, r.mode, r.owner, r["size"], r.content) for r in entries.collect()} == want
+
+
+def test_xml_as_others_write_it(spark):
+    documents = [
+        ("q", "<filesystem><file path='a&#233;' size='3'><body><![CDATA[a<b]]>&gt;</body></file><directory path=\"d\"/></filesystem>"),
+        ("x", "<other/>"), ("y", "<filesystem><file"), ("z", ""), ("u", "<filesystem><file path='a'></filesystem>"),
+        ("n", "<filesystem><file path='a' size='many'/><file path='b' size='1'/></filesystem>"),
+    ]
+    entries, rejects = files.entries_from_xml(spark.createDataFrame(documents, "snapshot_id string, document string"), "snapshot_id")
+    assert {(r.snapshot_id, r.path, r.content) for r in entries.collect()} == {("q", "aé", "a<b>"), ("q", "d", None), ("n", "b", "")}
+    assert {(r.snapshot_id, r.path) for r in rejects.collect()} == {("x", None), ("y", None), ("u", None), ("n", "a")}
+    assert rejects.count() == 4
 
 
 def test_queries_on_entries(spark):
@@ -104,7 +129,7 @@ def test_queries_on_entries(spark):
     asked = spark.createDataFrame([("s", p, o) for p in ("/", "/a", "/big", "/no") for o in ("readdir", "getattr", "read")],
                                   "snapshot_id string, path string, operation string")
     got = {(r.path, r.operation): r.answer for r in snapshot.answer_queries(df, asked).collect()}
-    assert got["/a", "readdir"] == '[".","..","c","empty","é\\tz"]'
+    assert got["/a", "readdir"] == '[".","..","c","empty","\\u00e9\\tz"]'
     assert got["/big", "readdir"] == got["/no", "readdir"] == '[".",".."]'
     assert got["/", "getattr"].startswith('{"mode": 493, "size": 0, "type": "directory", "mtime": 1698400800.0, "owner": "root"')
     assert got["/a", "read"] == "ERROR: Is a directory" and got["/no", "read"] == "ERROR: No such file or directory"
@@ -155,7 +180,7 @@ def model(initial, ops):
 
 def replayed(spark, initial, ops):
     start, log = table(spark, initial), spark.createDataFrame(ops, schema.OPS)
-    folded = replay.fold(start, log).cache()
+    folded = replay.folded(start, log).cache()
     state = {(r.snapshot_id, r.path): (r.is_dir, r.mode, r["size"], r.content) for r in replay.replay(start, log, folded).collect() if r.path}
     failed = {(r.session, r.seq) for r in replay.outcomes(folded).collect() if not r.ok}
     return state, failed
@@ -220,6 +245,30 @@ def test_scoped_fold_equals_plain_model(spark):
     assert got == want
 
 
+def test_file_windows_equal_fold(spark):
+    """Histories of file operations: the windows give what the fold gives."""
+    rng, initial, ops = random.Random(8), [], []
+    for k in range(40):
+        session = f"w{k}"
+        initial += [entry(p, snap=session) for p in ("", "d")] + [entry("d/u", False, 0o600, size=3, content="abc", snap=session), entry("v", False, size=9, snap=session)]
+        for i in range(60):
+            kind = rng.choice(["create", "write", "truncate", "unlink", "chmod", "chown"])
+            params = {"write": {"data_length": rng.choice([2, 5, 30]), "offset": 0, **({"data": "xyzzy"} if rng.random() < 0.5 else {})}, "truncate": {"length": rng.choice([0, 0, 7])},
+                      "chmod": {"mode": rng.choice(["0o100600", "0o100755"])}, "chown": {"uid": rng.choice([-1, 3]), "gid": 4}, "create": rng.choice([{}, {"mode": "0o100640"}])}.get(kind, {})
+            ops.append(op(i, kind, "/" + rng.choice(["d/u", "d/n", "v", "none/x", "d", "w"]), session, **params))
+    start, log = table(spark, initial), spark.createDataFrame(ops, schema.OPS)
+    rows, refused = replay.fold_files(start, log)
+    assert refused.isEmpty()
+    plain = replay.fold(start, log, with_before=True)
+    assert set(map(str, replay.outcomes(rows).collect())) == set(map(str, replay.outcomes(plain).collect()))
+    columns = ["session", "seq", "path", "deleted", "is_dir", "mode", "owner", "group", "mtime", "size", "before"]
+    left, right = (f.filter("kind = 'change'").select(*columns, "content").collect() for f in (rows, plain))
+    bare = lambda r: (r[:10], r.before and (r.before["mode"], r.before["size"], r.before["mtime"]))
+    assert {bare(r) for r in left} == {bare(r) for r in right}
+    known = {(r.session, r.seq): r.content for r in right}
+    assert all(r.content is None or r.content == known[r.session, r.seq] for r in left)
+
+
 def test_transitions_chain(spark):
     ops = [op(1, "create", "/f"), op(2, "write", "/f", data="abc", data_length=3), op(3, "create", "/g"), op(4, "rename", "/f", new_path="/g")]
     rows = replay.transitions(table(spark, [entry("")]), spark.createDataFrame(ops, schema.OPS)).collect()
