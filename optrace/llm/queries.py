@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from optrace.llm import bpe, html_text, jaccard, licenses, line_dedup, packing, quality, token_counts, topk, toxicity
-from optrace.llm.common import shared_folder, table
+from optrace.llm.common import shared_folder, staged, table
 
 
 def op1_topk_search(spark, sf):
@@ -18,18 +18,21 @@ def op2_packing(spark, sf):
 def op3_token_counts(spark, sf):
     """All documents are counted in words; toxic ones are then withdrawn, and those that are not
     English counted anew in pieces. The first batch comes twice, as after a retry."""
-    documents = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    counts = token_counts.counted(F.col("text"), "words-1").alias("words"), token_counts.counted(F.col("text"), "pieces-1").alias("pieces")
+    # Texts are read and counted once; only counts are joined.
+    ledger = staged(table(spark, sf, "documents").select("doc_id", "source", "lang", *counts), "ledger")
     toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id").distinct()
+    withdrawn, other = ledger.join(toxic, "doc_id", "left_semi"), ledger.filter("lang <> 'en'").join(toxic, "doc_id", "left_anti")
 
-    def counts(rows, version):
-        return rows.select("source", "lang", F.lit(version).alias("version"), token_counts.counted(F.col("text"), version).alias("n_tokens"))
+    def under(rows, version, column):
+        return rows.select("source", "lang", F.lit(version).alias("version"), F.col(column).alias("n_tokens"))
 
     rollup = token_counts.Rollup(spark, shared_folder(spark, "rollup"))
-    rollup.commit("load", token_counts.inserts(counts(documents, "words-1")))
-    rollup.commit("withdraw", token_counts.deletes(counts(documents.join(toxic, "doc_id", "left_semi"), "words-1")))
-    other = documents.filter("lang <> 'en'").join(toxic, "doc_id", "left_anti")
-    rollup.commit("recount", token_counts.revisions(counts(other, "words-1"), counts(other, "pieces-1")))
-    rollup.commit("load", token_counts.inserts(counts(documents, "words-1")))
+    load = token_counts.inserts(under(ledger, "words-1", "words"))
+    rollup.commit("load", load)
+    rollup.commit("withdraw", token_counts.deletes(under(withdrawn, "words-1", "words")))
+    rollup.commit("recount", token_counts.revisions(under(other, "words-1", "words"), under(other, "pieces-1", "pieces")))
+    rollup.commit("load", load)
     return rollup.totals()
 
 
