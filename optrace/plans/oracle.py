@@ -97,6 +97,52 @@ CHAT = """cp AS (SELECT u.conv_id || '-' || u.turn AS example_id,
 LINE = "CASE layout WHEN 0 THEN 'readdir(''/conv/' || conv_id || ''')' WHEN 1 THEN 'read(''/conv/' || conv_id || ''')' WHEN 2 THEN 'write(''/conv/' || conv_id || ''')' ELSE 'Current filesystem state:' END"
 
 
+# Every version of every file that an operation touched, its state after that operation (NULL once
+# it is gone), and what there was at the start (seq -1).
+VERSIONS = f"""{FILE_STATE},
+users AS (SELECT DISTINCT user_id::VARCHAR AS session FROM events),
+begun AS (SELECT session, 'd' || (k // 10) || '/f' || k AS path, k, -1 AS seq, 'start' AS operation, true AS there, NULL::BIGINT AS len, NULL::INT AS pmode
+    FROM users, (SELECT unnest(range(0, 100, 2))::INT AS k)),
+steps AS (SELECT session, path, k, seq, operation, there, len, pmode FROM good WHERE ok UNION ALL SELECT * FROM begun),
+segments AS (SELECT *, count(*) FILTER (operation = 'start' OR (operation = 'create' AND NOT there)) OVER w AS life,
+    count(*) FILTER (operation IN ('start', 'create')) OVER w AS base FROM steps WINDOW w AS (PARTITION BY session, path ORDER BY seq)),
+running AS (SELECT *,
+    last_value(CASE WHEN operation = 'start' THEN 420 WHEN operation = 'chmod' OR (operation = 'create' AND NOT there) THEN pmode END IGNORE NULLS)
+        OVER (PARTITION BY session, path, life ORDER BY seq) AS now_mode,
+    greatest(first_value(CASE WHEN operation = 'start' THEN k ELSE 0 END) OVER b, coalesce(max(CASE WHEN operation = 'write' THEN len END) OVER b, 0)) AS now_size,
+    first_value(operation) OVER b = 'create' AND count(*) FILTER (operation = 'write') OVER b = 0 AS blank
+    FROM segments WINDOW b AS (PARTITION BY session, path, base ORDER BY seq)),
+versions AS (SELECT session, path, k, seq, operation, operation <> 'unlink' AS alive, CASE WHEN operation <> 'unlink' THEN now_mode END AS mode,
+    CASE WHEN operation <> 'unlink' THEN now_size END AS size, blank FROM running)"""
+# The last operation of a session, and the files before and after it.
+AROUND = f"""{VERSIONS},
+chosen AS (SELECT session, max(seq) AS last_seq FROM ev GROUP BY 1),
+placed AS (SELECT v.*, side FROM versions v JOIN chosen USING (session), (SELECT unnest(['before', 'after']) AS side)
+    WHERE (side = 'before' AND seq < last_seq) OR (side = 'after' AND seq <= last_seq)),
+sides AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY session, side, path ORDER BY seq DESC) = 1)"""
+# Documents before and after the last operation, and the examples of the sessions whose last operation succeeded.
+EXAMPLES = f"""{AROUND},
+folders AS (SELECT u.session, s.side, d, count(v.path) AS n FROM users u, (SELECT unnest(['before', 'after']) AS side) s, (SELECT unnest(range(10))::INT AS d)
+    LEFT JOIN sides v ON v.session = u.session AND v.side = s.side AND v.alive AND v.k // 10 = d GROUP BY ALL),
+pieces AS (
+  SELECT session, side, chr(1) || 'd' || (k // 10) || chr(1) || 'f' || k AS place, '<file path="' || path || '" name="f' || k || '" mode="' || printf('%o', mode)
+    || '" owner="root" group="root" mtime="2025-01-01T00:00:01" size="' || size || '"' || CASE WHEN blank AND size <= 4000 THEN '><body /></file>' ELSE ' />' END AS t
+  FROM sides WHERE alive
+  UNION ALL SELECT session, side, chr(1) || 'd' || d, '<directory path="d' || d || '" name="d' || d || '" mode="755" owner="root" group="root" mtime="2025-01-01T00:00:00"'
+    || CASE WHEN n > 0 THEN '>' ELSE ' />' END FROM folders
+  UNION ALL SELECT session, side, chr(1) || 'd' || d || chr(2), '</directory>' FROM folders WHERE n > 0),
+documents_of AS (SELECT session, side, '<filesystem><directory path="/" name="/" mode="755" owner="root" group="root" mtime="2025-01-01T00:00:00">'
+    || string_agg(t, '' ORDER BY place) || '</directory></filesystem>' AS document FROM pieces GROUP BY 1, 2),
+halves AS (SELECT session, max(document) FILTER (side = 'before') AS was, max(document) FILTER (side = 'after') AS became FROM documents_of GROUP BY 1),
+done AS (SELECT j.*, s.alive AND s.blank AS blank FROM judged j JOIN chosen c ON j.session = c.session AND j.seq = c.last_seq
+    LEFT JOIN sides s ON s.session = j.session AND s.path = j.path AND s.side = 'after' WHERE j.operation = 'create' OR j.there),
+examples AS (SELECT session, CASE WHEN operation = 'read' THEN became ELSE was END AS initial_state,
+    operation || '(''/' || path || '''' || CASE operation WHEN 'write' THEN ', data_length=' || len || ', offset=0'
+      WHEN 'create' THEN ', mode=0o100' || CASE WHEN k % 2 = 0 THEN '640' ELSE '600' END WHEN 'chmod' THEN ', mode=0o100' || CASE WHEN k % 2 = 0 THEN '640' ELSE '600' END ELSE '' END || ')' AS operation,
+    CASE WHEN operation <> 'read' THEN became WHEN blank THEN '' ELSE 'ERROR: Cannot read file ' || path END AS result,
+    CASE WHEN operation = 'read' THEN 'query' ELSE 'state_change' END AS operation_type FROM done JOIN halves USING (session))"""
+
+
 def _contract(state: str) -> str:
     return (f"{_quote(K.CONTRACT_HEADER)} || CASE layout WHEN 0 THEN {_quote(K.CONTRACT_LISTING)} WHEN 1 THEN {_quote(K.CONTRACT_READ)} "
             f"ELSE {_quote(state)} END || chr(10) || chr(10) || prompt")
@@ -248,6 +294,14 @@ ORACLES = {
     "replay_fold": STATE_SQL,
     "replay_outcomes": f"""WITH {FILE_STATE} SELECT session, seq, operation, ok, CASE WHEN NOT ok THEN 'missing' END AS reason,
         CASE WHEN ok THEN NULL WHEN operation = 'write' THEN 'EIO' ELSE 'ENOENT' END AS errno FROM good""",
+    "transition_log": f"""WITH {VERSIONS} SELECT * EXCLUDE (k, alive, blank, mode, size) FROM (SELECT *, lag(size) OVER w AS size_before, size AS size_after,
+          lag(mode) OVER w AS mode_before, mode AS mode_after FROM versions WINDOW w AS (PARTITION BY session, path ORDER BY seq)) WHERE seq >= 0""",
+    "training_examples": f"WITH {EXAMPLES} SELECT * FROM examples WHERE (length(initial_state) + length(operation) + length(result)) // 4 <= 15000",
+    "pairs": f"""WITH {EXAMPLES} SELECT session AS example_id, CASE operation_type WHEN 'query' THEN '<R>' ELSE '<W>' END || chr(10) || operation || chr(10) || '---' || chr(10) || initial_state AS prompt,
+          CASE operation_type WHEN 'query' THEN result ELSE result || chr(10) || '<END_FS>' END AS completion FROM examples
+        WHERE (length(initial_state) + length(operation) + length(result)) // 4 <= 15000""",
+    "state_before_and_after": f"""WITH {AROUND} SELECT session AS snapshot_id, side, count(*) + 11 AS entries, sum(size)::BIGINT AS bytes, (sum(mode) + 11 * 493)::BIGINT AS modes
+        FROM sides WHERE alive GROUP BY 1, 2""",
     "session_histories": f"""WITH {EVENTS} SELECT session, part, string_agg(operation || ' /' || path, '; ' ORDER BY seq) AS history
         FROM (SELECT *, ((row_number() OVER (PARTITION BY session ORDER BY seq) - 1) // 20)::INT AS part FROM ev) GROUP BY 1, 2""",
     "token_budget": "SELECT doc_id, length(text) // 4 AS tokens FROM documents WHERE (length(text) + length(source)) // 4 <= 800",
