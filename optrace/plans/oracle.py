@@ -368,6 +368,16 @@ ORACLES = {
     "synthetic_names": f"""WITH h AS (SELECT event_id, sha256('7|' || event_id) AS d FROM events) SELECT event_id,
         {_word(K.FILE_PREFIXES, 'd', 2)} || CASE WHEN {_draw('d', 0)} / 16777216.0::DOUBLE < 0.3 THEN '_' || {_word(K.FILE_MIDDLES, 'd', 1)} ELSE '' END || ({_draw('d', 3)} % 999 + 1) || '.' || {_word(K.FILE_SUFFIXES, 'd', 4)} AS file,
         {_word(K.DIR_NAMES, 'd', 4)} || CASE WHEN {_draw('d', 0)} / 16777216.0::DOUBLE < 0.2 THEN '_' || {_word(K.DIR_SUFFIXES, 'd', 1)} ELSE '' END || CASE WHEN {_draw('d', 2)} / 16777216.0::DOUBLE < 0.5 THEN ({_draw('d', 3)} % 99 + 1)::VARCHAR ELSE '' END AS dir FROM h""",
+    "trace_scan": f"""WITH {EVENTS} SELECT operation, '/' || path AS path, count(*) AS n, max(epoch_ms(ts)) AS last FROM ev WHERE seq % 50 NOT IN (0, 1) GROUP BY 1, 2""",
+    "trace_stream": f"WITH {EVENTS} SELECT operation, count(*) AS n FROM ev WHERE seq % 50 NOT IN (0, 1) GROUP BY 1",
+    "pair_scan": f"WITH {CHAT} SELECT prompt, completion, count(*) AS n FROM cp GROUP BY 1, 2",
+    "validated_lines": """SELECT text || '!' AS what, 'kept' AS outcome, count(*) AS n FROM conversations WHERE turn % 4 IN (0, 3) GROUP BY 1
+        UNION ALL SELECT NULL, CASE turn % 4 WHEN 1 THEN 'Missing field' ELSE 'Invalid JSON' END, count(*) FROM conversations WHERE turn % 4 IN (1, 2) GROUP BY 2""",
+    "split_sink": f"WITH {CHAT} SELECT example_id, CASE WHEN {SPLIT_KEY} < {int(0.9 * 16**15)} THEN 'train' ELSE 'test' END AS split FROM cp",
+    "report_sink": f"""WITH {SCORED} SELECT count(*) AS total_examples, count_if(similarity > 0.7) AS correct_predictions FROM scored, (SELECT unnest([1, 2]) AS side)
+        WHERE operation_type IN ('q0', 'q1') GROUP BY side""",
+    "failing_predictions": f"""WITH {CHAT}, f AS (SELECT *, contains(prompt, '?') OR length(prompt) % 3 = 0 AS fails FROM cp)
+        SELECT example_id, CASE WHEN NOT fails THEN right(prompt, 10) END AS predicted, CASE WHEN fails THEN 'no answer' END AS error FROM f""",
     "predict_echo": f"""WITH {CHAT}, t AS (SELECT example_id, string_split(prompt, chr(10))[-1] AS last FROM cp) SELECT example_id, {_strip("'echo ' || last")} AS predicted, NULL::VARCHAR AS error FROM t""",
 }
 

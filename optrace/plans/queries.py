@@ -657,3 +657,86 @@ def live_counts(spark, sf):
     )
     running.awaitTermination()
     return spark.table(name)
+
+
+# Sources and sinks: a given table written below the shared folder and read back --------------
+
+def _logged(spark, sf, name):
+    """The operations as JSON lines in a new folder."""
+    ops = views.event_ops(spark, sf)
+    line = F.struct("operation", "path", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"), "parameters")
+    folder = scratch_folder(spark, name)
+    noise = F.when(F.col("seq") % 50 == 0, "not json").when(F.col("seq") % 50 == 1, '{"other": 1}')
+    ops.select(F.coalesce(noise, F.to_json(line)).alias("value")).write.text(folder)
+    return folder
+
+
+@query
+def trace_scan(spark, sf):
+    read = files.read_trace(spark, _logged(spark, sf, "trace"))
+    return read.groupBy("operation", "path").agg(F.count(F.lit(1)).alias("n"), F.max(F.round(F.unix_micros("ts") / 1000).cast("bigint")).alias("last"))
+
+
+@query
+def trace_stream(spark, sf):
+    """The same files as a stream, read until there is nothing left."""
+    folder, name = _logged(spark, sf, "stream"), f"trace_stream_{abs(hash(sf))}"
+    counts = live.live_distribution(live.stream_trace(spark, folder))
+    running = (
+        counts.writeStream.outputMode("complete").format("memory").queryName(name)
+        .option("checkpointLocation", scratch_folder(spark, "trace-stream")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return spark.table(name)
+
+
+@query
+def pair_scan(spark, sf):
+    folder = files.write_pairs(views.chat_pairs(spark, sf), scratch_folder(spark, "pairs"))
+    return files.read_pairs(spark, folder).groupBy("prompt", "completion").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def validated_lines(spark, sf):
+    """Lines with both fields, and the others with the reason they are refused."""
+    turns = views.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    both = F.to_json(F.struct(F.col("text").alias("prompt"), F.concat("text", F.lit("!")).alias("completion")))
+    line = (
+        F.when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.col("text").alias("prompt"))))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit("{"), "conv_id", F.lit(":")))
+        .when(F.col("turn") % 4 == 3, F.concat(F.lit('{"prompt": "first", '), F.substring(both, F.lit(2), F.char_length(both))))
+        .otherwise(both)
+    )
+    good, rejects = files.load_validated(turns.select(line.alias("value")))
+    good = good.select(F.col("completion").alias("what"), F.lit("kept").alias("outcome"))
+    return good.unionByName(rejects.select(F.lit(None).cast("string").alias("what"), F.col("reason").alias("outcome"))).groupBy("what", "outcome").count().withColumnRenamed("count", "n")
+
+
+@query
+def split_sink(spark, sf):
+    folder = f"{scratch_folder(spark, 'split')}/rows"
+    files.write_split(dataset.split(views.chat_pairs(spark, sf)), folder)
+    return spark.read.json(folder).select("example_id", "split")
+
+
+@query
+def report_sink(spark, sf):
+    scored = scoring.score(views.predictions(spark, sf))
+    folder = files.write_report(scoring.summarize(scored), scored, scratch_folder(spark, "report"))
+    summary, details = spark.read.json(f"{folder}/summary"), spark.read.parquet(f"{folder}/details")
+    return summary.select("total_examples", "correct_predictions").unionByName(
+        details.agg(F.count(F.lit(1)).alias("total_examples"), F.count_if("correct").alias("correct_predictions"))
+    )
+
+
+def _fragile(texts: list[str]) -> list[str]:
+    """Stands in for a model that cannot take questions."""
+    if any("?" in t or len(t) % 3 == 0 for t in texts):
+        raise RuntimeError("no answer")
+    return [t[-10:] for t in texts]
+
+
+@query
+def failing_predictions(spark, sf):
+    found = predict(views.chat_pairs(spark, sf), _fragile, batch_size=1, contract=None)
+    return found.select("example_id", "predicted", "error")

@@ -119,3 +119,18 @@ def test_cleaning_routes(spark):
     df = spark.createDataFrame([(i, p, e) for i, (p, e, _) in enumerate(CLEANING)], "i int, predicted string, expected string")
     got = [r.predicted for r in cleaning.with_clean_prediction(df).orderBy("i").collect()]
     assert got == [want for _, _, want in CLEANING]
+
+
+def test_contents_depend_on_the_path_alone(spark):
+    rows = [(f"d/f{i}.{ext}",) for i in range(120) for ext in ("py", "json", "md")] + [(None,)]
+    df = spark.createDataFrame(rows + rows[:50], "path string")
+    got = {}
+    for r in names.with_content(df, "path", "content").collect():
+        assert got.setdefault(r.path, r.content) == r.content
+    assert got.pop(None) is None and all(len(c) > 100 or p.endswith(("json", "md")) for p, c in got.items())
+    starts = {ext: {c.split()[0] for p, c in got.items() if p.endswith(ext)} for ext in ("py", "json", "md")}
+    assert {"from", "class", "#!/bin/sh", "package", "///"} == starts["py"] and {"{", "---", ";"} < starts["json"] and {"The", "For"} < starts["md"]
+    for content in (c for p, c in got.items() if c.startswith("{")):
+        assert {"place", "open", "remarks"} <= set(json.loads(content))
+    short = names.with_content(df, "path", "content", max_chars=60).filter("path IS NOT NULL").first()
+    assert len(short.content) < len(got[short.path])
