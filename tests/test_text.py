@@ -1,9 +1,11 @@
 """Column functions against plain Python rules, odd Unicode included."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from optrace.functions import cleaning, paths, prompts, text
+from optrace.functions import cleaning, names, paths, prompts, text
 
 ODD = ["", " ", "a b", "\x1ca\x85", " x y　", "l1\r\nl2\x0bl3 l4\n", "\tTab\n\n", "é̈ß", "a\x1eb\x1fc\n", "  <think>x\ny"]
 
