@@ -2,7 +2,7 @@
 
 Units are words of the sentences (and runs of single characters read as one word), so the score of
 a text is that of its worst unit. The kernel compares the letter subsequences of length three of
-two units, each weighted DECAY ** span, normalised and raised to a power: letters put in between
+two units within SPAN characters, each weighted DECAY ** span, normalised and raised to a power: letters put in between
 lower a likeness but do not end it. Landmark units give a Nyström map, on which a linear support
 vector machine is trained. A unit whose kernel with every landmark is provably small has the
 intercept as its margin.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -29,17 +30,21 @@ from optrace.llm.quality import platt
 
 #: Labelled texts used at most; the documented bound of the training sample.
 SAMPLE = 8000
-POSITIVES, NEGATIVES, POOL, LANDMARKS = 1500, 3000, 100_000, 800
-DECAY, WINDOW, FLOOR, MINING = 0.5, 18, 1e-3, 4
-POWER, NEAR = 4, 0.3
+POSITIVES, NEGATIVES, POOL, LANDMARKS = 1500, 3000, 100_000, 140
+DECAY, SPAN, WINDOW, FLOOR, MINING = 0.5, 6, 18, 1e-3, 4
+POWER, NEAR, ALIKE = 4, 0.45, 0.65
+#: Units compared with the landmarks at once.
+ROWS = 1000
 LIFT, EVIDENCE, LEAST = 6.0, 24.0, 3
+MARKS = string.punctuation + "«»“”„‘’…–—¡¿"
 SPELLED = re.compile(r"(?<!\S)\w(?:[\s.*_-]+\w){2,}(?!\S)")
 
 
 def units(text: str | None) -> set[str]:
-    """Distinct units of a whole text: words, lower-cased, and spelled-out runs of characters."""
+    """Distinct units of a whole text: words, lower-cased and without marks around them, and
+    spelled-out runs of characters."""
     text = (text or "").lower()
-    out = set(text.split())
+    out = {x.strip(MARKS) for x in set(text.split())}
     for found in SPELLED.finditer(text):
         out.add(re.sub(r"\W", "", found.group()))
     return out
@@ -47,12 +52,13 @@ def units(text: str | None) -> set[str]:
 
 def _windows(unit: str) -> list[str]:
     """The unit without marks around it, its ends marked; long ones in overlapping windows."""
-    start, end = 0, len(unit)
-    while start < end and not unit[start].isalnum():
-        start += 1
-    while end > start and not unit[end - 1].isalnum():
-        end -= 1
-    unit = unit[start:end]
+    if unit and not (unit[0].isalnum() and unit[-1].isalnum()):
+        start, end = 0, len(unit)
+        while start < end and not unit[start].isalnum():
+            start += 1
+        while end > start and not unit[end - 1].isalnum():
+            end -= 1
+        unit = unit[start:end]
     unit = f"^{unit}$"
     if len(unit) <= WINDOW:
         return [unit]
@@ -61,7 +67,7 @@ def _windows(unit: str) -> list[str]:
 
 @lru_cache(maxsize=64)
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    places = np.array(list(combinations(range(length), 3)), np.int64)
+    places = np.array([x for x in combinations(range(length), 3) if x[2] - x[0] < SPAN], np.int64)
     return places, DECAY ** (places[:, 2] - places[:, 0] + 1).astype(np.float64)
 
 
@@ -74,8 +80,8 @@ def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
             by.setdefault(len(word), []).append(i)
     for length, rows in by.items():
         places, weight = _triples(length)
-        for at in range(0, len(rows), 1 + 400_000 // len(places)):
-            some = np.array(rows[at : at + 1 + 400_000 // len(places)])
+        for at in range(0, len(rows), 1 + 200_000 // len(places)):
+            some = np.array(rows[at : at + 1 + 200_000 // len(places)])
             text = "".join(words[i] for i in some)
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(some), length).astype(np.int64)
             code = (codes[:, places[:, 0]] << 42) | (codes[:, places[:, 1]] << 21) | codes[:, places[:, 2]]
@@ -95,7 +101,7 @@ class Machine:
     coefficients, intercept and calibration."""
 
     def __init__(self, codes: np.ndarray, table: np.ndarray, alphas: np.ndarray, intercept: float, slope: float = 1.0, offset: float = 0.0):
-        self.codes, self.table, self.alphas, self.intercept = codes, table, alphas, intercept
+        self.codes, self.table, self.alphas, self.intercept = codes, table.astype(np.float32), alphas, intercept
         self.slope, self.offset = slope, offset
         self.most = table.max(axis=1, initial=0.0)
 
@@ -105,7 +111,9 @@ class Machine:
             for some, code, value in _subsequences(words):
                 at, value = _known(self.codes, code, value)
                 near = np.flatnonzero((self.most[at] * value).sum(axis=1) >= NEAR)  # others are like no landmark
-                out[some[near]] += _likeness(at[near], value[near], self.table) @ self.alphas
+                for i in range(0, len(near), ROWS):
+                    few = near[i : i + ROWS]
+                    out[some[few]] += _likeness(at[few], value[few], self.table) @ self.alphas
         return out
 
     def unit_margins(self, found: list[str]) -> list[float]:
@@ -151,11 +159,12 @@ def fit(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> Machine:
     common = {x: often[w] for w in reversed(pool) for x in _windows(w) if x not in held}
     pool = sorted(common, key=lambda x: (-common[x], x))
 
-    codes, table = _landmark_table(positive[: LANDMARKS // 2])
+    chosen = _diverse(positive)
+    codes, table = _landmark_table(chosen)
     near = np.concatenate([np.zeros(0), *(_kernel(pool[i : i + 2000], codes, table).max(axis=1) for i in range(0, len(pool), 2000))])
     hard = [pool[i] for i in np.argsort(-near, kind="stable")[:NEGATIVES]]
     negative = list(dict.fromkeys(hard + pool[:NEGATIVES]))
-    codes, table = _landmark_table(list(dict.fromkeys(positive[: LANDMARKS // 2] + hard[: LANDMARKS // 2])))
+    codes, table = _landmark_table(list(dict.fromkeys(chosen + _diverse(hard))))
     values, vectors = np.linalg.eigh((table.T @ table) ** POWER)
     root = (vectors / np.sqrt(np.maximum(values, FLOOR))) @ vectors.T
 
@@ -176,6 +185,23 @@ def fit(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> Machine:
     return machine
 
 
+def _diverse(words: list[str], most: int = LANDMARKS // 2) -> list[str]:
+    """The first words that are not much alike, at most that many."""
+    out: list[str] = []
+    for at in range(0, len(words), 200):
+        some = words[at : at + 200]
+        codes, table = _landmark_table(out + some)
+        alike = table.T @ table
+        kept = list(range(len(out)))
+        for i in range(len(out), len(alike)):
+            if len(kept) < most and (not kept or alike[i, kept].max() < ALIKE):
+                kept.append(i)
+        out = [(out + some)[i] for i in kept]
+        if len(out) == most:
+            break
+    return out
+
+
 def _landmark_table(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted subsequence codes of the landmarks and a column of weights for each landmark."""
     found = list(_subsequences(marks))
@@ -193,10 +219,10 @@ def _known(codes: np.ndarray, code: np.ndarray, value: np.ndarray) -> tuple[np.n
 
 def _likeness(at: np.ndarray, value: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Kernel values with every landmark: the normalised subsequence kernel to the power POWER."""
-    out = np.zeros((len(at), table.shape[1]))
+    out = np.zeros((len(at), table.shape[1]), table.dtype)
     for i in range(len(at)):
         use = value[i] > 0
-        out[i] = value[i][use] @ table[at[i][use]]
+        out[i] = value[i][use].astype(table.dtype) @ table[at[i][use]]
     return out**POWER
 
 
@@ -229,14 +255,12 @@ def _sample_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 5) -> Machine:
     """Machine from labelled documents whose crc32(doc_id as text) mod held_out is not 0. labels has
     (doc_id, toxic); of rows that contradict each other toxic counts."""
-    from optrace.llm.common import staged
-
     number = F.crc32(F.col("doc_id").cast("string"))
     one = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(number % held_out != 0)
     chosen = sampled(one.groupBy("doc_id").agg(F.max("toxic").alias("label")), "doc_id", sample, "toxic")
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows
     found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("label").cast("long").alias("label"))
-    found = staged(found.mapInArrow(_sample_units, "doc_id long, label long, units array<string>"), "units")
+    found = found.mapInArrow(_sample_units, "doc_id long, label long, units array<string>").persist()
     used = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(4)) != 3
     fitted = found.filter(used)
     totals = {x["label"]: x["n"] for x in fitted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -254,6 +278,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_ou
         machine.slope, machine.offset = platt(np.array([x for _, x in rest]), np.array([x for x, _ in rest], np.float64))
         if machine.slope <= 0:
             machine.slope, machine.offset = 1.0, 0.0
+    found.unpersist()
     return machine
 
 
@@ -268,9 +293,9 @@ def _text_margins(machine: Machine):
 
 def _scored(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Bounded(None, 300_000)
+        cache = Bounded(None, 150_000)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 texts = [units(x) for x in part.column("text").to_pylist()]
                 new = list(set().union(*texts) - cache.keys())
                 if len(cache) + len(new) > cache.limit:
