@@ -18,8 +18,14 @@ from optrace.session import ship_package
 MASK = (1 << 64) - 1
 
 
+#: Bytes of an Arrow batch handed to a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,7 +72,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 4_000_000) -> Iterato
 class Bounded(dict):
     """A cache that starts anew when it holds limit entries; __missing__ fills it."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 
