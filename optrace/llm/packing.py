@@ -2,7 +2,7 @@
 
 Each input partition is a stream of tokens, documents in their order; nothing is shuffled. A
 sequence is a window of the stream of at most LIMIT tokens. Cuts fall at document ends (free), at
-sentence ends (SENTENCE), or, every GRID tokens of longer sentences, inside (INSIDE). A window of
+sentence ends (SENTENCE; one in every NEAR tokens is enough), or, every GRID tokens of longer sentences, inside (INSIDE). A window of
 length n costs its padding, LIMIT - n, or nothing where n is a power of two, and SHORT if it is
 below LIMIT; the cheapest cuts come from
 
@@ -32,44 +32,75 @@ from optrace.llm.common import Bounded, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT, END = 2048, 1
-SENTENCE, INSIDE, SHORT, GRID = 4, 24, 8, 64
+SENTENCE, INSIDE, SHORT, GRID, NEAR = 4, 24, 8, 64, 24
 #: Tokens gathered before windows are chosen, and how many windows of them are put off.
 CHUNK, CARRY = 1 << 19, 4
 POWERS = [1 << i for i in range(LIMIT.bit_length())]
 SENTENCE_END = re.compile(r"[.!?…。]+")
 
 
+#: Texts of these characters only are cut into the vocabulary's words here: for them it is plain
+#: which are letters, which are white space, and how they are lower-cased.
+PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ſ]*")
+PIECES = re.compile("[a-zß-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r0-9a-zß-öø-ſ]+")
+
+
 class WordEncoder:
-    """Ids of texts under a vocabulary that never joins words: each word is encoded once."""
+    """Ids of texts under a vocabulary with word ends: each word is encoded once. Words not yet
+    known are encoded together, and told apart by the tokens that end a word."""
 
     def __init__(self, path: str = VOCABULARY):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(len(self.closes), bool)
         for token, i in vocabulary.items():
             self.closes[i] = bool(SENTENCE_END.fullmatch(token.removesuffix("</w>")))
-        self.words = Bounded(self._word, 300_000)
-
-    def _word(self, word: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+            self.ends[i] = token.endswith("</w>")
+        self.pieces = Bounded(lambda x: self._encoded(x).tobytes(), 800_000)  # ids as bytes
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = self._encoded(" ".join(pieces))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(pieces) and cuts[-1] == len(ids):  # else a piece has no token of its own
+            flat, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.pieces.update(zip(pieces, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        plain = ["<|" not in x and bool(PLAIN.fullmatch(x)) for x in texts]  # <| may begin a special token
+        parts = [PIECES.findall(x.lower()) if easy else None for x, easy in zip(texts, plain)]
+        values = [list(map(self.pieces.get, p)) if p else [] for p in parts]
+        gaps = [None in v for v in values]
+        new = list({y for p, v, gap in zip(parts, values, gaps) if gap for y, z in zip(p, v) if z is None})
+        if len(new) + len(self.pieces) > self.pieces.limit:
+            self.pieces.clear()
+        for at in range(0, len(new), 1000):
+            self._learn(new[at : at + 1000])
+        known = self.pieces
+        for i in (i for i, gap in enumerate(gaps) if gap):
+            values[i] = [known[y] if z is None else z for y, z in zip(parts[i], values[i])]
+        return [self._encoded(x) if p is None else np.frombuffer(b"".join(v), np.uint32) for x, p, v in zip(texts, parts, values)]
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:  # perhaps a special token
-            return self._word(text)
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.concatenate([np.zeros(0, np.uint32), *map(self.words.__getitem__, filter(None, words))])
+        return self.batch([text])[0]
 
 
 def cut_points(ids: np.ndarray, closes: np.ndarray) -> tuple[list[int], list[int]]:
     """Ends of possible pieces of one document, ascending, and what a cut there costs."""
     length = len(ids)
     ends = np.flatnonzero(closes[ids]) + 1
-    ends = np.unique(np.append(ends, length))
-    gaps = np.diff(ends, prepend=0)
-    if gaps.max() <= GRID:
+    part = ends // NEAR
+    ends = ends[np.concatenate([part[:1] == part[:1], part[1:] != part[:-1]])]
+    if not len(ends) or ends[-1] != length:
+        ends = np.append(ends, length)
+    if ends[0] <= GRID and (ends[1:] - ends[:-1]).max(initial=0) <= GRID:
         return ends.tolist(), [SENTENCE] * (len(ends) - 1) + [0]
     points = {}
     last = 0
@@ -82,13 +113,23 @@ def cut_points(ids: np.ndarray, closes: np.ndarray) -> tuple[list[int], list[int
     return list(points), list(points.values())
 
 
+def _power_starts(position: np.ndarray, powers: list[int]) -> dict[int, list[int]]:
+    """For each position the positions that lie a power of two before it, by index."""
+    out: dict[int, list[int]] = {}
+    for power in powers:
+        at = np.minimum(np.searchsorted(position, position - power), len(position) - 1)
+        hits = np.flatnonzero(position[at] == position - power)
+        for j, i in zip(hits.tolist(), at[hits].tolist()):
+            out.setdefault(j, []).append(i)
+    return out
+
+
 def best_cuts(ends: list[int], costs: list[int], limit: int = LIMIT) -> list[int]:
     """Indexes into ends of the cheapest cuts from position 0 to the last end (always a cut).
     Neighbouring ends are at most limit apart."""
-    powers = [(p, SHORT if p < limit else 0) for p in POWERS if p <= limit]
     position = [0, *ends]
+    starts = _power_starts(np.array(position), [p for p in POWERS if p <= limit])
     total, before = [0.0] * len(position), [0] * len(position)
-    at = {0: 0}
     queue: deque[int] = deque([0])
     for j in range(1, len(position)):
         end = position[j]
@@ -97,13 +138,12 @@ def best_cuts(ends: list[int], costs: list[int], limit: int = LIMIT) -> list[int
         i = queue[0]
         gap = limit - end + position[i]
         best, source = total[i] + gap + (SHORT if gap else 0), i
-        for p, more in powers:
-            i = at.get(end - p)
-            if i is not None and total[i] + more < best:
-                best, source = total[i] + more, i
+        for i in starts.get(j, ()):
+            cost = total[i] + (SHORT if end - position[i] < limit else 0)
+            if cost < best:
+                best, source = cost, i
         best += costs[j - 1]
         total[j], before[j] = best, source
-        at[end] = j
         key = best + end
         while queue and total[queue[-1]] + position[queue[-1]] >= key:
             queue.pop()
@@ -174,9 +214,10 @@ def _packed(path: str, limit: int):
         coder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         stream = _Stream(limit)
         for batch in batches:
-            for part in slices(batch, "text"):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    stream.add(doc_id, np.append(coder.ids(text or ""), np.uint32(END)), coder.closes)
+            for part in slices(batch, "text", 1_000_000):
+                found = coder.batch([x or "" for x in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), found):
+                    stream.add(doc_id, np.append(ids, np.uint32(END)), coder.closes)
                     if stream.length >= CHUNK:
                         yield from rows(stream.pieces(False))
         yield from rows(stream.pieces(True))
