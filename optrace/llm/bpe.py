@@ -1,7 +1,6 @@
 """Operator 7: exact BPE encoding and decoding, long unsplit text by tree concatenation.
 
-Text is cut where the vocabulary's pre-tokenisation always cuts (before white space that follows
-other characters, and between characters of different kinds), and equal pieces are encoded once
+Text is cut into the pieces of the vocabulary's pre-tokenisation, and equal pieces are encoded once
 per worker. A long piece that stays unsplit is halved down to short leaves, all leaves are encoded
 in one batch, and neighbours are joined up the tree: the tokens around the join are encoded anew
 as one text, in a window that grows until its first and last token are those the two sides already
@@ -25,10 +24,13 @@ from optrace.llm.common import Bounded, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LEAF, WINDOW = 512, 8
-#: White space beyond these four characters, and special tokens, go through the library as a whole.
-UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-LETTERS = re.compile("[a-zA-Z]+")
+#: Texts of these characters only are cut into the vocabulary's pieces here: for them it is plain
+#: which are letters, digits and white space. Others go through the library as a whole.
+PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*")
+LETTER = "a-zA-ZÀ-ÖØ-öø-ſ"
+PIECES = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^ \t\n\r0-9{LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
+)
 
 
 class Encoder:
@@ -40,7 +42,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        table = _byte_table()
+        table = byte_table()
         added = self.tokenizer.get_added_tokens_decoder()
         tokens = [
             added[i].content.encode() if i in added else bytes(table[c] for c in self.tokenizer.id_to_token(i) or "")
@@ -49,14 +51,39 @@ class Encoder:
         self.lengths = np.array([len(x) for x in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.pieces = Bounded(self._piece, 300_000)
+        self.spaced = np.array([x.startswith(b" ") for x in tokens])
+        self.pieces = Bounded(lambda x: np.array(self._piece(x), np.uint32).tobytes(), 500_000)  # ids as bytes
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text as the library gives them."""
-        if UNUSUAL.search(text):
-            return np.array(self._plain(text), np.uint32)
-        out = list(map(self.pieces.__getitem__, PIECES.findall(text)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text. Pieces not yet known that begin with a space are encoded together and
+        told apart by it."""
+        plain = [bool(PLAIN.fullmatch(x)) and "<|" not in x for x in texts]  # <| may begin a special token
+        parts = [PIECES.findall(x) if easy else None for x, easy in zip(texts, plain)]
+        values = [list(map(self.pieces.get, p)) if p else [] for p in parts]
+        gaps = [None in v for v in values]
+        new = {y for p, v, gap in zip(parts, values, gaps) if gap for y, z in zip(p, v) if z is None}
+        if len(new) + len(self.pieces) > self.pieces.limit:
+            self.pieces.clear()
+        spaced = [x for x in new if x[0] == " " and len(x) <= self.leaf and x[-1] != " " and x[1] not in "\t\n\r "]
+        for at in range(0, len(spaced), 1000):
+            self._learn(spaced[at : at + 1000])
+        known = self.pieces
+        for i in (i for i, gap in enumerate(gaps) if gap):
+            values[i] = [known[y] if z is None else z for y, z in zip(parts[i], values[i])]
+        return [
+            np.array(self._plain(x), np.uint32) if p is None else np.frombuffer(b"".join(v), np.uint32) for x, p, v in zip(texts, parts, values)
+        ]
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = np.array(self._plain("".join(pieces)), np.uint32)
+        cuts = np.flatnonzero(self.spaced[ids])
+        if len(cuts) == len(pieces) and cuts[0] == 0:
+            flat, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.pieces.update(zip(pieces, [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)])]))
 
     def decoded(self, ids: np.ndarray) -> str:
         lengths = self.lengths[ids]
@@ -65,21 +92,13 @@ class Encoder:
         return self.bytes[places].tobytes().decode("utf-8", "replace")
 
     def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> np.ndarray:
-        if len(piece) <= self.leaf:
-            return np.array(self._plain(piece), np.uint32)
-        out, at = [], 0
-        for run in LETTERS.finditer(piece):
-            if len(run.group()) > self.leaf and _alone(piece, run):
-                start = run.start() - (run.start() > at and piece[run.start() - 1] == " ")
-                out += [*self._plain(piece[at:start]), *self.tree(piece[start : run.end()])]
-                at = run.end()
-        return np.array([*out, *self._plain(piece[at:])], np.uint32)
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _piece(self, piece: str) -> list[int]:
+        return self._plain(piece) if len(piece) <= self.leaf else self.tree(piece)
 
     def tree(self, text: str) -> list[int]:
-        """Ids of unsplit text of one kind of characters."""
+        """Ids of one long piece."""
         if len(text) <= self.leaf:
             return self._plain(text)
         count = 1 << (-(-len(text) // self.leaf) - 1).bit_length()
@@ -101,13 +120,7 @@ class Encoder:
             size *= 2
 
 
-def _alone(piece: str, run: re.Match) -> bool:
-    """Whether no letter that is not ASCII, and no apostrophe, touches the run."""
-    around = piece[max(0, run.start() - 1) : run.start()] + piece[run.end() : run.end() + 1]
-    return not any(c.isalpha() or c == "'" or not c.isascii() for c in around)
-
-
-def _byte_table() -> dict[str, int]:
+def byte_table() -> dict[str, int]:
     """Byte of each character that stands for a byte in byte-level vocabularies: printable Latin-1
     characters stand for themselves, other bytes for the characters from 256 on, in order."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -128,12 +141,10 @@ def _round_trips(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 rows = []
-                for text in part.column("text").to_pylist():
-                    ids = coder.ids(text or "")
-                    back = coder.decoded(ids)
-                    rows.append((ids, back))
+                for ids in coder.batch([x or "" for x in part.column("text").to_pylist()]):
+                    rows.append((ids, coder.decoded(ids)))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([x.tolist() for x, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.string())],
                     [*part.schema.names, "ids", "decoded"],
@@ -146,10 +157,9 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 n, one, two = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = coder.ids(text or "")
+                for ids in coder.batch([x or "" for x in part.column("text").to_pylist()]):
                     n.append(len(ids))
                     one.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     two.append(hashlib.sha256(coder.decoded(ids).encode()).hexdigest())
