@@ -26,8 +26,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
+from optrace.llm.bpe import byte_table
 from optrace.llm.common import Bounded, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,13 +61,18 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.closes[i] = bool(SENTENCE_END.fullmatch(token.removesuffix("</w>")))
             self.ends[i] = token.endswith("</w>")
-        self.pieces = Bounded(lambda x: self._encoded(x).tobytes(), 800_000)  # ids as bytes
+        # Pieces need neither normalising nor splitting: only the merges, over bytes spelled as characters.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelled = {b: c for c, b in byte_table().items()} | {32: " "}
+        self.pieces = Bounded(lambda x: self._encoded(x).tobytes(), 1_500_000)  # ids as bytes
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        ids = self._encoded(" ".join(pieces))
+        text = " ".join(pieces).encode().decode("latin-1").translate(self.spelled)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(pieces) and cuts[-1] == len(ids):  # else a piece has no token of its own
             flat, cuts = ids.tobytes(), (4 * cuts).tolist()
