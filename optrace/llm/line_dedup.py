@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Share of a site's pages above which a line is boilerplate, and pages that must hold it.
-RATIO, LEAST_PAGES = 0.1, 3
+#: Share of a site's pages above which a line is boilerplate, and pages that must hold it: navigation
+#: and notices stand on few of a site's pages each, a sentence of its own text hardly ever on five.
+RATIO, LEAST_PAGES = 0.005, 5
 
 
 def _pair(*columns: Column) -> tuple[Column, Column]:
