@@ -68,6 +68,10 @@ def op9_license_scan(spark, sf):
     return licenses.license_scan(table(spark, sf, "documents"), licenses.known_digests(spark))
 
 
+def op9_license_passages(spark, sf):
+    return licenses.license_passages(table(spark, sf, "documents"), licenses.known_digests(spark))
+
+
 def op10_jaccard_join(spark, sf):
     return jaccard.jaccard_components(table(spark, sf, "documents"))
 
@@ -75,7 +79,7 @@ def op10_jaccard_join(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (op1_topk_search, op2_packing, op3_token_counts, op4_quality_rules, op5_html_extraction, op6_line_dedup, op7_bpe,
-              op8_toxicity, op9_license_scan, op10_jaccard_join)
+              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join)
 }
 
 

@@ -71,6 +71,38 @@ def test_licenses(spark):
     assert {x.doc_id for x in rows if x.digest is None} == {5}
 
 
+def shipped(name):
+    from importlib import resources
+
+    return resources.files("optrace.llm").joinpath(f"license_texts/{name}.txt").read_text("utf-8")
+
+
+def test_whole_texts_of_common_licenses(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause"]
+    texts = [(i, shipped(n), n) for i, n in enumerate(names)]
+    bsd = shipped("BSD-3-Clause").replace("the copyright holder nor", "Some Company, Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE OWNERS")
+    texts += [
+        (20, "Copyright (c) 2011, Some Company\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), (21, "BSD 2-Clause License\n\n" + shipped("BSD-2-Clause"), "BSD-2-Clause"),
+        (22, shipped("MPL-2.0").replace("authorized", "authorised").replace("License", "Licence"), "MPL-2.0"),
+        (23, "# " + "\n# ".join(shipped("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2020 Someone").split("\n")), "Apache-2.0"),
+        (24, licenses.ISC_GRANT.replace("the above copyright", "the above\ncopyright"), "ISC"), (25, "Copyright 2020 A\n" + licenses.ISC_GRANT, "ISC"),
+        (26, shipped("GPL-3.0").split("How to Apply These Terms")[0], "GPL-3.0"), (27, shipped("GPL-2.0")[:9000], None),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    rows = licenses.license_scan(frame, licenses.known_digests(spark)).collect()
+    assert {x.doc_id: x.license for x in rows} == {i: n for i, _, n in texts}
+
+
+def test_passages(spark):
+    rows = [
+        (1, "intro\n\nReleased under the MIT License.\n\nmore"), (2, "intro\nLicensed under CC BY-NC 4.0.\nReleased under the MIT license\nmore"), (3, "none"), (4, None),
+        (5, "A text.\r\n\r\n" + licenses.ISC_GRANT.replace(". THE", ".\r\nTHE") + "\r\n\r\nIts end."), (6, licenses.MIT_GRANT), (6, licenses.MIT_GRANT),
+    ]
+    got = licenses.license_passages(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark))
+    assert no_python(licenses.license_passages(spark.range(1).selectExpr("id AS doc_id", "'x' AS text"), spark.sql("SELECT 'd' AS digest, 'l' AS license")))
+    assert sorted(map(tuple, got.collect())) == [(1, "MIT", 1), (2, "CC-BY-NC-4.0", 1), (2, "MIT", 1), (5, "ISC", 1), (6, "MIT", 1), (6, "MIT", 1)]
+
+
 def counts(spark, rows):
     return spark.createDataFrame([(*x, "extra") for x in rows], "source string, lang string, version string, n_tokens long, documents string")
 
