@@ -8,6 +8,8 @@ from optrace.llm import jaccard, line_dedup, packing, quality, toxicity
 from optrace.llm.common import staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle and least likeness of near copies; op10's own 4 and 85 bind that query only.
+WIDTH, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of linked ones: sets of WIDTH-word shingles, PERCENT alike."""
+    return jaccard.one_of_each(docs, width=WIDTH, percent=PERCENT)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
