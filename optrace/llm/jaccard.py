@@ -31,6 +31,8 @@ from optrace.llm.common import components, hashed_words, mixed, mixed_int, slice
 WIDTH, PERCENT = 4, 85
 #: Shingles on each side of a block pair (a single larger set is a block of its own).
 BLOCK = 1_000_000
+#: Sets on each side of a block pair, on average, and rows of its matrix worked off at once.
+ROWS, STRIP = 2048, 256
 #: Columns held by more sets than this are counted by matrix product, others by pairs.
 DENSE = 48
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -204,6 +206,10 @@ def _features(width: int):
     return run
 
 
+def _strips(size: int) -> list[slice]:
+    return [slice(at, min(at + STRIP, size)) for at in range(0, size, STRIP)]
+
+
 def _counts(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes."""
     size = len(sets)
@@ -221,7 +227,8 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
         where = np.repeat(np.arange(len(columns)), times[columns])
         inside = np.repeat(starts[columns] - np.concatenate([[0], np.cumsum(times[columns])[:-1]]), times[columns]) + np.arange(len(where))
         matrix[owner[inside], where] = 1
-        out += matrix @ matrix.T
+        for rows in _strips(size):
+            out[rows] += matrix[rows] @ matrix.T
     flatten = out.reshape(-1)
     for t in np.unique(times[(times > 1) & (times <= DENSE)]):
         group = owner[starts[times == t][:, None] + np.arange(t)]
@@ -240,17 +247,21 @@ def _linked(blocks: tuple[int, int], rows: list[tuple], percent: int) -> list[tu
     sets = [x[3] for x in rows]
     both = _counts(sets)
     sizes = np.array([len(x) for x in sets], np.float64)
-    linked = 100.0 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    strips, side = _strips(len(rows)), np.array([x[1] for x in rows])
+    linked = np.zeros(both.shape, bool)
+    copies, degree = np.array([x[2] for x in rows], np.float64), np.zeros(len(rows))
+    for some in strips:
+        linked[some] = 100.0 * both[some] >= percent * (sizes[some, None] + sizes[None, :] - both[some])
+        if blocks[0] != blocks[1]:
+            linked[some] &= side[some, None] != side[None, :]
+    del both
     np.fill_diagonal(linked, False)
-    side = np.array([x[1] for x in rows])
-    if blocks[0] != blocks[1]:
-        linked &= side[:, None] != side[None, :]
-    copies = np.array([x[2] for x in rows], np.float64)
-    degree = linked @ copies
+    for some in strips:
+        degree[some] = linked[some] @ copies
     rank = np.argsort(np.argsort(np.array([x[0] for x in rows])))
     label = rank.astype(np.int64)
     while True:
-        other = np.where(linked, label[None, :], len(rows)).min(axis=1, initial=len(rows))
+        other = np.concatenate([np.where(linked[some], label[None, :], len(rows)).min(axis=1, initial=len(rows)) for some in strips])
         new = np.minimum(label, other)
         new = np.minimum(new, new[np.argsort(rank)[new]])
         if (new == label).all():
@@ -283,7 +294,7 @@ def _block_links(percent: int):
     return run
 
 
-def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, block_rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of (doc_id, text).
 
     Words are runs without ASCII white space, A-Z lower-cased; sets link when
@@ -300,7 +311,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     classes = staged(classes.withColumn("node", node), "classes")
     clusters = staged(candidate_clusters(documents, width, percent), "clusters")
     members = staged(classes.join(clusters, "one"), "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.count(F.lit(1)) / block_rows))
+    sizes = members.groupBy("cluster").agg(blocks.cast("int").alias("blocks"))
     members = members.filter("doc_id IS NOT NULL").join(sizes, "cluster")
     read = documents.join(members.select("doc_id", "one", "two", "cluster", "blocks", "node", "copies"), "doc_id")
     found = read.select("text", "one", "two", "cluster", "blocks", "node", "copies").mapInArrow(

@@ -62,6 +62,24 @@ def test_blocks_smaller_than_a_cluster(spark):
     assert found(frame, block=2000) == brute_force(rows) == found(frame)
 
 
+def test_many_short_texts_in_one_cluster(spark, monkeypatch):
+    """Blocks are bounded by rows as well as by shingles; the links are those of one block."""
+    base = [f"w{i}" for i in range(45)]
+    rows = [(i, " ".join([*base[:i % 45], f"x{i}", *base[i % 45 + 1 :]][: 44 + i % 2])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want, sizes, counted = brute_force(rows), [], jaccard._counts
+    assert max(x[3] for x in want) > 10
+    assert found(frame, block_rows=32) == want == found(frame)
+    monkeypatch.setattr(jaccard, "STRIP", 7)
+    sets = [(f"n{i:03}", i % 2, 1, jaccard.shingles(t)) for i, t in rows]
+    monkeypatch.setattr(jaccard, "_counts", lambda x: sizes.append(len(x)) or counted(x))
+    inside = [jaccard._linked((k, k), [x for x in sets if x[1] == k], 85) for k in (0, 1)]
+    links = Counter()
+    for node, _, n in [*inside[0], *inside[1], *jaccard._linked((0, 1), sets, 85)]:
+        links[node] += n
+    assert sizes == [150, 150, 300] and [links[f"n{i:03}"] for i, *_ in rows] == [x[3] for x in sorted(want)]
+
+
 def test_empty_table(empty):
     assert found(empty) == []
 
