@@ -5,8 +5,10 @@ and table parts that are not marked are filled in). Elements that never hold an
 (scripts, menus, forms, notices, adverts, comments ...) are left out. Of every other element the
 density is its characters per tag, adjusted by how many of them are links; its density sum
 adds up the densities of its children. The threshold is the least density on the path from the
-element of the greatest sum up to the body; the text is the subtree of the greatest sum among the
-elements that reach it, widened to the article or main element around it."""
+element of the greatest sum up to the body; the text is, from the body down, the subtree of the
+greatest sum in every element that reaches it, or the article or main element around the greatest.
+An element whose class, id or role has a mark's word among others (has-sidebar) is left out only if
+it is small beside the page's text or mostly links."""
 
 from __future__ import annotations
 
@@ -46,22 +48,29 @@ MARKS = set(
 )
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Fixed value: the share of text, and of links, that decides on elements marked by a word among others.
+SHARE = 1 / 3
+CONTAINERS = set("div section ul ol dl table header center".split())
 SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether a name in class, id or role is all marks, and whether one has a mark's word among others."""
+    partly = False
     for found in ATTRIBUTE.finditer(attributes):
-        value = found[2] or found[3] or found[4] or ""
-        if any(w.lower() in MARKS for w in WORD.findall(value)):
-            return True
-    return re.search(r"(?:^|\s)(hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", attributes, re.I) is not None
+        for name in (found[2] or found[3] or found[4] or "").split():
+            words = [w.lower() in MARKS for w in WORD.findall(name)]
+            if words and all(words):
+                return True, True
+            partly |= any(words)
+    return re.search(r"(?:^|\s)(hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", attributes, re.I) is not None, partly
 
 
 class _Page:
     """Elements in document order, and the text between their tags."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped = ["body"], [-1], [False]
+        self.tags, self.parents, self.dropped, self.doubtful = ["body"], [-1], [False], [False]
         self.begins, self.ends = [0], [0]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) between blocks
         self.stack = [0]
@@ -104,7 +113,9 @@ class _Page:
             self._close_to(*CLOSES[tag])
         node = len(self.tags)
         drop = tag in DROPPED or (tag == "header" and not any(self.tags[x] in ("article", "main") for x in self.stack))
-        drop = drop or (bool(attributes) and tag not in ("html", "body", "article", "main") and _marked(attributes))
+        marked, doubtful = _marked(attributes) if attributes and tag not in ("html", "body", "article", "main") else (False, False)
+        drop = drop or marked
+        self.doubtful.append(doubtful)
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.dropped.append(drop or self.dropped[self.stack[-1]])
@@ -156,22 +167,47 @@ class _Page:
             self._break()
 
 
-def _best(page: _Page) -> int:
-    """The element whose text is the article."""
+def _drop_doubtful(page: _Page) -> None:
+    """Leave out doubtful elements around no article or main that hold less than a SHARE of the
+    page's text, or more than a SHARE of whose text is links; and all below an element left out."""
+    n = len(page.tags)
+    chars, links, whole, in_link = [0] * n, [0] * n, [x in ("article", "main") for x in page.tags], [x == "a" for x in page.tags]
+    for i in range(1, n):
+        in_link[i] |= in_link[page.parents[i]]
+    for node, text in page.events:
+        size = len(text.strip()) if text and not page.dropped[node] else 0
+        chars[node] += size
+        links[node] += size if in_link[node] else 0
+    for i in range(n - 1, 0, -1):
+        chars[page.parents[i]] += chars[i]
+        links[page.parents[i]] += links[i]
+        whole[page.parents[i]] |= whole[i] and not page.dropped[i]
+    for i in range(1, n):
+        few = chars[i] < SHARE * chars[0] or links[i] > SHARE * chars[i]
+        page.dropped[i] |= page.dropped[page.parents[i]] or (page.doubtful[i] and not whole[i] and few)
+
+
+def _best(page: _Page) -> list[int]:
+    """The elements whose text is the article, in page order; none is inside another."""
+    if any(page.doubtful):
+        _drop_doubtful(page)
     n = len(page.tags)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = in_link[page.parents[i]] or page.tags[i] == "a"
     for node, text in page.events:
-        if text:
+        if text and not page.dropped[node]:
             size = len(text.strip())
             chars[node] += size
             link_chars[node] += size if in_link[node] else 0
+    # Elements without text of their own around a container of links are no article: its parts are.
+    mixed, own = [False] * n, chars[:]
     for i in range(n - 1, 0, -1):
         if page.dropped[i]:
             continue
         parent = page.parents[i]
+        mixed[parent] |= not own[parent] and page.tags[i] in CONTAINERS and link_chars[i] > chars[i] / 2
         chars[parent] += chars[i]
         tags[parent] += tags[i] + 1
         link_chars[parent] += link_chars[i]
@@ -187,18 +223,31 @@ def _best(page: _Page) -> int:
         sums[i] = sums[i] or density[i]
         if i:
             sums[page.parents[i]] += density[i]
-    top = max(range(n), key=lambda i: (sums[i], -i))
+    worth = [0.0 if mixed[i] else sums[i] for i in range(n)]
+    worth = worth if any(worth) else sums
+    top = max(range(n), key=lambda i: (worth[i], -i))
     threshold, i = density[top], top
     while i > 0:
         i = page.parents[i]
         threshold = min(threshold, density[i])
-    best = max((i for i in range(n) if density[i] >= threshold and chars[i]), key=lambda i: (sums[i], -i), default=0)
-    i = best
+    i = top
     while i > 0:
         if page.tags[i] in ("article", "main"):
-            return i
+            return [i]
         i = page.parents[i]
-    return best
+    # The element of the greatest sum below each element, the element itself among them.
+    greatest = list(range(n))
+    for i in range(n - 1, 0, -1):
+        parent = page.parents[i]
+        greatest[parent] = min(greatest[parent], greatest[i], key=lambda x: (-worth[x], x))
+    chosen = {top} | {greatest[i] for i in range(n) if chars[i] and not page.dropped[i] and density[i] > 0 and density[i] >= threshold}
+    inside, out = [False] * n, []
+    for i in range(n):
+        inside[i] = i > 0 and inside[page.parents[i]]
+        if i in chosen and not inside[i]:
+            inside[i] = True
+            out.append(i)
+    return out
 
 
 def main_text(source: str | None) -> str:
@@ -207,9 +256,11 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    node = _best(page)
     blocks, now = [], []
-    for _, text in [*page.events[page.begins[node] : page.ends[node]], (0, None)]:
+    found = [x for node in _best(page) for x in [*page.events[page.begins[node] : page.ends[node]], (0, None)]]
+    for owner, text in found:
+        if text is not None and page.dropped[owner]:
+            continue
         if text is not None:
             now.append(text)
         elif now:

@@ -21,6 +21,22 @@ def test_without_article_element():
     assert main_text(page).split("\n\n") == [" ".join(LONG.split())] * 2
 
 
+def test_article_in_sibling_containers():
+    """Two halves with an advert and a menu between them, in containers of different density."""
+    prose = " ".join(LONG.split())
+    menu = "<div><a href=a>one</a> <a href=b>two</a></div>"
+    page = f"<body>{menu}<section><p>{LONG}</p><p>{LONG}</p></section><div class=ad><p>{LONG}</p></div>{menu}<section><p>{LONG}</p></section></body>"
+    assert main_text(page).split("\n\n") == [prose] * 3
+    uneven = f"<body>{menu}<section>{f'<p>{LONG}</p>' * 4}</section><div class=ad><p>{LONG}</p></div><section><p>{LONG}</p></section></body>"
+    assert main_text(uneven).split("\n\n") == [prose] * 5
+
+
+def test_mark_among_other_words():
+    prose = " ".join(LONG.split())
+    page = f"<body><div class='page has-sidebar'><div><p>{LONG}</p><p>{LONG}</p></div><div class='ad-slot'><p>Buy this.</p></div><div id=sidebar><p>{LONG}</p></div></div></body>"
+    assert main_text(page).split("\n\n") == [prose] * 2
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<html></html>", "<script>x", "<!-- open", "<p></p>", "<nav>a</nav>"])
 def test_no_text(page):
     assert main_text(page) == ""
