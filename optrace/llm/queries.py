@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from optrace.llm import bpe, html_text, jaccard, licenses, line_dedup, packing, quality, token_counts, topk, toxicity
+from optrace.llm import alignment, bpe, html_text, jaccard, licenses, line_dedup, packing, quality, token_counts, topk, toxicity
 from optrace.llm.common import shared_folder, staged, table
 
 
@@ -76,10 +76,14 @@ def op10_jaccard_join(spark, sf):
     return jaccard.jaccard_components(table(spark, sf, "documents"))
 
 
+def op12_alignment(spark, sf):
+    return alignment.alignments(table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_topk_search, op2_packing, op3_token_counts, op4_quality_rules, op5_html_extraction, op6_line_dedup, op7_bpe,
-              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join)
+              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join, op12_alignment)
 }
 
 
