@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from optrace.llm import alignment, bpe, html_text, jaccard, licenses, line_dedup, packing, quality, token_counts, topk, toxicity
+from optrace.llm import alignment, bpe, html_text, jaccard, licenses, line_dedup, packing, phrases, quality, token_counts, topk, toxicity
 from optrace.llm.common import shared_folder, staged, table
 
 
@@ -76,6 +76,10 @@ def op10_jaccard_join(spark, sf):
     return jaccard.jaccard_components(table(spark, sf, "documents"))
 
 
+def op11_phrase_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def op12_alignment(spark, sf):
     return alignment.alignments(table(spark, sf, "documents"))
 
@@ -83,7 +87,7 @@ def op12_alignment(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (op1_topk_search, op2_packing, op3_token_counts, op4_quality_rules, op5_html_extraction, op6_line_dedup, op7_bpe,
-              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join, op12_alignment)
+              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join, op11_phrase_collocations, op12_alignment)
 }
 
 
@@ -126,6 +130,38 @@ def boilerplate_sql(documents: str, ratio: float = line_dedup.RATIO, least: int
     FROM docs LEFT JOIN lists ON docs.source = lists.source"""
 
 
+def collocations_sql(documents: str, longest: int = phrases.LONGEST, least: int = phrases.LEAST, top: int = phrases.TOP, inside: int = phrases.INSIDE) -> str:
+    """The top phrases of each language of documents, phrases held as texts."""
+    upper = "".join(chr(c) for c in range(65, 91))
+    return f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+            '[.,;:!?\\x0A-\\x0D]')) AS piece FROM {documents}),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+    held AS (
+        SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+        FROM lists, range(1, {longest + 1}) AS sizes(size)),
+    totals AS (SELECT lang, count(*) AS n FROM held WHERE size = 1 GROUP BY lang),
+    counts AS (SELECT lang, size, phrase, count(*) AS a FROM held GROUP BY lang, size, phrase HAVING count(*) >= {least}),
+    candidates AS (SELECT *, string_split(phrase, ' ') AS words FROM counts WHERE size >= 2),
+    parts AS (
+        SELECT lang, a, unnest(flatten(list_transform(range(2, size), lambda s:
+            list_transform(range(1, size - s + 2), lambda i: array_to_string(words[i:i + s - 1], ' '))))) AS phrase FROM candidates),
+    within AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY lang, phrase),
+    kept AS (
+        SELECT c.* FROM candidates AS c LEFT JOIN within AS w ON c.lang = w.lang AND c.phrase = w.phrase
+        WHERE longer IS NULL OR 100 * longer < {inside} * a),
+    cuts AS (
+        SELECT kept.lang, kept.phrase, kept.a, k, one.a AS l, two.a AS r,
+            CAST(CAST(1000000 AS HUGEINT) * kept.a * kept.a // (CAST(one.a AS HUGEINT) * two.a) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM kept) AS kept
+        JOIN counts AS one ON kept.lang = one.lang AND one.phrase = array_to_string(words[1:k], ' ')
+        JOIN counts AS two ON kept.lang = two.lang AND two.phrase = array_to_string(words[k + 1:], ' ')),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lowest.lang, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM lowest JOIN totals ON lowest.lang = totals.lang QUALIFY rank <= {top}"""
+
+
 ORACLES = {
     "op1_topk_search": """
     WITH v AS (
@@ -146,6 +182,7 @@ ORACLES = {
         SELECT source, lang, 'pieces-1', {_counted('pieces-1')} FROM kept WHERE lang <> 'en')
     SELECT source, lang, version, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM counts GROUP BY ALL""",
     "op6_line_dedup": f"SELECT doc_id, text, n_dropped FROM ({boilerplate_sql('documents')})",
+    "op11_phrase_collocations": collocations_sql("documents"),
     "op9_license_scan": f"""
     WITH known AS ({_known()}), found AS (SELECT doc_id, {_canonical('text')} AS text FROM documents)
     SELECT doc_id, sha256(text) AS digest, CASE WHEN text <> '' THEN license END AS license
