@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from optrace.llm import alignment, bpe, html_text, jaccard, licenses, line_dedup, packing, phrases, quality, token_counts, topk, toxicity
+from optrace.llm import alignment, bpe, html_text, jaccard, licenses, line_dedup, packing, phrases, quality, suffixes, token_counts, topk, toxicity
 from optrace.llm.common import shared_folder, staged, table
 
 
@@ -84,10 +84,14 @@ def op12_alignment(spark, sf):
     return alignment.alignments(table(spark, sf, "documents"))
 
 
+def op13_repeated_passages(spark, sf):
+    return suffixes.without_repeats(table(spark, sf, "documents")).drop("spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_topk_search, op2_packing, op3_token_counts, op4_quality_rules, op5_html_extraction, op6_line_dedup, op7_bpe,
-              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join, op11_phrase_collocations, op12_alignment)
+              op8_toxicity, op9_license_scan, op9_license_passages, op10_jaccard_join, op11_phrase_collocations, op12_alignment, op13_repeated_passages)
 }
 
 
