@@ -1,8 +1,8 @@
 """Operator 12: alignment of two tokenizers' tokens over the same bytes.
 
-A text is cut at the spaces before which both tokenizers always end a token (a space after a
-character that is no white space): byte-level pieces begin with such a space, and no piece of the
-other vocabulary holds a space after another character. Each segment is encoded by both once per
+A text is cut where both tokenizers always end a token: before a space or line feed that follows a
+character that is no white space, and before a mark such as a full stop that follows a letter or digit.
+Byte-level pieces end there, and no piece of the other vocabulary goes across (else texts stay whole). Each segment is encoded by both once per
 block of documents. Two dictionaries from cumulative byte end to token index are intersected by
 their keys; the sorted common ends slice both id lists into groups, and the overlapping pairs are
 expanded slice by slice.
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -32,14 +34,17 @@ from optrace.llm.common import slices, staged
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block of documents.
 BLOCK = 6_000_000
-#: Segments kept from block to block, and the longest of them in characters.
-KEPT, SHORT = 150_000, 48
 SHIFT = 20  # an id pair is left id << SHIFT | right id
-CUT, ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+CUT, ODD = re.compile(r"(?<=\S)(?=[ \n])"), re.compile(r"\s[ \n]")
+LETTER, POINTS = "a-zA-Z0-9À-ÖØ-öø-ÿ", ".,;:!?"
+PART = re.compile(f"[ \n][^ \n{POINTS}]*(?:(?<![{LETTER}])[{POINTS}][^ \n{POINTS}]*)*|[{POINTS}][^ \n]*")
+ACROSS = re.compile(f"[{LETTER}][{POINTS}]|[^▁]▁|\n")
+#: Segments kept from block to block: those of the last two lots of that many.
+KEPT = 200_000
 
 
 class Aligner:
-    """Both tokenizers and the segments met lately."""
+    """Both tokenizers and their tokens' bytes."""
 
     def __init__(self, left: str, right: str):
         self.left = Tokenizer.from_file(left)
@@ -52,77 +57,80 @@ class Aligner:
         self.right = sentencepiece.SentencePieceProcessor(model_file=right)
         self.right_bytes = [self._right_bytes(i) for i in range(self.right.get_piece_size())]
         self.space = [self.right.piece_to_id("▁")]
-        self.kept: dict[str, tuple] = {}
+        self.left_lengths, self.right_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.left_bytes, self.right_bytes))
+        pieces = [self.right.id_to_piece(i) for i in range(len(self.right_bytes)) if not self.right.is_byte(i)]
+        self.cuts = not any(map(ACROSS.search, pieces))  # else texts stay whole
+        self.kept: tuple[dict, dict] = {}, {}
+        self.numbers = [str(i) for i in range(max(len(self.left_bytes), len(self.right_bytes)))]
 
     def _right_bytes(self, i: int) -> bytes:
         piece = self.right.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.right.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def aligned(self, segments: list[str]) -> list[tuple]:
-        """Of each segment (a space before it): (tokens left, right, groups, links, groups as text,
-        pairs), or None where the joined token bytes are not the segment's."""
-        found = list(map(self.kept.get, segments))
+    def segments(self, text: str) -> list[str]:
+        """The parts of a space and the text, none of which a token leaves."""
+        text = f" {text}"
+        return [text] if not self.cuts else CUT.split(text) if ODD.search(text) else PART.findall(text)
+
+    def aligned(self, segments: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of segments: a row of (tokens left, tokens right, groups, links) each, their groups as texts,
+        and the codes of all links, in order. A segment that the tokens of either side do not give back
+        has zeros."""
+        now, old = self.kept
+        found = [now.get(x) or old.get(x) for x in segments]
         new = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(new), 4000):
-            some = new[at : at + 4000]
-            texts = [segments[i] for i in some]
-            lefts = self.left.encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)
-            rights = [x or self.space for x in self.right.encode(texts, num_threads=1)]  # nothing but the space before it
-            for i, text, a, b in zip(some, texts, lefts, rights):
-                found[i] = self._aligned(f" {text}".encode(), a.ids, b)
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        self.kept.update((segments[i], found[i]) for i in new if len(segments[i]) <= SHORT)
-        return found
-
-    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple:
-        one, two = [self.left_bytes[i] for i in a], [self.right_bytes[i] for i in b]
-        if b"".join(one) != text or b"".join(two) != text:
-            return ()
-        ends_a, ends_b = _ends(one), _ends(two)
-        groups, pairs, i, j = [], [], 0, 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            to_i, to_j = ends_a[end] + 1, ends_b[end] + 1
-            groups.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-            pairs += _overlaps(a[i:to_i], [len(x) for x in one[i:to_i]], b[j:to_j], [len(x) for x in two[j:to_j]])
-            i, j = to_i, to_j
-        return len(a), len(b), len(groups), len(pairs), ";".join(groups), np.array(pairs, np.int64)
-
-
-def _ends(tokens: list[bytes]) -> dict[int, int]:
-    out, end = {}, 0
-    for i, x in enumerate(tokens):
-        end += len(x)
-        out[end] = i
-    return out
-
-
-def _overlaps(a: list[int], left: list[int], b: list[int], right: list[int]) -> list[int]:
-    """Codes of the overlapping pairs of a slice."""
-    if len(a) == 1:
-        return [a[0] << SHIFT | y for y in b]
-    if len(b) == 1:
-        return [x << SHIFT | b[0] for x in a]
-    out, i, j, end_a, end_b = [], 0, 0, left[0], right[0]
-    while True:
-        out.append(a[i] << SHIFT | b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
-            i += 1
-        if step_b:
-            j += 1
-        if i == len(a) or j == len(b):
-            return out
-        end_a += left[i] if step_a else 0
-        end_b += right[j] if step_b else 0
-
-
-def segments(text: str) -> list[str]:
-    """The parts of a space and the text, each without the space it begins with."""
-    if not ODD.search(f" {text}"):
-        return text.split(" ")
-    first, *rest = CUT.split(f" {text}")
-    return [first[1:], *rest]
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            sums, words, codes = self._aligned([segments[i] for i in some])
+            flat, ends = codes.tobytes(), (8 * np.cumsum(sums[:, 3])).tolist()
+            for i, row, text, begin, end in zip(some, sums.tolist(), words, [0, *ends], ends):
+                found[i] = row, text, flat[begin:end]
+        if len(now) > KEPT:
+            self.kept = now, _ = {}, now
+        now.update((x, y) for x, y in zip(segments, found) if len(x) < 40)
+        sums, words, codes = zip(*found) if found else ((), (), ())
+        return np.array(sums, np.int64).reshape(-1, 4), words, np.frombuffer(b"".join(codes), np.int64)
+
+    def _aligned(self, segments: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        lefts = [x.ids for x in self.left.encode_batch_fast(segments, add_special_tokens=False)]
+        # The library puts a space before each: the one there, or one that no token but its own holds.
+        rights = self.right.encode([x[1:] if x[0] == " " else x if x[0] == "\n" else f"\n{x}" for x in segments], num_threads=1)
+        rights = [y or self.space if x[0] == " " else y[1 + (x[0] != "\n") :] for x, y in zip(segments, rights)]
+        texts = [x.encode() for x in segments]
+        good = list(range(len(texts)))
+        if not (self._given_back(self.left_bytes, lefts, texts) and self._given_back(self.right_bytes, rights, texts)):
+            good = [i for i in good if self._given_back(self.left_bytes, lefts[i : i + 1], texts[i : i + 1])
+                    and self._given_back(self.right_bytes, rights[i : i + 1], texts[i : i + 1])]
+        sums, words = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
+        if not good:
+            return sums, words, np.zeros(0, np.int64)
+        a, b = [y for i in good for y in lefts[i]], [y for i in good for y in rights[i]]
+        left, right = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.left_lengths[left]), np.cumsum(self.right_lengths[right])
+        borders = np.cumsum([len(texts[i]) for i in good])  # both sides end a token there
+
+        index_a, index_b = dict(zip(ends_a.tolist(), range(len(a)))), dict(zip(ends_b.tolist(), range(len(b))))
+        common = sorted(index_a.keys() & index_b.keys())
+        cuts_a, cuts_b = ([0, *(x + 1 for x in map(i.__getitem__, common))] for i in (index_a, index_b))
+        texts_a, texts_b = list(map(self.numbers.__getitem__, a)), list(map(self.numbers.__getitem__, b))
+        groups = [
+            f"{texts_a[i]}|{texts_b[j]}" if m == i + 1 and n == j + 1 else f"{','.join(texts_a[i:m])}|{','.join(texts_b[j:n])}"
+            for i, m, j, n in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
+        ]
+        # In a slice two tokens overlap in the bytes between two neighbouring ends of either side.
+        ends = np.union1d(ends_a, ends_b)
+        codes = left[np.searchsorted(ends_a, ends)].astype(np.int64) << SHIFT | right[np.searchsorted(ends_b, ends)]
+        last = np.searchsorted(np.array(common), borders) + 1
+        first = np.concatenate([[0], last[:-1]])
+        for i, one, two in zip(good, first.tolist(), last.tolist()):
+            words[i] = ";".join(groups[one:two])
+        places = [np.searchsorted(x, borders) + 1 for x in (ends_a, ends_b, np.array(common), ends)]
+        sums[good] = np.stack([np.diff(x, prepend=0) for x in places], axis=1)
+        return sums, words, codes
+
+    @staticmethod
+    def _given_back(tokens: list[bytes], ids: list[list[int]], texts: list[bytes]) -> bool:
+        return all(b"".join([tokens[i] for i in x]) == text for x, text in zip(ids, texts))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -166,21 +174,18 @@ def _cell(values, kind: str) -> pa.Array:
 def _block(both: Aligner, texts: list[str | None]) -> dict:
     """Figures of each document, the block's distinct pairs, and of each document which of them it
     holds (place, from starts) and how often (times)."""
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(x, len(index)) for x in segments(t)] if t else [], np.int64) for t in texts]
-    found = both.aligned(list(index))
-    docs = [x if len(x) and all(map(found.__getitem__, np.unique(x).tolist())) else x[:0] for x in docs]
-    sums = np.array([x[:4] or (0, 0, 0, 0) for x in found], np.int64).reshape(-1, 4)
-    words = [x[4] if x else "" for x in found]
-    totals = [sums[x].sum(axis=0) if len(x) else np.zeros(4, np.int64) for x in docs]
+    index: dict[str, int] = defaultdict(count().__next__)
+    docs = [np.array([index[x] for x in both.segments(t)] if t else [], np.int64) for t in texts]
+    sums, words, codes = both.aligned(list(index))
+    bad = sums[:, 0] == 0
+    docs = [x[:0] if bad[x].any() else x for x in docs]
+    totals = np.array([sums[x].sum(axis=0) for x in docs], np.int64).reshape(-1, 4)
     digests = [hashlib.sha256(";".join([words[i] for i in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in docs]
 
-    lists = [x[5] if x else np.zeros(0, np.int64) for x in found]
-    pairs, where = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True)
-    lengths = np.array([len(x) for x in lists], np.int64)
-    begins = np.cumsum(lengths) - lengths
-    keys, width = [], max(1, len(pairs))
-    times = []
+    pairs, where = np.unique(codes, return_inverse=True)
+    lengths = sums[:, 3]
+    begins, width = np.cumsum(lengths) - lengths, max(1, len(pairs))
+    keys, times = [], []
     for i, x in enumerate(docs):
         n = lengths[x]
         at = np.repeat(begins[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -190,7 +195,7 @@ def _block(both: Aligner, texts: list[str | None]) -> dict:
     key = np.concatenate([np.zeros(0, np.int64), *keys])
     place = key % width
     return {
-        **{name: np.array([t[k] for t in totals], np.int64) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
+        **{name: totals[:, k] for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
         "groups_sha256": digests, "pairs": pairs, "n_docs": np.bincount(place, minlength=len(pairs)).astype(np.int32),
         "starts": np.cumsum([0, *(len(x) for x in keys)]).astype(np.int32), "place": place.astype(np.int32),
         "times": np.concatenate([np.zeros(0, np.int64), *times]).astype(np.int32),
