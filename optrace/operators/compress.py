@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from optrace import constants as K
 from optrace.functions.text import BLANK, strip
+from optrace.session import kept
 
 CONTEXT_MARK = "\x1f"
 
@@ -15,38 +16,42 @@ def tokens_of(text: Column) -> Column:
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, f"{BLANK}+"))
 
 
-def context_tokens(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(keep..., pos, context, token): every token with the n-1 tokens before it; the text
-    starts with the start token. Built inside the row, so nothing is shuffled."""
-    keep = keep or ["doc_id"]
+def ngram_counts(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(keep..., context, token, times): every token after the n-1 tokens before it, and how often the
+    row has the two; the text starts with the start token. Counted inside the row, as lengths of runs
+    in its sorted n-grams, so nothing is shuffled."""
+    keep = ["doc_id"] if keep is None else keep
     if n < 1:
         raise ValueError("n must be at least 1")
-    padded = F.concat(F.array_repeat(F.lit(K.START_TOKEN), n - 1), F.col("_tokens"))
-    pairs = F.transform(
-        F.col("_tokens"),
-        lambda token, i: F.struct(
-            i.alias("pos"),
-            F.array_join(F.slice(F.col("_padded"), i + 1, F.lit(n - 1)), CONTEXT_MARK).alias("context"),
-            token.alias("token"),
-        ),
-    )
-    return (
-        docs.select(*keep, tokens_of(F.col(text)).alias("_tokens")).withColumn("_padded", padded)
-        # The outer form spares building every array twice, to test its size.
-        .select(*keep, F.inline_outer(pairs)).filter("token IS NOT NULL")
+    # No token holds the mark, which counts as a blank: what follows the last one is the token.
+    def context_of(i: Column) -> Column:
+        before = [F.coalesce(F.get("_tokens", i - back), F.lit(K.START_TOKEN)) for back in range(n - 1, 0, -1)]
+        return F.concat_ws(CONTEXT_MARK, *before) if before else F.lit("")
+
+    gram = lambda token, i: F.concat(context_of(i), F.lit(CONTEXT_MARK), token)
+    rows = docs.select(*keep, tokens_of(F.col(text)).alias("_tokens")).select(*keep, F.sort_array(F.transform("_tokens", gram)).alias("_grams"))
+    first = lambda gram, i: F.when((i == 0) | (gram != F.get("_grams", i - 1)), i)
+    rows = rows.withColumn("_starts", F.filter(F.transform("_grams", first), F.isnotnull))
+    run = lambda at, i: F.struct(
+        F.get("_grams", at).alias("_gram"), (F.coalesce(F.get("_starts", i + 1), F.size("_grams")) - at).cast("bigint").alias("times")
     )
+    token = F.substring_index("_gram", CONTEXT_MARK, -1)
+    context = F.left("_gram", F.char_length("_gram") - F.char_length(token) - 1)
+    return rows.select(*keep, F.inline(F.transform("_starts", run))).select(*keep, context.alias("context"), token.alias("token"), "times")
 
 
-def fit_ngram(docs: DataFrame, n: int = 2, text: str = "text", group: str | None = None) -> DataFrame:
-    """(context, token, n, p), with a group column in front for one model per group."""
+def fit_counts(counts: DataFrame, group: str | None = None) -> DataFrame:
+    """(context, token, n, p) from rows of ngram_counts, with a group column in front for one model
+    per group."""
     by = [group] if group else []
-    tokens = context_tokens(docs, n, text, keep=by or ["doc_id"])
-    counts = tokens.groupBy(*by, "context", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy(*by, "context", "token").agg(F.sum("times").alias("n"))
     totals = counts.groupBy(*by, "context").agg(F.sum("n").alias("_total"))
-    return (
-        counts.join(totals, [*by, "context"])
-        .withColumn("p", F.col("n") / F.col("_total")).drop("_total")
-    )
+    return counts.join(totals, [*by, "context"]).withColumn("p", F.col("n") / F.col("_total")).drop("_total")
+
+
+def fit_ngram(docs: DataFrame, n: int = 2, text: str = "text", group: str | None = None) -> DataFrame:
+    """The n-gram model of texts, as fit_counts gives it."""
+    return fit_counts(ngram_counts(docs, n, text, [group] if group else []), group)
 
 
 def floor_probs(model: DataFrame, group: str | None = None, floor: float = K.PROBABILITY_FLOOR) -> DataFrame:
@@ -57,24 +62,61 @@ def floor_probs(model: DataFrame, group: str | None = None, floor: float = K.PRO
     return raised.join(totals, by).withColumn("p", F.col("p") / F.col("_total")).drop("_total")
 
 
-def estimate_ratio(
-    docs: DataFrame, model: DataFrame, n: int = 2, text: str = "text", doc_id: str = "doc_id",
-    group: str | None = None,
-) -> DataFrame:
-    """(doc_id, num_tokens, bits, ratio): ideal code length under the model and what 16 bits
-    per token come to against it. Tokens the model lacks add no bits; no bits, no limit.
+def _with_ratio(costs: DataFrame, bits: str = "bits", out: str = "ratio") -> DataFrame:
+    """What 16 bits per token come to against the code length; no bits, no limit."""
+    ratio = F.when(F.col(bits) == 0, float("inf")).otherwise(K.BITS_PER_TOKEN_ID * F.col("num_tokens") / F.col(bits))
+    return costs.withColumn(out, ratio)
+
 
-    Equal (document, context, token) triples are counted before the model is looked up."""
+def price_counts(counts: DataFrame, model: DataFrame, doc_id: str = "doc_id", group: str | None = None) -> DataFrame:
+    """(doc_id, num_tokens, bits, ratio) from rows of ngram_counts: ideal code length under the model.
+    Tokens the model lacks add no bits."""
     by = [group] if group else []
-    tokens = context_tokens(docs, n, text, keep=[doc_id, *by])
-    counts = tokens.groupBy(doc_id, *by, "context", "token").agg(F.count(F.lit(1)).alias("times"))
     cost = F.when(F.col("p") > 0, -F.log2("p") * F.col("times"))
     per_doc = (
         counts.join(model.select(*by, "context", "token", "p"), [*by, "context", "token"], "left")
         .groupBy(doc_id).agg(F.sum("times").alias("num_tokens"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("bits"))
     )
-    ratio = F.when(F.col("bits") == 0, float("inf")).otherwise(K.BITS_PER_TOKEN_ID * F.col("num_tokens") / F.col("bits"))
-    return per_doc.withColumn("ratio", ratio)
+    return _with_ratio(per_doc)
+
+
+def estimate_ratio(
+    docs: DataFrame, model: DataFrame, n: int = 2, text: str = "text", doc_id: str = "doc_id",
+    group: str | None = None,
+) -> DataFrame:
+    """price_counts of texts."""
+    return price_counts(ngram_counts(docs, n, text, [doc_id, *([group] if group else [])]), model, doc_id, group)
+
+
+def own_ratio(docs: DataFrame, n: int = 2, text: str = "text", doc_id: str = "doc_id", group: str | None = None) -> DataFrame:
+    """estimate_ratio under the texts' own model: texts are read and counted once."""
+    counts = kept(ngram_counts(docs, n, text, [doc_id, *([group] if group else [])]), "ngrams")
+    return price_counts(counts, fit_counts(counts, group), doc_id, group)
+
+
+def both_costs(docs: DataFrame, group: str, n: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, num_tokens, base_bits, tuned_bits): code lengths under one model of all texts and under
+    one per group. Texts are counted once, one aggregate over grouping sets gives both models, and
+    one pass over the counts prices them under both."""
+    counts = kept(ngram_counts(docs, n, text, [doc_id, group]).withColumnRenamed(group, "_group"), "ngrams")
+    models = counts.groupingSets([["_group", "context", "token"], ["context", "token"]], "_group", "context", "token").agg(
+        F.sum("times").alias("n"), (F.grouping("_group") == 1).alias("_base")
+    )
+    models = kept(models, "models")
+    totals = models.groupBy("_base", "_group", "context").agg(F.sum("n").alias("_total"))
+
+    def side(base: bool, name: str) -> DataFrame:
+        own, of = models.filter(F.col("_base") == base).drop("_base"), totals.filter(F.col("_base") == base).drop("_base")
+        same = (F.col("m.context") == F.col("t.context")) & F.col("m._group").eqNullSafe(F.col("t._group"))
+        priced = own.alias("m").join(of.alias("t"), same)
+        return priced.select("m._group", "m.context", "m.token", (-F.log2(F.col("n") / F.col("_total"))).alias(name))
+
+    prices = side(False, "_tuned").join(side(True, "_base").drop("_group"), ["context", "token"])
+    same = [F.col(f"c.{x}") == F.col(f"p.{x}") for x in ("context", "token")] + [F.col("c._group").eqNullSafe(F.col("p._group"))]
+    return counts.alias("c").join(prices.alias("p"), same).groupBy(doc_id).agg(
+        F.sum("times").alias("num_tokens"),
+        F.sum(F.col("times") * F.col("_base")).alias("base_bits"), F.sum(F.col("times") * F.col("_tuned")).alias("tuned_bits"),
+    )
 
 
 def byte_ratio(docs: DataFrame, costs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -90,6 +132,15 @@ def byte_ratio(docs: DataFrame, costs: DataFrame, text: str = "text", doc_id: st
     return rows.withColumn("compression_ratio", ratio)
 
 
+def _preview(text: str) -> Column:
+    return F.when(F.char_length(text) > 100, F.concat(F.left(text, F.lit(100)), F.lit("..."))).otherwise(F.col(text))
+
+
+def _saved() -> Column:
+    saved = (F.col("base_bytes") - F.col("tuned_bytes")) / F.col("base_bytes") * 100
+    return F.when(F.col("base_bytes") == 0, 0.0).otherwise(saved)
+
+
 def compare_models(
     docs: DataFrame, base: DataFrame, tuned: DataFrame, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -100,14 +151,25 @@ def compare_models(
             F.col("compression_ratio").alias(f"{name}_ratio"),
         )
 
-    preview = F.when(
-        F.char_length(text) > 100, F.concat(F.left(text, F.lit(100)), F.lit("..."))
-    ).otherwise(F.col(text))
-    saved = (F.col("base_bytes") - F.col("tuned_bytes")) / F.col("base_bytes") * 100
     return (
-        docs.select(doc_id, preview.alias("text_preview"), F.char_length(text).alias("text_length"))
+        docs.select(doc_id, _preview(text).alias("text_preview"), F.char_length(text).alias("text_length"))
         .join(side(base, "base"), doc_id).join(side(tuned, "tuned"), doc_id)
-        .withColumn("improvement_pct", F.when(F.col("base_bytes") == 0, 0.0).otherwise(saved))
+        .withColumn("improvement_pct", _saved())
+    )
+
+
+def compare_grouped(docs: DataFrame, group: str, n: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """compare_models of one model of all texts and one model per group, from both_costs: texts are
+    read twice, once to count and once for their sizes and previews."""
+    size = F.octet_length(text).cast("bigint")
+    rows = docs.select(doc_id, _preview(text).alias("text_preview"), F.char_length(text).alias("text_length"), size.alias("_size"))
+    rows = rows.join(both_costs(docs, group, n, text, doc_id), doc_id, "left")
+    for name in ("base", "tuned"):
+        rows = rows.withColumn(f"{name}_bytes", F.ceil(F.coalesce(f"{name}_bits", F.lit(0.0)) / 8).cast("bigint"))
+        ratio = F.when(F.col(f"{name}_bytes") > 0, F.col("_size") / F.col(f"{name}_bytes")).otherwise(0.0)
+        rows = rows.withColumn(f"{name}_ratio", ratio)
+    return rows.select(
+        doc_id, "text_preview", "text_length", "base_bytes", "base_ratio", "tuned_bytes", "tuned_ratio", _saved().alias("improvement_pct")
     )
 
 

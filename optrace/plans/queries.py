@@ -543,9 +543,8 @@ def floored_model(spark, sf):
     return floored.select("lang", "token", F.round("p", 9).alias("p"))
 
 
-def _costs(spark, sf, group=None):
-    docs = _docs(spark, sf)
-    return compress.estimate_ratio(docs, compress.fit_ngram(docs, 2, group=group), 2, group=group)
+def _costs(spark, sf):
+    return compress.own_ratio(_docs(spark, sf), 2)
 
 
 @query
@@ -553,16 +552,10 @@ def compress_ratio(spark, sf):
     return _costs(spark, sf).select("doc_id", "num_tokens", F.round("bits", 4).alias("bits"), F.round("ratio", 6).alias("ratio"))
 
 
-def _compared(spark, sf):
-    docs = _docs(spark, sf)
-    base = compress.byte_ratio(docs, _costs(spark, sf))
-    tuned = compress.byte_ratio(docs, _costs(spark, sf, "lang"))
-    return compress.compare_models(docs, base, tuned)
-
-
 @query
 def compare_models(spark, sf):
-    return _compared(spark, sf).select("doc_id", "text_preview", "text_length", "base_bytes", "tuned_bytes", F.round("improvement_pct", 6).alias("improvement_pct"))
+    compared = compress.compare_grouped(_docs(spark, sf), "lang")
+    return compared.select("doc_id", "text_preview", "text_length", "base_bytes", "tuned_bytes", F.round("improvement_pct", 6).alias("improvement_pct"))
 
 
 @query

@@ -64,6 +64,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet to a new shared folder, and read from there: later plans read the
+    columns they need."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "optrace", cpus: str = "8", partitions: str = "8") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     spark = (
