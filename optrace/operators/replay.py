@@ -312,76 +312,123 @@ def plain_sessions(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changing.join(refused, "session", "left_anti"), refused
 
 
-def fold_files(initial: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Log numbers in a range of fold_files: no task holds more operations of one path than that.
+RANGE = 8192
+
+
+def _last(value: Column, order: str = "seq") -> Column:
+    """The last value of a group that is not NULL."""
+    return F.max_by(value, F.when(value.isNotNull(), F.col(order)))
+
+
+def fold_files(initial: DataFrame, ops: DataFrame, width: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """fold() by window functions, for sessions that only touch files: (rows as fold gives them,
-    sessions left to fold()). What an operation meets depends on its own path alone, so everything
-    is a running value over (session, path) in log order."""
+    sessions left to fold()). What an operation meets depends on its own path alone.
+
+    A path's log is a segmented scan: the operations of every range of width log numbers are summed
+    up in one narrow row (what is left after them, or nothing where they leave a value alone), these
+    rows are scanned path by path, and each range starts from what the ranges before it left. So a
+    path with any share of the log is spread over as many tasks as it has ranges."""
     changing, refused = plain_sessions(ops)
-    start = F.struct(*STATE_COLUMNS)
     state = _initial_state(initial).join(refused, "session", "left_anti")
     dirs = state.filter("is_dir").select("session", F.col("path").alias("_parent"), F.lit(True).alias("_has_parent"))
     rows = changing.withColumn("_parent", F.coalesce(paths.parent(F.col("path")), F.lit("")))
     rows = rows.join(dirs, ["session", "_parent"], "left").withColumn("_makes", F.coalesce("_has_parent", F.col("_parent") == "")).drop("_parent", "_has_parent")
-    touched = changing.select("session", "path").distinct()
-    begin = state.join(touched, ["session", "path"], "left_semi").select("session", "path", F.lit(-1).cast("bigint").alias("seq"), start.alias("start"))
-    rows = rows.unionByName(begin, allowMissingColumns=True)
-
-    op, path = F.col("operation"), Window.partitionBy("session", "path").orderBy("seq")
-    before = path.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = path.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_dir", F.coalesce(F.first(F.col("start.is_dir"), ignorenulls=True).over(so_far), F.lit(False)))
-    lives = F.when(F.col("start").isNotNull(), True).when((op == "create") & F.col("_makes"), True).when(op == "unlink", False)
-    rows = rows.withColumn("_there", F.col("_dir") | F.coalesce(F.last(lives, ignorenulls=True).over(before), F.lit(False)))
+    rows = rows.join(state.select("session", "path", F.struct(*STATE_COLUMNS).alias("start")), ["session", "path"], "left")
+    keys = ["session", "path", "_range"]
+    rows = rows.withColumn("_range", F.floor(F.col("seq") / width)).withColumn("_dir", F.coalesce("start.is_dir", F.lit(False)))
+
+    op, own, begun = F.col("operation"), Window.partitionBy(*keys).orderBy("seq"), F.col("start").isNotNull()
+    before, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy("session", "path").orderBy("_range")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+
+    # Whether the path is there: the last operation that makes or removes it says so.
+    lives = F.when((op == "create") & F.col("_makes"), True).when(op == "unlink", False)
+    lived = rows.groupBy(*keys).agg(_last(lives).alias("_lives"))
+    lived = lived.select(*keys, F.last("_lives", ignorenulls=True).over(earlier).alias("_lives"))
+    rows = rows.join(lived, keys).withColumn("_there_in", F.col("_dir") | F.coalesce("_lives", begun)).drop("_lives")
+    rows = rows.withColumn("_there", F.col("_dir") | F.coalesce(F.last(lives, ignorenulls=True).over(before), F.col("_there_in")))
     is_create, is_attribute = op == "create", op.isin("chmod", "chown")
     reason = (
-        F.when(F.col("_dir") & op.isNotNull() & ~is_attribute, "is_directory")
+        F.when(F.col("_dir") & ~is_attribute, "is_directory")
         .when(is_create & ~F.col("_makes"), "parent_missing")
-        .when(op.isNotNull() & ~is_create & ~F.col("_there"), "missing")
+        .when(~is_create & ~F.col("_there"), "missing")
     )
     rows = rows.withColumn("reason", reason)
     done = F.col("reason").isNull()
-    born = F.col("start").isNotNull() | (done & is_create & ~F.col("_there"))
-    rows = rows.withColumn("_life", F.count_if(born).over(so_far))
-    emptied = F.col("start").isNotNull() | (done & op.isin("create", "truncate"))
-    rows = rows.withColumn("_base", F.count_if(emptied).over(so_far))
-    life = Window.partitionBy("session", "path", "_life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    base = Window.partitionBy("session", "path", "_base").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-
-    def running(*cases: tuple[Column, Column]) -> Column:
-        value = F.when(F.lit(False), cases[0][1])
-        for when, then in cases:
-            value = value.when(done & when, then)
-        return F.last(value, ignorenulls=True).over(life)
+    new = done & is_create & ~F.col("_there")
 
-    new = is_create & ~F.col("_there")
-    begun = F.col("start").isNotNull()
-    given = lambda c: F.coalesce(F.col(c), F.lit("-1")) != "-1"
+    def assigned(at_birth: Column, *cases: tuple[Column, Column]) -> Column:
+        """What the operation sets, as struct(v); NULL where it sets nothing."""
+        out = F.when(new, F.struct(at_birth.alias("v")))
+        for when, then in cases:
+            out = out.when(done & when & then.isNotNull(), F.struct(then.alias("v")))
+        return out
+
+    given = lambda c: F.when(F.col(c) != "-1", F.col(c))
+    sets = {
+        "mode": assigned(F.coalesce("mode", F.lit(transition.DEFAULT_FILE_MODE)), (op == "chmod", F.col("mode"))),
+        "owner": assigned(F.lit("root"), (op == "chown", given("uid"))),
+        "group": assigned(F.lit("root"), (op == "chown", given("gid"))),
+        "mtime": assigned(F.col("mtime"), (op.isin("create", "write", "truncate"), F.col("mtime"))),
+    }
     end = F.coalesce("offset", F.lit(0)) + F.coalesce("data_length", F.octet_length("data"), F.lit(0))
-    rows = rows.withColumns({
-        "mode": running((begun, F.col("start.mode")), (new, F.coalesce("mode", F.lit(transition.DEFAULT_FILE_MODE))), (op == "chmod", F.col("mode"))),
-        "owner": running((begun, F.col("start.owner")), (new, F.lit("root")), ((op == "chown") & given("uid"), F.col("uid"))),
-        "group": running((begun, F.col("start.group")), (new, F.lit("root")), ((op == "chown") & given("gid"), F.col("gid"))),
-        "mtime": running((begun, F.col("start.mtime")), (op.isin("create", "write", "truncate"), F.col("mtime"))),
-        "size": F.greatest(
-            F.first(F.when(begun, F.col("start.size")).when(op == "truncate", F.coalesce("length", F.lit(0))).otherwise(0)).over(base),
-            F.max(F.when(done & (op == "write"), end)).over(base),
-        ),
-    })
+    emptied = done & op.isin("create", "truncate")
+    rows = rows.withColumns({f"_{c}": v for c, v in sets.items()} | {"_cuts": F.count_if(emptied).over(so_far)})
+    base = Window.partitionBy(*keys, "_cuts").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    cut_to = F.when(emptied, F.when(op == "truncate", F.coalesce("length", F.lit(0))).otherwise(0))
+    # Size from this range alone: since it was last cut, or, if it was not, what writes make it at least.
+    rows = rows.withColumn("_reach", F.greatest(F.first(cut_to).over(base), F.max(F.when(done & (op == "write"), end)).over(base)))
+    rows = rows.withColumns({"_reach_before": F.lag("_reach").over(own), "_cuts_before": F.coalesce(F.lag("_cuts").over(own), F.lit(0))})
     # Contents are known after an emptying, and after a write of a whole file whose bytes are logged.
-    before_size = F.lag("size").over(path)
-    full = (F.octet_length("data") == F.coalesce("data_length", F.octet_length("data"))) & (end >= F.coalesce(before_size, F.lit(0)))
-    content = (
-        F.when(begun, F.struct(F.col("start.content").alias("c")))
-        .when(done & is_create, F.struct(F.lit("").alias("c")))
-        .when(done & (op == "truncate"), F.struct(F.when(F.coalesce("length", F.lit(0)) == 0, "").alias("c")))
-        .when(done & (op == "write"), F.struct(F.when(full, F.col("data")).alias("c")))
-    )
-    rows = rows.withColumn("content", F.last(content, ignorenulls=True).over(life)["c"]).withColumn("is_dir", F.col("_dir"))
-    after = F.when(~(done & op.eqNullSafe("unlink")), F.struct(*STATE_COLUMNS))
+    whole = F.octet_length("data") == F.coalesce("data_length", F.octet_length("data"))
+    text = (
+        F.when(is_create, F.lit("")).when((op == "truncate") & (F.coalesce("length", F.lit(0)) == 0), F.lit(""))
+        .when((op == "write") & whole, F.col("data"))
+    )
+    # It holds if the write reaches the end of the file before it.
+    least = F.when(op == "write", end)
+    content = F.when(
+        emptied | (done & (op == "write")),
+        F.struct(text.alias("text"), least.alias("end"), F.col("_reach_before").alias("reach"), (F.col("_cuts_before") > 0).alias("cut")),
+    )
+    rows = rows.withColumn("_content", content)
+
+    def known(written: Column, size_in: Column) -> Column:
+        size = F.when(written["cut"], written["reach"]).otherwise(F.greatest(size_in, written["reach"]))
+        fits = written["end"].isNull() | (written["end"] >= F.coalesce(size, F.lit(0)))
+        return F.when(written.isNotNull(), F.struct(F.when(fits, written["text"]).alias("v")))
+
+    # One row for each range, and what the ranges before it leave to it.
+    left = rows.groupBy(*keys).agg(
+        *[_last(F.col(f"_{c}")).alias(f"_{c}") for c in sets], F.max("_cuts").alias("_cuts"), F.max_by("_reach", "seq").alias("_reach"),
+        _last(F.col("_content")).alias("_content"), F.first("start").alias("start"),
+    )
+    left = left.withColumn("_part", F.count_if(F.col("_cuts") > 0).over(ranges))
+    at_start = F.when(F.col("_part") == 0, F.coalesce("start.size", F.lit(0)))
+    reach = F.max("_reach").over(Window.partitionBy("session", "path", "_part").orderBy("_range"))
+    left = left.withColumn("_size", F.greatest(at_start, reach)).withColumn("size_in", F.coalesce(F.lag("_size").over(ranges), F.coalesce("start.size", F.lit(0))))
+    left = left.withColumn("_content", known(F.col("_content"), F.col("size_in")))
+    carried = left.select(*keys, "size_in", *[
+        F.coalesce(F.last(f"_{c}", ignorenulls=True).over(earlier), F.when(begun, F.struct(F.col(f"start.{c}").alias("v")))).alias(f"{c}_in")
+        for c in (*sets, "content")
+    ])
+
+    rows = rows.join(carried, keys)
+    running = lambda c, value: F.coalesce(F.last(value, ignorenulls=True).over(so_far), F.col(f"{c}_in"))["v"]
+    size = F.when(F.col("_cuts") > 0, F.col("_reach")).otherwise(F.greatest("size_in", "_reach"))
+    rows = rows.withColumns(
+        {c: running(c, F.col(f"_{c}")) for c in sets}
+        | {"content": running("content", known(F.col("_content"), F.col("size_in"))), "size": size, "is_dir": F.col("_dir")}
+    )
+    after = F.when(~(done & (op == "unlink")), F.struct(*STATE_COLUMNS))
     rows = rows.withColumn("_after", F.when(F.col("_there") | done, after))
-    # The state before is that after the last operation that was done.
-    rows = rows.withColumn("before", F.last(F.when(done, F.struct(F.col("_after").alias("s"))), ignorenulls=True).over(before)["s"])
-    rows = rows.filter(op.isNotNull())
+    # The state before is that after the last operation that was done, in this range or in an earlier one.
+    values = {"is_dir": F.col("_dir"), "size": F.col("size_in")} | {c: F.col(f"{c}_in")["v"] for c in (*sets, "content")}
+    state_in = F.when(F.col("_there_in"), F.struct(*[values[c].alias(c) for c in STATE_COLUMNS]))
+    last_done = F.last(F.when(done, F.struct(F.col("_after").alias("s"))), ignorenulls=True).over(before)
+    rows = rows.withColumn("before", F.coalesce(last_done, F.struct(state_in.alias("s")))["s"])
     by_op = F.create_map(*[F.lit(x) for pair in transition.ERRNO.items() for x in pair])
     errno = F.when(is_create & (F.col("reason") == "is_directory"), "EIO").otherwise(by_op[op])
     none = {c: F.lit(None).cast(t) for c, t in zip(STATE_COLUMNS, ("boolean", "int", "string", "string", "double", "bigint", "string"))}

@@ -245,8 +245,9 @@ def test_scoped_fold_equals_plain_model(spark):
     assert got == want
 
 
-def test_file_windows_equal_fold(spark):
-    """Histories of file operations: the windows give what the fold gives."""
+@pytest.mark.parametrize("width", [1, 7, 8192])
+def test_file_windows_equal_fold(spark, width):
+    """Histories of file operations: ranges of any width give what the fold gives."""
     rng, initial, ops = random.Random(8), [], []
     for k in range(40):
         session = f"w{k}"
@@ -257,7 +258,7 @@ def test_file_windows_equal_fold(spark):
                       "chmod": {"mode": rng.choice(["0o100600", "0o100755"])}, "chown": {"uid": rng.choice([-1, 3]), "gid": 4}, "create": rng.choice([{}, {"mode": "0o100640"}])}.get(kind, {})
             ops.append(op(i, kind, "/" + rng.choice(["d/u", "d/n", "v", "none/x", "d", "w"]), session, **params))
     start, log = table(spark, initial), spark.createDataFrame(ops, schema.OPS)
-    rows, refused = replay.fold_files(start, log)
+    rows, refused = replay.fold_files(start, log, width)
     assert refused.isEmpty()
     plain = replay.fold(start, log, with_before=True)
     assert set(map(str, replay.outcomes(rows).collect())) == set(map(str, replay.outcomes(plain).collect()))
@@ -269,6 +270,23 @@ def test_file_windows_equal_fold(spark):
     assert all(r.content is None or r.content == known[r.session, r.seq] for r in left)
 
 
+def test_a_hot_path_is_spread(spark):
+    """One path with all operations: sizes add up over the ranges, and many tasks work on it."""
+    n = 4000
+    log = spark.range(n).selectExpr(
+        "'s' AS session", "id + 1 AS seq", "IF(id = 0, 'create', 'write') AS operation", "'/f' AS path", "timestamp_seconds(id) AS ts",
+        "IF(id = 0, map('mode', '0o100644'), map('data_length', '5', 'offset', CAST(5 * (id - 1) AS string))) AS parameters",
+    )
+    rows, _ = replay.fold_files(table(spark, [entry("", snap="s")]), log, 100)
+    changes = rows.filter("kind = 'change'")
+    assert changes.selectExpr("count(*)", "sum(size)", "max(size)").first() == (n, 5 * (n - 1) * n // 2, 5 * (n - 1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert changes.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_transitions_chain(spark):
     ops = [op(1, "create", "/f"), op(2, "write", "/f", data="abc", data_length=3), op(3, "create", "/g"), op(4, "rename", "/f", new_path="/g")]
     rows = replay.transitions(table(spark, [entry("")]), spark.createDataFrame(ops, schema.OPS)).collect()
