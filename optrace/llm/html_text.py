@@ -6,15 +6,18 @@ and table parts that are not marked are filled in). Elements that never hold an
 density is its characters per tag, adjusted by how many of them are links; its density sum
 adds up the densities of its children. The threshold is the least density on the path from the
 element of the greatest sum up to the body; the text is, from the body down, the subtree of the
-greatest sum in every element that reaches it, or the article or main element around the greatest.
-An element whose class, id or role has a mark's word among others (has-sidebar) is left out only if
-it is small beside the page's text or mostly links."""
+greatest sum in every element that reaches it, and the whole of an article or main element around the
+greatest. An element whose class, id or role has a mark's word among others (has-sidebar) is left out only if
+it is small beside the page's text, mostly links, or a list of comments by its parts. Reading takes time
+in proportion to the page, whatever its tags and quotes."""
 
 from __future__ import annotations
 
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,13 +25,10 @@ from pyspark.sql import DataFrame
 
 from optrace.llm.common import slices
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s|/)(?:[^'\">]|\"[^\"]*\"|'[^']*')*|)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+NAME, SPECIAL = re.compile(r"(/?)([a-zA-Z][^\s/>]*)"), re.compile("[\"'>]")
 #: Fixed values of HTML: elements without content, with raw content, and that make a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {x: re.compile(f"</{x}(?=[\\s/>])[^>]*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
+RAW = {x: re.compile(f"</{x}(?=[\\s/>])", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,6 +46,9 @@ MARKS = set(
     "aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup comment comments "
     "respond discussion disqus reply replies social share sharing related recommended widget toolbar pagination complementary contentinfo".split()
 )
+#: Words of a list of reader comments, and words that say nothing beside them.
+COMMENTS = set("comment comments respond discussion disqus reply replies".split())
+PLAIN = set("user users reader readers list lists section area container wrapper block box thread threads form post posts page item items region root wrap count".split())
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Fixed value: the share of text, and of links, that decides on elements marked by a word among others.
@@ -54,16 +57,75 @@ CONTAINERS = set("div section ul ol dl table header center".split())
 SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether a name in class, id or role is all marks, and whether one has a mark's word among others."""
-    partly = False
+def _marked(attributes: str) -> tuple[bool, bool, str]:
+    """Whether a name in class, id or role is all marks, or comments with plain words beside them;
+    whether one has a mark's word among others; and all names."""
+    partly, names = False, []
     for found in ATTRIBUTE.finditer(attributes):
         for name in (found[2] or found[3] or found[4] or "").split():
-            words = [w.lower() in MARKS for w in WORD.findall(name)]
-            if words and all(words):
-                return True, True
-            partly |= any(words)
-    return re.search(r"(?:^|\s)(hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", attributes, re.I) is not None, partly
+            words = [w.lower() for w in WORD.findall(name)]
+            names.append(name)
+            if words and (all(w in MARKS for w in words) or (any(w in COMMENTS for w in words) and all(w in COMMENTS or w in PLAIN for w in words))):
+                return True, True, name
+            partly |= any(w in MARKS for w in words)
+    return re.search(r"(?:^|\s)(hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", attributes, re.I) is not None, partly, " ".join(names)
+
+
+class _Tags:
+    """The tags of a page from left to right, in time that grows with its length: what a scan that
+    failed has seen is not looked at again."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.failed: set[int] = set()  # quotes from which no tag ends
+        self.next = (0, -1)  # from the first place on, the second is the next quote or end
+
+    def _special(self, at: int) -> int:
+        if not self.next[0] <= at <= self.next[1]:
+            found = SPECIAL.search(self.source, at)
+            self.next = at, found.start() if found else len(self.source)
+        return self.next[1]
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends the tag, quoted ones not counted; else of the first >."""
+        place, seen = at, []
+        while True:
+            place = self._special(place)
+            if place == len(self.source) or place in self.failed:
+                break
+            if self.source[place] == ">":
+                return place
+            close = self.source.find(self.source[place], place + 1)
+            seen.append(place)
+            if close < 0:
+                break
+            place = close + 1
+        self.failed.update(seen)
+        return self.source.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, int, str, str]]:
+        """(text before, place behind the tag, its name with / in front of an end tag, attributes); the
+        place may be moved by send()."""
+        source, at, size, begin = self.source, 0, len(self.source), 0
+        while True:
+            start = source.find("<", at)
+            if start < 0:
+                yield source[begin:], size, "", ""
+                return
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                name, attributes, end = "", "", size if end < 0 else end + 3
+            elif source.startswith(("<!", "<?"), start) and start < self.last:
+                name, attributes, end = "", "", source.find(">", start) + 1
+            else:
+                found = NAME.match(source, start + 1) if start < self.last else None
+                if not found:
+                    at = start + 1
+                    continue
+                end = self._end(found.end())
+                name, attributes, end = found[1] + found[2].lower(), source[found.end() : end], end + 1
+            moved = yield source[begin:start], end, name, attributes
+            at = begin = end if moved is None else moved
 
 
 class _Page:
@@ -73,13 +135,16 @@ class _Page:
         self.tags, self.parents, self.dropped, self.doubtful = ["body"], [-1], [False], [False]
         self.begins, self.ends = [0], [0]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) between blocks
-        self.stack = [0]
+        self.names = [""]
+        self.stack, self.open = [0], defaultdict(list)  # by tag the places of its open elements in the stack
         self._read(source)
         while self.stack:
             self._close()
 
     def _close(self) -> None:
         node = self.stack.pop()
+        if self.stack:
+            self.open[self.tags[node]].pop()
         self.ends[node] = len(self.events) if self.stack or node == 0 else self.ends[node]
 
     def _text(self, text: str) -> None:
@@ -92,13 +157,9 @@ class _Page:
 
     def _close_to(self, names: set[str], borders: set[str]) -> None:
         """Close the outermost open element of these names above the nearest border."""
-        at = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[i]]
-            if tag in borders:
-                break
-            if tag in names:
-                at = i
+        border = max((self.open[x][-1] for x in borders if self.open[x]), default=0)
+        places = [self.open[x] for x in names if self.open[x] and self.open[x][-1] > border]
+        at = min((x[bisect_right(x, border)] for x in places), default=None)
         if at is not None:
             while len(self.stack) > at:
                 self._close()
@@ -112,61 +173,76 @@ class _Page:
         if tag in CLOSES:
             self._close_to(*CLOSES[tag])
         node = len(self.tags)
-        drop = tag in DROPPED or (tag == "header" and not any(self.tags[x] in ("article", "main") for x in self.stack))
-        marked, doubtful = _marked(attributes) if attributes and tag not in ("html", "body", "article", "main") else (False, False)
+        drop = tag in DROPPED or (tag == "header" and not (self.open["article"] or self.open["main"]))
+        marked, doubtful, names = _marked(attributes) if attributes and tag not in ("html", "body", "article", "main") else (False, False, "")
         drop = drop or marked
+        self.names.append(names)
         self.doubtful.append(doubtful)
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.dropped.append(drop or self.dropped[self.stack[-1]])
         self.begins.append(len(self.events))
         self.ends.append(len(self.events))
+        self.open[tag].append(len(self.stack))
         self.stack.append(node)
 
     def _read(self, source: str) -> None:
-        at, size = 0, len(source)
-        while at < size:
-            found = TAG.search(source, at)
-            if not found:
-                self._text(source[at:])
-                break
-            self._text(source[at : found.start()])
-            at = found.end()
-            tag = (found[2] or found[5] or "").lower()
+        tags, moved = iter(_Tags(source)), None
+        while True:
+            try:
+                text, at, tag, attributes = tags.send(moved)
+            except StopIteration:
+                return
+            moved = None
+            self._text(text)
             if not tag:
                 continue
-            attributes = found[3] or found[6] or ""
-            if found[1] or found[4]:
-                self._end(tag)
-                continue
-            if tag in ("html", "body"):
+            if tag[0] == "/":
+                self._end(tag[1:])
+            elif tag in ("html", "body"):
                 continue
-            if tag in VOID:
+            elif tag in VOID:
                 if tag == "hr":
                     self._break()
                 elif tag == "br":
                     self._text(" ")
-                continue
-            if tag in RAW:
-                end = RAW[tag].search(source, at)
-                at = end.end() if end else size
-                continue
-            self._open(tag, attributes)
-            if attributes.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span", "em", "strong"):
-                self._close()
+            elif tag in RAW:
+                found = RAW[tag].search(source, at)
+                end = source.find(">", found.end()) if found else -1
+                moved = end + 1 if end >= 0 else len(source)
+            else:
+                self._open(tag, attributes)
+                if attributes.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span", "em", "strong"):
+                    self._close()
 
     def _end(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[i]] == tag:
-                while len(self.stack) > i:
-                    self._close()
-                if tag in BLOCK:
-                    self._break()
-                return
-        if tag == "p":
+        if self.open[tag]:
+            at = self.open[tag][-1]
+            while len(self.stack) > at:
+                self._close()
+            if tag in BLOCK:
+                self._break()
+        elif tag == "p":
             self._break()
 
 
+def _repeated(page: _Page) -> set[int]:
+    """Elements with comments among their names that hold several parts of one kind (tag and names)."""
+    kinds: dict[tuple, int] = defaultdict(int)
+    out = set()
+    for i in range(1, len(page.tags)):
+        parent = page.parents[i]
+        if page.tags[i] not in CONTAINERS and page.tags[i] not in ("li", "article"):
+            continue
+        while page.tags[parent] in ("ul", "ol", "dl") and not page.names[parent]:
+            parent = page.parents[parent]
+        if page.doubtful[parent] and any(w.lower() in COMMENTS for w in WORD.findall(page.names[parent])):
+            kinds[parent, page.tags[i], page.names[i]] += 1
+            if kinds[parent, page.tags[i], page.names[i]] > 1:
+                out.add(parent)
+    return out
+
+
 def _drop_doubtful(page: _Page) -> None:
     """Leave out doubtful elements around no article or main that hold less than a SHARE of the
     page's text, or more than a SHARE of whose text is links; and all below an element left out."""
@@ -182,8 +258,9 @@ def _drop_doubtful(page: _Page) -> None:
         chars[page.parents[i]] += chars[i]
         links[page.parents[i]] += links[i]
         whole[page.parents[i]] |= whole[i] and not page.dropped[i]
+    repeated = _repeated(page)
     for i in range(1, n):
-        few = chars[i] < SHARE * chars[0] or links[i] > SHARE * chars[i]
+        few = i in repeated or chars[i] < SHARE * chars[0] or links[i] > SHARE * chars[i]
         page.dropped[i] |= page.dropped[page.parents[i]] or (page.doubtful[i] and not whole[i] and few)
 
 
@@ -230,17 +307,17 @@ def _best(page: _Page) -> list[int]:
     while i > 0:
         i = page.parents[i]
         threshold = min(threshold, density[i])
+    # An article or main element around the greatest sum belongs to the text whatever its density.
     i = top
-    while i > 0:
-        if page.tags[i] in ("article", "main"):
-            return [i]
+    while i > 0 and page.tags[i] not in ("article", "main"):
         i = page.parents[i]
+    whole = {top, i} if i > 0 else {top}
     # The element of the greatest sum below each element, the element itself among them.
     greatest = list(range(n))
     for i in range(n - 1, 0, -1):
         parent = page.parents[i]
         greatest[parent] = min(greatest[parent], greatest[i], key=lambda x: (-worth[x], x))
-    chosen = {top} | {greatest[i] for i in range(n) if chars[i] and not page.dropped[i] and density[i] > 0 and density[i] >= threshold}
+    chosen = whole | {greatest[i] for i in range(n) if chars[i] and not page.dropped[i] and density[i] > 0 and density[i] >= threshold}
     inside, out = [False] * n, []
     for i in range(n):
         inside[i] = i > 0 and inside[page.parents[i]]

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from optrace.llm.html_text import main_text, page_texts
@@ -68,3 +70,36 @@ def test_pages_of_the_tables(spark):
         body = re.search(r"<article>(.*)</article>", page.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert row.text == "\n\n".join(x for x in blocks if x)
+
+
+TEXT = "<p>One line of it says this.</p><p>Another line says that.</p>"
+
+
+def test_sibling_articles_stay():
+    other = "<p>The second one is as long.</p><p>It has two lines as well.</p>"
+    both = "One line of it says this.\n\nAnother line says that.\n\nThe second one is as long.\n\nIt has two lines as well."
+    for page in ("<main><article>{}</article><article>{}</article></main>", "<article>{}</article><article>{}</article>", "<body><div><article>{}</article></div><article>{}</article>"):
+        assert main_text(page.format(TEXT, other)) == both
+
+
+def test_reader_comments_go_whatever_their_size():
+    remark = "<p>" + "This is what somebody has to say about it. " * 9 + "</p>"
+    for name in ("user-comment-list", "reader-comments", "CommentsSection", "post-replies"):
+        assert main_text(f"<article>{TEXT}<div class='{name}'><div>{remark}</div></div></article>") == "One line of it says this.\n\nAnother line says that."
+    held = f"<div class='comments-below x'><div class=c>{remark}</div><div class=c>{remark}</div></div>"
+    assert "somebody" not in main_text(f"<article>{TEXT * 3}{held}</article>")
+    assert "Another line" in main_text(f"<div class='has-comments'>{TEXT * 4}</div>")
+
+
+def test_long_pages_take_proportional_time():
+    pages = ['<a "' * 250_000, "<div>" * 100_000 + "x", "<p><button>" + "<div>" * 50_000, "<a \"'>" * 100_000, "<a " * 200_000 + '">', "<script></script " * 50_000, "<" * 500_000, "</b>" * 200_000]
+    for page in pages:
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 8  # quadratic time would be minutes
+
+
+def test_quotes_in_tags():
+    assert main_text("<p title='a > b'>One</p><p title=\"c's\">Two</p>") == "One\n\nTwo"
+    assert main_text('<p title="open>One</p>') == "One"
+    assert main_text("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
