@@ -373,6 +373,17 @@ ORACLES = {
     "pair_scan": f"WITH {CHAT} SELECT prompt, completion, count(*) AS n FROM cp GROUP BY 1, 2",
     "validated_lines": """SELECT text || '!' AS what, 'kept' AS outcome, count(*) AS n FROM conversations WHERE turn % 4 IN (0, 3) GROUP BY 1
         UNION ALL SELECT NULL, CASE turn % 4 WHEN 1 THEN 'Missing field' ELSE 'Invalid JSON' END, count(*) FROM conversations WHERE turn % 4 IN (1, 2) GROUP BY 2""",
+    "refused_lines": """WITH l AS (SELECT (conv_id % 8)::INT AS bucket, turn, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS line FROM conversations)
+        SELECT bucket, line, CASE turn % 3 WHEN 1 THEN 'Missing field' ELSE 'Invalid JSON' END AS reason FROM l WHERE turn % 3 > 0""",
+    "tree_scan": f"""WITH files AS (SELECT lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, text FROM documents),
+        dirs AS (SELECT DISTINCT unnest(['', lang, lang || '/' || source]) AS path FROM documents)
+        SELECT path, string_split(path, '/')[-1] AS name, false AS is_dir, strlen(text) AS size, sha256(text) AS digest FROM files
+        UNION ALL SELECT path, CASE path WHEN '' THEN '/' ELSE string_split(path, '/')[-1] END, true, 0, sha256('') FROM dirs""",
+    "xml_files": """WITH d AS (SELECT *, CASE WHEN doc_id % 7 = 3 AND text <> '' AND NOT regexp_matches(text, '[<>&]') THEN text || ' > 0' ELSE text END AS body FROM documents)
+        SELECT lang AS snapshot_id, source || '/doc_' || doc_id || '.txt' AS path, false AS is_dir, 420 AS mode, lang AS owner, strlen(text) AS size, sha256(body) AS digest, NULL AS reason FROM d WHERE doc_id % 7 <> 5
+        UNION ALL SELECT DISTINCT lang, source, true, 493, 'root', 0, sha256(''), NULL FROM documents
+        UNION ALL SELECT DISTINCT lang, '', true, 493, 'root', 0, sha256(''), NULL FROM documents
+        UNION ALL SELECT lang, NULL, NULL, NULL, NULL, NULL, NULL, 'Size is no number ' || source || '/doc_' || doc_id || '.txt' FROM documents WHERE doc_id % 7 = 5""",
     "split_sink": f"WITH {CHAT} SELECT example_id, CASE WHEN {SPLIT_KEY} < {int(0.9 * 16**15)} THEN 'train' ELSE 'test' END AS split FROM cp",
     "report_sink": f"""WITH {SCORED} SELECT count(*) AS total_examples, count_if(similarity > 0.7) AS correct_predictions FROM scored, (SELECT unnest([1, 2]) AS side)
         WHERE operation_type IN ('q0', 'q1') GROUP BY side""",

@@ -11,7 +11,7 @@ from optrace.operators.grouping import ordered_groups
 from optrace.operators.infer import predict
 from optrace.plans import views
 from optrace.session import scratch_folder
-from optrace.sources import files
+from optrace.sources import files, tree
 from optrace.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,13 +258,6 @@ def replay_outcomes(spark, sf):
     return replay.outcomes(rows).select("session", "seq", "operation", "ok", "reason", "errno")
 
 
-@query
-def replay_trees(spark, sf):
-    """Renames, links and directory operations; checked against a plain model in the tests."""
-    entries = replay.replay(views.event_initial(spark, sf), views.event_tree_ops(spark, sf))
-    return entries.select(STATE_OUT).withColumn("mtime", F.round("mtime", 3))
-
-
 @query
 def transition_log(spark, sf):
     steps = replay.transitions(views.event_initial(spark, sf), views.event_ops(spark, sf))
@@ -705,6 +698,46 @@ def validated_lines(spark, sf):
     return good.unionByName(rejects.select(F.lit(None).cast("string").alias("what"), F.col("reason").alias("outcome"))).groupBy("what", "outcome").count().withColumnRenamed("count", "n")
 
 
+@query
+def refused_lines(spark, sf):
+    """Lines of files, one for every eighth conversation, that are refused, with their numbers."""
+    turns = views.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    pair = F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("").alias("completion")))
+    line = F.when(F.col("turn") % 3 == 1, F.to_json(F.struct("text"))).when(F.col("turn") % 3 == 2, "{").otherwise(pair)
+    rows = turns.select((F.col("conv_id") % 8).alias("bucket"), "conv_id", "turn", line.alias("value"))
+    folder = scratch_folder(spark, "lines")
+    rows.repartition("bucket").sortWithinPartitions("bucket", "conv_id", "turn").select("bucket", "value").write.partitionBy("bucket").text(folder)
+    _, rejects = files.read_validated(spark, folder)
+    return rejects.select(F.col("bucket").cast("int").alias("bucket"), "line", "reason")
+
+
+@query
+def tree_scan(spark, sf):
+    """Documents written as files of a tree, and the tree read through the data source."""
+    root = scratch_folder(spark, "tree")
+    tree.write_tree(views.doc_snapshots(spark, sf).select(paths.join(F.col("snapshot_id"), F.col("path")).alias("path"), "is_dir", "content"), root)
+    found = tree.read_tree(spark, root)
+    return found.select("path", "name", "is_dir", "size", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
+
+
+@query
+def xml_files(spark, sf):
+    """Snapshots rendered to XML files, some with broken elements, and the files read by splits."""
+    fragments = render.render_xml(views.doc_snapshots(spark, sf), limit=2**31 - 1)
+    cdata = F.regexp_replace("text", "<body>([^<&]*)</body>", "<body><![CDATA[$1 > 0]]></body>")
+    broken = F.regexp_replace("text", ' size="', ' size="x')
+    number = F.regexp_extract("text", r"doc_(\d+)\.txt", 1).try_cast("bigint")
+    text = F.when((F.col("kind") == "file") & (number % 7 == 3), cdata).when((F.col("kind") == "file") & (number % 7 == 5), broken).otherwise(F.col("text"))
+    folder = scratch_folder(spark, "xml")
+    rows = fragments.select("snapshot_id", "place", "sort_key", text.alias("value")).repartition("snapshot_id").sortWithinPartitions("snapshot_id", "place", "sort_key")
+    rows.select(F.col("snapshot_id").alias("state"), "value").write.partitionBy("state").text(folder)
+    entries, rejects = files.read_snapshots_xml(spark, folder)
+    snapshot = F.regexp_extract("snapshot_id", "state=([^/]*)/", 1)
+    return entries.select(snapshot.alias("snapshot_id"), "path", "is_dir", "mode", "owner", "size", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"), F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select(snapshot.alias("snapshot_id"), "reason"), allowMissingColumns=True
+    )
+
+
 @query
 def split_sink(spark, sf):
     folder = f"{scratch_folder(spark, 'split')}/rows"

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from optrace import constants as K
@@ -68,8 +68,22 @@ def load_validated(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     return good, judged.filter("reason IS NOT NULL").select(*lines.columns, "reason")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file and line number (from 1), whatever the splits: a line's place
+    in its split, and the lines of the file's splits before it. Only a row for each split is gathered."""
+    lines = spark.read.text(path).withColumns({
+        "file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id(),
+    })
+    # Row ids follow on in a split; both reads of the files have the same splits.
+    splits = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    splits = splits.select("file", "_block", (before - F.col("_first") + 1).alias("_to_line"))
+    return lines.join(splits, ["file", "_block"]).withColumn("line", F.col("_row") + F.col("_to_line")).drop("_block", "_row", "_to_line")
+
+
 def read_validated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return load_validated(spark.read.text(path))
+    """load_validated of text files: the rejects have their file and line number."""
+    return load_validated(numbered_lines(spark, path))
 
 
 TREE_ROWS = "path string, is_dir boolean, mode int, owner string, `group` string, mtime double, size bigint, content string"

@@ -3,10 +3,11 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import StringStartsWith
 
 from optrace import schema
 from optrace.operators import infer, scoring
-from optrace.sources import files
+from optrace.sources import files, tree
 from optrace.streaming import live
 
 LOG = [
@@ -110,3 +111,57 @@ def test_live_state_and_counts(spark, tmp_path):
     rows = {(r.operation, r.path): r for r in spark.table("state").collect()}
     assert rows["write", "d/f"].content == "hi" and rows["write", "d/f"]["size"] == 2
     assert not rows["unlink", "nope"].ok and rows["unlink", "nope"].reason == "missing"
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Files of several splits, and several files in a task: numbers are the lines' places in their file."""
+    wanted = {}
+    for name, n in (("a", 3000), ("b", 7), ("c", 0), ("d", 900)):
+        lines = [("x" * (i * 37 % 90)) + f" {i}" if i % 11 else "" for i in range(n)]
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+        wanted.update({(name, i + 1): x for i, x in enumerate(lines)})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("4000", "30000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.numbered_lines(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert len(rows) == len(wanted) and {(r.file.rsplit("/", 1)[-1], r.line): r.value for r in rows} == wanted
+    (tmp_path / "pairs").write_text('{"prompt": "p", "completion": "c"}\n{"prompt": "p"}\n\nno json\n')
+    good, rejects = files.read_validated(spark, str(tmp_path / "pairs"))
+    assert good.count() == 1 and sorted((r.line, r.reason) for r in rejects.collect()) == [(2, "Missing field"), (3, "Invalid JSON"), (4, "Invalid JSON")]
+
+
+def test_tree_source(spark, tmp_path):
+    entries = [("a/b/one.txt", False, "é1"), ("a/two", False, ""), ("empty", True, None), ("a/c", True, None), (".dot/x", False, "x" * 50), ("z", False, None)]
+    n = tree.write_tree(spark.createDataFrame(entries, "path string, is_dir boolean, content string").repartition(3), str(tmp_path / "t"))
+    assert n == len(entries)
+    (tmp_path / "t" / "a" / "raw").write_bytes(b"\xff\xfe")
+    found = tree.read_tree(spark, str(tmp_path / "t"))
+    rows = {r.path: r for r in found.collect()}
+    assert set(rows) == {"", "a", "a/b", "a/b/one.txt", "a/two", "a/c", "empty", ".dot", ".dot/x", "z", "a/raw"}
+    assert (rows["a/b/one.txt"].content, rows["a/b/one.txt"].size, rows["a/raw"].content, rows[""].name) == ("é1", 3, None, "/")
+    columns = ["path", "name", "is_dir", "mode", "owner", "group", "size", "content"]
+    walked = files.scan_tree(spark, str(tmp_path / "t")).select(columns).collect()
+    assert {tuple(r) for r in walked} == {tuple(r[c] for c in columns) for r in rows.values()}
+    assert {r.path for r in found.filter("path LIKE 'a/b%'").collect()} == {"a/b", "a/b/one.txt"}
+    assert [r.path for r in found.filter("path = 'a/two'").collect()] == ["a/two"] and found.filter("path = 'none/x'").count() == 0
+    assert tree.read_tree(spark, str(tmp_path / "t"), content_limit=10).filter("path = '.dot/x'").first().content is None
+
+
+def test_tree_source_lists_only_what_may_match(tmp_path):
+    for name in ("a/b/f", "a/c/f", "d/e/f"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    reader = tree.TreeReader({"root": str(tmp_path)})
+    list(reader.pushFilters([StringStartsWith(("path",), "a/b")]))
+    listed = []
+    inside = tree.Store.inside
+    tree.Store.inside = lambda self, folder: listed.append(folder) or inside(self, folder)
+    try:
+        parts = reader.partitions()
+        found = {p for part in parts for batch in reader.read(part) for p in batch.column("path").to_pylist()}
+    finally:
+        tree.Store.inside = inside
+    assert "a/b/f" in found and "d/e/f" not in found and set(listed) == {"", "a", "a/b"}
