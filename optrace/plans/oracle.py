@@ -2,6 +2,7 @@
 Spark code. Queries without an entry have no practical SQL; tests check them by brute force."""
 
 from optrace import constants as K
+from optrace.functions import names
 
 B = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 
@@ -164,6 +165,80 @@ def _word(words, digest: str, i: int) -> str:
     return f"{_list(words)}[({_draw(digest, i)} % {len(words)} + 1)::INT]"
 
 
+class _Sql(str):
+    """An expression among texts."""
+
+
+def _joined(parts) -> str:
+    return " || ".join(x if isinstance(x, _Sql) else _quote(x) for x in parts)
+
+
+def _filename(digest: str) -> str:
+    return (f"({_word(K.FILE_PREFIXES, digest, 2)} || CASE WHEN {_draw(digest, 0)} / 16777216.0::DOUBLE < 0.3 THEN '_' || {_word(K.FILE_MIDDLES, digest, 1)} ELSE '' END"
+            f" || ({_draw(digest, 3)} % 999 + 1) || '.' || {_word(K.FILE_SUFFIXES, digest, 4)})")
+
+
+def _dirname(digest: str) -> str:
+    return (f"({_word(K.DIR_NAMES, digest, 4)} || CASE WHEN {_draw(digest, 0)} / 16777216.0::DOUBLE < 0.2 THEN '_' || {_word(K.DIR_SUFFIXES, digest, 1)} ELSE '' END"
+            f" || CASE WHEN {_draw(digest, 2)} / 16777216.0::DOUBLE < 0.5 THEN ({_draw(digest, 3)} % 99 + 1)::VARCHAR ELSE '' END)")
+
+
+def _cases(kind: str, texts: list[list]) -> str:
+    return f"CASE {kind} % {len(texts)} " + " ".join(f"WHEN {i} THEN {_joined(parts)}" for i, parts in enumerate(texts)) + " END"
+
+
+def _contents(source: str, out: str, path: str = "path") -> str:
+    """Tables up to out: source with the content made for its paths. Templates are shared with the
+    operator; draws, kinds and cuts are worked out here."""
+    words = {"noun": K.NOUNS, "adjective": K.ADJECTIVES, "verb": K.VERBS, "fn": K.FUNCTION_NAMES, "var": K.VARIABLE_NAMES, "flag": ["true", "false"]}
+    drawn = ", ".join(f"{_word(w, 'cd', i)} AS c_{n}" for i, (n, w) in enumerate(words.items()))
+    line = "sha256(cd || '|' || i)"
+    two = lambda low, high, i: f"lpad(({_draw(line, i)} % {high - low + 1} + {low})::VARCHAR, 2, '0')"
+    log_line = " || ".join([
+        "'2024-'", two(1, 12, 1), "'-'", two(1, 28, 2), "'T'", two(0, 23, 3), "':'", two(0, 59, 4), "'Z '", _word(K.LOG_LEVELS, line, 0), "' '", _word(K.NOUNS, line, 5),
+        "'/'", f"({_draw(line, 7)} % 40 + 1)", "': could '", _word(K.VERBS, line, 6), "' after '", f"({_draw(line, 8)} % 899 + 2)", "' ms'",
+    ])
+    log = f"array_to_string(list_transform(range(1, ({_draw('cd', 8)} % 9 + 6)::BIGINT + 1), lambda i: {log_line}), chr(10))"
+    noun, adjective, verb, fn, var, flag = (_Sql(f"c_{n}") for n in words)
+    title, a, b, digits = _Sql("(upper(left(c_fn, 1)) || lower(substr(c_fn, 2)))"), _Sql("c_a"), _Sql("c_b"), [_Sql("substr(c_b, 1, 1)"), _Sql("substr(c_b, 2, 1)")]
+    code = _cases("c_kind", names.code_texts(fn, title, var, verb, noun, a, b))
+    structured = _cases("c_kind", names.structured_texts(var, noun, adjective, flag, a, b, digits))
+    prose = _cases("c_kind", names.prose_texts(_Sql(log), noun, adjective, verb, fn, flag))
+    return f"""{out}_d AS (SELECT *, sha256({path}) AS cd, lower(regexp_extract(string_split({path}, '/')[-1], '^\\.*[^.].*\\.([^.]*)$', 1)) AS c_ext FROM {source}),
+    {out}_v AS (SELECT *, {drawn}, ({_draw('cd', 6)} % 100 + 1)::VARCHAR AS c_a, ({_draw('cd', 7)} % 9000 + 1000)::VARCHAR AS c_b, {_draw('cd', 9)} AS c_kind FROM {out}_d),
+    {out}_w AS (SELECT *, CASE WHEN {path} IS NULL THEN NULL WHEN c_ext IN ({_list(K.CODE_EXTENSIONS)[1:-1]}) THEN {code}
+        WHEN c_ext IN ({_list(K.STRUCTURED_EXTENSIONS)[1:-1]}) THEN {structured} ELSE {prose} END AS c_whole FROM {out}_v),
+    {out}_h AS (SELECT *, left(c_whole, 500) AS c_head FROM {out}_w),
+    {out}_n AS (SELECT *, CASE WHEN contains(c_head, chr(10)) THEN length(c_head) - strpos(reverse(c_head), chr(10)) ELSE -1 END AS c_line FROM {out}_h),
+    {out} AS (SELECT * EXCLUDE (cd, c_ext, c_noun, c_adjective, c_verb, c_fn, c_var, c_flag, c_a, c_b, c_kind, c_whole, c_head, c_line),
+        CASE WHEN length(c_whole) <= 500 THEN c_whole WHEN c_line > 350 THEN left(c_head, c_line) ELSE c_head END AS content FROM {out}_n)"""
+
+
+def _op(name: str, path: str, parameters: str = "{}") -> str:
+    return f"{{'operation': '{name}', 'path': {path}, 'parameters': '{parameters}'}}"
+
+
+MODE, FILE_MODE = '{"mode":"0o755"}', '{"mode":"0o100644"}'
+
+
+def _wrote(path: str, content: str = "content") -> str:
+    """The two operations that write a new file."""
+    data = f"""'{{"data":' || to_json({content}) || ',"data_length":"' || strlen({content}) || '","offset":"0"}}'"""
+    return f"[{_op('create', path, FILE_MODE)}, {{'operation': 'write', 'path': {path}, 'parameters': {data}}}]"
+
+
+#: Numbers the operations of the lists ops of a table.
+LISTED = """SELECT session, first + pos - 1 AS seq, ops[pos].operation AS operation, '/' || ops[pos].path AS path, ops[pos].parameters AS parameters
+        FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS pos FROM {})"""
+
+SPARSE = f"""sp AS (SELECT doc_id::VARCHAR AS session, {_hash60("'7|sparse|' || doc_id")} % 5 AS choice, {_hash60("'7|size|' || doc_id")} % 65 AS size,
+        {_filename("sha256('7|file|' || doc_id)")} AS path, {_dirname("sha256('7|dir|' || doc_id)")} AS dir FROM documents),
+    {_contents('sp', 'spc')},
+    spo AS (SELECT session, 0 AS first, CASE choice WHEN 0 THEN [{_op('mkdir', 'dir', MODE)}] WHEN 1 THEN [{_op('create', 'path', FILE_MODE)}] WHEN 2 THEN {_wrote('path')}
+        WHEN 3 THEN [{_op('create', 'path', FILE_MODE)}, {{'operation': 'truncate', 'path': path, 'parameters': '{{"length":"' || size || '"}}'}}] ELSE [{_op('readdir', "''")}] END AS ops FROM spc)"""
+
+COVER = _dirname("sha256('7|empty|' || lang)")
+
 SPLIT_KEY = _hash60("'42|' || example_id")
 
 TOKENS = f"""words AS (SELECT doc_id, lang, text, CASE WHEN {_strip('text')} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({_strip('text')}, '{B}+') END AS w FROM documents),
@@ -373,6 +448,12 @@ ORACLES = {
     "pair_scan": f"WITH {CHAT} SELECT prompt, completion, count(*) AS n FROM cp GROUP BY 1, 2",
     "validated_lines": """SELECT text || '!' AS what, 'kept' AS outcome, count(*) AS n FROM conversations WHERE turn % 4 IN (0, 3) GROUP BY 1
         UNION ALL SELECT NULL, CASE turn % 4 WHEN 1 THEN 'Missing field' ELSE 'Invalid JSON' END, count(*) FROM conversations WHERE turn % 4 IN (1, 2) GROUP BY 2""",
+    "synthetic_contents": f"""WITH p AS (SELECT lang || '/' || source || '/f' || doc_id || ['.py', '.json', '.txt', ''][(doc_id % 4 + 1)::INT] AS path FROM documents),
+        {_contents('p', 'c')} SELECT path, content FROM c""",
+    "sparse_ops": f"WITH {SPARSE} {LISTED.format('spo')}",
+    "covered_entries": f"""SELECT lang AS snapshot_id, source || '/doc_' || doc_id || '.txt' AS path, false AS is_dir, strlen(text) AS size FROM documents
+        UNION ALL SELECT DISTINCT lang, source, true, 0 FROM documents UNION ALL SELECT DISTINCT lang, '', true, 0 FROM documents
+        UNION ALL SELECT lang, 'cover_empty_' || {COVER}, true, 0 FROM (SELECT DISTINCT lang FROM documents)""",
     "refused_lines": """WITH l AS (SELECT (conv_id % 8)::INT AS bucket, turn, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS line FROM conversations)
         SELECT bucket, line, CASE turn % 3 WHEN 1 THEN 'Missing field' ELSE 'Invalid JSON' END AS reason FROM l WHERE turn % 3 > 0""",
     "tree_scan": f"""WITH files AS (SELECT lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, text FROM documents),
