@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from optrace import constants as K
 from optrace.functions import paths
 from optrace.functions.names import with_content, with_dirname, with_filename
-from optrace.functions.sampling import choose, integer, uniform, weighted
+from optrace.functions.sampling import choose, hash60, integer, uniform, weighted
 from optrace.operators.snapshot import candidates, coverage
 from optrace.schema import ENTRY_COLUMNS
 
@@ -117,14 +117,6 @@ def _random_rows(kind: Column) -> Column:
     )
 
 
-def _without_picks(ids: DataFrame) -> DataFrame:
-    empty = F.lit(None).cast("string")
-    return (
-        ids.withColumn("any", empty).withColumn("file", empty).withColumn("parent_dir", empty)
-        .withColumn("any_is_file", F.lit(False)).withColumn("any_is_empty", F.lit(False))
-    )
-
-
 def _with_picks(entries: DataFrame, seed: str) -> DataFrame:
     """One row per snapshot with a candidate of every kind."""
     picked = candidates(entries, seed)
@@ -212,23 +204,71 @@ def sparse_ops(ids: DataFrame, id_column: str, seed: str) -> DataFrame:
     return _emit(named.withColumn("_rows", rows), key, F.lit(0))
 
 
-def setup_ops(ids: DataFrame, id_column: str, seed: str) -> DataFrame:
-    """History before the example: none to three operations in their fall-back form (a
-    session starts empty), then with even odds one more file."""
-    s, key = F.lit(seed), F.col(id_column).cast("string")
-    count = weighted(K.SETUP_COUNT_WEIGHTS, s, F.lit("setup count"), key)
-    ids = ids.select(id_column)
-    step_rows = (
-        ids.withColumn("_count", count).filter("_count > 0")
-        .select(id_column, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("_step"))
-        .withColumn("_key", F.concat_ws("#", key, F.col("_step")))
+MADE = "array<struct<path: string, is_dir: boolean>>"
+
+
+def _after(made: Column, row: Column) -> Column:
+    """The entries (path, is_dir) there are after an operation on them; links are not kept."""
+    path, op = row["path"], row["operation"]
+    target = F.ltrim(F.coalesce(row["parameters"]["new_path"], F.lit("")), F.lit("/"))
+    without = lambda gone: F.filter(made, lambda x: x["path"] != gone)
+    add = F.when(F.exists(made, lambda x: x["path"] == path), made).otherwise(
+        F.concat(made, F.array(F.struct(path.alias("path"), (op == "mkdir").alias("is_dir")).cast("struct<path: string, is_dir: boolean>")))
     )
-    step_rows = _with_operands(_without_picks(sample_ops(step_rows, "_key", seed)), seed, "_key")
-    step_rows = with_content(step_rows.withColumn("_content_path", F.col("_file")), "_content_path", "_content")
-    history = _emit(
-        step_rows.withColumn("_rows", _random_rows(F.col("shell_op"))), F.col(id_column), F.col("_step") * 10
+
+    def moved(x: Column) -> Column:
+        below = F.startswith(x["path"], F.concat(path, F.lit("/")))
+        new = F.when(x["path"] == path, target).when(below, F.concat(target, F.substring(x["path"], F.char_length(path) + 1, F.lit(2**31 - 1)))).otherwise(x["path"])
+        return F.struct(new.alias("path"), x["is_dir"].alias("is_dir"))
+
+    renamed = F.when(path == target, made).otherwise(F.transform(without(target), moved))
+    return (
+        F.when(op.isin("create", "mkdir"), add).when(op.isin("unlink", "rmdir"), without(path)).when(op == "rename", renamed).otherwise(made).cast(MADE)
     )
-    extra = ids.filter(uniform(s, F.lit("extra file"), key) < K.EXTRA_FILE_SHARE)
+
+
+def _picks_of_made(df: DataFrame, seed: str, key: str) -> DataFrame:
+    """A candidate of every kind from the entries in _made, as _with_picks has them for a snapshot."""
+    k, s, made = F.col(key), F.lit(seed), F.col("_made")
+
+    def pick(of: Column, kind: str) -> Column:
+        return F.get(of, F.pmod(hash60(s, F.lit(kind), k), F.greatest(F.size(of), F.lit(1)).cast("bigint")).cast("int"))
+
+    inside = lambda folder: F.exists(made, lambda x: F.startswith(x["path"], F.concat(folder, F.lit("/"))))
+    df = df.withColumns({
+        "_any": pick(made, "made"), "_file_of": pick(F.filter(made, lambda x: ~x["is_dir"]), "made file"),
+        "_parent_of": pick(F.filter(made, lambda x: x["is_dir"] & inside(x["path"])), "made parent"),
+    })
+    return df.withColumns({
+        "any": F.col("_any.path"), "any_is_file": F.coalesce(~F.col("_any.is_dir"), F.lit(False)), "file": F.col("_file_of.path"),
+        "parent_dir": F.col("_parent_of.path"), "any_is_empty": F.coalesce(~inside(F.col("_any.path")), F.lit(True)),
+    }).drop("_any", "_file_of", "_parent_of")
+
+
+def setup_ops(ids: DataFrame, id_column: str, seed: str) -> DataFrame:
+    """History before the example: none to three operations, then with even odds one more file. A
+    session starts empty, and each operation draws its operands from what those before it have made:
+    the entries are carried from round to round as an array of a few rows per session."""
+    s, key = F.lit(seed), F.col(id_column).cast("string")
+    rounds = max(K.SETUP_COUNT_WEIGHTS)
+    state = ids.select(id_column).withColumn("_count", weighted(K.SETUP_COUNT_WEIGHTS, s, F.lit("setup count"), key))
+    state = state.withColumn("_made", F.array().cast(MADE))
+    operands = None
+    for step in range(1, rounds + 1):
+        state = state.withColumn("_key", F.concat_ws("#", key, F.lit(step)))
+        state = _with_operands(_picks_of_made(sample_ops(state, "_key", seed), seed, "_key"), seed, "_key")
+        state = state.withColumn("_content_path", F.when(_on_file(), F.col("any")).otherwise(F.col("_file")))
+        state = with_content(state, "_content_path", "_content")
+        state = state.withColumn(f"_rows{step}", F.when(F.col("_count") >= step, _random_rows(F.col("shell_op"))))
+        made = F.aggregate(F.coalesce(f"_rows{step}", F.array().cast(state.schema[f"_rows{step}"].dataType)), F.col("_made"), _after)
+        state = state.withColumn("_made", made)
+        operands = operands or [c for c in state.columns if c not in (id_column, "_count", "_made", f"_rows{step}")]
+        state = state.drop(*operands)
+    history = None
+    for step in range(1, rounds + 1):
+        rows = _emit(state, F.col(id_column), F.lit(step * 10), f"_rows{step}")
+        history = rows if history is None else history.unionByName(rows)
+    extra = ids.select(id_column).filter(uniform(s, F.lit("extra file"), key) < K.EXTRA_FILE_SHARE)
     extra = with_content(with_filename(extra, "_file", s, F.lit("extra"), key), "_file", "_content")
     file = _emit(extra.withColumn("_rows", F.array(*_write(F.col("_file"), F.col("_content")))), F.col(id_column), F.lit(100))
     return history.unionByName(file)

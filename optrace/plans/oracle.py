@@ -239,6 +239,73 @@ SPARSE = f"""sp AS (SELECT doc_id::VARCHAR AS session, {_hash60("'7|sparse|' ||
 
 COVER = _dirname("sha256('7|empty|' || lang)")
 
+def _weighted(weights: dict, u: str) -> str:
+    total, running, cases = float(sum(weights.values())), 0.0, []
+    for key, weight in weights.items():
+        running += weight
+        cases.append(f"WHEN {u} < {running / total!r}::DOUBLE THEN {key if isinstance(key, int) else _quote(key)}")
+    return f"CASE {' '.join(cases[:-1])} ELSE {cases[-1].split(' THEN ')[1]} END"
+
+
+MADE = "STRUCT(path VARCHAR, is_dir BOOLEAN)[]"
+
+
+def _drawn(kind: str, key: str) -> str:
+    return f"sha256('7|{kind}|' || {key})"
+
+
+def _round(i: int) -> str:
+    """Tables of the i-th operation of a setup history: drawn from what the earlier ones made, and what
+    there is after it, each kind of operation worked out on its own."""
+    k = f"(session || '#{i}')"
+    place = lambda of, kind: f"{of}[({_hash60(f"'7|{kind}|' || {k}")} % greatest(len({of}), 1) + 1)::INT]"
+    below = "len(list_filter(made, lambda y: starts_with(y.path, {} || '/'))) > 0"
+    dirs = ", ".join(_dirname(_drawn(f"dir{j}", k)) for j in range(5))
+    chain = "list_transform(range(1, CASE WHEN nested THEN depth ELSE 1 END + 1), lambda j: array_to_string(dirs[1:j], '/'))"
+    has, on_file, on_dir = "a IS NOT NULL", "coalesce(NOT a.is_dir, false)", "coalesce(a.is_dir, false)"
+    create, owner = f"[{_op('create', 'file', FILE_MODE)}]", '{"uid":"1000","gid":"1000"}'
+    op = lambda name, path, parameters: f"{{'operation': '{name}', 'path': {path}, 'parameters': {parameters}}}"
+    mkdir = f"list_transform({chain}, lambda one: {_op('mkdir', 'one', MODE)})"
+    mkdir0 = f"[{_op('mkdir', 'dirs[1]', MODE)}]"
+    new, inside = f"CASE WHEN {on_file} THEN file ELSE dirs[1] END", f"a.path || '/' || file"
+    touched = f"CASE WHEN {on_dir} AND below THEN {inside} ELSE file END"
+    ops = f"""CASE WHEN n < {i} THEN [] WHEN kind = 'mkdir' THEN {mkdir} WHEN kind = 'touch' THEN [{_op('create', touched, FILE_MODE)}]
+        WHEN kind = 'rm' THEN CASE WHEN {on_file} THEN [{_op('unlink', 'a.path')}] ELSE list_concat({create}, [{_op('unlink', 'file')}]) END
+        WHEN kind = 'rmdir' THEN CASE WHEN {on_dir} AND bare THEN [{_op('rmdir', 'a.path')}] ELSE list_concat({mkdir0}, [{_op('rmdir', 'dirs[1]')}]) END
+        WHEN kind = 'chmod' THEN CASE WHEN {has} THEN [{op('chmod', 'a.path', "'{" + '"mode":"0o100' + "' || mode || '" + '"}' + "'")}] ELSE list_concat({create}, [{_op('chmod', 'file', FILE_MODE)}]) END
+        WHEN kind = 'chown' THEN CASE WHEN {has} THEN [{_op('chown', 'a.path', owner)}] ELSE list_concat({create}, [{_op('chown', 'file', owner)}]) END
+        WHEN kind = 'truncate' THEN CASE WHEN {on_file} THEN [{op('truncate', 'a.path', "'{" + '"length":"' + "' || size || '" + '"}' + "'")}] ELSE {mkdir0} END
+        WHEN kind = 'rename' THEN CASE WHEN {has} THEN [{op('rename', 'a.path', "'{" + '"new_path":"/' + "' || " + new + " || '" + '"}' + "'")}] ELSE {create} END
+        WHEN kind = 'symlink' THEN CASE WHEN {has} THEN [{op('symlink', 'a.path', "'{" + '"target":"/link_to_' + "' || file || '" + '"}' + "'")}] ELSE {mkdir0} END
+        WHEN kind = 'ls' THEN [{_op('readdir', "coalesce(p.path, '')")}] WHEN kind = 'stat' THEN [{_op('getattr', "coalesce(a.path, '')")}]
+        WHEN kind = 'write' THEN {_wrote('written')} WHEN f IS NOT NULL THEN [{_op('read', 'f.path')}] ELSE [] END"""
+    known = "list_transform(made, lambda y: y.path)"
+    file_too = lambda path: f"CASE WHEN list_contains({known}, {path}) THEN made ELSE list_append(made, {{'path': {path}, 'is_dir': false}}) END"
+    dirs_too = lambda paths: f"list_concat(made, list_transform(list_filter({paths}, lambda q: NOT list_contains({known}, q)), lambda q: {{'path': q, 'is_dir': true}}))"
+    without = lambda path: f"list_filter(made, lambda y: y.path <> {path})"
+    moved = f"""list_transform({without(new)}, lambda y: {{'path': CASE WHEN y.path = a.path THEN {new} WHEN starts_with(y.path, a.path || '/') THEN {new} || substr(y.path, length(a.path) + 1)
+        ELSE y.path END, 'is_dir': y.is_dir}})"""
+    left = f"""CASE WHEN n < {i} THEN made WHEN kind = 'mkdir' THEN {dirs_too(chain)} WHEN kind = 'touch' THEN {file_too(touched)}
+        WHEN kind = 'rm' THEN {without(f'CASE WHEN {on_file} THEN a.path ELSE file END')} WHEN kind = 'rmdir' THEN {without(f'CASE WHEN {on_dir} AND bare THEN a.path ELSE dirs[1] END')}
+        WHEN kind IN ('chmod', 'chown') AND NOT {has} THEN {file_too('file')} WHEN kind = 'truncate' AND NOT {on_file} THEN {dirs_too('dirs[1:1]')}
+        WHEN kind = 'rename' AND NOT {has} THEN {file_too('file')} WHEN kind = 'rename' AND a.path <> {new} THEN {moved}
+        WHEN kind = 'symlink' AND NOT {has} THEN {dirs_too('dirs[1:1]')} WHEN kind = 'write' THEN {file_too('written')} ELSE made END"""
+    return f"""x{i} AS (SELECT session, n, made, list_filter(made, lambda x: NOT x.is_dir) AS made_files,
+        list_filter(made, lambda x: x.is_dir AND {below.format('x.path')}) AS made_parents FROM s{i - 1}),
+    y{i} AS (SELECT session, n, made, {place('made', 'made')} AS a, {place('made_files', 'made file')} AS f, {place('made_parents', 'made parent')} AS p,
+        {_weighted(K.OP_WEIGHTS, _u(f"'7|' || {k}"))} AS kind, {_filename(_drawn('file', k))} AS file, [{dirs}] AS dirs, {_u(f"'7|nested|' || {k}")} < 0.3 AS nested,
+        ({_hash60(f"'7|depth|' || {k}")} % 4 + 2)::INT AS depth, {_u(f"'7|below|' || {k}")} < 0.3 AS below, {_hash60(f"'7|length|' || {k}")} % 101 AS size,
+        {_list(K.CHMOD_MODES)}[({_hash60(f"'7|mode|' || {k}")} % {len(K.CHMOD_MODES)} + 1)::INT] AS mode FROM x{i}),
+    z{i} AS (SELECT *, NOT ({below.format('a.path')}) AS bare, CASE WHEN {on_file} THEN a.path ELSE file END AS written FROM y{i}),
+    {_contents(f'z{i}', f'w{i}', 'written')},
+    s{i} AS (SELECT session, n, {10 * i} AS first, {ops} AS ops, CAST({left} AS {MADE}) AS made FROM w{i})"""
+
+
+SETUP = f"""s0 AS (SELECT doc_id::VARCHAR AS session, {_weighted(K.SETUP_COUNT_WEIGHTS, _u("'7|setup count|' || doc_id"))} AS n, CAST([] AS {MADE}) AS made FROM documents),
+    {', '.join(_round(i) for i in (1, 2, 3))},
+    e0 AS (SELECT doc_id::VARCHAR AS session, 100 AS first, {_filename("sha256('7|extra|' || doc_id)")} AS path FROM documents WHERE {_u("'7|extra file|' || doc_id")} < {K.EXTRA_FILE_SHARE}),
+    {_contents('e0', 'e1')}, e AS (SELECT session, first, {_wrote('path')} AS ops FROM e1)"""
+
 SPLIT_KEY = _hash60("'42|' || example_id")
 
 TOKENS = f"""words AS (SELECT doc_id, lang, text, CASE WHEN {_strip('text')} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({_strip('text')}, '{B}+') END AS w FROM documents),
@@ -451,6 +518,7 @@ ORACLES = {
     "synthetic_contents": f"""WITH p AS (SELECT lang || '/' || source || '/f' || doc_id || ['.py', '.json', '.txt', ''][(doc_id % 4 + 1)::INT] AS path FROM documents),
         {_contents('p', 'c')} SELECT path, content FROM c""",
     "sparse_ops": f"WITH {SPARSE} {LISTED.format('spo')}",
+    "setup_ops": f"WITH {SETUP} " + " UNION ALL ".join(LISTED.format(x) for x in ("s1", "s2", "s3", "e")),
     "covered_entries": f"""SELECT lang AS snapshot_id, source || '/doc_' || doc_id || '.txt' AS path, false AS is_dir, strlen(text) AS size FROM documents
         UNION ALL SELECT DISTINCT lang, source, true, 0 FROM documents UNION ALL SELECT DISTINCT lang, '', true, 0 FROM documents
         UNION ALL SELECT lang, 'cover_empty_' || {COVER}, true, 0 FROM (SELECT DISTINCT lang FROM documents)""",
