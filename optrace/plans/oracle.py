@@ -254,22 +254,28 @@ def _drawn(kind: str, key: str) -> str:
     return f"sha256('7|{kind}|' || {key})"
 
 
-def _round(i: int) -> str:
-    """Tables of the i-th operation of a setup history: drawn from what the earlier ones made, and what
-    there is after it, each kind of operation worked out on its own."""
-    k = f"(session || '#{i}')"
-    place = lambda of, kind: f"{of}[({_hash60(f"'7|{kind}|' || {k}")} % greatest(len({of}), 1) + 1)::INT]"
-    below = "len(list_filter(made, lambda y: starts_with(y.path, {} || '/'))) > 0"
+HAS, ON_FILE, ON_DIR = "a IS NOT NULL", "coalesce(NOT a.is_dir, false)", "coalesce(a.is_dir, false)"
+CHAIN = "list_transform(range(1, CASE WHEN nested THEN depth ELSE 1 END + 1), lambda j: array_to_string(dirs[1:j], '/'))"
+NEW = f"CASE WHEN {ON_FILE} THEN file ELSE dirs[1] END"
+TOUCHED = f"CASE WHEN {ON_DIR} AND below THEN a.path || '/' || file ELSE file END"
+
+
+def _operands(k: str) -> str:
+    """What an operation may draw on besides the candidates a (any), f (a file) and p (a parent)."""
     dirs = ", ".join(_dirname(_drawn(f"dir{j}", k)) for j in range(5))
-    chain = "list_transform(range(1, CASE WHEN nested THEN depth ELSE 1 END + 1), lambda j: array_to_string(dirs[1:j], '/'))"
-    has, on_file, on_dir = "a IS NOT NULL", "coalesce(NOT a.is_dir, false)", "coalesce(a.is_dir, false)"
+    return f"""{_weighted(K.OP_WEIGHTS, _u(f"'7|' || {k}"))} AS kind, {_filename(_drawn('file', k))} AS file, [{dirs}] AS dirs, {_u(f"'7|nested|' || {k}")} < 0.3 AS nested,
+        ({_hash60(f"'7|depth|' || {k}")} % 4 + 2)::INT AS depth, {_u(f"'7|below|' || {k}")} < 0.3 AS below, {_hash60(f"'7|length|' || {k}")} % 101 AS size,
+        {_list(K.CHMOD_MODES)}[({_hash60(f"'7|mode|' || {k}")} % {len(K.CHMOD_MODES)} + 1)::INT] AS mode"""
+
+
+def _operations() -> str:
+    """The operations of one kind, from the candidates and operands."""
+    has, on_file, on_dir, chain, new, touched = HAS, ON_FILE, ON_DIR, CHAIN, NEW, TOUCHED
     create, owner = f"[{_op('create', 'file', FILE_MODE)}]", '{"uid":"1000","gid":"1000"}'
     op = lambda name, path, parameters: f"{{'operation': '{name}', 'path': {path}, 'parameters': {parameters}}}"
     mkdir = f"list_transform({chain}, lambda one: {_op('mkdir', 'one', MODE)})"
     mkdir0 = f"[{_op('mkdir', 'dirs[1]', MODE)}]"
-    new, inside = f"CASE WHEN {on_file} THEN file ELSE dirs[1] END", f"a.path || '/' || file"
-    touched = f"CASE WHEN {on_dir} AND below THEN {inside} ELSE file END"
-    ops = f"""CASE WHEN n < {i} THEN [] WHEN kind = 'mkdir' THEN {mkdir} WHEN kind = 'touch' THEN [{_op('create', touched, FILE_MODE)}]
+    return f"""CASE WHEN kind = 'mkdir' THEN {mkdir} WHEN kind = 'touch' THEN [{_op('create', touched, FILE_MODE)}]
         WHEN kind = 'rm' THEN CASE WHEN {on_file} THEN [{_op('unlink', 'a.path')}] ELSE list_concat({create}, [{_op('unlink', 'file')}]) END
         WHEN kind = 'rmdir' THEN CASE WHEN {on_dir} AND bare THEN [{_op('rmdir', 'a.path')}] ELSE list_concat({mkdir0}, [{_op('rmdir', 'dirs[1]')}]) END
         WHEN kind = 'chmod' THEN CASE WHEN {has} THEN [{op('chmod', 'a.path', "'{" + '"mode":"0o100' + "' || mode || '" + '"}' + "'")}] ELSE list_concat({create}, [{_op('chmod', 'file', FILE_MODE)}]) END
@@ -279,6 +285,18 @@ def _round(i: int) -> str:
         WHEN kind = 'symlink' THEN CASE WHEN {has} THEN [{op('symlink', 'a.path', "'{" + '"target":"/link_to_' + "' || file || '" + '"}' + "'")}] ELSE {mkdir0} END
         WHEN kind = 'ls' THEN [{_op('readdir', "coalesce(p.path, '')")}] WHEN kind = 'stat' THEN [{_op('getattr', "coalesce(a.path, '')")}]
         WHEN kind = 'write' THEN {_wrote('written')} WHEN f IS NOT NULL THEN [{_op('read', 'f.path')}] ELSE [] END"""
+
+
+def _round(i: int) -> str:
+    """Tables of the i-th operation of a setup history: drawn from what the earlier ones made, and what
+    there is after it, each kind of operation worked out on its own."""
+    k = f"(session || '#{i}')"
+    ops = _operations()
+    place = lambda of, kind: f"{of}[({_hash60(f"'7|{kind}|' || {k}")} % greatest(len({of}), 1) + 1)::INT]"
+    below = "len(list_filter(made, lambda y: starts_with(y.path, {} || '/'))) > 0"
+    chain = CHAIN
+    has, on_file, on_dir = HAS, ON_FILE, ON_DIR
+    new, touched = NEW, TOUCHED
     known = "list_transform(made, lambda y: y.path)"
     file_too = lambda path: f"CASE WHEN list_contains({known}, {path}) THEN made ELSE list_append(made, {{'path': {path}, 'is_dir': false}}) END"
     dirs_too = lambda paths: f"list_concat(made, list_transform(list_filter({paths}, lambda q: NOT list_contains({known}, q)), lambda q: {{'path': q, 'is_dir': true}}))"
@@ -293,12 +311,10 @@ def _round(i: int) -> str:
     return f"""x{i} AS (SELECT session, n, made, list_filter(made, lambda x: NOT x.is_dir) AS made_files,
         list_filter(made, lambda x: x.is_dir AND {below.format('x.path')}) AS made_parents FROM s{i - 1}),
     y{i} AS (SELECT session, n, made, {place('made', 'made')} AS a, {place('made_files', 'made file')} AS f, {place('made_parents', 'made parent')} AS p,
-        {_weighted(K.OP_WEIGHTS, _u(f"'7|' || {k}"))} AS kind, {_filename(_drawn('file', k))} AS file, [{dirs}] AS dirs, {_u(f"'7|nested|' || {k}")} < 0.3 AS nested,
-        ({_hash60(f"'7|depth|' || {k}")} % 4 + 2)::INT AS depth, {_u(f"'7|below|' || {k}")} < 0.3 AS below, {_hash60(f"'7|length|' || {k}")} % 101 AS size,
-        {_list(K.CHMOD_MODES)}[({_hash60(f"'7|mode|' || {k}")} % {len(K.CHMOD_MODES)} + 1)::INT] AS mode FROM x{i}),
+        {_operands(k)} FROM x{i}),
     z{i} AS (SELECT *, NOT ({below.format('a.path')}) AS bare, CASE WHEN {on_file} THEN a.path ELSE file END AS written FROM y{i}),
     {_contents(f'z{i}', f'w{i}', 'written')},
-    s{i} AS (SELECT session, n, {10 * i} AS first, {ops} AS ops, CAST({left} AS {MADE}) AS made FROM w{i})"""
+    s{i} AS (SELECT session, n, {10 * i} AS first, CASE WHEN n < {i} THEN [] ELSE {ops} END AS ops, CAST({left} AS {MADE}) AS made FROM w{i})"""
 
 
 SETUP = f"""s0 AS (SELECT doc_id::VARCHAR AS session, {_weighted(K.SETUP_COUNT_WEIGHTS, _u("'7|setup count|' || doc_id"))} AS n, CAST([] AS {MADE}) AS made FROM documents),
@@ -306,6 +322,32 @@ SETUP = f"""s0 AS (SELECT doc_id::VARCHAR AS session, {_weighted(K.SETUP_COUNT_W
     e0 AS (SELECT doc_id::VARCHAR AS session, 100 AS first, {_filename("sha256('7|extra|' || doc_id)")} AS path FROM documents WHERE {_u("'7|extra file|' || doc_id")} < {K.EXTRA_FILE_SHARE}),
     {_contents('e0', 'e1')}, e AS (SELECT session, first, {_wrote('path')} AS ops FROM e1)"""
 
+def _target(kind: str) -> str:
+    return f"sha256('7|{kind}|' || session || '|' || path)"
+
+
+PICKED = f"""pe AS (SELECT session, 'd' || d AS path, true AS is_dir, 0 AS bytes FROM (SELECT DISTINCT user_id::VARCHAR AS session FROM events), (SELECT unnest(range(10)) AS d)
+      UNION ALL SELECT DISTINCT user_id::VARCHAR, '', true, 0 FROM events
+      UNION ALL SELECT session, 'd' || (n // 10) || '/f' || n, false, n FROM (SELECT DISTINCT user_id::VARCHAR AS session FROM events), (SELECT unnest(range(0, 100, 2)) AS n)),
+    pk AS (SELECT session, arg_min({{'path': path, 'is_dir': is_dir}}, {_target('any')}) FILTER (path <> '') AS a, arg_min({{'path': path, 'is_dir': is_dir}}, {_target('file')}) FILTER (NOT is_dir) AS f,
+      arg_min({{'path': path, 'is_dir': is_dir}}, {_target('parent_dir')}) FILTER (is_dir) AS p, arg_min({{'path': path, 'bytes': bytes}}, {_target('file16')}) FILTER (NOT is_dir AND bytes >= 16) AS f16,
+      false AS bare FROM pe GROUP BY session),
+    py AS (SELECT *, {_operands('session')}, {_list(K.TARGETED_SCENARIOS)}[({_hash60("'7|scenario|' || session")} % {len(K.TARGETED_SCENARIOS)} + 1)::INT] AS scenario,
+      {_hash60("'7|new size|' || session")} % {2**40 + 1} AS new_size FROM pk)"""
+
+RANDOM = f"""{PICKED}, pz AS (SELECT *, CASE WHEN {ON_FILE} THEN a.path ELSE file END AS written FROM py),
+    {_contents('pz', 'pw', 'written')}, po AS (SELECT session, 0 AS first, {_operations()} AS ops FROM pw)"""
+
+TARGETED = f"""{PICKED}, pz AS (SELECT *, CASE WHEN scenario IN ('write_then_read', 'write_text_log') THEN file WHEN {ON_FILE} THEN a.path ELSE file END AS written FROM py),
+    ps AS (SELECT *, CASE WHEN scenario = 'overwrite_existing' AND f IS NOT NULL THEN f.path || ':overwrite' ELSE written END AS seeded FROM pz),
+    {_contents('ps', 'pw', 'seeded')},
+    po AS (SELECT session, 0 AS first, CASE WHEN scenario = 'nested_mkdir' THEN list_transform(range(1, 4), lambda j: {_op('mkdir', "array_to_string(dirs[1:j], '/')", MODE)})
+        WHEN scenario = 'truncate_existing' AND f16 IS NOT NULL THEN [{{'operation': 'truncate', 'path': f16.path, 'parameters': '{{"length":"' || (new_size % greatest(f16.bytes, 2)) || '"}}'}}]
+        WHEN scenario = 'overwrite_existing' AND f IS NOT NULL THEN {_wrote('f.path')} WHEN scenario = 'unlink_existing' AND f IS NOT NULL THEN [{_op('unlink', 'f.path')}]
+        WHEN scenario = 'symlink_existing' AND f IS NOT NULL THEN [{{'operation': 'symlink', 'path': f.path, 'parameters': '{{"target":"/' || f.path || '_link"}}'}}]
+        WHEN scenario = 'write_text_log' THEN {_wrote('file', _quote(K.LOG_TEXT))} WHEN scenario = 'write_then_read' THEN list_concat({_wrote('file')}, [{_op('read', 'file')}])
+        ELSE {_operations()} END AS ops FROM pw)"""
+
 SPLIT_KEY = _hash60("'42|' || example_id")
 
 TOKENS = f"""words AS (SELECT doc_id, lang, text, CASE WHEN {_strip('text')} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({_strip('text')}, '{B}+') END AS w FROM documents),
@@ -518,6 +560,8 @@ ORACLES = {
     "synthetic_contents": f"""WITH p AS (SELECT lang || '/' || source || '/f' || doc_id || ['.py', '.json', '.txt', ''][(doc_id % 4 + 1)::INT] AS path FROM documents),
         {_contents('p', 'c')} SELECT path, content FROM c""",
     "sparse_ops": f"WITH {SPARSE} {LISTED.format('spo')}",
+    "random_ops": f"WITH {RANDOM} {LISTED.format('po')}",
+    "targeted_ops": f"WITH {TARGETED} {LISTED.format('po')}",
     "setup_ops": f"WITH {SETUP} " + " UNION ALL ".join(LISTED.format(x) for x in ("s1", "s2", "s3", "e")),
     "covered_entries": f"""SELECT lang AS snapshot_id, source || '/doc_' || doc_id || '.txt' AS path, false AS is_dir, strlen(text) AS size FROM documents
         UNION ALL SELECT DISTINCT lang, source, true, 0 FROM documents UNION ALL SELECT DISTINCT lang, '', true, 0 FROM documents
