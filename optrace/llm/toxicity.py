@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optrace.llm.common import Bounded, sampled, slices
+from optrace.llm.common import sampled, slices
 
 #: Labelled texts used at most; the documented bound of the training sample.
 SAMPLE = 8000
@@ -44,8 +44,11 @@ WEIGHT, DEFAULT = 2.0, (4.0, -2.0, 10.0)
 SUM, COUNT, MOST = 0.2, 200, 500
 #: Changed forms of a positive example, and letters put in or left out in them at most.
 FORMS, CHANGES = 24, 3
+#: Groups of landmarks in a bound, and how like a group's first two are at most;
+#: margins kept from one lot of texts to the next.
+GROUPS, LIKE, KEPT = 32, 0.5, 200_000
 #: Units compared with the landmarks at once.
-ROWS = 400
+ROWS = 100
 LIFT, EVIDENCE, LEAST = 6.0, 24.0, 3
 MARKS = string.punctuation + "«»“”„‘’…–—¡¿"
 GAP = 3
@@ -132,27 +135,46 @@ class Machine:
     coefficients, intercept, and the weights that turn the margins of a text's units into a score."""
 
     def __init__(self, codes: np.ndarray, table: np.ndarray, alphas: np.ndarray, intercept: float, weights: tuple = DEFAULT):
-        self.codes, self.table, self.alphas, self.intercept, self.weights = codes, table.astype(np.float32), alphas, intercept, weights
-        # Letters of the landmarks by number, 0 for others, and by three numbers what bounds a margin.
-        parts = [(codes >> 42) & 0x1FFFFF, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF]
+        self.codes, self.table, self.alphas, self.intercept, self.weights = codes, table.astype(np.float32), np.asarray(alphas, np.float64), intercept, weights
+        self._group()
+
+    def _group(self) -> None:
+        """Landmarks that speak for toxicity in groups of like ones, and by three letters (by number, 0 for
+        others) the most a group's landmarks have there and what they add up to."""
+        positive = np.flatnonzero(self.alphas > 0)
+        own = self.table[:, positive].astype(np.float64)
+        alike, seeds = own.T @ own, []
+        for i in np.argsort(-self.alphas[positive], kind="stable"):
+            if len(seeds) < GROUPS and (not seeds or alike[i, seeds].max() < LIKE):
+                seeds.append(int(i))
+        group = alike[:, seeds].argmax(axis=1) if seeds else np.zeros(0, np.int64)
+        used = np.flatnonzero((own > 0).any(axis=1))
+        parts = [(self.codes[used] >> shift) & 0x1FFFFF for shift in (42, 21, 0)]
         self.letters = np.unique(np.concatenate([np.zeros(1, np.int64), *parts]))
         size = len(self.letters)
         place = (np.searchsorted(self.letters, parts[0]) * size + np.searchsorted(self.letters, parts[1])) * size + np.searchsorted(self.letters, parts[2])
-        self.most, self.pull = np.zeros(size**3, np.float32), np.zeros(size**3, np.float32)
-        if len(codes):
-            self.most[place], self.pull[place] = table.max(axis=1), table @ np.maximum(alphas, 0)
+        self.rows = np.zeros(size**3, np.int32)
+        self.rows[place] = np.arange(1, len(used) + 1)
+        self.bounds = np.zeros((len(used) + 1, 2 * len(seeds)), np.float32)  # the first for letters that no landmark has
+        for g in range(len(seeds)):
+            inside = own[used][:, group == g]
+            self.bounds[1:, g], self.bounds[1:, len(seeds) + g] = inside.max(axis=1), inside @ self.alphas[positive][group == g]
 
     def _bounds(self, words: list[str]) -> np.ndarray:
-        """No margin of a word is above its bound. A likeness is at most the sum over most, and their
-        weighted sum the sum over pull, both over the word's length, which repeated codes can but raise."""
-        out, size = np.full(len(words), -np.inf), len(self.letters)
+        """No margin of a word is above its bound. In a group a likeness is at most the sum over the most,
+        and the weighted sum of the powers at most that to the power POWER - 1 times the weighted sum; all
+        over the word's length, which repeated subsequences can but raise."""
+        out, size, groups = np.full(len(words), -np.inf), len(self.letters), self.bounds.shape[1] // 2
         for rows, length, places, weight in _alike(words):
             weight = (weight / np.sqrt((weight**2).sum())).astype(np.float32)
             codes = np.frombuffer("".join(words[i][:length] for i in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
             at = np.minimum(np.searchsorted(self.letters, codes), size - 1)
             at = np.where(self.letters[at] == codes, at, 0)
             code = (at[:, places[:, 0]] * size + at[:, places[:, 1]]) * size + at[:, places[:, 2]]
-            out[rows] = self.intercept + np.minimum(1, self.most[code] @ weight) ** (POWER - 1) * (self.pull[code] @ weight)
+            found = self.rows[code]
+            for i in range(0, len(rows), step := 1 + 40_000 // len(places)):
+                sums = weight @ self.bounds[found[i : i + step]]
+                out[rows[i : i + step]] = self.intercept + (np.minimum(1, sums[:, :groups]) ** (POWER - 1) * sums[:, groups:]).sum(axis=1)
         return out
 
     def margins(self, words: list[str], lowest: float = LOWEST) -> np.ndarray:
@@ -302,12 +324,7 @@ def _known(codes: np.ndarray, code: np.ndarray, value: np.ndarray) -> tuple[np.n
 
 def _likeness(at: np.ndarray, value: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Kernel values with every landmark: the normalised subsequence kernel to the power POWER."""
-    use = value > 0
-    rows = np.flatnonzero(use.any(axis=1))
-    out = np.zeros((len(at), table.shape[1]), table.dtype)
-    if len(rows):
-        n = use[rows].sum(axis=1)
-        out[rows] = np.add.reduceat(table[at[use]] * value[use][:, None].astype(table.dtype), np.cumsum(n) - n, axis=0)
+    out = np.einsum("ij,ijk->ik", value.astype(table.dtype), table[at], optimize=False)
     return out**POWER
 
 
@@ -390,15 +407,16 @@ def _text_sums(machine: Machine):
 
 def _scored(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Bounded(None, 150_000)
+        now, old = {}, {}  # margins of the units met lately: of the last two lots of KEPT
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 texts = [units(x) for x in part.column("text").to_pylist()]
+                cache = {x: y for x in set().union(*texts) if (y := now.get(x, old.get(x))) is not None}
                 new = list(set().union(*texts) - cache.keys())
-                if len(cache) + len(new) > cache.limit:
-                    cache.clear()
-                    new = list(set().union(*texts))
                 cache.update(zip(new, machine.unit_margins(new)))
+                if len(now) > KEPT:
+                    now, old = {}, now
+                now |= cache
                 sums = np.array([math.fsum(map(cache.__getitem__, x)) for x in texts])
                 score = machine.scores(sums, np.array([len(x) for x in texts]))
                 yield pa.RecordBatch.from_arrays(
