@@ -1,6 +1,6 @@
 """Scoring of predictions and the reports over it."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from optrace import constants as K
@@ -58,18 +58,17 @@ def summarize_by(scored: DataFrame, column: str, with_total: bool = False) -> Da
 
 
 def failures(scored: DataFrame, n: int = 3, order: str = "example_id") -> DataFrame:
-    """The first n incorrect rows, with previews, and how many there are in all."""
-    row = F.struct(
+    """The first n incorrect rows, with previews, and how many there are in all.
+
+    Runs one job: every task hands on its first n rows, and all incorrect ones are counted as they pass."""
+    seen = Observation()
+    rows = scored.observe(seen, F.count_if(~F.col("correct")).alias("failure_count")).filter(~F.col("correct")).select(
         order, F.left("expected", F.lit(PREVIEW_CHARS)).alias("expected_preview"),
         F.left("predicted", F.lit(PREVIEW_CHARS)).alias("predicted_preview"), "similarity",
     )
-    # The n least rows of each task, then of all: one pass over the scores.
-    wrong = scored.select(F.when(~F.col("correct"), row).alias("row")).withColumn("_task", F.spark_partition_id())
-    by_task = Window.partitionBy("_task").orderBy(F.col(f"row.{order}").asc_nulls_last())
-    ranked = wrong.withColumn("_rank", F.row_number().over(by_task)).withColumn("_wrong", F.count("row").over(Window.partitionBy("_task")))
-    few = ranked.filter(F.col("_rank") <= max(n, 1))
-    total = F.sum(F.when(F.col("_rank") == 1, F.col("_wrong"))).over(Window.partitionBy())
-    return few.withColumn("failure_count", total).filter("row IS NOT NULL").orderBy(f"row.{order}").limit(n).select("row.*", "failure_count")
+    first = rows.orderBy(F.col(order).asc_nulls_last()).limit(max(n, 1)).collect()  # n rows
+    found = scored.sparkSession.createDataFrame(first[: max(n, 0)], rows.schema)
+    return found.withColumn("failure_count", F.lit(seen.get["failure_count"] or 0).cast("bigint")).orderBy(F.col(order).asc_nulls_last())
 
 
 def limit_examples(df: DataFrame, n: int | None, order: str = "example_id") -> DataFrame:

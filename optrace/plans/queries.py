@@ -632,17 +632,17 @@ def predict_echo(spark, sf):
     return predict(views.chat_pairs(spark, sf), _echo).select("example_id", "predicted", "error")
 
 
+def _counted(spark, ops, name):
+    """The running distribution of a stream, kept batch by batch in the shared folder, after all is read."""
+    folder = scratch_folder(spark, name)
+    live.write_counts(live.live_distribution(ops), f"{folder}/counts", f"{folder}/checkpoint")
+    return live.read_counts(spark, f"{folder}/counts")
+
+
 @query
 def live_counts(spark, sf):
     """The running distribution after the stream has read everything there is."""
-    counts = live.live_distribution(live.useful_stream(views.event_stream(spark, sf)))
-    name = f"live_counts_{abs(hash(sf))}"
-    running = (
-        counts.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", scratch_folder(spark, "live-counts")).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.table(name)
+    return _counted(spark, live.useful_stream(views.event_stream(spark, sf)), "live-counts")
 
 
 # Sources and sinks: a given table written below the shared folder and read back --------------
@@ -666,14 +666,7 @@ def trace_scan(spark, sf):
 @query
 def trace_stream(spark, sf):
     """The same files as a stream, read until there is nothing left."""
-    folder, name = _logged(spark, sf, "stream"), f"trace_stream_{abs(hash(sf))}"
-    counts = live.live_distribution(live.stream_trace(spark, folder))
-    running = (
-        counts.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", scratch_folder(spark, "trace-stream")).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.table(name)
+    return _counted(spark, live.stream_trace(spark, _logged(spark, sf, "stream")), "trace-stream")
 
 
 @query

@@ -5,10 +5,11 @@ import os
 import pwd
 import time
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from optrace import constants as K
@@ -267,10 +268,18 @@ def read_snapshots_xml(
 
 
 def write_pairs(df: DataFrame, directory: str, n: int | None = None, prefix: str = "fuse") -> str:
-    """JSON lines under a folder whose name carries the number of rows and the time."""
-    n = df.count() if n is None else n
-    target = f"{directory.rstrip('/')}/{prefix}_{n}_{int(time.time())}"
-    df.select("prompt", "completion").write.json(target)
+    """JSON lines under a folder whose name carries the number of rows and the time. The rows are counted
+    as they are written; the folder then gets its name."""
+    root, made = directory.rstrip("/"), int(time.time())
+    if n is not None:
+        df.select("prompt", "completion").write.json(target := f"{root}/{prefix}_{n}_{made}")
+        return target
+    seen, hidden = Observation(), f"{root}/_{prefix}_{uuid4().hex}"
+    df.select("prompt", "completion").observe(seen, F.count(F.lit(1)).alias("n")).write.json(hidden)
+    target = f"{root}/{prefix}_{seen.get['n']}_{made}"
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    if not path(hidden).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).rename(path(hidden), path(target)):
+        raise OSError(f"{hidden} cannot be renamed to {target}")
     return target
 
 

@@ -110,3 +110,19 @@ def use_rocksdb(spark: SparkSession) -> None:
 def live_distribution(ops: DataFrame) -> DataFrame:
     """Running count per operation name; write it in update mode."""
     return ops.groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_counts(counts: DataFrame, folder: str, checkpoint: str) -> None:
+    """Runs a stream of running counts until nothing is left to read. Every batch writes its changed
+    rows to a folder named by its id, so a batch that comes again after a restart replaces itself."""
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def read_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts after the last batch that write_counts has kept: of every operation its latest."""
+    rows = spark.read.schema("operation string, n bigint, batch bigint").parquet(folder)
+    return rows.groupBy("operation").agg(F.max_by("n", "batch").alias("n"))

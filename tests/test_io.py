@@ -165,3 +165,42 @@ def test_tree_source_lists_only_what_may_match(tmp_path):
     finally:
         tree.Store.inside = inside
     assert "a/b/f" in found and "d/e/f" not in found and set(listed) == {"", "a", "a/b"}
+
+
+def test_counts_survive_a_restart(spark, tmp_path):
+    """A second run goes on where the first ended; a batch that comes again replaces itself."""
+    logs, kept, checkpoint = (str(tmp_path / x) for x in ("logs", "kept", "checkpoint"))
+    write_log(tmp_path / "logs")
+    counts = lambda: live.live_distribution(live.stream_trace(spark, logs))
+    live.write_counts(counts(), kept, checkpoint)
+    once = {tuple(r) for r in live.read_counts(spark, kept).collect()}
+    live.write_counts(counts(), kept, checkpoint)  # nothing new
+    assert {tuple(r) for r in live.read_counts(spark, kept).collect()} == once == {("mkdir", 1), ("create", 1), ("write", 1), ("unlink", 1)}
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda x: int(x.name))
+    commits[-1].unlink()  # as if the run had ended before it could commit
+    for crc in (tmp_path / "checkpoint" / "commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+    (tmp_path / "logs" / "more.jsonl").write_text('{"operation": "mkdir", "path": "/e", "timestamp": 9.5, "parameters": {}}\n')
+    live.write_counts(counts(), kept, checkpoint)
+    assert {tuple(r) for r in live.read_counts(spark, kept).collect()} == {("mkdir", 2), ("create", 1), ("write", 1), ("unlink", 1)}
+
+
+def test_pairs_are_counted_while_written(spark, tmp_path):
+    """One job writes; the plan does not run twice."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for x in batches:
+            runs.add(len(x))
+            yield x
+
+    pairs = spark.range(50).selectExpr("CAST(id AS string) AS prompt", "'c' AS completion").repartition(3).mapInPandas(seen, "prompt string, completion string")
+    assert "/fuse_50_" in files.write_pairs(pairs, str(tmp_path)) and runs.value == 50
+
+
+def test_first_failures(spark):
+    rows = [(f"{i:03}", "e" * 200, "p", i / 100, i % 3 == 0) for i in range(50)]
+    scored = spark.createDataFrame(rows, "example_id string, expected string, predicted string, similarity double, correct boolean").repartition(7)
+    found = scoring.failures(scored, 4).collect()
+    assert [r.example_id for r in found] == ["001", "002", "004", "005"] and {r.failure_count for r in found} == {33} and len(found[0].expected_preview) == 100
+    assert scoring.failures(scored.filter("correct"), 4).count() == 0
