@@ -376,12 +376,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_ou
     used = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(4)) != 3
     fitted = found.filter(used)
     totals = {x["label"]: x["n"] for x in fitted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Copies of a text hold a unit among the same words: they count once.
-    held = fitted.select("label", "doc_id", F.inline("units"))
-    counts = held.groupBy("unit", "label").agg(F.least(F.countDistinct("doc_id"), F.countDistinct("around")).alias("n"))
-    counts = counts.groupBy("unit").agg(
-        F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("c")
-    )
+    held = fitted.select("label", F.explode(F.array_distinct("units.unit")).alias("unit"))
+    counts = held.groupBy("unit").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    # Copies of a toxic text hold a unit among the same words: they count once.
+    around = fitted.filter("label = 1").select(F.inline("units")).groupBy("unit").agg(F.countDistinct("around").alias("around"))
+    counts = counts.join(around, "unit", "left").select("unit", F.least("t", F.coalesce("around", "t")).alias("t"), "c")
     likely = counts.filter(F.col("t") >= LEAST).orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "unit").limit(2 * POSITIVES)
     often = counts.filter("c > 0").orderBy(F.desc("c"), "unit").limit(POOL // 2)
     other = counts.filter("c > 0").orderBy(F.xxhash64("unit"), "unit").limit(POOL // 2)
