@@ -13,6 +13,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ from optrace.llm.common import Bounded, slices
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LEAF, WINDOW = 512, 8
 #: Texts of these characters only are cut into the vocabulary's pieces here: for them it is plain
-#: which are letters, digits and white space. Others go through the library as a whole.
+#: which are letters, digits and white space. Others are cut by the library.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*")
 LETTER = "a-zA-ZÀ-ÖØ-öø-ſ"
 PIECES = re.compile(
@@ -33,6 +34,12 @@ PIECES = re.compile(
 )
 
 
+@lru_cache
+def long_run(length: int) -> re.Pattern:
+    """A run that may be one piece of more than that many characters."""
+    return re.compile(rf"\S{{{length + 1}}}|\s{{{length + 1}}}")
+
+
 class Encoder:
     """Encoding and decoding with a byte-level vocabulary file."""
 
@@ -75,7 +82,7 @@ class Encoder:
         for i in (i for i, gap in enumerate(gaps) if gap):
             values[i] = [known[y] if z is None else z for y, z in zip(parts[i], values[i])]
         return [
-            np.array(self._plain(x), np.uint32) if p is None else np.frombuffer(b"".join(v), np.uint32) for x, p, v in zip(texts, parts, values)
+            np.array(self._cut(x), np.uint32) if p is None else np.frombuffer(b"".join(v), np.uint32) for x, p, v in zip(texts, parts, values)
         ]
 
     def _learn(self, pieces: list[str]) -> None:
@@ -91,9 +98,24 @@ class Encoder:
         places = np.repeat(self.starts[ids] - before, lengths) + np.arange(int(lengths.sum()))
         return self.bytes[places].tobytes().decode("utf-8", "replace")
 
+    def _text(self, ids: list[int]) -> str | None:
+        """The ids' bytes as text, None where they are not whole characters."""
+        found = b"".join(self.bytes[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes() for i in ids)
+        try:
+            return found.decode()
+        except UnicodeDecodeError:
+            return None
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _cut(self, text: str) -> list[int]:
+        """Ids of a text of any characters: where it may hold a long piece it is cut by the vocabulary's own
+        pre-tokenisation, else the library has it whole."""
+        if "<|" in text or not long_run(self.leaf).search(text):
+            return self._plain(text)
+        return [i for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for i in self._piece(text[a:b])]
+
     def _piece(self, piece: str) -> list[int]:
         return self._plain(piece) if len(piece) <= self.leaf else self.tree(piece)
 
@@ -114,7 +136,11 @@ class Encoder:
         size = WINDOW
         while True:
             a, b = min(size, len(left)), min(size, len(right))
-            new = self._plain(self.decoded(np.array([*left[-a:], *right[:b]])))
+            text = self._text([*left[-a:], *right[:b]])
+            if text is None:  # the window begins or ends inside a character
+                size += 1
+                continue
+            new = self._plain(text)
             if (a == len(left) or new[0] == left[-a]) and (b == len(right) or new[-1] == right[b - 1]):
                 return [*left[: len(left) - a], *new, *right[b:]]
             size *= 2

@@ -26,7 +26,7 @@ def long_texts():
     return [
         "a" * 5000, letters(9000, "abcdefgh"), " " + letters(3001, "etaoinshr"), "x " + "qu" * 2000 + "'s é" + "z" * 3000 + "é", "9" * 3000,
         "!?" * 900 + letters(2000, "th") + "#" * 700, "don't " * 5, "'ll" + "e" * 1200 + "'re", "The <|endoftext|> end <|", "  a  b\n\n c \t\n", "", "   ",
-        " x y\x0bz\x1c!", "日本語" * 400, "é" * 2000, letters(600, "ab") + "\n" + letters(700, "ab"), "\x00\x01\x7f", "🙂🙂" * 50,
+        " x y\x0bz\x1c!", "日本語" * 400, letters(1500, "日本語漢字仮名") + "。" + letters(900, "абвгдежз"), "ไทยภาษา" * 300, letters(1200, "🙂🙃é"), " " * 1500 + "語", "x" * 700 + "語" + "。" * 800, "é" * 2000, letters(600, "ab") + "\n" + letters(700, "ab"), "\x00\x01\x7f", "🙂🙂" * 50,
     ]
 
 
