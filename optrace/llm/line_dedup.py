@@ -21,6 +21,17 @@ def _line(x: Column) -> Column:
     return F.struct(one.alias("one"), two.alias("two"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_boilerplate(documents: DataFrame, site: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Every row of documents (doc_id, text, the site column and any others), text without its
     site's boilerplate lines, and n_dropped, the number of lines that went.
@@ -37,6 +48,7 @@ def drop_boilerplate(documents: DataFrame, site: str = "source", ratio: float =
     documents = documents.drop("n_dropped")
     host, text = F.col(site), F.col("text")
     page_one, page_two = _pair(host, text)
+    one, two, found_lines = free_names(documents, "_p1", "_p2", "_hits")  # beside the caller's columns
     lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), _line))
     narrow = documents.filter(host.isNotNull() & text.isNotNull()).select(
         host.alias("_site"), page_one.alias("_p1"), page_two.alias("_p2"), lines.alias("_lines")
@@ -46,14 +58,14 @@ def drop_boilerplate(documents: DataFrame, site: str = "source", ratio: float =
     held = held.distinct()
     counted = held.groupBy("_site", "one", "two").agg(F.count(F.lit(1)).alias("_with")).filter(F.col("_with") >= least_pages)
     common = counted.join(pages, "_site").filter(F.col("_with") > F.lit(ratio) * F.col("_pages")).select("_site", "one", "two")
-    hits = held.join(common, ["_site", "one", "two"], "left_semi").groupBy("_p1", "_p2").agg(
-        F.collect_set(F.struct("one", "two")).alias("_hits")
+    hits = held.join(common, ["_site", "one", "two"], "left_semi").groupBy(F.col("_p1").alias(one), F.col("_p2").alias(two)).agg(
+        F.collect_set(F.struct("one", "two")).alias(found_lines)
     )
-    keyed = documents.withColumns({"_p1": page_one, "_p2": page_two})
-    found = keyed.join(hits, ["_p1", "_p2"], "left")
+    keyed = documents.withColumns({one: page_one, two: page_two})
+    found = keyed.join(hits, [one, two], "left")
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_hits"), _line(x)))
-    marked = F.col("_hits").isNotNull()
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col(found_lines), _line(x)))
+    marked = F.col(found_lines).isNotNull()
     return found.withColumns({
         "text": F.when(marked, F.array_join(kept, "\n")).otherwise(text),
         "n_dropped": F.when(marked, F.size(split) - F.size(kept)).otherwise(F.lit(0)).cast("long"),

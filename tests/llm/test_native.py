@@ -36,6 +36,14 @@ def test_lines(spark, ratio, least):
     assert line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
 
 
+def test_columns_of_like_names_stay(spark):
+    rows = [(*x, 1, "b", 3.0) for x in LINES]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, _p1 long, _P2 string, _hits double")
+    got = line_dedup.drop_boilerplate(frame, ratio=0.3, least_pages=2)
+    assert got.columns == [*frame.columns, "n_dropped"]
+    assert sorted(((*x[:3], x[6]) for x in got.collect()), key=str) == plain(LINES, 0.3, 2) and {tuple(x[3:6]) for x in got.collect()} == {(1, "b", 3.0)}
+
+
 def test_planted_lines_of_a_large_site(spark):
     """Lines on 1, 3 and 9 % of 2,000 pages go; lines on up to 0.5 % of them, or on four pages, stay."""
     planted = {"one": 20, "three": 60, "nine": 180, "rare": 10, "four": 4}
