@@ -203,8 +203,7 @@ def split(pairs: DataFrame, ratio: float = K.TRAIN_RATIO, seed: str = K.SPLIT_SE
 
 def split_exact(pairs: DataFrame, ratio: float = K.TRAIN_RATIO, seed: str = K.SPLIT_SEED, id_column: str = "example_id") -> DataFrame:
     """Adds split with exactly floor(ratio * n) train rows: those with the smallest hashes."""
-    n = pairs.count()
-    boundary = boundary_of(pairs, floor(ratio * n), split_key(id_column, seed), id_column)
+    boundary = boundary_of(pairs, lambda n: floor(ratio * n), split_key(id_column, seed), id_column)
     key = split_key(id_column, seed)
     is_train = below_boundary(key, id_column, boundary)
     return pairs.withColumn("split", F.when(is_train, "train").otherwise("test"))

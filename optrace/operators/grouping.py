@@ -4,7 +4,9 @@ Rows are sorted across the cluster by range, numbered within their key from a na
 per slice, and collected in parts of a fixed number of rows. Every key has this one shape,
 whatever its size, so no task ever holds more than a part and nothing is left out."""
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from optrace.session import cut_lineage
@@ -29,33 +31,55 @@ def ordered_groups(df: DataFrame, keys: list[str], order: str, value: str, rows_
     )
 
 
-def boundary_of(df: DataFrame, n: int, key: Column, tie: str, digits: int = 20) -> tuple | None:
+#: Size of a quantile sketch, share of the rows by which its answer is widened to either side, and rows
+#: that are settled one by one.
+SKETCH, MARGIN, SETTLED = 4096, 0.005, 200_000
+
+
+def boundary_of(df: DataFrame, n: int | Callable[[int], int], key: Column, tie: str, settled: int = SETTLED) -> tuple | None:
     """(key, tie) of the n-th smallest row by those two, exactly, for any n; None if there are
-    fewer rows, and an impossible (-1, None) for n = 0.
+    fewer rows, and an impossible (-1, None) for n <= 0. n may be a function of the number of rows.
 
-    key is a 60-bit number. It is found from counts per leading bits, refined in rounds, so
-    the driver sees counts only (2**digits at most) and no row is moved."""
-    if n <= 0:
-        return -1, None
-    keyed = df.select(key.alias("_key"), tie)
-    low, width, wanted = 0, 60, n
-    while width > 0:
-        span = 1 << width
-        width -= digits
-        inside = keyed.filter((F.col("_key") >= low) & (F.col("_key") < low + span))
-        counts = inside.groupBy(F.shiftright("_key", width).alias("b")).count().orderBy("b")
-        found = None
-        for row in counts.toLocalIterator():
-            if row["count"] >= wanted:
-                found = row["b"]
+    key is a 60-bit number. One pass with a quantile sketch gives a bracket around it, a second counts
+    the rows below and settles the few inside; a bracket with more than settled rows is narrowed in the
+    same way. The driver sees counts, sketches and one row."""
+    keyed = df.select(key.alias("_key"), F.col(tie).alias("_tie"))
+    spark = df.sparkSession
+    low, high, below = -1, 1 << 60, 0  # the row is in low < key <= high, with so many rows before
+    inside = keyed
+    while True:
+        found = inside.agg(F.count("_key").alias("n"), F.kll_sketch_agg_bigint("_key", F.lit(SKETCH)).alias("sketch")).first()
+        if low < 0:
+            n = n(found["n"]) if callable(n) else n
+            if n <= 0:
+                return -1, None
+            if n > found["n"]:
+                return None
+        if found["n"] <= settled:
+            break
+        ranks = [min(1.0, max(0.0, (n - below) / found["n"] + x)) for x in (-MARGIN, MARGIN)]
+        sketch = spark.createDataFrame([(found["sketch"],)], "sketch binary")
+        ends = sketch.select(*[F.kll_sketch_get_quantile_bigint("sketch", F.lit(x)).alias(f"q{i}") for i, x in enumerate(ranks)]).first()
+        one, two = (low if ranks[0] == 0 else ends[0] - 1), (high if ranks[1] == 1 else ends[1])
+        seen, wanted = Observation(), n - below
+        counted = inside.observe(seen, F.count_if(F.col("_key") <= one).alias("below"), F.count_if(F.col("_key") <= two).alias("upto"))
+        narrow = counted.filter((F.col("_key") > one) & (F.col("_key") <= two))
+        expected = int(found["n"] * 2 * MARGIN) + 1
+        # The rows inside come in the same pass if few are expected; the place of the wanted one is known after it.
+        rows = narrow.orderBy("_key", "_tie").limit(2 * expected if 2 * expected <= settled else 1).collect()
+        upto, before = seen.get["upto"], seen.get["below"]
+        if before < wanted <= upto:
+            if wanted - before <= len(rows):
+                return tuple(rows[wanted - before - 1])
+            if (one, two) == (low, high):
                 break
-            wanted -= row["count"]
-        if found is None:
-            return None
-        low = found << width
-    # Rows that share one full hash are told apart by their tie column.
-    last = keyed.filter(F.col("_key") == low).orderBy(tie).limit(wanted).tail(1)[0]
-    return low, last[tie]
+            low, high, below = one, two, below + before
+        elif wanted <= before:  # the sketch was wrong by more than MARGIN
+            high = one
+        else:
+            low, below = two, below + upto
+        inside = keyed.filter((F.col("_key") > low) & (F.col("_key") <= high))
+    return tuple(inside.orderBy("_key", "_tie").limit(n - below).tail(1)[0])
 
 
 def below_boundary(key: Column, tie: str, boundary: tuple | None) -> Column:

@@ -147,6 +147,13 @@ def test_boundary_is_exact(spark):
     key = dataset.split_key("example_id")
     for n in (0, 1, 777, 4999, 5000, 6000):
         assert df.filter(below_boundary(key, "example_id", boundary_of(df, n, key, "example_id"))).count() == min(n, 5000)
+    rows = sorted(tuple(r) for r in df.select(key, "example_id").collect())
+    for n in (1, 40, 2500, 4990, 5000):  # few rows are settled one by one, so the bracket is narrowed again and again
+        for settled in (1, 60, 400):
+            assert boundary_of(df, n, key, "example_id", settled) == rows[n - 1]
+    equal = df.withColumn("k", F.lit(7).cast("bigint"))
+    assert boundary_of(equal, 3, F.col("k"), "example_id", 10) == (7, sorted(r[1] for r in rows)[2])
+    assert boundary_of(df, lambda n: n // 2, key, "example_id") == rows[2499] and boundary_of(df.limit(0), lambda n: n, key, "example_id") == (-1, None)
 
 
 # Replay ------------------------------------------------------------------------------------
