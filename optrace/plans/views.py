@@ -121,30 +121,6 @@ def event_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirs.unionByName(files).select(ENTRY_COLUMNS)
 
 
-def event_tree_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_ops in which some creations are renames, links or directory operations."""
-    ops = event_ops(spark, sf_dir)
-    number = F.regexp_extract("path", r"f(\d+)$", 1).cast("int")
-    turned = F.when(F.col("operation") != "create", F.col("operation")).otherwise(
-        F.element_at(
-            F.array(*[F.lit(x) for x in ("create", "rename", "mkdir", "link", "create", "rmdir", "symlink")]),
-            number % 7 + 1,
-        )
-    )
-    other = F.concat(F.lit("/d"), number % 10, F.lit("/r"), number)
-    path = (
-        F.when(turned == "mkdir", F.concat(F.lit("/d"), number % 10, F.lit("/sub"), number))
-        .when(turned == "rmdir", F.concat(F.lit("/d"), number % 10, F.lit("/sub"), number - 3))
-        .otherwise(F.col("path"))
-    )
-    params = (
-        F.when(turned == "rename", F.create_map(F.lit("new_path"), other))
-        .when(turned.isin("link", "symlink"), F.create_map(F.lit("target"), other))
-        .otherwise(F.col("parameters"))
-    )
-    return ops.select("session", "seq", turned.alias("operation"), path.alias("path"), "ts", params.alias("parameters"))
-
-
 def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns answered by the next turn, as prompts of the four layouts in use: listing,
     read, change, and the older text layout."""
