@@ -301,8 +301,8 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     100 * intersection >= percent * union. component_id is the smallest doc_id reachable by
     links; n_links counts the other rows linked directly, copies included. Null or blank texts
     have an empty set and are linked with nothing. Rows repeated or sharing a doc_id each give a
-    row; a row without doc_id has component_id from the rows it is linked with, else null. Other
-    columns are left out."""
+    row; a row without doc_id has the component_id of rows with an equal set that have one, else null:
+    its text is not looked up, so beyond that it links nothing. Other columns are left out."""
     documents = documents.select("doc_id", "text")
     spark_rows = documents.mapInArrow(_digest_rows(width), "doc_id long, n long, one long, two long")
     rows = staged(spark_rows, "sets")
