@@ -1,11 +1,17 @@
 """How well token models compress texts: n-gram models and the ideal code length under them."""
 
-from pyspark.sql import Column, DataFrame
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from uuid import uuid4
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optrace import constants as K
 from optrace.functions.text import BLANK, strip
-from optrace.session import kept
+from optrace.session import kept, ship_package
 
 CONTEXT_MARK = "\x1f"
 
@@ -17,34 +23,132 @@ def tokens_of(text: Column) -> Column:
 
 
 def ngram_counts(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(keep..., context, token, times): every token after the n-1 tokens before it, and how often the
-    row has the two; the text starts with the start token. Counted inside the row, as lengths of runs
-    in its sorted n-grams, so nothing is shuffled."""
+    """(keep..., context, token, times): every token after the n-1 tokens before it; the text starts with
+    the start token. A row per occurrence, times 1: hardly an n-gram comes twice in a text, and sums are
+    formed in the tasks that read the texts."""
     keep = ["doc_id"] if keep is None else keep
     if n < 1:
         raise ValueError("n must be at least 1")
-    # No token holds the mark, which counts as a blank: what follows the last one is the token.
-    def context_of(i: Column) -> Column:
-        before = [F.coalesce(F.get("_tokens", i - back), F.lit(K.START_TOKEN)) for back in range(n - 1, 0, -1)]
-        return F.concat_ws(CONTEXT_MARK, *before) if before else F.lit("")
-
-    gram = lambda token, i: F.concat(context_of(i), F.lit(CONTEXT_MARK), token)
-    rows = docs.select(*keep, tokens_of(F.col(text)).alias("_tokens")).select(*keep, F.sort_array(F.transform("_tokens", gram)).alias("_grams"))
-    first = lambda gram, i: F.when((i == 0) | (gram != F.get("_grams", i - 1)), i)
-    rows = rows.withColumn("_starts", F.filter(F.transform("_grams", first), F.isnotnull))
-    run = lambda at, i: F.struct(
-        F.get("_grams", at).alias("_gram"), (F.coalesce(F.get("_starts", i + 1), F.size("_grams")) - at).cast("bigint").alias("times")
+    places = [f"_{back}" for back in range(n - 1, -1, -1)]
+    before = [F.concat(F.array_repeat(F.lit(K.START_TOKEN), back), F.col("_tokens")).alias(f"_{back}") for back in range(n - 1, 0, -1)]
+    rows = docs.select(*keep, tokens_of(F.col(text)).alias("_tokens"))
+    rows = rows.select(*keep, F.inline(F.arrays_zip(*before, F.col("_tokens").alias("_0")))).toDF(*keep, *places).filter("_0 IS NOT NULL")
+    context = F.concat_ws(CONTEXT_MARK, *places[:-1]) if n > 1 else F.lit("")
+    return rows.select(*keep, context.alias("context"), F.col("_0").alias("token"), F.lit(1).cast("bigint").alias("times"))
+
+
+#: Tokens of a block of texts, which are read and numbered together, and rows that a task hands on at a time.
+BLOCK_TOKENS, BATCH_ROWS = 1 << 22, 1 << 17
+
+
+def _block(keys: list[pa.Array], sizes: list[int], codes: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
+    def listed(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    columns = [pa.array([uuid4().hex]), *map(listed, keys), listed(pa.array(sizes, pa.int32())), listed(pa.array(np.concatenate(codes))), listed(pa.array(words, pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["block", *[f"k{i}" for i in range(len(keys))], "sizes", "codes", "words"])
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts (the last column): their tokens by their places in the block's list of words, the
+    start token first."""
+    for batch in batches:
+        *keys, texts = batch.columns
+        first, last = 0, len(texts) - 1
+        for i, text in enumerate(texts):
+            if i == first:
+                places: defaultdict[str, int] = defaultdict()
+                places.default_factory = places.__len__
+                places[K.START_TOKEN], total, sizes, codes = 0, 0, [], []  # blanks are those of tokens_of
+            words = (text.as_py() or "").split()
+            codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            sizes.append(len(words))
+            total += len(words)
+            if total >= BLOCK_TOKENS or i == last:
+                yield _block([k.slice(first, i + 1 - first) for k in keys], sizes, codes, list(places))
+                first = i + 1
+
+
+def _grams_of(ids: np.ndarray, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct n-grams and their times, from its words' numbers: for n up to 2 a number whose
+    upper half is the word before, else a row of n numbers."""
+    before = [np.concatenate([np.full(back, start), ids])[: len(ids)] for back in range(n - 1, 0, -1)]
+    if n > 2:
+        return np.unique(np.stack([*before, ids], axis=1), axis=0, return_counts=True)
+    return np.unique((before[0] << 32 | ids) if before else ids, return_counts=True)
+
+
+def _count_blocks(keys: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [*[f"k{i}" for i in range(keys)], "gram", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                *own, sizes, codes, numbers = [c[row].values for c in batch.columns]
+                numbers, ends = numbers.to_numpy(), np.cumsum(sizes.to_numpy())
+                ids, at, found, rows = numbers[codes.to_numpy()], 0, [], 0
+                for i, end in enumerate(ends):
+                    if end > at:
+                        found.append((i, *_grams_of(ids[at:end], numbers[0], n)))
+                        rows += len(found[-1][2])
+                    at = end
+                    if found and (rows >= BATCH_ROWS or i == len(ends) - 1):
+                        places = pa.array(np.repeat([x[0] for x in found], [len(x[2]) for x in found]))
+                        grams, times = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+                        column = pa.array(list(grams), pa.list_(pa.int64())) if n > 2 else pa.array(grams)
+                        yield pa.RecordBatch.from_arrays([*[k.take(places) for k in own], column, pa.array(times)], names)
+                        found, rows = [], 0
+
+    return run
+
+
+def numbered_words(words: DataFrame, word: str = "word") -> DataFrame:
+    """(word, id): different words and numbers from 0 on without gaps."""
+    found = kept(words.select(word).distinct().withColumn("_at", F.monotonically_increasing_id()), "words")
+    part = F.shiftright("_at", 33)
+    sizes = found.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # A row for each task that made words.
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = found.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.select(word, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+
+
+def coded_counts(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(keep..., gram, times): ngram_counts summed up in each row, with one number for context and token
+    (an array of them for n over 2), so that what follows moves and compares numbers.
+
+    Texts are split once, in blocks that list their words; the blocks' lists are numbered by a join."""
+    keep = ["doc_id"] if keep is None else keep
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    ship_package(docs.sparkSession)
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(k).alias(name) for k, name in zip(keep, names)], F.col(text).alias("text"))
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]]
+    lists = ", ".join(f"{name} array<{kind}>" for name, kind in kinds)
+    blocks = kept(rows.mapInArrow(_read_blocks, f"block string, {lists}, sizes array<int>, codes array<int>, words array<string>"), "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
+    ids = words.join(numbered_words(words), "word")
+    ordered = F.array_sort(F.collect_list(F.struct("code", "id")))
+    numbers = ids.groupBy("block").agg(F.transform(ordered, lambda x: x["id"]).alias("numbers"))
+    gram = "array<bigint>" if n > 2 else "bigint"
+    counted = blocks.join(numbers, "block").select(*names, "sizes", "codes", "numbers").mapInArrow(
+        _count_blocks(len(keep), n), ", ".join(f"{name} {kind}" for name, kind in kinds) + f", gram {gram}, times bigint"
     )
-    token = F.substring_index("_gram", CONTEXT_MARK, -1)
-    context = F.left("_gram", F.char_length("_gram") - F.char_length(token) - 1)
-    return rows.select(*keep, F.inline(F.transform("_starts", run))).select(*keep, context.alias("context"), token.alias("token"), "times")
+    return kept(counted.toDF(*keep, "gram", "times"), "ngrams")
+
+
+def _context(n: int) -> Column:
+    """The part of a gram of coded_counts before its token."""
+    return F.slice("gram", 1, n - 1) if n > 2 else F.shiftright("gram", 32)
 
 
 def fit_counts(counts: DataFrame, group: str | None = None) -> DataFrame:
     """(context, token, n, p) from rows of ngram_counts, with a group column in front for one model
     per group."""
     by = [group] if group else []
-    counts = counts.groupBy(*by, "context", "token").agg(F.sum("times").alias("n"))
+    # Kept, for the totals are sums over it, and counting is the most of the work.
+    counts = kept(counts.groupBy(*by, "context", "token").agg(F.sum("times").alias("n")), "model")
     totals = counts.groupBy(*by, "context").agg(F.sum("n").alias("_total"))
     return counts.join(totals, [*by, "context"]).withColumn("p", F.col("n") / F.col("_total")).drop("_total")
 
@@ -90,30 +194,36 @@ def estimate_ratio(
 
 def own_ratio(docs: DataFrame, n: int = 2, text: str = "text", doc_id: str = "doc_id", group: str | None = None) -> DataFrame:
     """estimate_ratio under the texts' own model: texts are read and counted once."""
-    counts = kept(ngram_counts(docs, n, text, [doc_id, *([group] if group else [])]), "ngrams")
-    return price_counts(counts, fit_counts(counts, group), doc_id, group)
+    by = [group] if group else []
+    counts = coded_counts(docs, n, text, [doc_id, *by])
+    model = kept(counts.groupBy(*by, "gram").agg(F.sum("times").alias("n")).withColumn("_context", _context(n)), "model")
+    totals = model.groupBy(*by, "_context").agg(F.sum("n").alias("_total"))
+    prices = model.join(totals, ["_context", *by]).select(*by, "gram", (-F.log2(F.col("n") / F.col("_total"))).alias("_bits"))
+    per_doc = counts.join(prices, ["gram", *by], "left").groupBy(doc_id).agg(
+        F.sum("times").alias("num_tokens"), F.coalesce(F.sum(F.col("_bits") * F.col("times")), F.lit(0.0)).alias("bits")
+    )
+    return _with_ratio(per_doc)
 
 
 def both_costs(docs: DataFrame, group: str, n: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, num_tokens, base_bits, tuned_bits): code lengths under one model of all texts and under
-    one per group. Texts are counted once, one aggregate over grouping sets gives both models, and
-    one pass over the counts prices them under both."""
-    counts = kept(ngram_counts(docs, n, text, [doc_id, group]).withColumnRenamed(group, "_group"), "ngrams")
-    models = counts.groupingSets([["_group", "context", "token"], ["context", "token"]], "_group", "context", "token").agg(
-        F.sum("times").alias("n"), (F.grouping("_group") == 1).alias("_base")
+    one per group. Texts are counted once, the model of all texts is summed up from those of the groups,
+    and one pass over the counts prices them under both."""
+    counts = coded_counts(docs, n, text, [doc_id, group]).withColumnRenamed(group, "_group")
+    # A gram, and a context, has a row per group at most here.
+    over = lambda key, count: F.sum(count).over(Window.partitionBy(key))
+    models = counts.groupBy("gram", "_group").agg(F.sum("times").alias("n"))
+    models = kept(models.withColumn("n_all", over("gram", "n")).withColumn("_context", _context(n)), "models")
+    totals = models.groupBy("_context", "_group").agg(F.sum("n").alias("_total"))
+    totals = totals.withColumn("_total_all", over("_context", "_total"))
+
+    def same(one: str, two: str, key: str) -> Column:
+        return (F.col(f"{one}.{key}") == F.col(f"{two}.{key}")) & F.col(f"{one}._group").eqNullSafe(F.col(f"{two}._group"))
+
+    prices = models.alias("m").join(totals.alias("t"), same("m", "t", "_context")).select(
+        "m.gram", "m._group", (-F.log2(F.col("n") / F.col("_total"))).alias("_tuned"), (-F.log2(F.col("n_all") / F.col("_total_all"))).alias("_base")
     )
-    models = kept(models, "models")
-    totals = models.groupBy("_base", "_group", "context").agg(F.sum("n").alias("_total"))
-
-    def side(base: bool, name: str) -> DataFrame:
-        own, of = models.filter(F.col("_base") == base).drop("_base"), totals.filter(F.col("_base") == base).drop("_base")
-        same = (F.col("m.context") == F.col("t.context")) & F.col("m._group").eqNullSafe(F.col("t._group"))
-        priced = own.alias("m").join(of.alias("t"), same)
-        return priced.select("m._group", "m.context", "m.token", (-F.log2(F.col("n") / F.col("_total"))).alias(name))
-
-    prices = side(False, "_tuned").join(side(True, "_base").drop("_group"), ["context", "token"])
-    same = [F.col(f"c.{x}") == F.col(f"p.{x}") for x in ("context", "token")] + [F.col("c._group").eqNullSafe(F.col("p._group"))]
-    return counts.alias("c").join(prices.alias("p"), same).groupBy(doc_id).agg(
+    return counts.alias("c").join(prices.alias("p"), same("c", "p", "gram")).groupBy(doc_id).agg(
         F.sum("times").alias("num_tokens"),
         F.sum(F.col("times") * F.col("_base")).alias("base_bits"), F.sum(F.col("times") * F.col("_tuned")).alias("tuned_bits"),
     )
