@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from optrace import constants as K
 from optrace.functions.text import LINE_BREAK, fold_blanks, lines, strip, strip_right
 
+FREQUENT = " abcdefghijklmnopqrstuvwxyz"
 ARRAY_PATTERN = r"\[[\s\S]*?\]"
 
 
@@ -98,12 +99,20 @@ def with_clean_prediction(df: DataFrame, pred: str = "predicted", exp: str = "ex
     """Reasoning and chatter removed, then the route of the expected shape. Each step is a
     column of its own: inlined into one expression the plan would repeat them many times."""
     bare, wanted, state = F.col("_bare"), F.col("_wanted"), F.col("_state")
+    # extract_state and strip_stop of states, by plain searches and step by step for the same reason.
+    rest, end, right = F.col("_rest"), "</filesystem>", F.col("_right")
+    block = F.concat(F.substring_index(rest, end, 1), F.when(rest.contains(end), end).otherwise(""))
+    found = F.when(rest == "", F.col("_text")).otherwise(strip(block))
+
+    def without_stop(c: Column) -> Column:
+        return F.when(c.endswith(K.STOP_TOKEN), strip_right(F.left(c, F.char_length(c) - len(K.STOP_TOKEN)))).otherwise(c)
+
     routed = (
-        F.when(state, strip_stop(extract_state(bare)))
+        F.when(state, without_stop(right))
         .when(wanted.startswith("["), repair_listing(bare, wanted))
         .otherwise(bare)
     )
-    target = F.when(state, strip_stop(F.col(exp))).otherwise(F.col(exp))
+    target = F.when(state, without_stop(F.col("_wanted_right"))).otherwise(F.col(exp))
     clamped = (
         F.when(wanted == "", "")
         .when(F.col("_routed").isNull() | F.col(exp).isNull(), F.col("_routed"))
@@ -113,9 +122,15 @@ def with_clean_prediction(df: DataFrame, pred: str = "predicted", exp: str = "ex
     return (
         df.withColumn("_bare", strip_think(F.col(pred)))
         .withColumns({"_bare": strip_chatter(bare), "_wanted": strip(F.col(exp)), "_state": is_state(F.col(exp))})
+        .withColumns({"_text": F.when(state, strip(bare)), "_wanted_right": F.when(state, strip_right(F.col(exp)))})
+        .withColumn("_at", F.instr("_text", "<filesystem"))
+        .withColumn("_rest", F.when(F.col("_at") > 0, F.substring(F.col("_text"), F.col("_at"), F.char_length("_text"))).when(F.col("_at") == 0, ""))
+        .withColumn("_right", F.when(state, strip_right(found)))
         .withColumns({"_routed": routed, "_target": target})
         .withColumns({"_p": strip(F.col("_routed")), "_e": strip(F.col("_target"))})
-        .withColumn(out, clamped).drop("_bare", "_wanted", "_state", "_routed", "_target", "_p", "_e")
+        .withColumn(out, clamped).drop(
+            "_bare", "_wanted", "_state", "_text", "_wanted_right", "_at", "_rest", "_right", "_routed", "_target", "_p", "_e"
+        )
     )
 
 
@@ -135,10 +150,12 @@ def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity")
     p, e = F.col("_p"), F.col("_e")
 
     def characters(c: Column) -> Column:
+        """Different characters: the most frequent ones are looked for, only what is left is split."""
+        rest = F.regexp_replace(c, f"[{FREQUENT}]+", "")
         # An all-blank text has no characters, though split('') yields one empty string.
-        return F.when(p == e, None).when(c == "", F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.split(F.lower(c), ""))
-        )
+        others = F.when(rest == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(rest, "")))
+        frequent = F.filter(F.array(*map(F.lit, FREQUENT)), lambda x: c.contains(x))
+        return F.when(p == e, None).otherwise(F.concat(frequent, others))
 
     def folded(c: str) -> Column:
         # Equal texts need no folding to be found equal.
@@ -153,7 +170,8 @@ def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity")
     )
     return (
         df.withColumns({"_p": folded(pred), "_e": folded(exp)})
-        .withColumns({"_p_chars": characters(p), "_e_chars": characters(e)})
+        .withColumns({"_p_chars": F.when(p != e, F.lower(p)), "_e_chars": F.when(p != e, F.lower(e))})
+        .withColumns({"_p_chars": characters(F.col("_p_chars")), "_e_chars": characters(F.col("_e_chars"))})
         .withColumn("_common", common)
         .withColumn(out, value).drop("_p", "_e", "_p_chars", "_e_chars", "_common")
     )

@@ -10,7 +10,8 @@ BLANK_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK = f"[{BLANK_CHARS}]"
+# Printable ASCII, nearly all of most texts, is told by one range before the characters are tried one by one.
+BLANK = f"[[^!-~]&&[{BLANK_CHARS}]]"
 # Every line boundary Python's str.splitlines() knows.
 LINE_BREAK = r"\R|[\x1c-\x1e]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
@@ -26,7 +27,8 @@ def strip_right(c: Column) -> Column:
 
 def fold_blanks(c: Column) -> Column:
     """Outer blanks removed, inner runs reduced to one space."""
-    return F.regexp_replace(strip(c), rf"{BLANK}+", " ")
+    # Single spaces, nearly all blanks, are no match: they are what they become.
+    return F.regexp_replace(strip(c), rf"{BLANK}{{2,}}|[{BLANK}&&[^ ]]", " ")
 
 
 def lines(c: Column) -> Column:
