@@ -13,10 +13,12 @@ from optrace.operators import trace
 from optrace.operators.grouping import below_boundary, boundary_of, ordered_groups
 from optrace.operators.render import xml_fragments
 from optrace.operators.snapshot import getattr_answer, read_answer, readdir
-from optrace.session import cut_lineage
+from optrace.session import cut_lineage, kept
 
 OPS_PER_ROW = 1000
 DOCUMENT_TAGS = len("<filesystem></filesystem>")
+#: Characters that any entry takes in a document.
+SHORTEST_FRAGMENT = len('<directory path="" name="" mode="" owner="" group="" mtime="" />')
 
 
 def within_budget(df: DataFrame, *columns: str, max_tokens: int = K.MAX_STATE_TOKENS) -> DataFrame:
@@ -27,19 +29,31 @@ def within_budget(df: DataFrame, *columns: str, max_tokens: int = K.MAX_STATE_TO
     return df.filter(F.floor(total / K.CHARS_PER_TOKEN) <= max_tokens)
 
 
-def bounded_documents(entries: DataFrame, focus: DataFrame | None, max_chars: int) -> DataFrame:
-    """(snapshot_id, document) for the states of at most max_chars characters. Longer states
-    are told by the sum of their fragments' lengths and are never put together."""
-    fragments = xml_fragments(entries, focus)
-    sizes = fragments.groupBy("snapshot_id").agg(F.sum(F.char_length("text")).alias("n"))
-    fitting = sizes.filter(F.col("n") + DOCUMENT_TAGS <= max_chars).select("snapshot_id")
-    kept = fragments.join(fitting, "snapshot_id", "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("sort_key", "text")))
-    inside = F.array_join(F.transform(ordered, lambda x: x["text"]), "")
-    return kept.groupBy("snapshot_id").agg(
-        F.concat(F.lit("<filesystem>"), inside, F.lit("</filesystem>")).alias("document")
+def bounded_documents(entries: DataFrame, focus: DataFrame | None, max_chars: int, key: Column, sides: dict[str, Column]) -> DataFrame:
+    """(session, a document for each of sides): key tells the session and sides the side that a state's
+    snapshot_id stands for. A document is NULL if there is none or it has more than max_chars characters.
+
+    Longer states are never put together: those with too many entries to fit are left out before, which
+    bounds a group, and of the others those go whose fragments' lengths sum up to more."""
+    rendered = F.count_if(F.col("path").isNotNull() & F.col("is_dir").isNotNull())
+    sizes = entries.groupBy("snapshot_id").agg(rendered.alias("n"))
+    crowded = cut_lineage(sizes.filter(F.col("n") * SHORTEST_FRAGMENT > max_chars).select("snapshot_id"))
+    if not crowded.isEmpty():
+        entries = entries.join(crowded, "snapshot_id", "left_anti")
+    size = F.char_length("text")
+    fragment = F.struct("sort_key", F.when(size <= max_chars, F.col("text")).alias("text"))
+    found = xml_fragments(entries, focus).groupBy(key.alias("session")).agg(
+        *[F.sum(F.when(of, size)).alias(f"_{name}_n") for name, of in sides.items()],
+        *[F.collect_list(F.when(of, fragment)).alias(f"_{name}") for name, of in sides.items()],
     )
 
+    def document(name: str) -> Column:
+        inside = F.array_join(F.transform(F.array_sort(F.col(f"_{name}")), lambda x: x["text"]), "")
+        whole = F.concat(F.lit("<filesystem>"), inside, F.lit("</filesystem>"))
+        return F.when(F.col(f"_{name}_n") + DOCUMENT_TAGS <= max_chars, whole)
+
+    return found.select("session", *[document(name).alias(name) for name in sides])
+
 
 def build_examples(
     initial: DataFrame, ops: DataFrame, focus: DataFrame | None = None,
@@ -53,54 +67,41 @@ def build_examples(
     A change maps the state before to the state after; a query maps a state to its answer.
     For reads the state is the one after the operation, with the read file in full.
     Examples over the token budget are left out."""
-    useful = trace.filter_ops(ops)
-    chosen = trace.principal_op(useful)
-    rows = cut_lineage(replays.folded(initial, useful))
+    # The log, the chosen operations and the folded rows are read several times below.
+    useful = kept(trace.filter_ops(ops), "useful-operations")
+    folded = replays.folded(initial, useful).drop("before").filter("kind = 'change' OR reason IS NOT NULL")
+    rows = kept(folded, "folded-operations")
     failed = replays.outcomes(rows).filter("NOT ok").select("session", "seq")
-    chosen = chosen.join(failed, ["session", "seq"], "left_anti")
+    chosen = trace.principal_op(useful).join(failed, ["session", "seq"], "left_anti")
     if sessions is not None:
         chosen = chosen.join(sessions.filter("coalesce(success, true)").select("session", "shell_command"), "session")
     else:
         chosen = chosen.withColumn("shell_command", F.lit(None).cast("string"))
-    log = replays.changes(rows)
-    around = cut_lineage(replays.state_around(initial, log, chosen))
-    asked = chosen.select(
-        F.col("session").alias("snapshot_id"), F.col("operation"), paths.normalize(F.col("path")).alias("path")
-    )
+    chosen = kept(chosen, "chosen-operations")
+    # Every entry carries the operation and the path its session asks for, so that no join is needed below.
+    steps = chosen.select("session", "seq", "operation", paths.normalize(F.col("path")).alias("asked"))
+    around = kept(replays.state_around(initial, replays.changes(rows), steps, keep=["operation", "asked"]), "states-around")
     max_chars = K.CHARS_PER_TOKEN * (max_tokens + 1) - 1
 
     # Which state a session needs rendered, under a key of its own so that one pass does all.
-    needs = asked.select(
-        F.col("snapshot_id").alias("session"), "path", "operation",
-        F.explode(
-            F.when(F.col("operation") == "read", F.array(F.lit("after")))
-            .when(F.col("operation").isin(K.QUERY_OPS), F.array(F.lit("before")))
-            .otherwise(F.array(F.lit("before"), F.lit("after")))
-        ).alias("side"),
-    )
-    key = F.concat_ws("\x00", F.col("side"), F.col("session"))
-    sides = around.withColumnRenamed("snapshot_id", "session").join(
-        needs.select("session", "side"), ["session", "side"], "left_semi"
+    op, side = F.col("operation"), F.col("side")
+    needed = F.when(op == "read", side == "after").when(op.isin(K.QUERY_OPS), side == "before").otherwise(True)
+    key = F.concat_ws("\x00", "side", "snapshot_id")
+    states = around.filter(needed).select(
+        key.alias("snapshot_id"), *[c for c in initial.columns if c != "snapshot_id"],
+        ((op == "read") & (F.col("path") == F.col("asked"))).alias("inline"),
     )
-    states = sides.select(key.alias("snapshot_id"), *[c for c in initial.columns if c != "snapshot_id"])
-    in_focus = needs.filter("operation = 'read'").select(key.alias("snapshot_id"), "path")
+    in_focus = None
     if focus is not None:
-        given = focus.withColumnRenamed("snapshot_id", "session").join(
-            needs.filter("operation <> 'read'").select("session", "side"), "session"
+        changed = steps.filter("operation <> 'read'").select(
+            F.col("session").alias("snapshot_id"),
+            F.explode(F.when(op.isin(K.QUERY_OPS), F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after")))).alias("side"),
         )
-        in_focus = in_focus.unionByName(given.select(key.alias("snapshot_id"), "path"))
-    documents = bounded_documents(states, in_focus, max_chars)
-    halves = documents.select(
-        F.element_at(F.split("snapshot_id", "\x00"), 1).alias("side"),
-        F.element_at(F.split("snapshot_id", "\x00"), 2).alias("session"), "document",
-    )
-    both = halves.groupBy("session").agg(
-        F.max(F.when(F.col("side") == "before", F.col("document"))).alias("before"),
-        F.max(F.when(F.col("side") == "after", F.col("document"))).alias("after"),
-    )
-
-    after = around.filter("side = 'after'").drop("side")
-    answers = _answers(after, asked, max_chars)
+        in_focus = focus.join(changed, "snapshot_id").select(key.alias("snapshot_id"), "path")
+    part = F.split("snapshot_id", "\x00")
+    sides = {name: F.element_at(part, 1) == name for name in ("before", "after")}
+    both = bounded_documents(states, in_focus, max_chars, F.element_at(part, 2), sides)
+    answers = _answers(around.filter("side = 'after'").drop("side"), max_chars)
     kind = prompts.operation_type(F.col("operation"))
     rows = (
         chosen.withColumn("operation_type", kind)
@@ -117,20 +118,17 @@ def build_examples(
     return within_budget(examples, "initial_state", "operation", "result", max_tokens=max_tokens)
 
 
-def _answers(entries: DataFrame, asked: DataFrame, max_chars: int) -> DataFrame:
-    """(snapshot_id, answer) of the query requests, one per snapshot."""
-    queries = asked.filter(F.col("operation").isin(K.QUERY_OPS))
-    state = entries.withColumn("_path", F.col("path")).drop("path")
-    point = (
-        queries.filter("operation <> 'readdir'").withColumn("_path", F.col("path"))
-        .join(state, ["snapshot_id", "_path"])
-        .filter("operation = 'getattr' OR NOT is_dir")
-        .select("snapshot_id", F.when(F.col("operation") == "getattr", getattr_answer()).otherwise(read_answer()).alias("answer"))
-    )
+def _answers(entries: DataFrame, max_chars: int) -> DataFrame:
+    """(snapshot_id, answer) of the query requests, one per snapshot. Entries carry their session's
+    operation and the path it asked for."""
+    entries = entries.filter(F.col("operation").isin(K.QUERY_OPS))
+    point = entries.filter((F.col("operation") != "readdir") & (F.col("path") == F.col("asked"))).filter(
+        "operation = 'getattr' OR NOT is_dir"
+    ).select("snapshot_id", F.when(F.col("operation") == "getattr", getattr_answer()).otherwise(read_answer()).alias("answer"))
     # Parts are put together only where the whole fits the budget.
-    dirs = entries.filter("is_dir").select("snapshot_id", "path")
-    asked_dirs = queries.filter("operation = 'readdir'").join(dirs, ["snapshot_id", "path"], "left_semi")
-    parts = readdir(entries, asked_dirs).select("snapshot_id", "part", "listing")
+    listable = entries.filter("operation = 'readdir'")
+    asked_dirs = listable.filter(F.col("is_dir") & (F.col("path") == F.col("asked"))).select("snapshot_id", "path").distinct()
+    parts = readdir(listable, asked_dirs).select("snapshot_id", "part", "listing")
     fitting = parts.groupBy("snapshot_id").agg(F.sum(F.char_length("listing")).alias("n")).filter(F.col("n") <= max_chars)
     inside = F.transform(F.array_sort(F.collect_list(F.struct("part", "listing"))), lambda x: F.substring(x["listing"], F.lit(2), F.char_length(x["listing"]) - 2))
     listed = parts.join(fitting.select("snapshot_id"), "snapshot_id", "left_semi").groupBy("snapshot_id").agg(

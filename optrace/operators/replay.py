@@ -7,7 +7,7 @@ replay therefore cuts each session into scopes at its fixed directories, joins s
 a rename or link connects, and folds every (session, scope) on its own, in log order and
 streaming. A session with a third of all operations spreads over its scopes."""
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -264,15 +264,15 @@ def replay(initial: DataFrame, ops: DataFrame, rows: DataFrame | None = None) ->
     return _as_entries(latest.select("session", "path", "state.*").filter(~F.col("deleted")))
 
 
-def state_around(initial: DataFrame, change_log: DataFrame, steps: DataFrame) -> DataFrame:
+def state_around(initial: DataFrame, change_log: DataFrame, steps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """State just before and just after chosen steps(session, seq), one step per session:
-    entries with column side = 'before' or 'after'."""
-    wanted = steps.select("session", F.col("seq").alias("at"))
+    entries with column side = 'before' or 'after', and the columns of steps to keep."""
+    wanted = steps.select("session", F.col("seq").alias("at"), *keep)
     order = F.struct("seq", "step")
     state = F.struct("deleted", *STATE_COLUMNS)
     picked = (
         _versions(initial, change_log).join(wanted, "session").filter(F.col("seq") <= F.col("at"))
-        .groupBy("session", "path")
+        .groupBy("session", "path", *keep)
         .agg(
             F.max_by(F.when(F.col("seq") < F.col("at"), state), F.when(F.col("seq") < F.col("at"), order)).alias("before"),
             F.max_by(state, order).alias("after"),
@@ -282,11 +282,11 @@ def state_around(initial: DataFrame, change_log: DataFrame, steps: DataFrame) ->
         F.struct(F.lit("before").alias("side"), F.col("before").alias("state")),
         F.struct(F.lit("after").alias("side"), F.col("after").alias("state")),
     )
-    rows = picked.select("session", "path", F.inline(sides)).filter("state IS NOT NULL AND NOT state.deleted")
-    entries = rows.select("session", "path", "side", "state.*")
+    rows = picked.select("session", "path", *keep, F.inline(sides)).filter("state IS NOT NULL AND NOT state.deleted")
+    entries = rows.select("session", "path", "side", *keep, "state.*")
     return entries.select(
         F.col("session").alias("snapshot_id"), "side", "path", paths.name(F.col("path")).alias("name"),
-        *[c for c in ATTRIBUTES if c != "name"],
+        *[c for c in ATTRIBUTES if c != "name"], *keep,
     )
 
 
@@ -302,18 +302,23 @@ def transitions(initial: DataFrame, ops: DataFrame) -> DataFrame:
     )
 
 
-def plain_sessions(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(operations of sessions that only touch files, sessions that need fold()): the latter have
-    directory, rename or link operations, or writes whose bytes the log holds in part of a file."""
+#: Operations of one path that are taken as they are; a path with more is cut in ranges of so many log numbers.
+RANGE = 8192
+
+
+def plain_sessions(ops: DataFrame, width: int = RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(operations of sessions that only touch files, sessions that need fold(), paths with more than width
+    operations): the second have directory, rename or link operations, or writes whose bytes the log holds
+    in part of a file. One pass over the log finds both lists."""
     changing = prepared_ops(ops)
     whole = F.coalesce("offset", F.lit(0)) == 0
     needs_fold = F.col("operation").isin(TREE_OPS) | ((F.col("operation") == "write") & F.col("data").isNotNull() & ~whole)
-    refused = changing.filter(needs_fold).select("session").distinct()
-    return changing.join(refused, "session", "left_anti"), refused
-
-
-#: Log numbers in a range of fold_files: no task holds more operations of one path than that.
-RANGE = 8192
+    facts = changing.groupBy("session", "path").agg(F.count(F.lit(1)).alias("n"), F.bool_or(needs_fold).alias("fold"))
+    facts = cut_lineage(facts.filter(F.col("fold") | (F.col("n") > width)))
+    refused = facts.filter("fold").select("session").distinct()
+    if not refused.isEmpty():
+        changing = changing.join(refused, "session", "left_anti")
+    return changing, refused, facts.filter(F.col("n") > width).select("session", "path")
 
 
 def _last(value: Column, order: str = "seq") -> Column:
@@ -325,18 +330,26 @@ def fold_files(initial: DataFrame, ops: DataFrame, width: int = RANGE) -> tuple[
     """fold() by window functions, for sessions that only touch files: (rows as fold gives them,
     sessions left to fold()). What an operation meets depends on its own path alone.
 
-    A path's log is a segmented scan: the operations of every range of width log numbers are summed
-    up in one narrow row (what is left after them, or nothing where they leave a value alone), these
-    rows are scanned path by path, and each range starts from what the ranges before it left. So a
-    path with any share of the log is spread over as many tasks as it has ranges."""
-    changing, refused = plain_sessions(ops)
-    state = _initial_state(initial).join(refused, "session", "left_anti")
+    Paths of at most width operations are worked off whole, after one exchange. The log of a longer one is a
+    segmented scan: the operations of every range of width log numbers are summed up in one narrow row (what
+    is left after them, or nothing where they leave a value alone), these rows are scanned path by path, and
+    each range starts from what the ranges before it left. So a path with any share of the log is spread
+    over as many tasks as it has ranges."""
+    changing, refused, long = plain_sessions(ops, width)
+    changing = changing.filter("session IS NOT NULL AND path IS NOT NULL AND seq IS NOT NULL")
+    state = _initial_state(initial)
+    if not refused.isEmpty():
+        state = state.join(refused, "session", "left_anti")
     dirs = state.filter("is_dir").select("session", F.col("path").alias("_parent"), F.lit(True).alias("_has_parent"))
     rows = changing.withColumn("_parent", F.coalesce(paths.parent(F.col("path")), F.lit("")))
     rows = rows.join(dirs, ["session", "_parent"], "left").withColumn("_makes", F.coalesce("_has_parent", F.col("_parent") == "")).drop("_parent", "_has_parent")
     rows = rows.join(state.select("session", "path", F.struct(*STATE_COLUMNS).alias("start")), ["session", "path"], "left")
-    keys = ["session", "path", "_range"]
-    rows = rows.withColumn("_range", F.floor(F.col("seq") / width)).withColumn("_dir", F.coalesce("start.is_dir", F.lit(False)))
+    keys, ranged = ["session", "path"], not long.isEmpty()
+    if ranged:
+        keys = [*keys, "_range"]
+        rows = rows.join(long.withColumn("_long", F.lit(True)), ["session", "path"], "left")
+        rows = rows.withColumn("_range", F.when(F.col("_long"), F.floor(F.col("seq") / width)).otherwise(-1)).drop("_long")
+    rows = rows.withColumn("_dir", F.coalesce("start.is_dir", F.lit(False)))
 
     op, own, begun = F.col("operation"), Window.partitionBy(*keys).orderBy("seq"), F.col("start").isNotNull()
     before, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
@@ -345,9 +358,12 @@ def fold_files(initial: DataFrame, ops: DataFrame, width: int = RANGE) -> tuple[
 
     # Whether the path is there: the last operation that makes or removes it says so.
     lives = F.when((op == "create") & F.col("_makes"), True).when(op == "unlink", False)
-    lived = rows.groupBy(*keys).agg(_last(lives).alias("_lives"))
-    lived = lived.select(*keys, F.last("_lives", ignorenulls=True).over(earlier).alias("_lives"))
-    rows = rows.join(lived, keys).withColumn("_there_in", F.col("_dir") | F.coalesce("_lives", begun)).drop("_lives")
+    if ranged:
+        lived = rows.groupBy(*keys).agg(_last(lives).alias("_lives"))
+        lived = lived.select(*keys, F.last("_lives", ignorenulls=True).over(earlier).alias("_lives"))
+        rows = rows.join(lived, keys).withColumn("_there_in", F.col("_dir") | F.coalesce("_lives", begun)).drop("_lives")
+    else:
+        rows = rows.withColumn("_there_in", F.col("_dir") | begun)
     rows = rows.withColumn("_there", F.col("_dir") | F.coalesce(F.last(lives, ignorenulls=True).over(before), F.col("_there_in")))
     is_create, is_attribute = op == "create", op.isin("chmod", "chown")
     reason = (
@@ -400,22 +416,24 @@ def fold_files(initial: DataFrame, ops: DataFrame, width: int = RANGE) -> tuple[
         fits = written["end"].isNull() | (written["end"] >= F.coalesce(size, F.lit(0)))
         return F.when(written.isNotNull(), F.struct(F.when(fits, written["text"]).alias("v")))
 
-    # One row for each range, and what the ranges before it leave to it.
-    left = rows.groupBy(*keys).agg(
-        *[_last(F.col(f"_{c}")).alias(f"_{c}") for c in sets], F.max("_cuts").alias("_cuts"), F.max_by("_reach", "seq").alias("_reach"),
-        _last(F.col("_content")).alias("_content"), F.first("start").alias("start"),
-    )
-    left = left.withColumn("_part", F.count_if(F.col("_cuts") > 0).over(ranges))
-    at_start = F.when(F.col("_part") == 0, F.coalesce("start.size", F.lit(0)))
-    reach = F.max("_reach").over(Window.partitionBy("session", "path", "_part").orderBy("_range"))
-    left = left.withColumn("_size", F.greatest(at_start, reach)).withColumn("size_in", F.coalesce(F.lag("_size").over(ranges), F.coalesce("start.size", F.lit(0))))
-    left = left.withColumn("_content", known(F.col("_content"), F.col("size_in")))
-    carried = left.select(*keys, "size_in", *[
-        F.coalesce(F.last(f"_{c}", ignorenulls=True).over(earlier), F.when(begun, F.struct(F.col(f"start.{c}").alias("v")))).alias(f"{c}_in")
-        for c in (*sets, "content")
-    ])
-
-    rows = rows.join(carried, keys)
+    values_in = {c: F.when(begun, F.struct(F.col(f"start.{c}").alias("v"))) for c in (*sets, "content")}
+    if ranged:
+        # One row for each range, and what the ranges before it leave to it.
+        left = rows.groupBy(*keys).agg(
+            *[_last(F.col(f"_{c}")).alias(f"_{c}") for c in sets], F.max("_cuts").alias("_cuts"), F.max_by("_reach", "seq").alias("_reach"),
+            _last(F.col("_content")).alias("_content"), F.first("start").alias("start"),
+        )
+        left = left.withColumn("_part", F.count_if(F.col("_cuts") > 0).over(ranges))
+        at_start = F.when(F.col("_part") == 0, F.coalesce("start.size", F.lit(0)))
+        reach = F.max("_reach").over(Window.partitionBy("session", "path", "_part").orderBy("_range"))
+        left = left.withColumn("_size", F.greatest(at_start, reach)).withColumn("size_in", F.coalesce(F.lag("_size").over(ranges), F.coalesce("start.size", F.lit(0))))
+        left = left.withColumn("_content", known(F.col("_content"), F.col("size_in")))
+        carried = left.select(*keys, "size_in", *[
+            F.coalesce(F.last(f"_{c}", ignorenulls=True).over(earlier), value).alias(f"{c}_in") for c, value in values_in.items()
+        ])
+        rows = rows.join(carried, keys)
+    else:
+        rows = rows.withColumns({f"{c}_in": value for c, value in values_in.items()} | {"size_in": F.coalesce("start.size", F.lit(0))})
     running = lambda c, value: F.coalesce(F.last(value, ignorenulls=True).over(so_far), F.col(f"{c}_in"))["v"]
     size = F.when(F.col("_cuts") > 0, F.col("_reach")).otherwise(F.greatest("size_in", "_reach"))
     rows = rows.withColumns(
@@ -431,18 +449,16 @@ def fold_files(initial: DataFrame, ops: DataFrame, width: int = RANGE) -> tuple[
     rows = rows.withColumn("before", F.coalesce(last_done, F.struct(state_in.alias("s")))["s"])
     by_op = F.create_map(*[F.lit(x) for pair in transition.ERRNO.items() for x in pair])
     errno = F.when(is_create & (F.col("reason") == "is_directory"), "EIO").otherwise(by_op[op])
-    none = {c: F.lit(None).cast(t) for c, t in zip(STATE_COLUMNS, ("boolean", "int", "string", "string", "double", "bigint", "string"))}
-    outcome = rows.select(
-        "session", "seq", "operation", F.lit("outcome").alias("kind"), F.lit(0).alias("step"), "path", "reason",
-        F.when(~done, errno).alias("errno"), F.lit(None).cast("boolean").alias("deleted"),
-        *[none[c].alias(c) for c in STATE_COLUMNS], F.lit(None).cast(rows.schema["before"].dataType).alias("before"),
-    )
-    change = rows.filter(done).select(
-        "session", "seq", "operation", F.lit("change").alias("kind"), F.lit(0).alias("step"), "path", "reason",
-        F.lit(None).cast("string").alias("errno"), F.col("_after").isNull().alias("deleted"),
-        *[F.col("_after")[c].alias(c) for c in STATE_COLUMNS], "before",
-    )
-    return outcome.unionByName(change), refused
+    # Both kinds of row come from one pass: an operation that was done gives two.
+    kinds = F.when(done, F.array(F.lit("outcome"), F.lit("change"))).otherwise(F.array(F.lit("outcome")))
+    is_change = F.col("kind") == "change"
+    rows = rows.withColumns({"_errno": F.when(~done, errno), "_deleted": F.col("_after").isNull()})
+    out = rows.select("session", "seq", "operation", "path", "reason", "_errno", "_deleted", "_after", "before", F.explode(kinds).alias("kind"))
+    return out.select(
+        "session", "seq", "operation", "kind", F.lit(0).alias("step"), "path", "reason", F.col("_errno").alias("errno"),
+        F.when(is_change, F.col("_deleted")).alias("deleted"),
+        *[F.when(is_change, F.col("_after")[c]).alias(c) for c in STATE_COLUMNS], F.when(is_change, F.col("before")).alias("before"),
+    ), refused
 
 
 def folded(initial: DataFrame, ops: DataFrame) -> DataFrame:

@@ -109,7 +109,9 @@ def events_as_ops(events: DataFrame) -> DataFrame:
 
 def event_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree every session starts from: directories d0..d9 and the files with even number."""
-    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("snapshot_id")).distinct()
+    # Few bytes of users make many entries: AQE would put them together in one task, but for a number of partitions.
+    users = table(spark, sf_dir, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("snapshot_id"))
+    users = users.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "snapshot_id")
     folder = F.concat(F.lit("d"), F.col("n"))
     dirs = _dirs(users.select("snapshot_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n")).withColumn("folder", folder), "folder")
     files = users.select("snapshot_id", F.explode(F.sequence(F.lit(0), F.lit(98), F.lit(2))).alias("k")).select(

@@ -5,8 +5,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from optrace import schema
 from optrace.functions.text import BLANK_CHARS, fold_blanks
-from optrace.operators import compress, scoring
+from optrace.operators import compress, dataset, replay, scoring
+from optrace.plans import views
 from optrace.sources import files
 
 
@@ -69,3 +71,49 @@ def test_state_is_searched_once(spark):
     assert rows["1"].predicted == "<filesystem>aä1</filesystem>" and rows["2"].predicted == "no"
     one, two = set(rows["1"].predicted), set("<filesystem>ab</filesystem>")
     assert abs(rows["1"].similarity - len(one & two) / len(one | two)) < 1e-12
+
+
+def _tree(snap, *files):
+    rows = [(snap, "", "/", True, 0o755, "root", "root", 0.0, 0, None)]
+    return rows + [(snap, p, p, False, 0o644, "root", "root", 0.0, len(c), c) for p, c in files]
+
+
+def test_examples_read_the_log_once(spark):
+    """The given log is worked out in one pass, whatever is built from it; states too long by their number of
+    entries or by one body are left out, on the side where they are."""
+    start = _tree("a", ("f", "x")) + _tree("b", *[(f"f{i}", "") for i in range(60)]) + _tree("c", ("f", "y" * 5000)) + _tree("d", ("f", "<z>"))
+    log = [("a", 1, "chmod", "/f", {"mode": "0o600"}), ("b", 1, "unlink", "/f1", {}), ("c", 1, "read", "/f", {}), ("d", 1, "read", "/f", {}),
+           ("d", 2, "getattr", "/f", {}), ("a", 0, "create", "/n/m", {})]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ops = spark.createDataFrame([(s, i, o, p, None, m) for s, i, o, p, m in log], schema.OPS).mapInArrow(count, schema.OPS)
+    examples = dataset.build_examples(spark.createDataFrame(start, schema.ENTRIES), ops, max_tokens=1000).collect()
+    assert seen.value == len(log)
+    got = {r.session: r for r in examples}
+    assert set(got) == {"a", "d"} and got["d"].result == "<z>" and "<body>&lt;z&gt;</body>" in got["d"].initial_state
+    assert 'mode="644"' in got["a"].initial_state and 'mode="600"' in got["a"].result
+
+
+def test_short_paths_take_one_exchange(spark):
+    """Only paths with more operations than width are cut in ranges; the rows are the same either way."""
+    start = spark.createDataFrame(_tree("s", ("f", "abc"), ("g", "")), schema.ENTRIES)
+    kinds = [("write", {"data_length": "7"}), ("unlink", {}), ("create", {"mode": "0o640"}), ("truncate", {"length": "2"}), ("chmod", {"mode": "0o600"})]
+    log = [("s", 100 * i, *(kinds[i * 3 % 5][0], "/" + "fgh"[i % 3]), None, kinds[i * 3 % 5][1]) for i in range(20)] + [(None, 5, "unlink", "/f", None, {})]
+    ops = spark.createDataFrame(log, schema.OPS)
+    (whole, _), (cut, _) = replay.fold_files(start, ops, 100), replay.fold_files(start, ops, 3)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (whole, cut)]
+    assert "_range" in plans[1] and "_range" not in plans[0] and plans[0].count("Scan ExistingRDD") <= 4
+    rows = [sorted(map(str, df.collect())) for df in (whole, cut)]
+    assert rows[0] == rows[1] and len(rows[0]) > 20
+
+
+def test_users_are_not_put_together(spark, tmp_path):
+    spark.range(300).selectExpr("id AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    entries = views.event_initial(spark, str(tmp_path)).filter("NOT is_dir")
+    assert entries.count() == 300 * 50
+    assert entries.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
