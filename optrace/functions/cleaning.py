@@ -7,29 +7,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optrace import constants as K
-from optrace.functions.text import LINE_BREAK, fold_blanks, lines, strip, strip_right
+from optrace.functions.text import LINE_BREAK, fold_blanks, lines, printable_at, strip, strip_plain, strip_right, strip_right_plain
 
 FREQUENT = " abcdefghijklmnopqrstuvwxyz"
+# Line ends other than the line feed, looked for one by one: that is cheaper than a pattern.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# Every match begins with one of three characters, which are looked for first.
+CHATTER = r"(?im)(?=[\[AE])(?:\[EOF\]|(?:\A|(?<=\n))(?:Answer:|Explanation:))"
 ARRAY_PATTERN = r"\[[\s\S]*?\]"
 
 
 def strip_think(c: Column) -> Column:
     """Reasoning blocks removed, closed or not, and lines that start one; then stripped.
     Line ends become line feeds."""
-    plain = ~c.rlike(r"(?i)<think|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    plain = ~((c.contains("<t") | c.contains("<T")) & c.rlike("(?i)<think"))
+    for end in LINE_ENDS:
+        plain = plain & ~c.contains(end)
     text = F.regexp_replace(c, r"(?i)<think>[\s\S]*?(</think>|\z)", "")
     text = F.regexp_replace(text, LINE_BREAK, "\n")
-    return F.when(plain, strip(c)).otherwise(strip(F.regexp_replace(text, r"(?i)(?:\A|(?<=\n))[\s\x1c-\x1f\x85\p{Z}&&[^\n]]*<think[^\n]*(?:\n|\z)", "")))
+    return F.when(plain, strip_plain(c)).otherwise(strip(F.regexp_replace(text, r"(?i)(?:\A|(?<=\n))[\s\x1c-\x1f\x85\p{Z}&&[^\n]]*<think[^\n]*(?:\n|\z)", "")))
 
 
 def strip_chatter(c: Column) -> Column:
     """Text before the first [EOF], or line-opening Answer: or Explanation:."""
-    return strip(F.get(F.split(c, r"(?im)\[EOF\]|(?:\A|(?<=\n))(?:Answer:|Explanation:)", 2), F.lit(0)))
+    return strip(_before_chatter(c))
+
+
+def _before_chatter(c: Column) -> Column:
+    # Without a bracket and a colon there is nothing to look for.
+    return F.when(c.contains("[") | c.contains(":"), F.get(F.split(c, CHATTER, 2), F.lit(0))).otherwise(c)
 
 
 def is_state(c: Column) -> Column:
     """Does the text look like a rendered state, in XML or as a tree?"""
-    return F.coalesce(c.rlike(r"^[\s\x1c-\x1f\x85\p{Z}]*(?:<filesystem|/)"), F.lit(False))
+    begins = c.startswith("/") | (F.substring(c.cast("binary"), 1, 11) == F.lit(b"<filesystem"))
+    return F.coalesce(F.when(printable_at(c, 1), begins).otherwise(c.rlike(r"^[\s\x1c-\x1f\x85\p{Z}]*(?:<filesystem|/)")), F.lit(False))
 
 
 def extract_state(c: Column) -> Column:
@@ -121,15 +133,18 @@ def with_clean_prediction(df: DataFrame, pred: str = "predicted", exp: str = "ex
     )
     return (
         df.withColumn("_bare", strip_think(F.col(pred)))
-        .withColumns({"_bare": strip_chatter(bare), "_wanted": strip(F.col(exp)), "_state": is_state(F.col(exp))})
-        .withColumns({"_text": F.when(state, strip(bare)), "_wanted_right": F.when(state, strip_right(F.col(exp)))})
+        .withColumn("_bare", _before_chatter(bare))
+        .withColumns({"_bare": strip_plain(bare), "_wanted": strip_plain(F.col(exp)), "_state": is_state(F.col(exp))})
+        # What is stripped above has no outer blanks left.
+        .withColumns({"_text": F.when(state, bare), "_wanted_right": F.when(state, strip_right_plain(F.col(exp)))})
         .withColumn("_at", F.instr("_text", "<filesystem"))
         .withColumn("_rest", F.when(F.col("_at") > 0, F.substring(F.col("_text"), F.col("_at"), F.char_length("_text"))).when(F.col("_at") == 0, ""))
-        .withColumn("_right", F.when(state, strip_right(found)))
+        .withColumn("_found", F.when(state, found))
+        .withColumn("_right", strip_right_plain(F.col("_found")))
         .withColumns({"_routed": routed, "_target": target})
-        .withColumns({"_p": strip(F.col("_routed")), "_e": strip(F.col("_target"))})
+        .withColumns({"_p": strip_plain(F.col("_routed")), "_e": strip_plain(F.col("_target"))})
         .withColumn(out, clamped).drop(
-            "_bare", "_wanted", "_state", "_text", "_wanted_right", "_at", "_rest", "_right", "_routed", "_target", "_p", "_e"
+            "_bare", "_wanted", "_state", "_text", "_wanted_right", "_at", "_rest", "_found", "_right", "_routed", "_target", "_p", "_e"
         )
     )
 
@@ -137,11 +152,15 @@ def with_clean_prediction(df: DataFrame, pred: str = "predicted", exp: str = "ex
 def expected_for_scoring(exp: Column, strip_token: bool = True) -> Column:
     """States lose their stop token before scoring. With strip_token=False they keep it, as
     in the second evaluator, where no state can therefore match exactly."""
-    return F.when(is_state(exp), strip_stop(exp)).otherwise(exp) if strip_token else exp
+    if not strip_token:
+        return exp
+    # Without the token at its end a state only loses outer blanks there.
+    bare = F.when(exp.contains(K.STOP_TOKEN), strip_stop(exp)).otherwise(strip_right_plain(exp))
+    return F.when(is_state(exp), bare).otherwise(exp)
 
 
 def exact_match(pred: Column, exp: Column) -> Column:
-    return F.coalesce(strip(pred) == strip(exp), F.lit(False))
+    return F.coalesce((pred == exp) | (strip_plain(pred) == strip_plain(exp)), F.lit(False))
 
 
 def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity") -> DataFrame:
@@ -149,17 +168,22 @@ def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity")
     Jaccard index of their lower-case character sets."""
     p, e = F.col("_p"), F.col("_e")
 
-    def characters(c: Column) -> Column:
+    def rest(c: Column) -> Column:
+        """What is not frequent, in lower case. The case of a character depends on no other, but for the sigma."""
+        few = F.when(c.contains("\u03a3"), c).otherwise(F.regexp_replace(c, f"[{FREQUENT}]+", ""))
+        return F.when(p != e, F.lower(few))
+
+    def characters(c: Column, low: Column) -> Column:
         """Different characters: the most frequent ones are looked for, only what is left is split."""
-        rest = F.regexp_replace(c, f"[{FREQUENT}]+", "")
+        other = F.regexp_replace(low, f"[{FREQUENT}]+", "")
         # An all-blank text has no characters, though split('') yields one empty string.
-        others = F.when(rest == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(rest, "")))
-        frequent = F.filter(F.array(*map(F.lit, FREQUENT)), lambda x: c.contains(x))
-        return F.when(p == e, None).otherwise(F.concat(frequent, others))
+        others = F.when(other == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(other, "")))
+        frequent = F.filter(F.array(*map(F.lit, FREQUENT)), lambda x: c.contains(x) | low.contains(x))
+        return F.when(low.isNotNull(), F.concat(frequent, others))
 
     def folded(c: str) -> Column:
         # Equal texts need no folding to be found equal.
-        return F.when(F.col(pred) == F.col(exp), "=").otherwise(fold_blanks(F.col(c)))
+        return F.when(F.col(pred) == F.col(exp), "=").otherwise(fold_blanks(F.col(c), strip_plain(F.col(c))))
 
     common = F.size(F.array_intersect("_p_chars", "_e_chars"))
     p_empty = F.coalesce(F.col(pred) == "", F.lit(True))
@@ -170,8 +194,8 @@ def with_similarity(df: DataFrame, pred: str, exp: str, out: str = "similarity")
     )
     return (
         df.withColumns({"_p": folded(pred), "_e": folded(exp)})
-        .withColumns({"_p_chars": F.when(p != e, F.lower(p)), "_e_chars": F.when(p != e, F.lower(e))})
-        .withColumns({"_p_chars": characters(F.col("_p_chars")), "_e_chars": characters(F.col("_e_chars"))})
+        .withColumns({"_p_rest": rest(p), "_e_rest": rest(e)})
+        .withColumns({"_p_chars": characters(p, F.col("_p_rest")), "_e_chars": characters(e, F.col("_e_rest"))})
         .withColumn("_common", common)
-        .withColumn(out, value).drop("_p", "_e", "_p_chars", "_e_chars", "_common")
+        .withColumn(out, value).drop("_p", "_e", "_p_rest", "_e_rest", "_p_chars", "_e_chars", "_common")
     )

@@ -25,10 +25,28 @@ def strip_right(c: Column) -> Column:
     return F.rtrim(c, F.lit(BLANK_CHARS))
 
 
-def fold_blanks(c: Column) -> Column:
-    """Outer blanks removed, inner runs reduced to one space."""
-    # Single spaces, nearly all blanks, are no match: they are what they become.
-    return F.regexp_replace(strip(c), rf"{BLANK}{{2,}}|[{BLANK}&&[^ ]]", " ")
+def printable_at(c: Column, at: int) -> Column:
+    """Is the first (1) or last (-1) byte a printable one of ASCII, other than the space?"""
+    byte = F.substring(c.cast("binary"), at, 1)
+    return (byte >= F.lit(b"!")) & (byte <= F.lit(b"~"))
+
+
+def strip_plain(c: Column) -> Column:
+    """As strip, for a plain column (it is named several times): the trim looks at every character of a text,
+    and most texts begin and end with a printable one."""
+    return F.when(printable_at(c, 1) & printable_at(c, -1), c).otherwise(strip(c))
+
+
+def strip_right_plain(c: Column) -> Column:
+    """As strip_right, for a plain column."""
+    return F.when(printable_at(c, -1), c).otherwise(strip_right(c))
+
+
+def fold_blanks(c: Column, stripped: Column | None = None) -> Column:
+    """Outer blanks removed, inner runs reduced to one space; the text without outer blanks may be at hand."""
+    # Single spaces, nearly all blanks, are no match: they are what they become. Neither they nor printable characters
+    # are looked up among all the blanks.
+    return F.regexp_replace(strip(c) if stripped is None else stripped, rf" {BLANK}+|[[^ -~]&&{BLANK}]{BLANK}*", " ")
 
 
 def lines(c: Column) -> Column:

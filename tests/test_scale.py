@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optrace import schema
+from optrace.functions import cleaning, text
 from optrace.functions.text import BLANK_CHARS, fold_blanks
 from optrace.operators import compress, dataset, replay, scoring
 from optrace.plans import views
@@ -117,3 +118,36 @@ def test_users_are_not_put_together(spark, tmp_path):
     entries = views.event_initial(spark, str(tmp_path)).filter("NOT is_dir")
     assert entries.count() == 300 * 50
     assert entries.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+ODD = ["a", "", " ", " a", "a ", "\ta b\n", "\x85a　", "　", "é", "é ", "~!", "a\x7f", "x  y", "x \ny", "x y", "a\x85b", "  ", "\x1f!"]
+
+
+def test_cheap_steps_of_scoring(spark):
+    """Trims of texts that begin and end with printable characters, tests before patterns: the same results."""
+    df = spark.createDataFrame([(t,) for t in ODD] + [(None,)], "t string")
+    c = F.col("t")
+    for r in df.select("t", text.strip_plain(c).alias("s"), text.strip_right_plain(c).alias("r"), fold_blanks(c, text.strip_plain(c)).alias("f")).collect():
+        assert (r.s, r.r, r.f) == ((None,) * 3 if r.t is None else (r.t.strip(), r.t.rstrip(), " ".join(r.t.split())))
+    plan = df.select(text.strip_plain(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "cast(t" in plan
+
+    answers = ["x", "x [eof] y", "x\nanSWer: y", "x answer: y", "Explanation: y", "a:[b", " x ", "<b>", "<ThinK>a</think>b", "a\r<think", "a\x85b", "<this", None]
+    said = spark.createDataFrame([(t,) for t in answers], "t string")
+    got = [tuple(r) for r in said.select(cleaning.strip_think(c), cleaning.strip_chatter(c)).collect()]
+    assert [g[0] for g in got] == ["x", "x [eof] y", "x\nanSWer: y", "x answer: y", "Explanation: y", "a:[b", "x", "<b>", "b", "a", "a\nb", "<this", None]
+    assert [g[1] for g in got] == ["x", "x", "x", "x answer: y", "", "a:[b", "x", "<b>", "<ThinK>a</think>b", "a\r<think", "a\x85b", "<this", None]
+    begins = [" /a", "/a", "<filesystem", "\x85<filesystem x", "a/", "", " ", "é/", None]
+    states = spark.createDataFrame([(t,) for t in begins], "t string").select(cleaning.is_state(c)).collect()
+    assert [r[0] for r in states] == [True, True, True, True, False, False, False, False, False]
+
+
+def test_characters_of_both_cases(spark):
+    """Similarity by lower-case characters, though only what is not frequent is put in lower case."""
+    said = ["AbC dé", "abc", "ΟΔΟΣ x", "Kelvin", "İstanbul 9.", "\U0001f600 Ü", "ZZZ", "a  b", "aeinrst AEINRST"]
+    both = [(a, b) for a in said for b in said]
+    rows = cleaning.with_similarity(spark.createDataFrame(both, "predicted string, expected string"), "predicted", "expected").collect()
+    for r in rows:
+        p, e = (" ".join(x.split()) for x in (r.predicted, r.expected))
+        one, two = set(p.lower()), set(e.lower())
+        assert abs(r.similarity - (1 if p == e else len(one & two) / len(one | two))) < 1e-12, r
