@@ -1,5 +1,7 @@
 """Text cleaning, whitespace and sizes as Column expressions."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,15 +33,38 @@ def printable_at(c: Column, at: int) -> Column:
     return (byte >= F.lit(b"!")) & (byte <= F.lit(b"~"))
 
 
+# A trim from the right walks over a whole text, but mostly takes away a little of its end.
+TAIL_BYTES, KEPT_BYTES = 64, 16
+
+
+def first_bytes(c: Column, n: Column) -> Column:
+    """The first n bytes of a text, without a walk over its characters; n is where a character ends."""
+    return F.substring(c.cast("binary"), F.lit(1), n).cast("string")
+
+
+def from_byte(c: Column, at: Column) -> Column:
+    """What follows the first at bytes of a text."""
+    return F.substring(c.cast("binary"), at + 1, F.octet_length(c)).cast("string")
+
+
+def cut_right(c: Column, cut: Callable[[Column], Column]) -> Column:
+    """cut(c), for a plain column and a cut that only takes blanks and marks of less than KEPT_BYTES off the end. It
+    looks at the last bytes; only if it leaves few of them, the whole text counts."""
+    tail = F.substring(c.cast("binary"), F.lit(-TAIL_BYTES), F.lit(TAIL_BYTES)).cast("string")
+    kept = cut(tail)
+    short = first_bytes(c, F.octet_length(c) - F.octet_length(tail) + F.octet_length(kept))
+    return F.when(F.octet_length(kept) >= KEPT_BYTES, short).otherwise(cut(c))
+
+
 def strip_plain(c: Column) -> Column:
-    """As strip, for a plain column (it is named several times): the trim looks at every character of a text,
-    and most texts begin and end with a printable one."""
-    return F.when(printable_at(c, 1) & printable_at(c, -1), c).otherwise(strip(c))
+    """As strip, for a plain column (it is named several times): most texts begin and end with a printable character."""
+    right = strip_right_plain(c)
+    return F.when(printable_at(c, 1), right).otherwise(F.ltrim(right, F.lit(BLANK_CHARS)))
 
 
 def strip_right_plain(c: Column) -> Column:
     """As strip_right, for a plain column."""
-    return F.when(printable_at(c, -1), c).otherwise(strip_right(c))
+    return F.when(printable_at(c, -1), c).otherwise(cut_right(c, strip_right))
 
 
 def fold_blanks(c: Column, stripped: Column | None = None) -> Column:

@@ -171,11 +171,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents inside a small state document with its stop token, predicted with prefaces,
     tails and missing ends."""
-    documents = table(spark, sf_dir, "documents")
-    body = F.translate("text", "<>&", "   ")
-    state = F.concat(
+    text, body, state = F.col("text"), F.col("body"), F.col("state")
+    # Columns of their own: inlined, body and state would be worked out again in each place.
+    marked = text.contains("<") | text.contains(">") | text.contains("&")
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.when(marked, F.translate("text", "<>&", "   ")).otherwise(text).alias("body")
+    ).withColumn("state", F.concat(
         F.lit('<filesystem><file path="d'), "doc_id", F.lit('"><body>'), body, F.lit("</body></file></filesystem>")
-    )
+    ))
     predicted = (
         F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Here it is: "), state, F.lit(" done")))
         .when(F.col("doc_id") % 4 == 1, F.concat(state, F.lit("\n<END_FS>\n")))

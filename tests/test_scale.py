@@ -151,3 +151,59 @@ def test_characters_of_both_cases(spark):
         p, e = (" ".join(x.split()) for x in (r.predicted, r.expected))
         one, two = set(p.lower()), set(e.lower())
         assert abs(r.similarity - (1 if p == e else len(one & two) / len(one | two))) < 1e-12, r
+
+
+def test_trims_from_the_last_bytes(spark):
+    """Only the end of a text is trimmed where that is enough: blanks and tokens on either side of the bytes looked at."""
+    bodies = ["", "a", "é", "x" * 15, "x" * 16, "日本" * 30, "x" * 200, "é" * 31 + "x" * 3, " x", "<END_FS>" * 9]
+    ends = ["", " ", "\x85", "　" * 5, " " * 55, "\u2028" * 20, " " * 64, " " * 200]
+    said = [b + e + t + f for b in bodies for e in ends for t in ("", "<END_FS>") for f in ("", "\n", " " * 58, "　" * 30)]
+    c = F.col("t")
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    got = df.select("t", text.strip_plain(c).alias("s"), text.strip_right_plain(c).alias("r"), cleaning.strip_stop_plain(c).alias("p"), cleaning.strip_stop(c).alias("q"))
+    for r in got.collect():
+        right = r.t.rstrip()
+        want = right[:-8].rstrip() if right.endswith("<END_FS>") else right
+        assert (r.s, r.r, r.p, r.q) == (r.t.strip(), right, want, want), repr(r.t)
+    # The whole text is trimmed, and the blanks of all are looked for, only behind the test of the last bytes.
+    plan = df.select(text.strip_right_plain(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "-64, 64" in plan
+
+
+def test_patterns_only_where_needed(spark):
+    """Cleaning step by step gives what the steps give in one, and similarity folds no whitespace."""
+    said = ["x", "<think>a</think>b", "<THINK>a\r\n</think> b\r\nc", "a\r<think b\x85c", "a\u2029\x1c<Thinking\nb", "<think>open", "x<t", "a\nAnswer: b", "answer: b",
+            "\nexplanation: b", "a\n [EOF]", "a[eof]", "a\n\nEXPLANATION:", "ä\nanswer", "a\x0bAnswer: c", " <think> </think>Answer: x", "n: [b] r:", None]
+    df = spark.createDataFrame([(t,) for t in said], "predicted string").withColumn("expected", F.lit("zz zz"))
+    cleaned = cleaning.with_clean_prediction(df.withColumn("_whole", F.col("predicted")))
+    rows = cleaned.withColumn("_want", cleaning.strip_think(F.col("_whole"))).withColumn("_want", cleaning.strip_chatter(F.col("_want"))).collect()
+    assert len(rows) == len(said) and all(r.predicted == r._want for r in rows), [(r._whole, r.predicted, r._want) for r in rows if r.predicted != r._want]
+
+    end, both = "</filesystem>", "<filesystem>a</filesystem>"
+    states = [both, f"x {both} y", f"{both}{both}", f"{both} z {end}", "<filesystem>open \n", "no", end, f"{both}\n<END_FS>\n", "<filesystem> <END_FS>", "é<filesystem>é" + end, " ", ""]
+    df = spark.createDataFrame([(s,) for s in states], "t string").select("t", F.col("t").alias("predicted"), F.lit("<filesystem>other").alias("expected"))
+    for r in cleaning.with_clean_prediction(df).withColumn("want", cleaning.strip_stop(cleaning.extract_state(F.col("t")))).collect():
+        assert r.predicted == r.want.strip(), r
+
+    same = [("a  b", "a b\t"), ("a\n", "a"), (" ", "\t\n"), (" ", "a"), ("a\x85b", "a　b"), ("jqxz JQ", "jq xz"), ("\u212aj q", "kj　Q"), ("ΑΣ ΣΑ\nx", "ας σα X"), ("A.b", "a. B")]
+    frame = spark.createDataFrame(same, "predicted string, expected string")
+    scored = cleaning.with_similarity(frame, "predicted", "expected")
+    for r in scored.collect():
+        one, two = (set(" ".join(x.lower().split())) for x in (r.predicted, r.expected))
+        assert abs(r.similarity - (len(one & two) / len(one | two) if one | two else 1)) < 1e-12, r
+    assert "regexp_replace(CASE" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_state_documents_are_built_once(spark, tmp_path):
+    rows = [(i, t, "en") for i, t in enumerate(["a<b>&c", "plain text of a body", "", None, "x&" * 30])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    states = views.state_predictions(spark, str(tmp_path))
+    assert states._jdf.queryExecution().optimizedPlan().toString().count("<>&") == 1
+    for r in states.collect():
+        i = int(r.example_id)
+        if rows[i][1] is None:
+            assert r.expected is None and r.predicted is None
+        else:
+            state = f'<filesystem><file path="d{i}"><body>{rows[i][1].translate({ord(x): " " for x in "<>&"})}</body></file></filesystem>'
+            assert r.expected == state + "\n<END_FS>"
+            assert r.predicted == ["Here it is: " + state + " done", state + "\n<END_FS>\n", state[:-20]][i % 4]
