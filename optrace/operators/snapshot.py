@@ -234,11 +234,13 @@ def candidates(entries: DataFrame, seed: str) -> DataFrame:
 
     Kinds: any, file, file16 (at least 16 bytes), dir and parent_dir (root allowed),
     empty_dir (below the root). NULL where a snapshot has no candidate."""
+    # Merged: entries that are exploded behind an exchange look as few as the rows they come from, and
+    # a broadcast of what seems small would put all of them on the driver.
     marked = (
         entries.select("snapshot_id", "path", "name", "is_dir", "size")
         .withColumn("_special_dir", _segments_special())
         .join(
-            parents(entries.filter(~_segments_special())).withColumn("_has_child", F.lit(True)),
+            parents(entries.filter(~_segments_special())).withColumn("_has_child", F.lit(True)).hint("merge"),
             KEY, "left",
         )
     )

@@ -118,15 +118,16 @@ def _random_rows(kind: Column) -> Column:
 
 
 def _with_picks(entries: DataFrame, seed: str) -> DataFrame:
-    """One row per snapshot with a candidate of every kind."""
+    """One row per snapshot with a candidate of every kind. All entries are looked up in, so they are
+    merged, never broadcast, as in candidates."""
     picked = candidates(entries, seed)
     kinds = entries.select("snapshot_id", F.col("path").alias("any"), (~F.col("is_dir")).alias("any_is_file"), F.col("size").alias("any_size"))
     sizes = entries.select("snapshot_id", F.col("path").alias("file16"), F.col("size").alias("file16_size"))
     children = entries.select("snapshot_id", paths.parent(F.col("path")).alias("any")).distinct().withColumn("_child", F.lit(True))
     return (
-        picked.join(kinds, ["snapshot_id", "any"], "left")
-        .join(children, ["snapshot_id", "any"], "left")
-        .join(sizes, ["snapshot_id", "file16"], "left")
+        picked.join(kinds.hint("merge"), ["snapshot_id", "any"], "left")
+        .join(children.hint("merge"), ["snapshot_id", "any"], "left")
+        .join(sizes.hint("merge"), ["snapshot_id", "file16"], "left")
         .withColumn("any_is_file", F.coalesce("any_is_file", F.lit(False)))
         .withColumn("any_is_empty", F.col("_child").isNull()).drop("_child")
     )

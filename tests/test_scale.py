@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from optrace import schema
 from optrace.functions import cleaning, text
 from optrace.functions.text import BLANK_CHARS, fold_blanks
-from optrace.operators import compress, dataset, replay, scoring
+from optrace.operators import compress, dataset, replay, scoring, synth
 from optrace.plans import views
 from optrace.sources import files
 
@@ -120,6 +120,16 @@ def test_users_are_not_put_together(spark, tmp_path):
     assert entries.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@pytest.mark.parametrize("make", [synth.random_ops])
+def test_entries_are_never_broadcast(spark, tmp_path, make):
+    """Entries exploded from few users seem small; what is looked up in them is merged."""
+    spark.range(30).selectExpr("IF(id = 7, NULL, id) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    ops = make(views.event_initial(spark, str(tmp_path)), "7")
+    assert len({r.session for r in ops.collect()}) > 20
+    plan = ops._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 ODD = ["a", "", " ", " a", "a ", "\ta b\n", "\x85a　", "　", "é", "é ", "~!", "a\x7f", "x  y", "x \ny", "x y", "a\x85b", "  ", "\x1f!"]
 
 
