@@ -120,7 +120,7 @@ def test_users_are_not_put_together(spark, tmp_path):
     assert entries.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("make", [synth.random_ops])
+@pytest.mark.parametrize("make", [synth.random_ops, synth.targeted_ops])
 def test_entries_are_never_broadcast(spark, tmp_path, make):
     """Entries exploded from few users seem small; what is looked up in them is merged."""
     spark.range(30).selectExpr("IF(id = 7, NULL, id) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
