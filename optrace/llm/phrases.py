@@ -82,7 +82,7 @@ def _column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
 def _first_relation(block: pa.Table, frequent: pa.Table) -> pa.Table:
     """R_1 of a block with its frequent words only."""
     tokens = _column(block, "tokens").copy()
-    ids = np.full(len(_column(block, "times")) + 1, BREAK, np.int64)  # the last stands for a break
+    ids = np.full(block.column("n_words")[0].as_py() + 1, BREAK, np.int64)  # the last stands for a break
     ids[frequent.column("i").to_numpy()] = frequent.column("gid").to_numpy()
     tokens[ids[tokens] < 0] = BREAK
     return pa.Table.from_batches([_row(RELATION, block.column("block")[0].as_py(), tokens, ids[:-1], [], [])])
@@ -153,7 +153,7 @@ def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int =
     totals has (lang, n), all word occurrences of each language. lang null is `und`; a null text
     counts as empty; other columns of documents are left out."""
     rows = documents.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    blocks = staged(rows.mapInArrow(_blocks(size), BLOCKS), "occurrences")
+    blocks = staged(rows.mapInArrow(_blocks(size), BLOCKS), "occurrences", long_rows=True)
     totals = blocks.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     held = blocks.select(F.col("block").alias("home"), "lang", F.posexplode(F.arrays_zip("words", "times")))
     held = held.select("home", "lang", F.col("pos").alias("i"), F.col("col.words").alias("word"), F.col("col.times").alias("n"))
@@ -161,14 +161,15 @@ def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int =
     words = found.filter("first").select("lang", "word", "gid", "a")
     counts = words.select("lang", F.array("gid").alias("ids"), "a")
     levels = counts.withColumn("gid", F.col("ids")[0])
-    relation = staged(_joined(blocks, found, _first_relation, RELATION), "relation") if longest > 1 else None
+    places = blocks.select("block", "tokens", F.size("times").alias("n_words"))  # the words stay where they are
+    relation = staged(_joined(places, found, _first_relation, RELATION), "relation", long_rows=True) if longest > 1 else None
     for length in range(1, longest):  # R_length is known, phrases longer by a word are looked for
         if length == 1:
             groups = relation.mapInArrow(_groups(1), ROWS)
         elif length == longest - 1:  # nothing follows that would need the relation
             groups = _joined(relation, found, _extension(length), ROWS)
         else:
-            relation = staged(_joined(relation, found, _next_relation(length), RELATION), "relation")
+            relation = staged(_joined(relation, found, _next_relation(length), RELATION), "relation", long_rows=True)
             groups = relation.mapInArrow(_groups(length), ROWS)
         if length < longest - 1:
             found = _frequent(groups, ["g", "w"], least)

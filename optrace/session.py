@@ -64,11 +64,17 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+#: Parquet options for rows of megabytes each, such as blocks of texts: a row group, and so a page and what
+#: a reader holds at a time, is one row. Else a writer collects 100 rows before it looks at their bytes, and
+#: a reader takes all rows of a row group at once.
+ROW_BY_ROW = {"parquet.block.row.count.limit": "1"}
+
+
+def kept(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
     """df written once as Parquet to a new shared folder, and read from there: later plans read the
-    columns they need."""
+    columns they need. long_rows: see ROW_BY_ROW."""
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(ROW_BY_ROW if long_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

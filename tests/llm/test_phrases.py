@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from optrace.llm import phrases
@@ -61,3 +62,21 @@ def test_products_beyond_64_bits(spark):
 
 def test_empty(empty):
     assert phrases.collocations(empty).count() == 0
+
+
+def test_blocks_are_read_one_by_one(spark, monkeypatch):
+    """Neither a writer nor a reader holds more than a block: each has a row group of its own."""
+    kept, written = phrases.staged, []
+
+    def staged(df, name, **more):
+        written.append((name, kept(df, name, **more)))
+        return written[-1][1]
+
+    monkeypatch.setattr(phrases, "staged", staged)
+    rows = [(lang, f"a b c {i % 7} a b") for i in range(60) for lang in ("en", "fr")]
+    phrases.frequent_phrases(spark.createDataFrame(rows, "lang string, text string").coalesce(1), longest=4, least=2, size=100)
+    assert [name for name, _ in written].count("relation") == 2
+    for _, df in (x for x in written if x[0] in ("occurrences", "relation")):
+        files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in df.inputFiles()]
+        groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+        assert len(groups) > 20 and set(groups) == {1}
