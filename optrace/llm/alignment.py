@@ -211,7 +211,7 @@ def _list(table: pa.Table, name: str) -> pa.Array:
 
 def _summed(block: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of a block, from its row and its pairs' totals."""
-    n = np.zeros(len(_list(block, "pairs")) + 1, np.int64)
+    n = np.zeros(block.column("n_pairs")[0].as_py() + 1, np.int64)
     best = np.zeros(len(n), np.int64)
     at = counts.column("pos").to_numpy()
     n[at], best[at] = counts.column("n").to_numpy(), counts.column("best").to_numpy()
@@ -234,7 +234,7 @@ def alignments(documents: DataFrame, left: str | None = None, right: str | None
     repeated doc_id are documents of their own; other columns are left out."""
     left, right = left or public_tokenizers.path(LEFT), right or public_tokenizers.path(RIGHT)
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    blocks = staged(rows.mapInArrow(_blocks(left, right, size), BLOCKS), "alignment")
+    blocks = staged(rows.mapInArrow(_blocks(left, right, size), BLOCKS), "alignment", long_rows=True)
     held = blocks.select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("pairs", "n_docs"))).select(
         "home", "pos", F.col("col.pairs").alias("pair"), F.col("col.n_docs").alias("n_docs")
     )
@@ -242,4 +242,5 @@ def alignments(documents: DataFrame, left: str | None = None, right: str | None
     highest = counts.groupBy("left").agg(F.max("n").alias("highest"))  # a row for each id of the vocabulary at most
     counts = counts.join(F.broadcast(highest), "left").select("pair", "n", (F.col("n") == F.col("highest")).cast("int").alias("best"))
     back = held.select("home", "pos", "pair").join(counts, "pair").select("home", "pos", "n", "best")
-    return blocks.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_summed, RESULT)
+    own = blocks.withColumn("n_pairs", F.size("pairs")).drop("pairs", "n_docs")  # the pairs stay where they are
+    return own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_summed, RESULT)

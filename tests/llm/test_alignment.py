@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import public_tokenizers as vocabularies
+import pyarrow.parquet as pq
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -82,3 +83,19 @@ def test_table(spark, small):
 
 def test_empty(empty):
     assert alignment.alignments(empty).count() == 0
+
+
+def test_blocks_are_read_one_by_one(spark, monkeypatch):
+    """Neither a writer nor a reader holds more than a block: each has a row group of its own."""
+    kept, written = alignment.staged, {}
+
+    def staged(df, name, **more):
+        written[name] = kept(df, name, **more)
+        return written[name]
+
+    monkeypatch.setattr(alignment, "staged", staged)
+    rows = spark.createDataFrame([(i, f"some text {i} of it") for i in range(90)], "doc_id long, text string").coalesce(1)
+    assert alignment.alignments(rows, size=40).count() == 90
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written["alignment"].inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > 20 and set(groups) == {1}
