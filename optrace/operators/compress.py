@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 from uuid import uuid4
 
 import numpy as np
@@ -38,7 +39,7 @@ def ngram_counts(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str
 
 
 #: Tokens of a block of texts, which are read and numbered together, and rows that a task hands on at a time.
-BLOCK_TOKENS, BATCH_ROWS = 1 << 22, 1 << 17
+BLOCK_TOKENS, BATCH_ROWS = 1 << 20, 1 << 17
 
 
 def _block(keys: list[pa.Array], sizes: list[int], codes: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
@@ -57,9 +58,10 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = 0, len(texts) - 1
         for i, text in enumerate(texts):
             if i == first:
-                places: defaultdict[str, int] = defaultdict()
-                places.default_factory = places.__len__
-                places[K.START_TOKEN], total, sizes, codes = 0, 0, [], []  # blanks are those of tokens_of
+                # A factory that refers to the list itself would keep every block's words in the worker.
+                places: defaultdict[str, int] = defaultdict(count().__next__)
+                places[K.START_TOKEN]
+                total, sizes, codes = 0, [], []  # blanks are those of tokens_of
             words = (text.as_py() or "").split()
             codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
             sizes.append(len(words))
@@ -126,7 +128,7 @@ def coded_counts(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str
     rows = docs.select(*[F.col(k).alias(name) for k, name in zip(keep, names)], F.col(text).alias("text"))
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]]
     lists = ", ".join(f"{name} array<{kind}>" for name, kind in kinds)
-    blocks = kept(rows.mapInArrow(_read_blocks, f"block string, {lists}, sizes array<int>, codes array<int>, words array<string>"), "blocks")
+    blocks = kept(rows.mapInArrow(_read_blocks, f"block string, {lists}, sizes array<int>, codes array<int>, words array<string>"), "blocks", long_rows=True)
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
     ids = words.join(numbered_words(words), "word")
     ordered = F.array_sort(F.collect_list(F.struct("code", "id")))

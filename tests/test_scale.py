@@ -1,7 +1,10 @@
 """Steps that grow with the tables: parts of files, numbered n-grams, scoring without repeated searches."""
 
-from collections import Counter
+import gc
+from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,42 @@ def test_coded_counts(spark, monkeypatch, n):
     assert len({r[2:4] for r in plain}) == len({str(r[2]) for r in coded})
 
 
+def test_blocks_leave_nothing_behind(monkeypatch):
+    """A worker holds the words of one block, not those of all it has read."""
+    monkeypatch.setattr(compress, "BLOCK_TOKENS", 4)
+    gc.collect()
+    gc.disable()
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([f"x{i} y{i} x{i} z w" for i in range(100)])], ["text"])
+        blocks = [b.column("words")[0].as_py() for b in compress._read_blocks(iter([batch]))]
+        held = [x for x in gc.get_objects() if isinstance(x, defaultdict) and "<START>" in x]
+    finally:
+        gc.enable()
+    assert len(blocks) == 100 and blocks[7] == ["<START>", "x7", "y7", "z", "w"]
+    assert not held
+
+
+def test_blocks_are_written_one_by_one(spark, monkeypatch):
+    """Neither a writer nor a reader holds more than a block: each has a row group of its own."""
+    kept, written = compress.kept, {}
+
+    def keep(df, name, **more):
+        written[name] = kept(df, name, **more)
+        return written[name]
+
+    monkeypatch.setattr(compress, "kept", keep)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, 3)
+    try:
+        docs = spark.createDataFrame([(i, f"a b{i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+        compress.coded_counts(docs)
+    finally:
+        spark.conf.unset(conf)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written["blocks"].inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert len(groups) == 20 and set(groups) == {1}
+
+
 @pytest.mark.parametrize("group", [None, "lang"])
 def test_own_ratio_is_estimate_under_own_model(spark, group):
     docs = spark.createDataFrame([(i, "uv"[i % 2], f"{t} q") for i, t in enumerate(TEXTS)], "doc_id long, lang string, text string")
