@@ -30,6 +30,7 @@ from tokenizers import Tokenizer
 
 from optrace.llm.bpe import byte_table
 from optrace.llm.common import slices, staged
+from optrace.session import ROW_BY_ROW
 
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block of documents.
@@ -234,7 +235,7 @@ def alignments(documents: DataFrame, left: str | None = None, right: str | None
     repeated doc_id are documents of their own; other columns are left out."""
     left, right = left or public_tokenizers.path(LEFT), right or public_tokenizers.path(RIGHT)
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    blocks = staged(rows.mapInArrow(_blocks(left, right, size), BLOCKS), "alignment", long_rows=True)
+    blocks = staged(rows.mapInArrow(_blocks(left, right, size), BLOCKS), "alignment", ROW_BY_ROW)
     held = blocks.select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("pairs", "n_docs"))).select(
         "home", "pos", F.col("col.pairs").alias("pair"), F.col("col.n_docs").alias("n_docs")
     )

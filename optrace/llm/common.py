@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optrace.session import ROW_BY_ROW, ship_package
+from optrace.session import ship_package
 
 MASK = (1 << 64) - 1
 
@@ -29,12 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir and read again: it cuts the lineage, and
     every executor can read it. A local session without that setting takes a temporary folder.
-    long_rows: of megabytes each, see session.ROW_BY_ROW."""
+    options are the writer's, such as session.ROW_BY_ROW for rows of megabytes."""
     path = shared_folder(df.sparkSession, name)
-    df.write.options(**(ROW_BY_ROW if long_rows else {})).parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

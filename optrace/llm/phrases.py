@@ -13,7 +13,6 @@ as two numbers, that of the frequent phrase without its last word and that of th
 from __future__ import annotations
 
 import string
-import time
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from optrace.llm.common import slices, staged
+from optrace.session import ROW_BY_ROW, ZSTD
 
 LONGEST, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 #: Bytes of text in a block.
@@ -135,22 +135,13 @@ def _groups(length: int):
     return run
 
 
-def _staged(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
-    """staged, with the shuffle files behind it given back: Spark deletes them when the driver has collected
-    its garbage, which a driver with little to do does late."""
-    out = staged(df, name, long_rows)
-    time.sleep(0.5)  # listeners still hear of the write, and hold its plan
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows (home, i, keys) of the groups that occur least times, with the group's number (gid) and
     occurrences (a); first marks one row of each group."""
     own = Window.partitionBy(*keys)
     rows = rows.withColumn("a", F.sum("n").over(own)).filter(F.col("a") >= least).withColumn("number", F.monotonically_increasing_id())
     rows = rows.withColumn("gid", F.min("number").over(own))
-    return _staged(rows.select("home", "i", *keys, "a", "gid", (F.col("gid") == F.col("number")).alias("first")), "frequent")
+    return staged(rows.select("home", "i", *keys, "a", "gid", (F.col("gid") == F.col("number")).alias("first")), "frequent", ZSTD)
 
 
 def _joined(blocks: DataFrame, frequent: DataFrame, function, schema: str) -> DataFrame:
@@ -163,7 +154,7 @@ def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int =
     totals has (lang, n), all word occurrences of each language. lang null is `und`; a null text
     counts as empty; other columns of documents are left out."""
     rows = documents.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    blocks = _staged(rows.mapInArrow(_blocks(size), BLOCKS), "occurrences", long_rows=True)
+    blocks = staged(rows.mapInArrow(_blocks(size), BLOCKS), "occurrences", ROW_BY_ROW)
     totals = blocks.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     held = blocks.select(F.col("block").alias("home"), "lang", F.posexplode(F.arrays_zip("words", "times")))
     held = held.select("home", "lang", F.col("pos").alias("i"), F.col("col.words").alias("word"), F.col("col.times").alias("n"))
@@ -172,24 +163,24 @@ def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int =
     counts = words.select("lang", F.array("gid").alias("ids"), "a")
     levels = counts.withColumn("gid", F.col("ids")[0])
     places = blocks.select("block", "tokens", F.size("times").alias("n_words"))  # the words stay where they are
-    relation = _staged(_joined(places, found, _first_relation, RELATION), "relation", long_rows=True) if longest > 1 else None
+    relation = staged(_joined(places, found, _first_relation, RELATION), "relation", ROW_BY_ROW) if longest > 1 else None
     for length in range(1, longest):  # R_length is known, phrases longer by a word are looked for
         if length == 1:
             groups = relation.mapInArrow(_groups(1), ROWS)
         elif length == longest - 1:  # nothing follows that would need the relation
             groups = _joined(relation, found, _extension(length), ROWS)
         else:
-            relation = _staged(_joined(relation, found, _next_relation(length), RELATION), "relation", long_rows=True)
+            relation = staged(_joined(relation, found, _next_relation(length), RELATION), "relation", ROW_BY_ROW)
             groups = relation.mapInArrow(_groups(length), ROWS)
         if length < longest - 1:
             found = _frequent(groups, ["g", "w"], least)
             new = found.filter("first").select("g", "w", "a", "gid")
         else:
-            new = _staged(groups.groupBy("g", "w").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "frequent").withColumn("gid", F.lit(None).cast("long"))
+            new = staged(groups.groupBy("g", "w").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "frequent").withColumn("gid", F.lit(None).cast("long"))
         shorter = levels.select("lang", F.col("ids").alias("begin"), F.col("gid").alias("g"))
         levels = new.join(shorter, "g").select("lang", F.concat("begin", F.array("w")).alias("ids"), "a", "gid")
         counts = counts.union(levels.select("lang", "ids", "a"))
-    return words, _staged(counts, "phrases"), totals
+    return words, staged(counts, "phrases"), totals
 
 
 def _extension(length: int):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from optrace import constants as K
 from optrace.functions.text import BLANK, strip
-from optrace.session import kept, ship_package
+from optrace.session import ROW_BY_ROW, kept, ship_package
 
 CONTEXT_MARK = "\x1f"
 
@@ -128,7 +128,7 @@ def coded_counts(docs: DataFrame, n: int = 2, text: str = "text", keep: list[str
     rows = docs.select(*[F.col(k).alias(name) for k, name in zip(keep, names)], F.col(text).alias("text"))
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]]
     lists = ", ".join(f"{name} array<{kind}>" for name, kind in kinds)
-    blocks = kept(rows.mapInArrow(_read_blocks, f"block string, {lists}, sizes array<int>, codes array<int>, words array<string>"), "blocks", long_rows=True)
+    blocks = kept(rows.mapInArrow(_read_blocks, f"block string, {lists}, sizes array<int>, codes array<int>, words array<string>"), "blocks", ROW_BY_ROW)
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
     ids = words.join(numbered_words(words), "word")
     ordered = F.array_sort(F.collect_list(F.struct("code", "id")))

@@ -67,14 +67,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 #: Parquet options for rows of megabytes each, such as blocks of texts: a row group, and so a page and what
 #: a reader holds at a time, is one row. Else a writer collects 100 rows before it looks at their bytes, and
 #: a reader takes all rows of a row group at once. A row's dictionary would save less than zstd does without.
-ROW_BY_ROW = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false", "compression": "zstd"}
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+ROW_BY_ROW = ZSTD | {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
 
 
-def kept(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
+def kept(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """df written once as Parquet to a new shared folder, and read from there: later plans read the
-    columns they need. long_rows: see ROW_BY_ROW."""
+    columns they need. options are the writer's, such as ROW_BY_ROW."""
     path = scratch_folder(df.sparkSession, name)
-    df.write.options(**(ROW_BY_ROW if long_rows else {})).parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -89,8 +89,8 @@ def test_blocks_are_read_one_by_one(spark, monkeypatch):
     """Neither a writer nor a reader holds more than a block: each has a row group of its own."""
     kept, written = alignment.staged, {}
 
-    def staged(df, name, *more, **named):
-        written[name] = kept(df, name, *more, **named)
+    def staged(df, name, *more):
+        written[name] = kept(df, name, *more)
         return written[name]
 
     monkeypatch.setattr(alignment, "staged", staged)

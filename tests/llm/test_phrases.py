@@ -68,8 +68,8 @@ def test_blocks_are_read_one_by_one(spark, monkeypatch):
     """Neither a writer nor a reader holds more than a block: each has a row group of its own."""
     kept, written = phrases.staged, []
 
-    def staged(df, name, *more, **named):
-        written.append((name, kept(df, name, *more, **named)))
+    def staged(df, name, *more):
+        written.append((name, kept(df, name, *more)))
         return written[-1][1]
 
     monkeypatch.setattr(phrases, "staged", staged)

@@ -70,8 +70,8 @@ def test_blocks_are_written_one_by_one(spark, monkeypatch):
     """Neither a writer nor a reader holds more than a block: each has a row group of its own."""
     kept, written = compress.kept, {}
 
-    def keep(df, name, **more):
-        written[name] = kept(df, name, **more)
+    def keep(df, name, *more):
+        written[name] = kept(df, name, *more)
         return written[name]
 
     monkeypatch.setattr(compress, "kept", keep)
